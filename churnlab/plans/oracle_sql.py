@@ -124,3 +124,116 @@ SELECT 'up' AS grp, {up} FROM pc
 UNION ALL
 SELECT 'down' AS grp, {down} FROM pc
 """
+
+
+def with_cf(body: str) -> str:
+    """Wrap a query over the ``cf`` (customer features) CTE."""
+    return f"WITH cf AS ({customer_features_sql()})\n{body}"
+
+
+def _numeric_cf_columns() -> list[tuple[str, str]]:
+    """(name, kind) of the numeric customer-feature columns; kind in double/bigint/int."""
+    ints = {"if_purchase_ev", "churn_100", "re1"}
+    out = [("user_id", "bigint")]
+    for c in fx.numeric_feature_names():
+        if c in ints:
+            out.append((c, "int"))
+        elif c in ("tc", "tc_diff", "distinct_store", "distinct_city") or c.endswith("_tc") \
+                or c.endswith("_ev"):
+            out.append((c, "bigint"))
+        else:
+            out.append((c, "double"))
+    return out + [("churn_100", "int"), ("re1", "int")]
+
+
+def encode_flags_sql() -> str:
+    return with_cf("""
+SELECT user_id,
+  CASE WHEN his_travel_flag = 'Y' THEN 1 WHEN his_travel_flag = 'N' THEN 0 END AS travel_flag,
+  CASE WHEN his_value_seeker_flag = 'Y' THEN 1 WHEN his_value_seeker_flag = 'N' THEN 0 END
+    AS value_seeker_flag
+FROM cf""")
+
+
+def fill_missing_sql() -> str:
+    cols = []
+    for c, kind in _numeric_cf_columns():
+        if kind == "double":
+            cols.append(f"CASE WHEN {c} IS NULL OR isnan({c}) THEN -1.0 ELSE {c} END AS {c}")
+        else:
+            cols.append(f"coalesce({c}, -1) AS {c}")
+    return with_cf(f"SELECT {', '.join(cols)}, c_mktsegment FROM cf")
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def one_hot_sql() -> str:
+    cols = [f"CAST(c_mktsegment = '{s}' AS INTEGER) AS c_mktsegment_{s}" for s in SEGMENTS]
+    for f in ("his_travel_flag", "his_value_seeker_flag"):
+        for v in ("N", "Y"):
+            cols.append(f"CASE WHEN {f} = '{v}' THEN 1 ELSE 0 END AS {f}_{v}")
+    return with_cf(f"SELECT user_id, {', '.join(cols)} FROM cf")
+
+
+def split_xy_sql() -> str:
+    feats = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ["tc", "ta", "tc_diff", "ta_diff",
+                                                               "distinct_store", "avg_discount"])
+    return with_cf(f"SELECT user_id, {feats}, CAST(churn_100 AS BIGINT) AS churn_100 FROM cf")
+
+
+def dedup_orders_sql() -> str:
+    return """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST,
+    o_orderkey DESC NULLS LAST, o_orderstatus DESC NULLS LAST, o_totalprice DESC NULLS LAST,
+    o_orderpriority DESC NULLS LAST) AS rn
+  FROM orders) t
+WHERE rn = 1"""
+
+
+def split_sql() -> str:
+    from ..functions.hashing import hash_unit_sql
+    return with_cf(f"""
+SELECT user_id, churn_100,
+  CASE WHEN {hash_unit_sql('user_id', 'split')} < 0.25 THEN 'test' ELSE 'train' END AS split
+FROM cf""")
+
+
+def folds_sql() -> str:
+    from ..functions.hashing import hash_unit_sql
+    return with_cf(f"""
+SELECT user_id, churn_100, CAST(floor({hash_unit_sql('user_id', 'fold')} * 5) AS INTEGER) AS fold
+FROM cf""")
+
+
+def downsample_sql() -> str:
+    from ..functions.hashing import hash_unit_sql
+    return with_cf(f"""
+, cnt AS (SELECT count_if(re1 = 1) AS p, count_if(re1 = 0) AS n FROM cf)
+SELECT user_id, re1 FROM cf, cnt
+WHERE re1 = 1 OR (re1 = 0 AND {hash_unit_sql('user_id', 'neg')} <= 1.5 * p / (n + 1e-6))""")
+
+
+STD_COLS = ["tc", "ta", "tc_diff", "ta_diff", "distinct_store", "avg_discount", "mon_std_ta"]
+
+
+def standardize_sql(ddof: int) -> str:
+    fn = "stddev_pop" if ddof == 0 else "stddev_samp"
+    cols = ", ".join(
+        f"round(CASE WHEN {fn}({c}) OVER () = 0 THEN CASE WHEN {c} IS NOT NULL THEN 0.0 END "
+        f"ELSE ({c} - avg({c}) OVER ()) / {fn}({c}) OVER () END, 6) AS {c}" for c in STD_COLS)
+    return with_cf(f"SELECT user_id, {cols} FROM cf")
+
+
+CORR_COLS = ["tc", "ta", "tc_diff", "ta_diff", "distinct_store", "distinct_city", "avg_discount",
+             "economy_sold", "mon_avgta", "breakfast_ev"]
+
+
+def correlation_sql() -> str:
+    parts = []
+    for a in CORR_COLS:
+        for b in CORR_COLS:
+            v = "max(1.0)" if a == b else f"corr({a}, {b})"
+            parts.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round({v}, 6) AS corr FROM cf")
+    return with_cf("\nUNION ALL\n".join(parts))
