@@ -116,3 +116,150 @@ def q_std_samp(spark, sf):
 def q_corr(spark, sf):
     cf = fx.customer_features(spark, sf)
     return _rounded(prep.correlation_matrix(cf, osql.CORR_COLS), ["corr"])
+
+
+# ---------------------------------------------------------------- metrics (frozen scores)
+from ..operators import boost, metrics, report, segment  # noqa: E402
+from ..operators import shap as tshap  # noqa: E402
+from . import flows  # noqa: E402
+
+
+@query("gbt_score_frozen", osql.frozen_score_sql)
+def q_score_frozen(spark, sf):
+    data = flows.prepared_features(spark, sf)
+    p = flows.FROZEN.prob_expr()
+    return data.select("user_id", F.round(p, 6).alias("score"), (p > 0.5).cast("int").alias("prediction"))
+
+
+@query("roc_auc", osql.roc_auc_sql)
+def q_roc_auc(spark, sf):
+    s = flows.frozen_scores(spark, sf).withColumn("score", F.round("score", 3))
+    return metrics.roc_auc_table(s, "score", "churn_100").withColumn("auc", F.round("auc", 6))
+
+
+@query("roc_auc_by_fold", osql.roc_auc_by_fold_sql)
+def q_roc_auc_fold(spark, sf):
+    s = smp.assign_folds(flows.frozen_scores(spark, sf), "user_id", 5) \
+        .withColumn("score", F.round("score", 3))
+    return metrics.roc_auc_table(s, "score", "churn_100", by=["fold"]) \
+        .withColumn("auc", F.round("auc", 6))
+
+
+@query("classification_report", osql.classification_report_sql)
+def q_report(spark, sf):
+    rep = metrics.classification_report(flows.frozen_scores(spark, sf), "score", "churn_100", 0.5)
+    return _rounded(rep, ["accuracy", "precision", "recall", "f1"])
+
+
+@query("best_threshold", osql.best_threshold_sql)
+def q_best_threshold(spark, sf):
+    s = flows.frozen_scores(spark, sf).persist()
+    out = metrics.best_threshold(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
+                                 "score", "churn_100")
+    return _rounded(out, ["train_f1", "accuracy", "precision", "recall", "f1"])
+
+
+@query("log_loss", osql.log_loss_sql)
+def q_log_loss(spark, sf):
+    out = metrics.kl_loss(flows.frozen_scores(spark, sf), "score", "churn_100")
+    return _rounded(out, ["kl_sum", "kl_mean", "log_loss", "accuracy"])
+
+
+# ---------------------------------------------------------------- reports without a model
+@query("woe", osql.woe_sql)
+def q_woe(spark, sf):
+    data = flows.prepared_features(spark, sf)
+    return _rounded(report.woe(data, osql.WOE_FEATURES, "churn_100"), ["woe"])
+
+
+@query("box_stats", osql.box_stats_sql)
+def q_box(spark, sf):
+    cf = fx.customer_features(spark, sf)
+    out = report.box_stats(cf, ["c_mktsegment"], "ta")
+    return _rounded(out, ["q1", "median", "q3", "whisker_low", "whisker_high", "mean"], 4)
+
+
+@query("period_gap", osql.period_gap_sql)
+def q_period_gap(spark, sf):
+    mc = fx.monthly_change(spark, sf)
+    out = report.period_gap(mc, "grp", "up", "down", [f"m{m:02d}" for m in range(1, 13)])
+    return _rounded(out, ["gap"])
+
+
+# ---------------------------------------------------------------- SHAP on the frozen ensemble
+SHAP_COLS = [f"shap_{f}" for f in flows.FROZEN_FEATURES]
+
+
+@query("tree_shap_frozen", osql.tree_shap_sql)
+def q_tree_shap(spark, sf):
+    return _rounded(flows.frozen_shap_wide(spark, sf), ["base", "margin", *SHAP_COLS])
+
+
+@query("split_importance_frozen", osql.split_importance_sql)
+def q_split_importance(spark, sf):
+    _, ens = flows.frozen_fitted(spark, sf)
+    rows = boost.split_importance(ens)
+    return spark.createDataFrame(rows, "feature string, splits bigint, cover double")
+
+
+@query("shap_ranking", osql.shap_ranking_sql)
+def q_shap_ranking(spark, sf):
+    out = report.shap_ranking(flows.frozen_shap_long(spark, sf))
+    return _rounded(out, ["mean_abs_shap"]).withColumn("ranking", F.col("ranking").cast("int"))
+
+
+@query("shap_dependence", osql.shap_dependence_sql)
+def q_shap_dependence(spark, sf):
+    out = report.shap_dependence(flows.frozen_shap_long(spark, sf), "tc_diff", 5, -5)
+    return _rounded(out, ["base", "shap"])
+
+
+@query("shap_box", osql.shap_box_sql)
+def q_shap_box(spark, sf):
+    out = report.shap_box(flows.frozen_shap_long(spark, sf), "tc_diff")
+    return _rounded(out, ["q1", "median", "q3", "whisker_low", "whisker_high", "mean"])
+
+
+@query("shap_mean_curve", osql.shap_mean_curve_sql)
+def q_shap_mean(spark, sf):
+    return _rounded(report.shap_mean_curve(flows.frozen_shap_long(spark, sf), "tc", 20), ["mean_shap"])
+
+
+@query("shap_regression", osql.shap_regression_sql)
+def q_shap_regression(spark, sf):
+    out = report.shap_regression(flows.frozen_shap_long(spark, sf), ["avg_discount", "mon_tc"])
+    return _rounded(out, ["slope", "intercept", "r2"])
+
+
+@query("shap_histogram", osql.shap_histogram_sql)
+def q_shap_hist(spark, sf):
+    out = report.shap_histogram(flows.frozen_shap_long(spark, sf), "tc", 20, 0.05)
+    return _rounded(out, ["mean_shap", "bin_min", "bin_max"])
+
+
+@query("shap_density", osql.shap_density_sql)
+def q_shap_density(spark, sf):
+    out = report.shap_density(flows.frozen_shap_long(spark, sf), "tc_diff", 20)
+    return _rounded(out, ["x", "density"])
+
+
+@query("explain_cases", osql.explain_cases_sql)
+def q_explain(spark, sf):
+    wide = flows.frozen_shap_wide(spark, sf)
+    pred = (F.col("x_tc_diff") > 1) & (F.col("shap_tc_diff") < -0.05)
+    out = report.explain_cases(wide, pred, "user_id", flows.FROZEN_FEATURES, k=0)
+    return _rounded(out, ["base", "margin", "shap"])
+
+
+@query("shap_summary", osql.shap_summary_sql)
+def q_shap_summary(spark, sf):
+    out = report.shap_summary(flows.frozen_shap_long(spark, sf), 3)
+    return _rounded(out.select("user_id", "feature", "value", "shap", "ranking"), ["shap"]) \
+        .withColumn("ranking", F.col("ranking").cast("int"))
+
+
+@query("early_stop_curve_frozen", osql.early_stop_curve_sql)
+def q_early_stop_frozen(spark, sf):
+    data = flows.split_prepared(spark, sf).where(F.col("split") == "test")
+    out = boost.staged_auc(flows.FROZEN, data, "churn_100")
+    return out.withColumn("auc", F.round("auc", 6))

@@ -237,3 +237,362 @@ def correlation_sql() -> str:
             v = "max(1.0)" if a == b else f"corr({a}, {b})"
             parts.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round({v}, 6) AS corr FROM cf")
     return with_cf("\nUNION ALL\n".join(parts))
+
+
+# ------------------------------------------------------------------ prepared + frozen model
+def _f(v: float) -> str:
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def _fill(c: str, kind: str) -> str:
+    if kind == "double":
+        return f"CASE WHEN {c} IS NULL OR isnan({c}) THEN -1.0 ELSE {c} END"
+    return f"coalesce({c}, -1)"
+
+
+def prep_cte() -> str:
+    """``cf`` and ``prep`` CTEs: filled features, one-hot columns, hash split."""
+    from ..functions.hashing import hash_unit_sql
+    kinds = dict(_numeric_cf_columns())
+    feats = [f"{_fill(c, k)} AS {c}" for c, k in kinds.items() if c != "user_id"]
+    onehot = [f"CAST(c_mktsegment = '{s}' AS INTEGER) AS c_mktsegment_{s}" for s in SEGMENTS]
+    for f in ("his_travel_flag", "his_value_seeker_flag"):
+        for v in ("N", "Y"):
+            onehot.append(f"CASE WHEN {f} = '{v}' THEN 1 ELSE 0 END AS {f}_{v}")
+    return (f"WITH cf AS ({customer_features_sql()}),\n"
+            f"prep AS (SELECT user_id, {', '.join(feats)}, {', '.join(onehot)},\n"
+            f"  CASE WHEN {hash_unit_sql('user_id', 'split')} < 0.25 THEN 'test' ELSE 'train' END"
+            f" AS split FROM cf)\n")
+
+
+def _tree_sql(ens, t: int, known=None, cov=None) -> str:
+    """CASE tree; features outside ``known`` are averaged by cover (cov CTE columns)."""
+    tree = ens.trees[t]
+
+    def node(n: int) -> str:
+        if tree.is_leaf(n):
+            return _f(tree.value[n])
+        f = ens.features[tree.feature[n]]
+        l, r = tree.left[n], tree.right[n]
+        if known is None or f in known:
+            return f"(CASE WHEN {f} <= {_f(tree.threshold[n])} THEN {node(l)} ELSE {node(r)} END)"
+        return (f"((cov.c_{t}_{l} * {node(l)} + cov.c_{t}_{r} * {node(r)}) / "
+                f"(cov.c_{t}_{l} + cov.c_{t}_{r}))")
+
+    return node(0)
+
+
+def margin_sql(ens, n_trees: int | None = None) -> str:
+    k = len(ens.trees) if n_trees is None else n_trees
+    expr = _f(ens.base)
+    for t in range(k):
+        expr = f"({expr} + {_tree_sql(ens, t)})"
+    return expr
+
+
+def _conds_sql(ens, t: int) -> dict[int, str]:
+    tree = ens.trees[t]
+    out = {0: "TRUE"}
+    stack = [0]
+    while stack:
+        n = stack.pop()
+        if tree.is_leaf(n):
+            continue
+        f, thr = ens.features[tree.feature[n]], _f(tree.threshold[n])
+        out[tree.left[n]] = f"{out[n]} AND {f} <= {thr}"
+        out[tree.right[n]] = f"{out[n]} AND {f} > {thr}"
+        stack += [tree.left[n], tree.right[n]]
+    return out
+
+
+def cover_cte(ens) -> str:
+    cols = []
+    for t in range(len(ens.trees)):
+        for n, cond in _conds_sql(ens, t).items():
+            cols.append(f"count_if({cond}) AS c_{t}_{n}")
+    return f"cov AS (SELECT {', '.join(cols)} FROM prep WHERE split = 'train')"
+
+
+def shap_exprs(ens) -> tuple[str, dict[str, str]]:
+    """Base value and per-feature Shapley value by subset enumeration over each tree."""
+    from itertools import combinations
+    from math import factorial
+    base = _f(ens.base)
+    phis: dict[str, list[str]] = {f: [] for f in ens.features}
+    for t, tree in enumerate(ens.trees):
+        used = sorted({ens.features[tree.feature[n]] for n in tree.nodes() if not tree.is_leaf(n)})
+        m = len(used)
+        base = f"({base} + {_tree_sql(ens, t, known=set(), cov=True)})"
+        for j in used:
+            others = [u for u in used if u != j]
+            terms = []
+            for s in range(m):
+                w = factorial(s) * factorial(m - 1 - s) / factorial(m)
+                for sub in combinations(others, s):
+                    with_j = _tree_sql(ens, t, known=set(sub) | {j})
+                    without = _tree_sql(ens, t, known=set(sub))
+                    terms.append(f"{_f(w)} * ({with_j} - {without})")
+            phis[j].append("(" + " + ".join(terms) + ")")
+    return base, {f: (" + ".join(v) if v else "0.0") for f, v in phis.items()}
+
+
+def frozen_score_sql() -> str:
+    from .flows import FROZEN
+    return prep_cte() + f"""
+SELECT user_id, round(1.0 / (1.0 + exp(-{margin_sql(FROZEN)})), 6) AS score,
+  CAST(1.0 / (1.0 + exp(-{margin_sql(FROZEN)})) > 0.5 AS INTEGER) AS prediction
+FROM prep"""
+
+
+def scored_cte() -> str:
+    from .flows import FROZEN
+    from ..functions.hashing import hash_unit_sql
+    return prep_cte() + f""", scored AS (
+  SELECT user_id, churn_100, re1, split,
+    CAST(floor({hash_unit_sql('user_id', 'fold')} * 5) AS INTEGER) AS fold,
+    1.0 / (1.0 + exp(-{margin_sql(FROZEN)})) AS score
+  FROM prep)
+"""
+
+
+def _rank_auc(src: str, s: str, y: str, by: str | None = None) -> str:
+    """Rank-sum (Mann-Whitney) AUC with midranks for ties - a different formulation."""
+    part = f"PARTITION BY {by}, {s}" if by else f"PARTITION BY {s}"
+    order = f"PARTITION BY {by} ORDER BY {s}" if by else f"ORDER BY {s}"
+    grp_sel = f"{by}, " if by else ""
+    grp_by = f"GROUP BY {by}" if by else ""
+    return f"""
+SELECT {grp_sel}round((sum(CASE WHEN {y} = 1 THEN midrank END) - P * (P + 1) / 2.0) / (P * N), 6)
+    AS auc, CAST(P AS BIGINT) AS pos, CAST(N AS BIGINT) AS neg
+FROM (
+  SELECT {grp_sel}{y},
+    count(*) OVER ({order} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      - (count(*) OVER ({part}) - 1) / 2.0 AS midrank,
+    count_if({y} = 1) OVER ({"PARTITION BY " + by if by else ""}) AS P,
+    count_if({y} = 0) OVER ({"PARTITION BY " + by if by else ""}) AS N
+  FROM {src}) r
+{grp_by}{", " if by else "GROUP BY "}P, N"""
+
+
+def roc_auc_sql() -> str:
+    return scored_cte() + ", s3 AS (SELECT round(score, 3) AS s, churn_100 AS y FROM scored)" \
+        + _rank_auc("s3", "s", "y")
+
+
+def roc_auc_by_fold_sql() -> str:
+    return scored_cte() + ", s3 AS (SELECT fold, round(score, 3) AS s, churn_100 AS y FROM scored)" \
+        + _rank_auc("s3", "s", "y", by="fold")
+
+
+def _report(src: str, t: str, y: str = "churn_100") -> str:
+    return f"""
+SELECT tp, fp, tn, fn,
+  round(CASE WHEN tp + fp + tn + fn = 0 THEN 0.0 ELSE (tp + tn) / (tp + fp + tn + fn) END, 6) AS accuracy,
+  round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision,
+  round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1
+FROM (SELECT CAST(count_if(score > {t} AND {y} = 1) AS BIGINT) AS tp,
+             CAST(count_if(score > {t} AND {y} = 0) AS BIGINT) AS fp,
+             CAST(count_if(NOT (score > {t}) AND {y} = 0) AS BIGINT) AS tn,
+             CAST(count_if(NOT (score > {t}) AND {y} = 1) AS BIGINT) AS fn FROM {src}) c"""
+
+
+def classification_report_sql() -> str:
+    return scored_cte() + _report("scored", "0.5")
+
+
+def best_threshold_sql() -> str:
+    return scored_cte() + """, grid AS (SELECT i, i / 100.0 AS t FROM range(20, 51) g(i)),
+curve AS (
+  SELECT i, t, count_if(score > t AND churn_100 = 1) AS tp, count_if(score > t AND churn_100 = 0) AS fp,
+    count_if(NOT (score > t) AND churn_100 = 1) AS fn
+  FROM grid, scored WHERE split = 'train' GROUP BY i, t),
+best AS (
+  SELECT t, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1
+  FROM curve ORDER BY f1 DESC, i ASC LIMIT 1),
+rep AS (
+  SELECT count_if(score > b.t AND churn_100 = 1) AS tp, count_if(score > b.t AND churn_100 = 0) AS fp,
+    count_if(NOT (score > b.t) AND churn_100 = 0) AS tn, count_if(NOT (score > b.t) AND churn_100 = 1) AS fn
+  FROM scored, best b WHERE split = 'test')
+SELECT b.t AS threshold, round(b.f1, 6) AS train_f1,
+  round(CASE WHEN tp + fp + tn + fn = 0 THEN 0.0 ELSE (tp + tn) / (tp + fp + tn + fn) END, 6) AS accuracy,
+  round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision,
+  round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1
+FROM rep, best b"""
+
+
+EPS_SQL = "CAST(2.220446049250313e-16 AS DOUBLE)"
+
+
+def log_loss_sql() -> str:
+    e = EPS_SQL
+    kl = (f"(greatest(1.0 - y, {e}) * ln(greatest(1.0 - y, {e}) / greatest(1.0 - p, {e})) + "
+          f"greatest(y, {e}) * ln(greatest(y, {e}) / greatest(p, {e})))")
+    ll = f"-(y * ln(greatest(p, {e})) + (1.0 - y) * ln(greatest(1.0 - p, {e})))"
+    return scored_cte() + f"""
+SELECT round(sum({kl}), 6) AS kl_sum, round(avg({kl}), 6) AS kl_mean, round(avg({ll}), 6) AS log_loss,
+  round(avg(CASE WHEN CAST(p > 0.5 AS INTEGER) = churn_100 THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+  count(*) AS n
+FROM (SELECT score AS p, CAST(churn_100 AS DOUBLE) AS y, churn_100 FROM scored) s"""
+
+
+WOE_FEATURES = ([f"c_mktsegment_{s}" for s in SEGMENTS]
+                + ["his_travel_flag_Y", "his_value_seeker_flag_Y", "if_purchase_ev"])
+
+
+def woe_sql() -> str:
+    parts = []
+    for f in WOE_FEATURES:
+        parts.append(f"""SELECT '{f}' AS feature,
+  CAST(count_if(churn_100 = 1 AND {f} = 1) AS BIGINT) AS a, CAST(count_if(churn_100 = 0 AND {f} = 1) AS BIGINT) AS b,
+  CAST(count_if(churn_100 = 1 AND {f} = 0) AS BIGINT) AS c, CAST(count_if(churn_100 = 0 AND {f} = 0) AS BIGINT) AS d
+FROM prep""")
+    return prep_cte() + f""", cells AS ({" UNION ALL ".join(parts)})
+SELECT feature, a, b, c, d,
+  round(CASE WHEN a > 0 AND b > 0 AND c > 0 AND d > 0 THEN
+    ln((a / (a + c)) / (b / (b + d))) + ln((c / (a + c)) / (d / (b + d))) END, 6) AS woe
+FROM cells"""
+
+
+def _box(src: str, by: str, x: str, digits: int = 6) -> str:
+    r = lambda e: f"round({e}, {digits})"
+    return f"""q AS (SELECT {by}, count({x}) AS n, quantile_cont({x}, 0.25) AS q1,
+    quantile_cont({x}, 0.5) AS median, quantile_cont({x}, 0.75) AS q3
+  FROM {src} WHERE {x} IS NOT NULL GROUP BY {by})
+SELECT q.{by} AS {by}, q.n, {r('q1')} AS q1, {r('median')} AS median, {r('q3')} AS q3,
+  {r(f"min(CASE WHEN {x} >= q1 - 1.5 * (q3 - q1) AND {x} <= q3 + 1.5 * (q3 - q1) THEN {x} END)")} AS whisker_low,
+  {r(f"max(CASE WHEN {x} >= q1 - 1.5 * (q3 - q1) AND {x} <= q3 + 1.5 * (q3 - q1) THEN {x} END)")} AS whisker_high,
+  CAST(count_if(NOT ({x} >= q1 - 1.5 * (q3 - q1) AND {x} <= q3 + 1.5 * (q3 - q1))) AS BIGINT) AS outliers,
+  {r(f"avg({x})")} AS mean
+FROM {src} s JOIN q ON s.{by} = q.{by} WHERE {x} IS NOT NULL
+GROUP BY q.{by}, q.n, q.q1, q.median, q.q3"""
+
+
+def box_stats_sql() -> str:
+    return with_cf(", " + _box("cf", "c_mktsegment", "ta", 4))
+
+
+def period_gap_sql() -> str:
+    parts = [f"SELECT 'm{m:02d}' AS period, max(CASE WHEN grp = 'up' THEN m{m:02d} END) AS up, "
+             f"max(CASE WHEN grp = 'down' THEN m{m:02d} END) AS down FROM mc" for m in range(1, 13)]
+    return (f"WITH mc AS ({monthly_change_sql()})\n"
+            f"SELECT period, up, down, round(up - down, 6) AS gap FROM ({' UNION ALL '.join(parts)}) t")
+
+
+# ------------------------------------------------------------------ SHAP oracles
+def shap_cte() -> str:
+    """``sh`` (wide SHAP of the test split) and ``lg`` (long) CTEs."""
+    from .flows import FROZEN, FROZEN_FEATURES
+    base, phis = shap_exprs(FROZEN)
+    xs = ", ".join(f"CAST({f} AS DOUBLE) AS x_{f}" for f in FROZEN_FEATURES)
+    ph = ", ".join(f"{phis[f]} AS shap_{f}" for f in FROZEN_FEATURES)
+    longs = " UNION ALL ".join(
+        f"SELECT user_id, base, '{f}' AS feature, x_{f} AS value, shap_{f} AS shap FROM sh"
+        for f in FROZEN_FEATURES)
+    return prep_cte() + f""", {cover_cte(FROZEN)},
+sh AS (SELECT user_id, churn_100, {base} AS base, {margin_sql(FROZEN)} AS margin, {xs}, {ph}
+       FROM prep, cov WHERE split = 'test'),
+lg AS ({longs})
+"""
+
+
+def tree_shap_sql() -> str:
+    from .flows import FROZEN_FEATURES
+    cols = ", ".join(f"x_{f}, round(shap_{f}, 6) AS shap_{f}" for f in FROZEN_FEATURES)
+    return shap_cte() + f"SELECT user_id, churn_100, round(base, 6) AS base, round(margin, 6) AS margin, {cols} FROM sh"
+
+
+def split_importance_sql() -> str:
+    from .flows import FROZEN
+    parts = []
+    for t, tree in enumerate(FROZEN.trees):
+        for n in tree.nodes():
+            if not tree.is_leaf(n):
+                parts.append(f"SELECT '{FROZEN.features[tree.feature[n]]}' AS feature, "
+                             f"CAST(c_{t}_{n} AS DOUBLE) AS cover FROM cov")
+    return prep_cte() + f""", {cover_cte(FROZEN)}
+SELECT feature, count(*) AS splits, sum(cover) AS cover FROM ({" UNION ALL ".join(parts)}) t GROUP BY feature"""
+
+
+def shap_ranking_sql() -> str:
+    return shap_cte() + """
+SELECT feature, round(avg(abs(shap)), 6) AS mean_abs_shap,
+  CAST(row_number() OVER (ORDER BY avg(abs(shap)) DESC, feature ASC) AS INTEGER) AS ranking
+FROM lg GROUP BY feature"""
+
+
+def shap_dependence_sql() -> str:
+    return shap_cte() + """
+SELECT user_id, round(base, 6) AS base, feature, value, round(shap, 6) AS shap
+FROM lg WHERE feature = 'tc_diff' AND value < 5 AND value > -5"""
+
+
+def shap_box_sql() -> str:
+    return shap_cte() + ", tcd AS (SELECT value, shap FROM lg WHERE feature = 'tc_diff'), " \
+        + _box("tcd", "value", "shap", 6)
+
+
+def shap_mean_curve_sql() -> str:
+    return shap_cte() + """
+SELECT value, round(avg(shap), 6) AS mean_shap, count(*) AS n
+FROM lg WHERE feature = 'tc' AND value <= 20 GROUP BY value"""
+
+
+def shap_regression_sql() -> str:
+    return shap_cte() + """
+SELECT feature, round(regr_slope(shap, value), 6) AS slope, round(regr_intercept(shap, value), 6) AS intercept,
+  round(regr_r2(shap, value), 6) AS r2, CAST(regr_count(shap, value) AS BIGINT) AS n
+FROM lg WHERE feature IN ('avg_discount', 'mon_tc') AND value BETWEEN 0 AND 1 GROUP BY feature"""
+
+
+def shap_histogram_sql() -> str:
+    step = "CAST(0.05 AS DOUBLE)"
+    return shap_cte() + f""", b AS (
+  SELECT value, shap, CAST(floor(shap / {step}) AS BIGINT) AS bin FROM lg WHERE feature = 'tc' AND value <= 20),
+pv AS (SELECT value, avg(shap) AS mean_shap FROM b GROUP BY value),
+rng AS (SELECT min(bin) AS b0, max(bin) AS b1 FROM b),
+bins AS (SELECT range AS bin FROM rng, range(rng.b0, rng.b1 + 1)),
+cnt AS (SELECT value, bin, count(*) AS n FROM b GROUP BY value, bin)
+SELECT pv.value, round(pv.mean_shap, 6) AS mean_shap, round(bins.bin * {step}, 6) AS bin_min,
+  round((bins.bin + 1) * {step}, 6) AS bin_max, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n
+FROM pv CROSS JOIN bins LEFT JOIN cnt ON cnt.value = pv.value AND cnt.bin = bins.bin"""
+
+
+def shap_density_sql() -> str:
+    import math
+    return shap_cte() + f""", sel AS (SELECT value, shap FROM lg WHERE feature = 'tc_diff' AND value <= 20),
+st AS (SELECT value, count(*) AS n, stddev_samp(shap) * pow(count(*), -0.2) * 0.5 AS bw,
+         min(shap) AS lo, max(shap) AS hi FROM sel GROUP BY value HAVING stddev_samp(shap) > 0),
+gr AS (SELECT st.value, g.i, st.lo - 3.0 * st.bw + g.i * ((st.hi - st.lo + 6.0 * st.bw) / 199) AS x, st.n, st.bw
+       FROM st, range(0, 200) g(i))
+SELECT gr.value, CAST(gr.i AS INTEGER) AS i, round(gr.x, 6) AS x,
+  round(sum(exp(-0.5 * ((gr.x - sel.shap) / gr.bw) * ((gr.x - sel.shap) / gr.bw)))
+        / (gr.n * gr.bw * {math.sqrt(2 * math.pi)!r}), 6) AS density
+FROM gr JOIN sel ON gr.value = sel.value GROUP BY gr.value, gr.i, gr.x, gr.n, gr.bw"""
+
+
+def explain_cases_sql() -> str:
+    return shap_cte() + """, pick AS (
+  SELECT * FROM sh WHERE x_tc_diff > 1 AND shap_tc_diff < -0.05 ORDER BY user_id LIMIT 1)
+SELECT l.user_id, round(l.base, 6) AS base, round(p.margin, 6) AS margin, l.feature, l.value,
+  round(l.shap, 6) AS shap
+FROM lg l JOIN pick p ON l.user_id = p.user_id"""
+
+
+def shap_summary_sql() -> str:
+    return shap_cte() + """, rk AS (
+  SELECT feature, row_number() OVER (ORDER BY avg(abs(shap)) DESC, feature) AS ranking FROM lg GROUP BY feature)
+SELECT l.user_id, l.feature, l.value, round(l.shap, 6) AS shap, CAST(rk.ranking AS INTEGER) AS ranking
+FROM lg l JOIN rk ON l.feature = rk.feature WHERE rk.ranking <= 3"""
+
+
+def early_stop_curve_sql() -> str:
+    from .flows import FROZEN
+    parts = []
+    for k in range(1, len(FROZEN.trees) + 1):
+        parts.append(f"SELECT {k} AS iteration, churn_100 AS y, {margin_sql(FROZEN, k)} AS m "
+                     f"FROM prep WHERE split = 'test'")
+    return prep_cte() + f", st AS ({' UNION ALL '.join(parts)})" + \
+        _rank_auc("st", "m", "y", by="iteration").replace(
+            "SELECT iteration, round(", "SELECT CAST(iteration AS INTEGER) AS iteration, round(", 1)
