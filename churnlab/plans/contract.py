@@ -263,3 +263,34 @@ def q_early_stop_frozen(spark, sf):
     data = flows.split_prepared(spark, sf).where(F.col("split") == "test")
     out = boost.staged_auc(flows.FROZEN, data, "churn_100")
     return out.withColumn("auc", F.round("auc", 6))
+
+
+# ---------------------------------------------------------------- segmentation
+def _segment_assigned(spark, sf):
+    data = flows.segment_input(spark, sf)
+    zcols = [c + "_z" for c in flows.SEGMENT_FEATURES]
+    return segment.kmeans_assign(data, zcols, flows.FROZEN_CENTERS)
+
+
+@query("kmeans_assign", osql.kmeans_assign_sql)
+def q_kmeans_assign(spark, sf):
+    return _rounded(_segment_assigned(spark, sf).select("user_id", "cls_label", "dist2"), ["dist2"])
+
+
+@query("kmeans_cost", osql.kmeans_cost_sql)
+def q_kmeans_cost(spark, sf):
+    data = flows.segment_input(spark, sf)
+    zcols = [c + "_z" for c in flows.SEGMENT_FEATURES]
+    return _rounded(segment.kmeans_cost(data, zcols, flows.FROZEN_CENTERS), ["cost"])
+
+
+@query("segment_profile_frozen", osql.segment_profile_sql)
+def q_segment_profile_frozen(spark, sf):
+    out = segment.segment_profile(_segment_assigned(spark, sf), "cls_label", flows.SEGMENT_FEATURES)
+    return _rounded(out, [f"avg_{c}" for c in flows.SEGMENT_FEATURES])
+
+
+@query("kmeans_best_of")
+def q_kmeans_best_of(spark, sf):
+    """Trained: k = 4, best of 5 seeds, up to 100 iterations (rows-only check)."""
+    return flows.segment_profile_flow(spark, sf, k=4, restarts=5, max_iter=100)

@@ -102,3 +102,13 @@ def segment_profile_flow(spark: SparkSession, sf: str, k: int = 4, restarts: int
                                       max_iter=max_iter)
     assigned = segment.assign(model, data, zcols)
     return segment.segment_profile(assigned, "cls_label", SEGMENT_FEATURES)
+
+
+# fixed values: frozen k-means centres in standardised space, one row per cluster,
+# columns in SEGMENT_FEATURES order
+FROZEN_CENTERS = [
+    [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0],
+    [1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0],
+    [-1.0, -1.0, -1.0, -0.5, 0.0, 0.0, 0.0, 0.0],
+    [0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0],
+]

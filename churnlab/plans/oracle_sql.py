@@ -596,3 +596,59 @@ def early_stop_curve_sql() -> str:
     return prep_cte() + f", st AS ({' UNION ALL '.join(parts)})" + \
         _rank_auc("st", "m", "y", by="iteration").replace(
             "SELECT iteration, round(", "SELECT CAST(iteration AS INTEGER) AS iteration, round(", 1)
+
+
+# ------------------------------------------------------------------ segmentation oracles
+def segment_cte() -> str:
+    from .flows import SEGMENT_FEATURES
+    raw = {
+        "travel_flag": "CASE WHEN his_travel_flag = 'Y' THEN 1 WHEN his_travel_flag = 'N' THEN 0 END",
+        "value_seeker_flag":
+            "CASE WHEN his_value_seeker_flag = 'Y' THEN 1 WHEN his_value_seeker_flag = 'N' THEN 0 END",
+    }
+    kinds = dict(_numeric_cf_columns())
+    cols = []
+    for c in SEGMENT_FEATURES:
+        if c in raw:
+            cols.append(f"coalesce({raw[c]}, -1) AS {c}")
+        else:
+            cols.append(f"{_fill(c, kinds[c])} AS {c}")
+    zs = ", ".join(
+        f"CASE WHEN stddev_samp({c}) OVER () = 0 THEN 0.0 "
+        f"ELSE ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () END AS {c}_z"
+        for c in SEGMENT_FEATURES)
+    return with_cf(f""", seg AS (SELECT user_id, {', '.join(cols)} FROM cf WHERE churn_100 = 1),
+z AS (SELECT *, {zs} FROM seg)
+""")
+
+
+def _assign_cte() -> str:
+    from .flows import FROZEN_CENTERS, SEGMENT_FEATURES
+    ds = []
+    for center in FROZEN_CENTERS:
+        terms = " + ".join(f"pow({c}_z - {_f(v)}, 2)" for c, v in zip(SEGMENT_FEATURES, center))
+        ds.append(f"({_f(0.0)} + {terms})")
+    k = len(ds)
+    cases = []
+    for i in range(k - 1):
+        cond = " AND ".join(f"d{i} <= d{j}" for j in range(i + 1, k))
+        cases.append(f"WHEN {cond} THEN {i}")
+    dcols = ", ".join(f"{d} AS d{i}" for i, d in enumerate(ds))
+    return segment_cte() + f""", dd AS (SELECT *, {dcols} FROM z),
+asg AS (SELECT *, CAST(CASE {' '.join(cases)} ELSE {k - 1} END AS INTEGER) AS cls_label,
+  least({', '.join(f'd{i}' for i in range(k))}) AS dist2 FROM dd)
+"""
+
+
+def kmeans_assign_sql() -> str:
+    return _assign_cte() + "SELECT user_id, cls_label, round(dist2, 6) AS dist2 FROM asg"
+
+
+def kmeans_cost_sql() -> str:
+    return _assign_cte() + "SELECT round(sum(dist2), 6) AS cost, count(*) AS n FROM asg"
+
+
+def segment_profile_sql() -> str:
+    from .flows import SEGMENT_FEATURES
+    avgs = ", ".join(f"round(avg({c}), 6) AS avg_{c}" for c in SEGMENT_FEATURES)
+    return _assign_cte() + f"SELECT cls_label, count(*) AS size, {avgs} FROM asg GROUP BY cls_label"
