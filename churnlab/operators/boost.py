@@ -227,7 +227,7 @@ def best_iteration(curve_rows: list[tuple[int, float]], patience: int = 20) -> i
 
 def cv_gbt(df: DataFrame, feature_cols: list[str], label: str, fold_col: str,
            step_sizes=(0.1, 0.05, 0.01), max_depths=(2, 5), parallelism: int = 2,
-           **params) -> DataFrame:
+           num_folds: int = 5, **params) -> DataFrame:
     """Grid cross-validation with ``CrossValidator(foldCol=...)``.
 
     Returns ``(step_size, max_depth, mean_auc, std_auc)`` per grid point; the
@@ -241,7 +241,7 @@ def cv_gbt(df: DataFrame, feature_cols: list[str], label: str, fold_col: str,
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC", numBins=0)
     cv = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, collectSubModels=False)
+                        numFolds=num_folds, parallelism=parallelism, collectSubModels=False)
     model = cv.fit(data)
     rows = []
     for i, (pm, avg, sd) in enumerate(zip(grid, model.avgMetrics, model.stdMetrics)):

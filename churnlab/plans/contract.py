@@ -294,3 +294,152 @@ def q_segment_profile_frozen(spark, sf):
 def q_kmeans_best_of(spark, sf):
     """Trained: k = 4, best of 5 seeds, up to 100 iterations (rows-only check)."""
     return flows.segment_profile_flow(spark, sf, k=4, restarts=5, max_iter=100)
+
+
+# ---------------------------------------------------------------- trained boosted trees
+@query("gbt_fit_score")
+def q_gbt_fit_score(spark, sf):
+    """Trained GBT (10 trees, depth 4) scored on the test split (rows-only check)."""
+    data, model, _ = flows.trained_gbt(spark, sf)
+    test = data.where(F.col("split") == "test")
+    return boost.score(model, test, "user_id", keep=["churn_100"])
+
+
+def _evaluate(scored, label):
+    """One row: exact AUC plus the report at 0.5 (the AUC is one scalar)."""
+    rep = metrics.classification_report(scored, "score", label, 0.5)
+    return rep.select(F.lit(metrics.roc_auc(scored, "score", label)).alias("auc"), *rep.columns)
+
+
+@query("gbt_evaluate")
+def q_gbt_evaluate(spark, sf):
+    """Train and test AUC / accuracy / precision / recall of the trained GBT (rows-only)."""
+    data, model, _ = flows.trained_gbt(spark, sf)
+    scored = boost.score(model, data, "user_id", keep=["churn_100", "split"]).persist()
+    out = None
+    for part in ("train", "test"):
+        s = scored.where(F.col("split") == part)
+        r = _evaluate(s, "churn_100").withColumn("split", F.lit(part))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("gbt_re1_downsampled")
+def q_gbt_re1(spark, sf):
+    """re1 model trained on negatives down-sampled to 2:3, evaluated on the test split."""
+    data, model, _ = flows.trained_gbt(spark, sf, label="re1", downsample=True)
+    scored = boost.score(model, data.where(F.col("split") == "test"), "user_id", keep=["re1"])
+    return _evaluate(scored, "re1")
+
+
+@query("cv_gbt")
+def q_cv_gbt(spark, sf):
+    """5-fold CV over step size x depth with CrossValidator(foldCol) (rows-only)."""
+    data = smp.assign_folds(flows.split_prepared(spark, sf).where(F.col("split") == "train"),
+                            "user_id", 5).persist()
+    feats = flows.model_features(data.drop("fold"))
+    return boost.cv_gbt(data, feats, "churn_100", "fold", step_sizes=(0.1, 0.05),
+                        max_depths=(2, 4), parallelism=4, maxIter=5, seed=42)
+
+
+@query("early_stop_curve")
+def q_early_stop(spark, sf):
+    """Validation AUC per boosting round and the early-stopping pick (patience 20)."""
+    base = smp.with_validation_flag(
+        flows.split_prepared(spark, sf).where(F.col("split") == "train"), "user_id", 0.2).persist()
+    feats = flows.model_features(base)
+    model = boost.gbt_fit(base.where(~F.col("is_valid")), feats, "churn_100",
+                          **{**flows.GBT_PARAMS, "maxIter": 30, "maxDepth": 3})
+    ens = boost.ensemble_from_spark(model, feats)
+    curve = boost.staged_auc(ens, base.where(F.col("is_valid")), "churn_100").persist()
+    best = boost.best_iteration([(r["iteration"], r["auc"]) for r in curve.collect()], 20)
+    return curve.withColumn("is_best", F.col("iteration") == F.lit(best))
+
+
+@query("tree_shap_trained")
+def q_tree_shap_trained(spark, sf):
+    """TreeSHAP of the trained GBT on the test split, wide form (rows-only)."""
+    data, model, feats = flows.trained_gbt(spark, sf)
+    ens = boost.ensemble_from_spark(model, feats)
+    test = data.where(F.col("split") == "test")
+    return tshap.tree_shap(test, ens, "user_id", keep=["churn_100"])
+
+
+@query("gbt_importance")
+def q_gbt_importance(spark, sf):
+    """Split count, cover and gain importance per feature of the trained GBT."""
+    _, model, feats = flows.trained_gbt(spark, sf)
+    ens = boost.ensemble_from_spark(model, feats)
+    gain = dict(boost.gain_importance(model, feats))
+    rows = [(f, n, c, gain.get(f, 0.0)) for f, n, c in boost.split_importance(ens)]
+    return spark.createDataFrame(rows, "feature string, splits bigint, cover double, gain double")
+
+
+# ---------------------------------------------------------------- MLP
+from ..operators import mlp as nn  # noqa: E402
+
+
+@query("mlp_score_frozen", osql.mlp_score_sql)
+def q_mlp_score_frozen(spark, sf):
+    data, feats = flows.mlp_input(spark, sf, flows.MLP_FROZEN_FEATURES)
+    ws = flows.frozen_mlp_weights(len(feats))
+    out = nn.mlp_score(data, ws, feats, "user_id", keep=["churn_100"])
+    return out.select("user_id", "churn_100", F.round("score", 6).alias("score"))
+
+
+def _mlp_history(spark, sf, epochs, lr, hidden):
+    data, feats = flows.mlp_input(spark, sf)
+    data = data.persist()
+    train = data.where(F.col("split") == "train")
+    test = data.where(F.col("split") == "test")
+    history = []
+
+    def record(epoch, weights_list):
+        for part, d in (("train", train), ("test", test)):
+            s = nn.mlp_score(d, weights_list[0], feats, "user_id", keep=["churn_100"]).persist()
+            loss = metrics.kl_loss(s, "score", "churn_100").first()
+            auc = metrics.roc_auc(s, "score", "churn_100")
+            history.append((epoch, part, float(loss["kl_mean"]), float(loss["accuracy"]),
+                            None if auc is None else float(auc)))
+            s.unpersist()
+        return False
+
+    nn.mlp_fit(train, feats, "churn_100", hidden=hidden, epochs=epochs, lr=lr, on_epoch=record)
+    return spark.createDataFrame(history, "epoch int, split string, loss double, "
+                                          "accuracy double, auc double")
+
+
+@query("mlp_fit")
+def q_mlp_fit(spark, sf):
+    """Per-epoch loss / accuracy / AUC of the SGD MLP on train and test (rows-only)."""
+    return _mlp_history(spark, sf, epochs=5, lr=0.05, hidden=16)
+
+
+@query("cv_mlp")
+def q_cv_mlp(spark, sf):
+    """5-fold CV over learning rates; every (rate, fold) model trains in one pass per epoch."""
+    data, feats = flows.mlp_input(spark, sf)
+    train = smp.assign_folds(data.where(F.col("split") == "train"), "user_id", 5).persist()
+    lrs = [0.1, 0.05]
+    specs = [nn.Spec(lr, f) for lr in lrs for f in range(5)]
+    models = nn.mlp_fit(train, feats, "churn_100", hidden=16, epochs=3, specs=specs,
+                        fold_col="fold")
+    scored = None
+    for m, (spec, ws) in enumerate(zip(specs, models)):
+        s = nn.mlp_score(train.where(F.col("fold") == spec.holdout), ws, feats, "user_id",
+                         keep=["churn_100"]).withColumn("model", F.lit(m))
+        scored = s if scored is None else scored.unionByName(s)
+    aucs = metrics.roc_auc_table(scored, "score", "churn_100", by=["model"]).collect()
+    rows = [(specs[r["model"]].lr, specs[r["model"]].holdout, r["auc"]) for r in aucs]
+    per_fold = spark.createDataFrame(rows, "lr double, fold int, auc double")
+    return metrics.mean_over_folds(per_fold, ["lr"])
+
+
+@query("mlp_builtin")
+def q_mlp_builtin(spark, sf):
+    """Spark's MultilayerPerceptronClassifier baseline, test-split report (rows-only)."""
+    data, feats = flows.mlp_input(spark, sf)
+    train = data.where(F.col("split") == "train")
+    model = nn.builtin_mlp(train, feats, "churn_100", [len(feats), 16, 16, 2], max_iter=50)
+    scored = boost.score(model, data.where(F.col("split") == "test"), "user_id", keep=["churn_100"])
+    return _evaluate(scored, "churn_100")

@@ -112,3 +112,47 @@ FROZEN_CENTERS = [
     [-1.0, -1.0, -1.0, -0.5, 0.0, 0.0, 0.0, 0.0],
     [0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0],
 ]
+
+
+# ------------------------------------------------------------- trained boosted trees
+GBT_PARAMS = dict(maxIter=10, maxDepth=4, seed=42, subsamplingRate=0.8,
+                  featureSubsetStrategy="0.9", stepSize=0.1)
+
+
+def trained_gbt(spark: SparkSession, sf: str, label: str = "churn_100",
+                downsample: bool = False, **params):
+    """Fit on the train split; returns ``(data_with_split, model, features)``."""
+    data = split_prepared(spark, sf).persist()
+    feats = model_features(data)
+    train = data.where(F.col("split") == "train")
+    if downsample:
+        train = sampling.downsample_negatives(train, label, "user_id", 1.5)
+    model = boost.gbt_fit(train, feats, label, **{**GBT_PARAMS, **params})
+    return data, model, feats
+
+
+# ------------------------------------------------------------- MLP
+MLP_FROZEN_FEATURES = ["tc", "tc_diff", "distinct_store", "avg_discount"]
+
+
+def frozen_mlp_weights(d: int = 4, h: int = 3, out: int = 2):
+    """Literal test weights from a fixed rule: w = round(0.8 * sin(1.7 (l+1) + 0.9 i + 0.37 j), 2)."""
+    import math
+
+    import numpy as np
+    dims = [(d, h), (h, h), (h, h), (h, out)]
+    weights = []
+    for layer, (r, c) in enumerate(dims):
+        w = np.array([[round(0.8 * math.sin(1.7 * (layer + 1) + 0.9 * i + 0.37 * j), 2)
+                       for j in range(c)] for i in range(r)])
+        b = np.array([round(0.1 * math.cos(layer + 0.5 * j), 2) for j in range(c)])
+        weights.append((w, b))
+    return weights
+
+
+def mlp_input(spark: SparkSession, sf: str, feats: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Prepared table, split, features standardised (population std) with train statistics."""
+    data = split_prepared(spark, sf)
+    feats = feats or model_features(data)
+    stats = prepare.column_stats(data.where(F.col("split") == "train"), feats, ddof=0)
+    return prepare.standardize(data, feats, ddof=0, stats=stats), feats

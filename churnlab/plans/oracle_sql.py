@@ -652,3 +652,30 @@ def segment_profile_sql() -> str:
     from .flows import SEGMENT_FEATURES
     avgs = ", ".join(f"round(avg({c}), 6) AS avg_{c}" for c in SEGMENT_FEATURES)
     return _assign_cte() + f"SELECT cls_label, count(*) AS size, {avgs} FROM asg GROUP BY cls_label"
+
+
+# ------------------------------------------------------------------ MLP oracle
+def mlp_score_sql() -> str:
+    from .flows import MLP_FROZEN_FEATURES, frozen_mlp_weights
+    ws = frozen_mlp_weights(len(MLP_FROZEN_FEATURES))
+    zs = ", ".join(f"({c} - avg({c}) FILTER (WHERE split = 'train') OVER ()) / "
+                   f"stddev_pop({c}) FILTER (WHERE split = 'train') OVER () AS z_{c}"
+                   for c in MLP_FROZEN_FEATURES)
+    prev = [f"z_{c}" for c in MLP_FROZEN_FEATURES]
+    ctes = [f"l0 AS (SELECT user_id, churn_100, {zs} FROM prep)"]
+    for layer, (w, b) in enumerate(ws):
+        units = []
+        for j in range(w.shape[1]):
+            lin = f"{_f(b[j])} + " + " + ".join(f"{p} * {_f(w[i, j])}" for i, p in enumerate(prev))
+            if layer == 0 or layer == len(ws) - 1:
+                units.append(f"({lin}) AS a{layer}_{j}")
+            else:
+                units.append(f"CASE WHEN ({lin}) < 20 THEN ln(1 + exp({lin})) ELSE ({lin}) END AS a{layer}_{j}")
+        ctes.append(f"l{layer + 1} AS (SELECT user_id, churn_100, {', '.join(units)} FROM l{layer})")
+        prev = [f"a{layer}_{j}" for j in range(w.shape[1])]
+    last = len(ws)
+    return prep_cte() + ", " + ",\n".join(ctes) + f"""
+SELECT user_id, churn_100,
+  round(exp(a{last - 1}_1 - greatest(a{last - 1}_0, a{last - 1}_1)) /
+    (exp(a{last - 1}_0 - greatest(a{last - 1}_0, a{last - 1}_1)) + exp(a{last - 1}_1 - greatest(a{last - 1}_0, a{last - 1}_1))), 6) AS score
+FROM l{last}"""
