@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.numeric import rnd, wrap_sql_rounds
 from ..sources import fixtures as fx
 from . import oracle_sql as osql
 
@@ -20,7 +21,7 @@ def query(name: str, sql=None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql() if callable(sql) else sql
+            ORACLE[name] = wrap_sql_rounds(sql() if callable(sql) else sql)
         return fn
     return deco
 
@@ -97,7 +98,7 @@ def q_downsample(spark, sf):
 
 
 def _rounded(df, cols, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    return df.withColumns({c: rnd(c, digits) for c in cols})
 
 
 @query("standardize_pop", lambda: osql.standardize_sql(0))
@@ -128,21 +129,21 @@ from . import flows  # noqa: E402
 def q_score_frozen(spark, sf):
     data = flows.prepared_features(spark, sf)
     p = flows.FROZEN.prob_expr()
-    return data.select("user_id", F.round(p, 6).alias("score"), (p > 0.5).cast("int").alias("prediction"))
+    return data.select("user_id", rnd(p, 6).alias("score"), (p > 0.5).cast("int").alias("prediction"))
 
 
 @query("roc_auc", osql.roc_auc_sql)
 def q_roc_auc(spark, sf):
-    s = flows.frozen_scores(spark, sf).withColumn("score", F.round("score", 3))
-    return metrics.roc_auc_table(s, "score", "churn_100").withColumn("auc", F.round("auc", 6))
+    s = flows.frozen_scores(spark, sf).withColumn("score", rnd("score", 3))
+    return metrics.roc_auc_table(s, "score", "churn_100").withColumn("auc", rnd("auc", 6))
 
 
 @query("roc_auc_by_fold", osql.roc_auc_by_fold_sql)
 def q_roc_auc_fold(spark, sf):
     s = smp.assign_folds(flows.frozen_scores(spark, sf), "user_id", 5) \
-        .withColumn("score", F.round("score", 3))
+        .withColumn("score", rnd("score", 3))
     return metrics.roc_auc_table(s, "score", "churn_100", by=["fold"]) \
-        .withColumn("auc", F.round("auc", 6))
+        .withColumn("auc", rnd("auc", 6))
 
 
 @query("classification_report", osql.classification_report_sql)
@@ -262,7 +263,7 @@ def q_shap_summary(spark, sf):
 def q_early_stop_frozen(spark, sf):
     data = flows.split_prepared(spark, sf).where(F.col("split") == "test")
     out = boost.staged_auc(flows.FROZEN, data, "churn_100")
-    return out.withColumn("auc", F.round("auc", 6))
+    return out.withColumn("auc", rnd("auc", 6))
 
 
 # ---------------------------------------------------------------- segmentation
@@ -384,7 +385,7 @@ def q_mlp_score_frozen(spark, sf):
     data, feats = flows.mlp_input(spark, sf, flows.MLP_FROZEN_FEATURES)
     ws = flows.frozen_mlp_weights(len(feats))
     out = nn.mlp_score(data, ws, feats, "user_id", keep=["churn_100"])
-    return out.select("user_id", "churn_100", F.round("score", 6).alias("score"))
+    return out.select("user_id", "churn_100", rnd("score", 6).alias("score"))
 
 
 def _mlp_history(spark, sf, epochs, lr, hidden):

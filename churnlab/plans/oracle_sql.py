@@ -276,8 +276,9 @@ def _tree_sql(ens, t: int, known=None, cov=None) -> str:
         l, r = tree.left[n], tree.right[n]
         if known is None or f in known:
             return f"(CASE WHEN {f} <= {_f(tree.threshold[n])} THEN {node(l)} ELSE {node(r)} END)"
-        return (f"((cov.c_{t}_{l} * {node(l)} + cov.c_{t}_{r} * {node(r)}) / "
-                f"(cov.c_{t}_{l} + cov.c_{t}_{r}))")
+        return (f"(CASE WHEN cov.c_{t}_{l} + cov.c_{t}_{r} = 0 THEN 0.5 * ({node(l)} + {node(r)}) "
+                f"ELSE (cov.c_{t}_{l} * {node(l)} + cov.c_{t}_{r} * {node(r)}) / "
+                f"(cov.c_{t}_{l} + cov.c_{t}_{r}) END)")
 
     return node(0)
 

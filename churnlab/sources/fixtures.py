@@ -19,6 +19,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import rnd
 from .io import read_table
 
 # fixed values: weekday prefixes in weekday() order (0 = Monday)
@@ -73,9 +74,9 @@ def _order_aggregates(orders: DataFrame, b: dict) -> DataFrame:
     wd = F.weekday(date)
     aggs = [
         F.count_if(before).alias("tc"),
-        F.round(F.sum(F.when(before, price)), 2).alias("ta"),
+        rnd(F.sum(F.when(before, price)), 2).alias("ta"),
         (F.count_if(second) - F.count_if(first)).alias("tc_diff"),
-        F.round(F.coalesce(F.sum(F.when(second, price)), F.lit(0.0))
+        rnd(F.coalesce(F.sum(F.when(second, price)), F.lit(0.0))
                 - F.coalesce(F.sum(F.when(first, price)), F.lit(0.0)), 2).alias("ta_diff"),
     ]
     for i, d in enumerate(DAYS):
@@ -85,9 +86,9 @@ def _order_aggregates(orders: DataFrame, b: dict) -> DataFrame:
             F.count_if(on_day).alias(f"{d}_tc"),
             F.max(p).alias(f"{d}_maxta"),
             F.min(p).alias(f"{d}_minta"),
-            F.round(F.avg(p), 6).alias(f"{d}_avgta"),
-            F.round(F.sum(p), 2).alias(f"{d}_sumta"),
-            F.round(F.stddev_samp(p), 6).alias(f"{d}_std_ta"),
+            rnd(F.avg(p), 6).alias(f"{d}_avgta"),
+            rnd(F.sum(p), 2).alias(f"{d}_sumta"),
+            rnd(F.stddev_samp(p), 6).alias(f"{d}_std_ta"),
         ]
     aggs += [
         F.count_if(before & (F.col("o_orderpriority") == "1-URGENT")).alias("_urgent"),
@@ -114,20 +115,20 @@ def _line_aggregates(orders, lineitem, part, supplier, b) -> DataFrame:
     )
     disc = F.col("l_discount")
     aggs = [
-        F.round(F.avg(disc), 6).alias("avg_discount"),
+        rnd(F.avg(disc), 6).alias("avg_discount"),
         F.max(disc).alias("max_discount"),
         F.min(disc).alias("min_discount"),
-        F.round(F.sum(disc), 6).alias("sum_discount"),
-        F.round(F.stddev_samp(disc), 6).alias("std_discount"),
+        rnd(F.sum(disc), 6).alias("sum_discount"),
+        rnd(F.stddev_samp(disc), 6).alias("std_discount"),
         F.count_distinct("l_suppkey").alias("distinct_store"),
         F.count_distinct("s_nationkey").alias("distinct_city"),
     ]
     for t in P_TYPES:
         is_t = F.col("p_type") == t
         aggs += [
-            F.round(F.sum(F.when(is_t, F.col("l_quantity")).otherwise(0.0)), 2)
+            rnd(F.sum(F.when(is_t, F.col("l_quantity")).otherwise(0.0)), 2)
             .alias(f"{t.lower()}_sold"),
-            F.round(F.sum(F.when(is_t, F.col("l_extendedprice")).otherwise(0.0)), 2)
+            rnd(F.sum(F.when(is_t, F.col("l_extendedprice")).otherwise(0.0)), 2)
             .alias(f"{t.lower()}_sell_price"),
         ]
     return j.groupBy(F.col("o_custkey").alias("user_id")).agg(*aggs)
@@ -233,7 +234,7 @@ def monthly_change(spark: SparkSession, base: str, cut: str = DEFAULT_CUT,
         *[F.count_if(c < -threshold).alias(f"_dn{i + 1}") for i, c in enumerate(change)],
     )
     def pct(c):
-        return F.round(F.lit(100.0) * F.col(c) / F.col("_n"), 6)
+        return rnd(F.lit(100.0) * F.col(c) / F.col("_n"), 6)
 
     rows = F.array(
         F.struct(F.lit("up").alias("grp"), *[pct(f"_up{m}").alias(f"m{m:02d}") for m in range(1, 13)]),
