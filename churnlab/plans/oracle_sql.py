@@ -30,9 +30,9 @@ def customer_features_sql(cut: str = fx.DEFAULT_CUT) -> str:
             f"CAST(count_if({on}) AS BIGINT) AS {d}_tc",
             f"max({p}) AS {d}_maxta",
             f"min({p}) AS {d}_minta",
-            f"round(avg({p}), 6) AS {d}_avgta",
+            f"round(sum({p}), 2) / CAST(count({p}) AS DOUBLE) AS {d}_avgta",
             f"round(sum({p}), 2) AS {d}_sumta",
-            f"round(stddev_samp({p}), 6) AS {d}_std_ta",
+            f"round(stddev_samp({p}), 4) AS {d}_std_ta",
         ]
     type_cols = []
     for t in fx.P_TYPES:
@@ -69,11 +69,11 @@ WITH o AS (
   HAVING count_if({before}) > 0
 ), li AS (
   SELECT o.o_custkey AS user_id,
-    round(avg(l_discount), 6) AS avg_discount,
+    round(sum(l_discount), 2) / CAST(count(l_discount) AS DOUBLE) AS avg_discount,
     max(l_discount) AS max_discount,
     min(l_discount) AS min_discount,
-    round(sum(l_discount), 6) AS sum_discount,
-    round(stddev_samp(l_discount), 6) AS std_discount,
+    round(sum(l_discount), 2) AS sum_discount,
+    round(stddev_samp(l_discount), 9) AS std_discount,
     CAST(count(DISTINCT l_suppkey) AS BIGINT) AS distinct_store,
     CAST(count(DISTINCT s_nationkey) AS BIGINT) AS distinct_city,
     {", ".join(type_cols)}

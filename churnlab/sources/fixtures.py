@@ -86,9 +86,10 @@ def _order_aggregates(orders: DataFrame, b: dict) -> DataFrame:
             F.count_if(on_day).alias(f"{d}_tc"),
             F.max(p).alias(f"{d}_maxta"),
             F.min(p).alias(f"{d}_minta"),
-            rnd(F.avg(p), 6).alias(f"{d}_avgta"),
+            # mean as (sum rounded to cents) / count: one IEEE division, identical in any engine
+            F.try_divide(rnd(F.sum(p), 2), F.count(p).cast("double")).alias(f"{d}_avgta"),
             rnd(F.sum(p), 2).alias(f"{d}_sumta"),
-            rnd(F.stddev_samp(p), 6).alias(f"{d}_std_ta"),
+            rnd(F.stddev_samp(p), 4).alias(f"{d}_std_ta"),
         ]
     aggs += [
         F.count_if(before & (F.col("o_orderpriority") == "1-URGENT")).alias("_urgent"),
@@ -115,11 +116,11 @@ def _line_aggregates(orders, lineitem, part, supplier, b) -> DataFrame:
     )
     disc = F.col("l_discount")
     aggs = [
-        rnd(F.avg(disc), 6).alias("avg_discount"),
+        F.try_divide(rnd(F.sum(disc), 2), F.count(disc).cast("double")).alias("avg_discount"),
         F.max(disc).alias("max_discount"),
         F.min(disc).alias("min_discount"),
-        rnd(F.sum(disc), 6).alias("sum_discount"),
-        rnd(F.stddev_samp(disc), 6).alias("std_discount"),
+        rnd(F.sum(disc), 2).alias("sum_discount"),
+        rnd(F.stddev_samp(disc), 9).alias("std_discount"),
         F.count_distinct("l_suppkey").alias("distinct_store"),
         F.count_distinct("s_nationkey").alias("distinct_city"),
     ]
