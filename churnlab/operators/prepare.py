@@ -131,21 +131,89 @@ def standardize(df: DataFrame, cols: list[str], ddof: int = 0, fit_on: DataFrame
     return df.withColumns(exprs)
 
 
+def _corr_long(spark, cols: list[str], value) -> DataFrame:
+    rows = [(a, b, 1.0 if i == j else value(min(i, j), max(i, j)))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return spark.createDataFrame(rows, "feature_a string, feature_b string, corr double")
+
+
+def _masked_gram(data: DataFrame, cols: list[str], shift: list[float]):
+    """Pairwise-complete sums over all column pairs in one pass.
+
+    Per Arrow batch, with X the mean-shifted values and M the presence mask:
+    N = M'M, SX = (X*M)'M, SXX = (X*M)^2'M, SXY = (X*M)'(X*M).  Each partition
+    emits its 4 x D x D sums once; Spark adds them up by element.  Returns the
+    four D x D matrices (driver memory ~ D^2, independent of the rows).
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    d = len(cols)
+    bc = data.sparkSession.sparkContext.broadcast(np.asarray(shift, dtype=float))
+
+    def run(batches):
+        acc = np.zeros((4, d, d))
+        seen = False
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype=float) - bc.value
+            m = ~np.isnan(x)
+            x0 = np.where(m, x, 0.0)
+            mf = m.astype(float)
+            acc[0] += mf.T @ mf
+            acc[1] += x0.T @ mf
+            acc[2] += (x0 * x0).T @ mf
+            acc[3] += x0.T @ x0
+            seen = True
+        if seen:
+            yield pd.DataFrame({"s": [acc.ravel().tolist()]})
+
+    schema = StructType([StructField("s", ArrayType(DoubleType()))])
+    sums = (data.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(run, schema)
+            .select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")))
+    flat = np.zeros(4 * d * d)
+    for r in sums.collect():
+        flat[r["i"]] = r["v"]
+    return flat.reshape(4, d, d)
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlations as ``(feature_a, feature_b, corr)`` (A3).
+    """Pearson correlations as the D x D long table ``(feature_a, feature_b, corr)`` (A3).
 
-    One aggregate with a ``corr`` per unordered pair, then the D x D long table
-    (symmetric, diagonal 1.0) built by ``inline`` - no self-join, no collect.
+    * No null/NaN in any column (checked by one small aggregate): Spark ML's
+      ``Correlation`` - one distributed pass accumulating the Gram matrix.
+    * Otherwise pairwise-complete (each pair uses the rows where both are
+      present, like pandas ``corr``): one vectorised masked-Gram pass over
+      mean-shifted values; a pair with fewer than 2 rows or zero variance is NULL.
+
+    Plan size is constant in D; only D x D numbers reach the driver.
     """
-    aggs = []
-    for i, a in enumerate(cols):
-        for j in range(i + 1, len(cols)):
-            aggs.append(F.corr(a, cols[j]).alias(f"c_{i}_{j}"))
-    one = df.agg(*aggs) if aggs else df.limit(1).select()
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            v = F.lit(1.0) if i == j else F.col(f"c_{min(i, j)}_{max(i, j)}")
-            rows.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                                 v.cast("double").alias("corr")))
-    return one.select(F.inline(F.array(*rows)))
+    import numpy as np
+    spark = df.sparkSession
+    data = df.select(*cols).persist()
+    try:
+        stats = data.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")))
+                           .alias(f"n{i}") for i, c in enumerate(cols)],
+                         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        if len(cols) > 1 and all(stats[f"n{i}"] == 0 for i in range(len(cols))):
+            from pyspark.ml.stat import Correlation
+            vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(data).select("_v")
+            m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+            return _corr_long(spark, cols, lambda i, j: float(m[i, j]))
+        shift = [stats[f"m{i}"] or 0.0 for i in range(len(cols))]
+        n, sx, sxx, sxy = _masked_gram(data, cols, shift)
+
+        def corr(i: int, j: int):
+            k = n[i, j]
+            if k < 2:
+                return None
+            num = k * sxy[i, j] - sx[i, j] * sx[j, i]
+            va = k * sxx[i, j] - sx[i, j] ** 2
+            vb = k * sxx[j, i] - sx[j, i] ** 2
+            if va <= 0 or vb <= 0:
+                return None
+            return float(num / np.sqrt(va * vb))
+
+        return _corr_long(spark, cols, corr)
+    finally:
+        data.unpersist()
