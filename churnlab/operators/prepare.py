@@ -66,13 +66,19 @@ def one_hot(df: DataFrame, cols: list[str] | None = None, max_categories: int =
     """
     cols = string_columns(df) if cols is None else cols
     dummies = []
-    for c in cols:
-        values = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct()
-                  .limit(max_categories + 1).collect()]
-        if len(values) > max_categories:
-            raise ValueError(f"{c}: more than {max_categories} categories")
-        for v in sorted(values):
-            dummies.append(F.when(F.col(c) == v, 1).otherwise(0).alias(f"{c}_{v}"))
+    if cols:
+        # guard first with bounded-memory sketches, then gather the (small) sets in one job
+        approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+        for c in cols:
+            if approx[c] > max_categories * 1.05:
+                raise ValueError(f"{c}: more than {max_categories} categories")
+        sets = df.agg(*[F.collect_set(c).alias(c) for c in cols]).first()
+        for c in cols:
+            values = sets[c]
+            if len(values) > max_categories:
+                raise ValueError(f"{c}: more than {max_categories} categories")
+            for v in sorted(values):
+                dummies.append(F.when(F.col(c) == v, 1).otherwise(0).alias(f"{c}_{v}"))
     keep = [x for x in df.columns if not (drop_source and x in cols)]
     return df.select(*keep, *dummies)
 

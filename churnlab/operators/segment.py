@@ -28,19 +28,21 @@ def kmeans_fit(df: DataFrame, cols: list[str], k: int, seed: int, max_iter: int
 
 
 def kmeans_best_of(df: DataFrame, cols: list[str], k: int, seeds: list[int],
-                   max_iter: int = 100):
+                   max_iter: int = 100, parallelism: int | None = None):
     """Fit once per seed and keep the lowest within-cluster cost (M4).
 
-    Returns ``(best_model, [(seed, cost), ...])``.  Persist ``df`` first: every
-    fit rescans it.
+    The fits are independent Spark jobs submitted from a thread pool, so they
+    share the executors instead of queueing.  Returns ``(best_model,
+    [(seed, cost), ...])`` with ties going to the earlier seed.  Persist
+    ``df`` first: every fit rescans it.
     """
-    best, costs = None, []
-    for s in seeds:
-        model, cost = kmeans_fit(df, cols, k, s, max_iter)
-        costs.append((s, cost))
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best[0], costs
+    from concurrent.futures import ThreadPoolExecutor
+    workers = max(1, min(len(seeds), parallelism or len(seeds)))
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        fits = list(pool.map(lambda s: kmeans_fit(df, cols, k, s, max_iter), seeds))
+    costs = [(s, cost) for s, (_, cost) in zip(seeds, fits)]
+    best = min(range(len(fits)), key=lambda i: (fits[i][1], i))
+    return fits[best][0], costs
 
 
 def assign(model, df: DataFrame, cols: list[str]) -> DataFrame:

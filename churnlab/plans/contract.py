@@ -46,27 +46,27 @@ FLAG_MAP = {"his_travel_flag": "travel_flag", "his_value_seeker_flag": "value_se
 
 @query("encode_flags", osql.encode_flags_sql)
 def q_encode_flags(spark, sf):
-    cf = fx.customer_features(spark, sf)
+    cf = fx.feature_table(spark, sf)
     return prep.encode_flags(cf, FLAG_MAP).select("user_id", "travel_flag", "value_seeker_flag")
 
 
 @query("fill_missing", osql.fill_missing_sql)
 def q_fill_missing(spark, sf):
-    cf = fx.customer_features(spark, sf)
+    cf = fx.feature_table(spark, sf)
     cols = [c for c, _ in osql._numeric_cf_columns()]
     return prep.fill_missing(cf.select(*cols, "c_mktsegment"), -1)
 
 
 @query("one_hot", osql.one_hot_sql)
 def q_one_hot(spark, sf):
-    cf = fx.customer_features(spark, sf).select(
+    cf = fx.feature_table(spark, sf).select(
         "user_id", "c_mktsegment", "his_travel_flag", "his_value_seeker_flag")
     return prep.one_hot(cf, ["c_mktsegment", "his_travel_flag", "his_value_seeker_flag"])
 
 
 @query("split_xy", osql.split_xy_sql)
 def q_split_xy(spark, sf):
-    cf = fx.customer_features(spark, sf)
+    cf = fx.feature_table(spark, sf)
     feats = ["tc", "ta", "tc_diff", "ta_diff", "distinct_store", "avg_discount"]
     cast = prep.cast_columns(cf, {**{c: "double" for c in feats}, "churn_100": "bigint"})
     return prep.split_xy(cast, "user_id", "churn_100", feats)
@@ -81,19 +81,19 @@ def q_dedup(spark, sf):
 
 @query("train_test_split", osql.split_sql)
 def q_split(spark, sf):
-    cf = fx.customer_features(spark, sf).select("user_id", "churn_100")
+    cf = fx.feature_table(spark, sf).select("user_id", "churn_100")
     return smp.with_split(cf, "user_id", 0.25)
 
 
 @query("assign_folds", osql.folds_sql)
 def q_folds(spark, sf):
-    cf = fx.customer_features(spark, sf).select("user_id", "churn_100")
+    cf = fx.feature_table(spark, sf).select("user_id", "churn_100")
     return smp.assign_folds(cf, "user_id", 5)
 
 
 @query("downsample_negatives", osql.downsample_sql)
 def q_downsample(spark, sf):
-    cf = fx.customer_features(spark, sf).select("user_id", "re1").persist()
+    cf = fx.feature_table(spark, sf).select("user_id", "re1").persist()
     return smp.downsample_negatives(cf, "re1", "user_id", 1.5)
 
 
@@ -103,19 +103,19 @@ def _rounded(df, cols, digits=6):
 
 @query("standardize_pop", lambda: osql.standardize_sql(0))
 def q_std_pop(spark, sf):
-    cf = fx.customer_features(spark, sf).select("user_id", *osql.STD_COLS)
+    cf = fx.feature_table(spark, sf).select("user_id", *osql.STD_COLS)
     return _rounded(prep.standardize(cf, osql.STD_COLS, ddof=0), osql.STD_COLS)
 
 
 @query("standardize_sample", lambda: osql.standardize_sql(1))
 def q_std_samp(spark, sf):
-    cf = fx.customer_features(spark, sf).select("user_id", *osql.STD_COLS)
+    cf = fx.feature_table(spark, sf).select("user_id", *osql.STD_COLS)
     return _rounded(prep.standardize(cf, osql.STD_COLS, ddof=1), osql.STD_COLS)
 
 
 @query("correlation_matrix", osql.correlation_sql)
 def q_corr(spark, sf):
-    cf = fx.customer_features(spark, sf)
+    cf = fx.feature_table(spark, sf)
     return _rounded(prep.correlation_matrix(cf, osql.CORR_COLS), ["corr"])
 
 
@@ -175,7 +175,7 @@ def q_woe(spark, sf):
 
 @query("box_stats", osql.box_stats_sql)
 def q_box(spark, sf):
-    cf = fx.customer_features(spark, sf)
+    cf = fx.feature_table(spark, sf)
     out = report.box_stats(cf, ["c_mktsegment"], "ta")
     return _rounded(out, ["q1", "median", "q3", "whisker_low", "whisker_high", "mean"], 4)
 

@@ -24,7 +24,7 @@ LABELS = ["churn_100", "re1"]
 
 def prepared_features(spark: SparkSession, sf: str) -> DataFrame:
     """user_id, numeric features, one-hot columns, labels; nulls and NaN -> -1."""
-    cf = fx.customer_features(spark, sf)
+    cf = fx.feature_table(spark, sf)
     oh = prepare.one_hot(cf, CATEGORICAL)
     return prepare.fill_missing(oh, -1)
 
@@ -86,7 +86,7 @@ SEGMENT_FEATURES = ["tc", "ta", "distinct_store", "ta_diff", "if_purchase_ev",
 
 def segment_input(spark: SparkSession, sf: str) -> DataFrame:
     """Churned customers with encoded flags, one row per id, filled, standardised."""
-    cf = fx.customer_features(spark, sf).where(F.col("churn_100") == 1)
+    cf = fx.feature_table(spark, sf).where(F.col("churn_100") == 1)
     enc = prepare.encode_flags(cf, FLAG_MAP)
     one = prepare.dedup(enc.select("user_id", *SEGMENT_FEATURES), "user_id", SEGMENT_FEATURES)
     filled = prepare.fill_missing(one, -1, SEGMENT_FEATURES)

@@ -190,6 +190,31 @@ def customer_features(spark: SparkSession, base: str, cut: str = DEFAULT_CUT) ->
     return df.select(*cols)
 
 
+_STORE: dict = {}
+
+
+def feature_table(spark: SparkSession, base: str, cut: str = DEFAULT_CUT) -> DataFrame:
+    """``customer_features`` materialised once per session and reused by every report.
+
+    Persisted with MEMORY_AND_DISK (blocks lost with an executor are rebuilt
+    from lineage).  This plays the role of the stored feature table the
+    reference reads; ``refresh_feature_table`` drops it.
+    """
+    from pyspark import StorageLevel
+    key = (id(spark), base, cut)
+    df = _STORE.get(key)
+    if df is None:
+        df = customer_features(spark, base, cut).persist(StorageLevel.MEMORY_AND_DISK)
+        _STORE[key] = df
+    return df
+
+
+def refresh_feature_table(spark: SparkSession | None = None) -> None:
+    for key in list(_STORE):
+        if spark is None or key[0] == id(spark):
+            _STORE.pop(key).unpersist()
+
+
 def numeric_feature_names() -> list[str]:
     """Default model features: every numeric column except id and labels."""
     return (
