@@ -220,3 +220,8 @@ def period_gap(wide: DataFrame, key: str, up: str, down: str, value_cols: list[s
         F.max(F.when(F.col(key) == up, F.col("pct"))).alias("up"),
         F.max(F.when(F.col(key) == down, F.col("pct"))).alias("down")) \
         .withColumn("gap", F.col("up") - F.col("down"))
+
+
+def shap_subset(long: DataFrame, feature: str, value: float) -> DataFrame:
+    """SHAP values of one feature on the rows where it equals ``value``."""
+    return long.where((F.col("feature") == feature) & (F.col("value") == value))

@@ -416,14 +416,11 @@ def q_mlp_fit(spark, sf):
     return _mlp_history(spark, sf, epochs=5, lr=0.05, hidden=16)
 
 
-@query("cv_mlp")
-def q_cv_mlp(spark, sf):
-    """5-fold CV over learning rates; every (rate, fold) model trains in one pass per epoch."""
+def _cv_mlp_summary(spark, sf, lrs=(0.1, 0.05), folds=5, epochs=3, hidden=16):
     data, feats = flows.mlp_input(spark, sf)
-    train = smp.assign_folds(data.where(F.col("split") == "train"), "user_id", 5).persist()
-    lrs = [0.1, 0.05]
-    specs = [nn.Spec(lr, f) for lr in lrs for f in range(5)]
-    models = nn.mlp_fit(train, feats, "churn_100", hidden=16, epochs=3, specs=specs,
+    train = smp.assign_folds(data.where(F.col("split") == "train"), "user_id", folds).persist()
+    specs = [nn.Spec(lr, f) for lr in lrs for f in range(folds)]
+    models = nn.mlp_fit(train, feats, "churn_100", hidden=hidden, epochs=epochs, specs=specs,
                         fold_col="fold")
     scored = None
     for m, (spec, ws) in enumerate(zip(specs, models)):
@@ -433,7 +430,28 @@ def q_cv_mlp(spark, sf):
     aucs = metrics.roc_auc_table(scored, "score", "churn_100", by=["model"]).collect()
     rows = [(specs[r["model"]].lr, specs[r["model"]].holdout, r["auc"]) for r in aucs]
     per_fold = spark.createDataFrame(rows, "lr double, fold int, auc double")
-    return metrics.mean_over_folds(per_fold, ["lr"])
+    summary = metrics.mean_over_folds(per_fold, ["lr"])
+    order = spark.createDataFrame([(lr, i) for i, lr in enumerate(lrs)], "lr double, grid_index int")
+    return summary.join(order, "lr"), data, feats
+
+
+@query("cv_mlp")
+def q_cv_mlp(spark, sf):
+    """5-fold CV over learning rates; every (rate, fold) model trains in one pass per epoch."""
+    summary, _, _ = _cv_mlp_summary(spark, sf)
+    return summary
+
+
+@query("mlp_best")
+def q_mlp_best(spark, sf):
+    """Train with the best CV learning rate (first wins on ties) and report on test."""
+    summary, data, feats = _cv_mlp_summary(spark, sf)
+    best = metrics.best_setting(summary, "mean_auc", "grid_index").first()
+    train = data.where(F.col("split") == "train").persist()
+    ws = nn.mlp_fit(train, feats, "churn_100", hidden=16, epochs=3, lr=float(best["lr"]))
+    scored = nn.mlp_score(data.where(F.col("split") == "test"), ws, feats, "user_id",
+                          keep=["churn_100"])
+    return _evaluate(scored, "churn_100").withColumn("lr", F.lit(float(best["lr"])))
 
 
 @query("mlp_builtin")
