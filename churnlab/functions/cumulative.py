@@ -23,6 +23,19 @@ from pyspark.sql import functions as F
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used for small derived tables that several passes read (count, split
+    points, the windowed pass): the upstream plan runs once, lineage is cut,
+    and the files survive lost executors.  The folder is the session's
+    ``spark.checkpoint.dir`` (a local one is made only when unset).
+    """
+    from ..sources.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _bucketize(df: DataFrame, order_col: str, rows_per_bucket: int) -> tuple[DataFrame, int]:
     n = df.count()
     buckets = max(1, math.ceil(n / rows_per_bucket))
@@ -47,7 +60,7 @@ def running_sums(df: DataFrame, order_col: str, cols: list[str], by: list[str] |
     per (group, bucket).
     """
     by = list(by or [])
-    tagged, buckets = _bucketize(df, order_col, rows_per_bucket)
+    tagged, buckets = _bucketize(materialize(df), order_col, rows_per_bucket)
     local = Window.partitionBy(*by, "_bucket").orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, -1)
     out = tagged.withColumns({f"_l_{c}": F.coalesce(F.sum(c).over(local), F.lit(0)) for c in cols})

@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no stream source, watermark, window or stateful operator,
+so this package adds none.  Scoring is expressed as plain column expressions
+(``boost.Ensemble.prob_expr``, ``segment.kmeans_assign``) and Arrow-batch
+maps (``mlp.mlp_score``, ``shap.tree_shap``), which apply unchanged to a
+streaming DataFrame from ``spark.readStream``.
+"""
