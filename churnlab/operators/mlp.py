@@ -55,8 +55,12 @@ def init_weights(d: int, h: int, out: int = 2, seed: int = 0,
             (rng.randn(h, out) * np.sqrt(v2), np.zeros(out))]
 
 
-def forward(x: np.ndarray, weights, activation: str = "softplus"):
-    """Pre-activations and activations of every layer (first layer linear)."""
+def forward(x: np.ndarray, weights, activation: str = "softplus", masks=None):
+    """Pre-activations and activations of every layer (first layer linear).
+
+    ``masks[i]`` (inverted dropout, already scaled) multiplies the output of
+    hidden layer i before it feeds the next layer.
+    """
     act = softplus if activation == "softplus" else np.tanh
     a_l, h_l = [], [x]
     h = x
@@ -68,6 +72,8 @@ def forward(x: np.ndarray, weights, activation: str = "softplus"):
             h = softmax(a)
         else:
             h = act(a)
+        if masks is not None and i < len(weights) - 1 and masks[i] is not None:
+            h = h * masks[i]
         a_l.append(a)
         h_l.append(h)
     return a_l, h_l
@@ -79,25 +85,54 @@ def _act_grad(a: np.ndarray, activation: str) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(a, -CLIP, CLIP)))
 
 
+ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-7
+
+
 def sgd_step(weights, x: np.ndarray, y: np.ndarray, lr: float, activation: str = "softplus",
-             linear_grad: str = "identity", smoothing: float = 0.0):
-    """One mini-batch update; all deltas first, then every layer (as the reference)."""
-    a_l, h_l = forward(x, weights, activation)
+             linear_grad: str = "identity", smoothing: float = 0.0, dropout: float = 0.0,
+             rng: np.random.RandomState | None = None, adam=None):
+    """One mini-batch update; all deltas first, then every layer (as the reference).
+
+    ``adam`` = (m, v, t) switches the update to Adam and returns
+    ``(weights, (m, v, t))``; otherwise plain SGD returns the weights.
+    ``dropout`` drops hidden units with that probability (inverted scaling).
+    """
+    n_layers = len(weights)
+    masks = None
+    if dropout > 0:
+        rng = rng or np.random.RandomState(0)
+        masks = [(rng.random_sample((len(y), w.shape[1])) >= dropout) / (1.0 - dropout)
+                 for w, _ in weights[:-1]]
+    a_l, h_l = forward(x, weights, activation, masks)
     target = np.eye(2)[y]
     if smoothing:
         target = target * (1 - smoothing) + smoothing / 2
-    n_layers = len(weights)
     delta = [None] * n_layers
     delta[-1] = h_l[-1] - target
     for i in range(n_layers - 2, -1, -1):
         back = delta[i + 1] @ weights[i + 1][0].T
+        if masks is not None:
+            back = back * masks[i]
         if i == 0 and linear_grad == "identity":
             delta[i] = back
         else:
             delta[i] = _act_grad(a_l[i], activation) * back
     bs = len(y)
-    return [(w - lr * (h_l[i].T @ delta[i]) / bs, b - lr * delta[i].mean(axis=0))
-            for i, (w, b) in enumerate(weights)]
+    grads = [((h_l[i].T @ delta[i]) / bs, delta[i].mean(axis=0)) for i in range(n_layers)]
+    if adam is None:
+        return [(w - lr * gw, b - lr * gb) for (w, b), (gw, gb) in zip(weights, grads)]
+    m, v, t = adam
+    t = t + 1
+    new_w, new_m, new_v = [], [], []
+    for (w, b), (gw, gb), (mw, mb), (vw, vb) in zip(weights, grads, m, v):
+        mw, mb = ADAM_B1 * mw + (1 - ADAM_B1) * gw, ADAM_B1 * mb + (1 - ADAM_B1) * gb
+        vw, vb = ADAM_B2 * vw + (1 - ADAM_B2) * gw ** 2, ADAM_B2 * vb + (1 - ADAM_B2) * gb ** 2
+        c1, c2 = 1 - ADAM_B1 ** t, 1 - ADAM_B2 ** t
+        new_w.append((w - lr * (mw / c1) / (np.sqrt(vw / c2) + ADAM_EPS),
+                      b - lr * (mb / c1) / (np.sqrt(vb / c2) + ADAM_EPS)))
+        new_m.append((mw, mb))
+        new_v.append((vw, vb))
+    return new_w, (new_m, new_v, t)
 
 
 def flatten(weights) -> np.ndarray:
@@ -160,18 +195,43 @@ def mlp_score(df: DataFrame, weights, feature_cols: list[str], id_col: str,
     return df.select(id_col, *keep, *feature_cols).mapInPandas(run, StructType(fields))
 
 
-def _epoch(df: DataFrame, weights_list, specs: list[Spec], feature_cols, label, fold_col,
-           batch: int, seed: int, activation, linear_grad, smoothing) -> list:
-    """One distributed epoch for every model; returns the averaged weights per model."""
+def _zeros_like(weights):
+    return [(np.zeros_like(w), np.zeros_like(b)) for w, b in weights]
+
+
+def _pack(weights, adam) -> np.ndarray:
+    if adam is None:
+        return flatten(weights)
+    m, v, t = adam
+    return np.concatenate([flatten(weights), flatten(m), flatten(v), [float(t)]])
+
+
+def _unpack(vec: np.ndarray, shapes, optimizer: str):
+    size = sum(r * c + c for r, c in shapes)
+    weights = unflatten(vec[:size], shapes)
+    if optimizer != "adam":
+        return weights, None
+    m = unflatten(vec[size:2 * size], shapes)
+    v = unflatten(vec[2 * size:3 * size], shapes)
+    return weights, (m, v, float(vec[3 * size]))
+
+
+def _epoch(df: DataFrame, states: list[np.ndarray], shapes, specs: list[Spec], feature_cols,
+           label, fold_col, batch: int, seed: int, epoch: int, activation, linear_grad,
+           smoothing, dropout, optimizer) -> list[np.ndarray]:
+    """One distributed epoch for every model; returns the averaged state per model."""
     spark = df.sparkSession
-    shapes = shapes_of(weights_list[0])
-    bc = spark.sparkContext.broadcast([flatten(w) for w in weights_list])
+    bc = spark.sparkContext.broadcast(states)
     schema = StructType([StructField("model", IntegerType()), StructField("n", LongType()),
                          StructField("w", ArrayType(DoubleType()))])
     cols = [*feature_cols, label] + ([fold_col] if fold_col else [])
 
     def train(batches):
-        current = [unflatten(v, shapes) for v in bc.value]
+        from pyspark import TaskContext
+        ctx = TaskContext.get()
+        part = ctx.partitionId() if ctx is not None else 0
+        drop_rng = np.random.RandomState((seed * 1_000_003 + epoch * 7919 + part) % (2 ** 32))
+        current = [_unpack(v, shapes, optimizer) for v in bc.value]
         seen = [0] * len(specs)
         for pdf in batches:
             x_all = pdf[feature_cols].to_numpy(dtype=float)
@@ -184,12 +244,15 @@ def _epoch(df: DataFrame, weights_list, specs: list[Spec], feature_cols, label,
                     continue
                 idx = np.arange(len(y))
                 np.random.RandomState(seed).shuffle(idx)
+                ws, adam = current[m]
                 for s in range(0, len(y), batch):
                     sel = idx[s:s + batch]
-                    current[m] = sgd_step(current[m], x[sel], y[sel], spec.lr, activation,
-                                          linear_grad, smoothing)
+                    out = sgd_step(ws, x[sel], y[sel], spec.lr, activation, linear_grad,
+                                   smoothing, dropout, drop_rng, adam)
+                    ws, adam = out if adam is not None else (out, None)
+                current[m] = (ws, adam)
                 seen[m] += len(y)
-        rows = [(m, seen[m], (flatten(current[m]) * seen[m]).tolist())
+        rows = [(m, seen[m], (_pack(*current[m]) * seen[m]).tolist())
                 for m in range(len(specs)) if seen[m]]
         yield pd.DataFrame(rows, columns=["model", "n", "w"])
 
@@ -197,33 +260,58 @@ def _epoch(df: DataFrame, weights_list, specs: list[Spec], feature_cols, label,
     summed = (per_part.select("model", "n", F.posexplode("w").alias("i", "v"))
               .groupBy("model", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")))
     rows = summed.collect()  # models x parameters: bounded by the model size
-    out = [flatten(w).copy() for w in weights_list]
+    out = [v.copy() for v in states]
     for r in rows:
         out[r["model"]][r["i"]] = r["v"] / r["n"]
-    return [unflatten(v, shapes) for v in out]
+    return out
 
 
 def mlp_fit(df: DataFrame, feature_cols: list[str], label: str, hidden: int = 64,
             epochs: int = 40, lr: float = 0.01, batch: int = 128, seed: int = 1,
             init_seed: int = 0, activation: str = "softplus", linear_grad: str = "identity",
-            smoothing: float = 0.0, specs: list[Spec] | None = None, fold_col: str | None = None,
+            smoothing: float = 0.0, dropout: float = 0.0, optimizer: str = "sgd",
+            specs: list[Spec] | None = None, fold_col: str | None = None,
             init=None, on_epoch=None):
     """Train one model (or several ``specs`` in the same pass); returns the weights.
 
-    ``on_epoch(epoch, weights_list)`` is called after every epoch (history,
-    early stopping: return True to stop).  Persist ``df`` before calling.
+    ``optimizer`` is 'sgd' (the numpy script) or 'adam' (the Keras script; its
+    moments are averaged with the weights).  ``on_epoch(epoch, weights_list)``
+    runs after every epoch (history, early stopping: return True to stop).
+    Persist ``df`` before calling.
     """
     specs = specs or [Spec(lr)]
     base = init or init_weights(len(feature_cols), hidden, 2, init_seed)
-    weights = [[(w.copy(), b.copy()) for w, b in base] for _ in specs]
+    shapes = shapes_of(base)
+    adam0 = (_zeros_like(base), _zeros_like(base), 0) if optimizer == "adam" else None
+    states = [_pack([(w.copy(), b.copy()) for w, b in base], adam0) for _ in specs]
     for e in range(epochs):
-        weights = _epoch(df, weights, specs, feature_cols, label, fold_col, batch, seed,
-                         activation, linear_grad, smoothing)
+        states = _epoch(df, states, shapes, specs, feature_cols, label, fold_col, batch, seed,
+                        e, activation, linear_grad, smoothing, dropout, optimizer)
+        weights = [_unpack(v, shapes, optimizer)[0] for v in states]
         if on_epoch is not None and on_epoch(e + 1, weights):
             break
+    weights = [_unpack(v, shapes, optimizer)[0] for v in states]
     return weights if len(specs) > 1 else weights[0]
 
 
+def early_stopping(score_fn, patience: int):
+    """``on_epoch`` callback: stop after ``patience`` epochs without a better score.
+
+    ``score_fn(weights) -> float`` (e.g. validation AUC, maximised).  The
+    returned callback exposes ``best`` = (epoch, score, weights).
+    """
+    state = {"best": (0, -np.inf, None)}
+
+    def callback(epoch, weights_list):
+        score = score_fn(weights_list[0])
+        if score is not None and score > state["best"][1]:
+            state["best"] = (epoch, score, weights_list[0])
+        return epoch - state["best"][0] >= patience
+
+    callback.state = state
+    return callback
+
+
 def builtin_mlp(df: DataFrame, feature_cols: list[str], label: str, layers: list[int],
                 max_iter: int = 100, seed: int = 1):
     """Spark's ``MultilayerPerceptronClassifier`` baseline (sigmoid + softmax, L-BFGS)."""

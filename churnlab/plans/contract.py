@@ -462,3 +462,26 @@ def q_mlp_builtin(spark, sf):
     model = nn.builtin_mlp(train, feats, "churn_100", [len(feats), 16, 16, 2], max_iter=50)
     scored = boost.score(model, data.where(F.col("split") == "test"), "user_id", keep=["churn_100"])
     return _evaluate(scored, "churn_100")
+
+
+@query("mlp_variant")
+def q_mlp_variant(spark, sf):
+    """Keras-style options (M28): tanh, Adam, dropout .2, label smoothing .05, early stop on
+    validation AUC with patience 2; per-epoch validation AUC and the kept epoch (rows-only)."""
+    data, feats = flows.mlp_input(spark, sf)
+    base = smp.with_validation_flag(data.where(F.col("split") == "train"), "user_id", 0.2).persist()
+    fit_rows, valid = base.where(~F.col("is_valid")), base.where(F.col("is_valid"))
+    curve = []
+
+    def valid_auc(ws):
+        s = nn.mlp_score(valid, ws, feats, "user_id", keep=["churn_100"], activation="tanh")
+        auc = metrics.roc_auc(s, "score", "churn_100")
+        curve.append(auc)
+        return auc
+
+    stopper = nn.early_stopping(valid_auc, patience=2)
+    nn.mlp_fit(fit_rows, feats, "churn_100", hidden=16, epochs=6, lr=0.01, activation="tanh",
+               optimizer="adam", dropout=0.2, smoothing=0.05, on_epoch=stopper)
+    best_epoch = stopper.state["best"][0]
+    rows = [(i + 1, a, i + 1 == best_epoch) for i, a in enumerate(curve)]
+    return spark.createDataFrame(rows, "epoch int, valid_auc double, is_best boolean")

@@ -65,3 +65,18 @@ def test_softplus_threshold():
     v = mlp.softplus(np.array([-5.0, 0.0, 19.9, 20.0, 50.0]))
     assert v[3] == 20.0 and v[4] == 50.0
     assert abs(v[1] - np.log(2)) < 1e-15
+
+
+def test_adam_dropout_learns(spark):
+    from churnlab.operators import metrics
+    rng = np.random.default_rng(1)
+    n, d = 400, 4
+    x = rng.normal(size=(n, d))
+    y = (x[:, 0] - x[:, 1] > 0).astype(int)
+    cols = [f"x{i}" for i in range(d)]
+    df = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(n)],
+                               "id long, y int, " + ", ".join(f"{c} double" for c in cols)).persist()
+    ws = mlp.mlp_fit(df, cols, "y", hidden=8, epochs=8, lr=0.01, optimizer="adam", dropout=0.1,
+                     activation="tanh", smoothing=0.05)
+    s = mlp.mlp_score(df, ws, cols, "id", keep=["y"], activation="tanh")
+    assert metrics.roc_auc(s, "score", "y") > 0.9
