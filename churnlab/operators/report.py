@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cumulative import DEFAULT_ROWS_PER_BUCKET, running_sums
+from ..functions.joins import per_group
 
 
 # ------------------------------------------------------------------ WOE
@@ -65,7 +66,7 @@ def group_quantiles(df: DataFrame, by: list[str], x: str, probs: list[float],
               .agg(F.count(F.lit(1)).alias("cnt")))
     cum = running_sums(counts, "_v", ["cnt"], by, rows_per_bucket)
     sizes = counts.groupBy(*by).agg(F.sum("cnt").alias("n"))
-    j = cum.join(sizes, by)
+    j = cum.join(per_group(sizes), by)
     aggs = []
     for i, p in enumerate(probs):
         h = (F.col("n") - 1) * F.lit(p)
@@ -95,7 +96,7 @@ def box_stats(df: DataFrame, by: list[str], x: str, whis: float = 1.5,
                       (F.col("q1") - whis * iqr).alias("_lo"), (F.col("q3") + whis * iqr).alias("_hi"))
     v = F.col(x)
     inner = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    j = src.where(v.isNotNull()).select(*by, x).join(bounds, by)
+    j = src.where(v.isNotNull()).select(*by, x).join(per_group(bounds), by)
     return j.groupBy(*by, "n", "q1", "median", "q3").agg(
         F.min(F.when(inner, v)).alias("whisker_low"),
         F.max(F.when(inner, v)).alias("whisker_high"),
@@ -144,7 +145,7 @@ def shap_density(long: DataFrame, feature: str, max_value: float, gridsize: int
     stats = stats.where(F.col("sd") > 0).withColumn("bw", bw) \
         .withColumn("g0", F.col("lo") - cut * F.col("bw")) \
         .withColumn("gstep", (F.col("hi") - F.col("lo") + 2 * cut * F.col("bw")) / (gridsize - 1))
-    j = distinct.join(stats, "value")
+    j = distinct.join(per_group(stats), "value")
     pts = j.select("value", "shap", "cnt", "n", "bw", "g0", "gstep",
                    F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("i"))
     x = F.col("g0") + F.col("i") * F.col("gstep")
