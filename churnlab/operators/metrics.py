@@ -127,7 +127,8 @@ def best_threshold(train: DataFrame, test: DataFrame, score: str, label: str,
                       "accuracy", "precision", "recall", "f1")
 
 
-def kl_loss(df: DataFrame, prob: str, label: str, eps: float = EPS) -> DataFrame:
+def kl_loss(df: DataFrame, prob: str, label: str, eps: float = EPS,
+            by: list[str] | None = None) -> DataFrame:
     """KL divergence of one-hot labels from (1-p, p), clipped at ``eps``.
 
     Returns the summed loss, the loss per row, the standard log loss and the
@@ -143,10 +144,10 @@ def kl_loss(df: DataFrame, prob: str, label: str, eps: float = EPS) -> DataFrame
 
     kl = term(1 - y, 1 - p) + term(y, p)
     ll = -(y * F.ln(F.greatest(p, e)) + (1 - y) * F.ln(F.greatest(1 - p, e)))
-    return df.agg(
-        F.sum(kl).alias("kl_sum"), F.avg(kl).alias("kl_mean"), F.avg(ll).alias("log_loss"),
-        F.avg(((p > 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy"),
-        F.count(F.lit(1)).alias("n"))
+    aggs = [F.sum(kl).alias("kl_sum"), F.avg(kl).alias("kl_mean"), F.avg(ll).alias("log_loss"),
+            F.avg(((p > 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy"),
+            F.count(F.lit(1)).alias("n")]
+    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
 def mean_over_folds(cv: DataFrame, params: list[str], metric: str = "auc") -> DataFrame:

@@ -389,20 +389,26 @@ def q_mlp_score_frozen(spark, sf):
 
 
 def _mlp_history(spark, sf, epochs, lr, hidden):
+    """Per-epoch KL loss, accuracy and AUC on train and test.
+
+    Each epoch scores both splits in one Arrow pass and aggregates by split.
+    """
     data, feats = flows.mlp_input(spark, sf)
     data = data.persist()
     train = data.where(F.col("split") == "train")
-    test = data.where(F.col("split") == "test")
     history = []
 
     def record(epoch, weights_list):
-        for part, d in (("train", train), ("test", test)):
-            s = nn.mlp_score(d, weights_list[0], feats, "user_id", keep=["churn_100"]).persist()
-            loss = metrics.kl_loss(s, "score", "churn_100").first()
-            auc = metrics.roc_auc(s, "score", "churn_100")
+        s = nn.mlp_score(data, weights_list[0], feats, "user_id",
+                         keep=["churn_100", "split"]).persist()
+        losses = {r["split"]: r for r in metrics.kl_loss(s, "score", "churn_100", by=["split"]).collect()}
+        aucs = {r["split"]: r["auc"] for r in
+                metrics.roc_auc_table(s, "score", "churn_100", by=["split"]).collect()}
+        for part in ("train", "test"):
+            loss = losses[part]
             history.append((epoch, part, float(loss["kl_mean"]), float(loss["accuracy"]),
-                            None if auc is None else float(auc)))
-            s.unpersist()
+                            None if aucs.get(part) is None else float(aucs[part])))
+        s.unpersist()
         return False
 
     nn.mlp_fit(train, feats, "churn_100", hidden=hidden, epochs=epochs, lr=lr, on_epoch=record)
