@@ -16,6 +16,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -24,6 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .metrics import roc_auc_table
 
@@ -196,21 +200,57 @@ def gain_importance(model, feature_cols: list[str]) -> list[tuple[str, float]]:
     return list(zip(feature_cols, [float(x) for x in imp]))
 
 
+def tree_values(ens: Ensemble, x: np.ndarray) -> np.ndarray:
+    """Leaf value of every tree for every row (rows x trees), vectorised per tree level."""
+    out = np.empty((x.shape[0], len(ens.trees)))
+    rows = np.arange(x.shape[0])
+    for t, tree in enumerate(ens.trees):
+        feat = np.asarray(tree.feature)
+        thr = np.asarray(tree.threshold, dtype=float)
+        left, right = np.asarray(tree.left), np.asarray(tree.right)
+        node = np.zeros(x.shape[0], dtype=int)
+        while True:
+            inner = feat[node] >= 0
+            if not inner.any():
+                break
+            f = np.where(inner, feat[node], 0)
+            go_left = x[rows, f] <= thr[node]
+            node = np.where(inner, np.where(go_left, left[node], right[node]), node)
+        out[:, t] = np.asarray(tree.value, dtype=float)[node]
+    return out
+
+
 def staged_auc(ens: Ensemble, df: DataFrame, label: str, max_trees: int | None = None,
                every: int = 1) -> DataFrame:
-    """AUC of every tree prefix in one pass (M9b): ``(iteration, auc)``.
+    """AUC of every tree prefix in one pass (M9b): ``(iteration, auc, pos, neg)``.
 
-    Prefix margins are JVM-side CASE expressions; each row is expanded to one
-    (iteration, score) pair per prefix and reduced per distinct score before
-    the exact AUC.
+    Arrow batches walk all trees level by level in numpy (work linear in the
+    number of trees; a per-prefix SQL expression would grow quadratically),
+    emit one (iteration, margin) pair per prefix, and Spark reduces them per
+    distinct margin before the exact AUC.
     """
     k = len(ens.trees) if max_trees is None else min(max_trees, len(ens.trees))
-    margins, total = [], F.lit(float(ens.base))
-    for t in range(k):
-        total = total + ens.tree_expr(t)
-        if (t + 1) % every == 0 or t + 1 == k:
-            margins.append(F.struct(F.lit(t + 1).alias("iteration"), total.alias("m")))
-    long = df.select(label, F.inline(F.array(*margins)))
+    keep = [i for i in range(1, k + 1) if i % every == 0 or i == k]
+    sub = ens.truncate(k)
+    bc = df.sparkSession.sparkContext.broadcast((sub, keep))
+    feats = list(ens.features)
+    schema = StructType([StructField("iteration", IntegerType()), StructField("m", DoubleType()),
+                         StructField(label, IntegerType())])
+
+    def run(batches):
+        e, its = bc.value
+        for pdf in batches:
+            vals = tree_values(e, pdf[feats].to_numpy(dtype=float))
+            # ((base + t0) + t1) + ...: the same association as the scoring expression
+            start = np.full((len(pdf), 1), float(e.base))
+            margins = np.cumsum(np.hstack([start, vals]), axis=1)[:, 1:]
+            y = pdf[label].to_numpy().astype(int)
+            yield pd.DataFrame({
+                "iteration": np.repeat(np.asarray(its, dtype=np.int32), len(pdf)),
+                "m": np.concatenate([margins[:, i - 1] for i in its]),
+                label: np.tile(y, len(its)).astype(np.int32)})
+
+    long = df.select(*feats, F.col(label).cast("int").alias(label)).mapInPandas(run, schema)
     return roc_auc_table(long, "m", label, by=["iteration"])
 
 

@@ -85,3 +85,14 @@ def test_trained_gbt_additivity(spark):
         shap_sum = r["base"] + sum(r[f"shap_{f}"] for f in feats)
         assert abs(shap_sum - r["margin"]) < 1e-9
         assert abs(1 / (1 + np.exp(-r["margin"])) - spark_p[r["user_id"]]) < 1e-9
+
+
+def test_tree_values_match_recursive_walk():
+    rng = np.random.default_rng(9)
+    d = 3
+    ens = Ensemble([random_tree(rng, d, 4) for _ in range(4)], [f"f{i}" for i in range(d)], 0.1)
+    x = rng.normal(size=(50, d))
+    vals = boost.tree_values(ens, x)
+    for i in range(len(x)):
+        for t, tree in enumerate(ens.trees):
+            assert vals[i, t] == cond_expectation(tree, x[i], set(range(d)))
