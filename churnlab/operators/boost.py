@@ -25,7 +25,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -157,27 +157,43 @@ def _gbt_stage(model):
 
 
 def ensemble_from_spark(model, feature_cols: list[str]) -> Ensemble:
-    """Read trees, weights and node counts of a fitted GBT through its JVM object."""
+    """Trees, weights and node counts of a fitted GBT, read from its saved form.
+
+    The model is written to the session's shared checkpoint folder and its
+    node table (``treeID, nodeData{id, prediction, rawCount, leftChild,
+    rightChild, split}``) is read back with Spark: one collect of model size,
+    instead of several JVM calls per node.
+    """
+    import uuid
+
+    from ..sources.session import ensure_checkpoint_dir
     gbt = _gbt_stage(model)
+    spark = SparkSession.getActiveSession()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/gbt-{uuid.uuid4().hex}"
+    gbt.write().save(path)
     weights = list(gbt.treeWeights)
+    rows = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount",
+        "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
+        "nodeData.split.leftCategoriesOrThreshold", "nodeData.split.numCategories").collect()
+    by_tree: dict[int, list] = {}
+    for r in rows:
+        by_tree.setdefault(r["treeID"], []).append(r)
     trees = []
-    for jtree, w in zip(gbt._java_obj.trees(), weights):
+    for t in sorted(by_tree):
+        nodes = sorted(by_tree[t], key=lambda r: r["id"])
+        w = weights[t]
         feat, thr, left, right, val, cov = [], [], [], [], [], []
-
-        def visit(jn) -> int:
-            idx = len(feat)
-            feat.append(-1), thr.append(0.0), left.append(-1), right.append(-1)
-            val.append(2.0 * w * float(jn.prediction()))
-            cov.append(float(jn.impurityStats().rawCount()))
-            if jn.getClass().getSimpleName() == "InternalNode":
-                split = jn.split()
-                feat[idx] = int(split.featureIndex())
-                thr[idx] = float(split.threshold())
-                left[idx] = visit(jn.leftChild())
-                right[idx] = visit(jn.rightChild())
-            return idx
-
-        visit(jtree.rootNode())
+        for r in nodes:
+            inner = r["leftChild"] >= 0
+            if inner and r["numCategories"] != -1:
+                raise ValueError("categorical splits are not supported")
+            feat.append(int(r["featureIndex"]) if inner else -1)
+            thr.append(float(r["leftCategoriesOrThreshold"][0]) if inner else 0.0)
+            left.append(int(r["leftChild"]))
+            right.append(int(r["rightChild"]))
+            val.append(2.0 * w * float(r["prediction"]))
+            cov.append(float(r["rawCount"]))
         trees.append(Tree(feat, thr, left, right, val, cov))
     return Ensemble(trees, list(feature_cols), 0.0)
 
