@@ -49,6 +49,7 @@ def get_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -77,3 +78,37 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         shuffle_partitions=shuffle_partitions,
         conf={"spark.driver.memory": os.environ.get("CHURNLAB_DRIVER_MEMORY", "8g")},
     )
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``churnlab`` importable on the executors' Python workers.
+
+    The Arrow-batch functions (TreeSHAP, MLP, correlation) are pickled by
+    module reference, so workers must import the package.  Like
+    ``spark-submit --py-files``, the package is zipped once per SparkContext
+    and distributed with ``addPyFile``.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    # let AQE size the partitions of cached tables too (by default a persisted
+    # aggregate keeps all spark.sql.shuffle.partitions partitions); this changes
+    # only partitioning, never results
+    spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
+    pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="churnlab-pyfiles-"), "churnlab.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
