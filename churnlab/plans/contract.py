@@ -93,7 +93,7 @@ def q_folds(spark, sf):
 
 @query("downsample_negatives", osql.downsample_sql)
 def q_downsample(spark, sf):
-    cf = fx.feature_table(spark, sf).select("user_id", "re1").persist()
+    cf = fx.feature_table(spark, sf).select("user_id", "re1")
     return smp.downsample_negatives(cf, "re1", "user_id", 1.5)
 
 
@@ -154,7 +154,7 @@ def q_report(spark, sf):
 
 @query("best_threshold", osql.best_threshold_sql)
 def q_best_threshold(spark, sf):
-    s = flows.frozen_scores(spark, sf).persist()
+    s = flows.frozen_scores(spark, sf)
     out = metrics.best_threshold(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
                                  "score", "churn_100")
     return _rounded(out, ["train_f1", "accuracy", "precision", "recall", "f1"])
@@ -412,6 +412,7 @@ def _mlp_history(spark, sf, epochs, lr, hidden):
         return False
 
     nn.mlp_fit(train, feats, "churn_100", hidden=hidden, epochs=epochs, lr=lr, on_epoch=record)
+    data.unpersist()
     return spark.createDataFrame(history, "epoch int, split string, loss double, "
                                           "accuracy double, auc double")
 
@@ -435,6 +436,7 @@ def _cv_mlp_summary(spark, sf, lrs=(0.1, 0.05), folds=5, epochs=3, hidden=16):
         scored = s if scored is None else scored.unionByName(s)
     aucs = metrics.roc_auc_table(scored, "score", "churn_100", by=["model"]).collect()
     rows = [(specs[r["model"]].lr, specs[r["model"]].holdout, r["auc"]) for r in aucs]
+    train.unpersist()
     per_fold = spark.createDataFrame(rows, "lr double, fold int, auc double")
     summary = metrics.mean_over_folds(per_fold, ["lr"])
     order = spark.createDataFrame([(lr, i) for i, lr in enumerate(lrs)], "lr double, grid_index int")
@@ -455,6 +457,7 @@ def q_mlp_best(spark, sf):
     best = metrics.best_setting(summary, "mean_auc", "grid_index").first()
     train = data.where(F.col("split") == "train").persist()
     ws = nn.mlp_fit(train, feats, "churn_100", hidden=16, epochs=3, lr=float(best["lr"]))
+    train.unpersist()
     scored = nn.mlp_score(data.where(F.col("split") == "test"), ws, feats, "user_id",
                           keep=["churn_100"])
     return _evaluate(scored, "churn_100").withColumn("lr", F.lit(float(best["lr"])))
@@ -489,5 +492,6 @@ def q_mlp_variant(spark, sf):
     nn.mlp_fit(fit_rows, feats, "churn_100", hidden=16, epochs=6, lr=0.01, activation="tanh",
                optimizer="adam", dropout=0.2, smoothing=0.05, on_epoch=stopper)
     best_epoch = stopper.state["best"][0]
+    base.unpersist()
     rows = [(i + 1, a, i + 1 == best_epoch) for i, a in enumerate(curve)]
     return spark.createDataFrame(rows, "epoch int, valid_auc double, is_best boolean")

@@ -58,7 +58,7 @@ def split_prepared(spark: SparkSession, sf: str) -> DataFrame:
 
 def frozen_fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, Ensemble]:
     """Prepared table with split column, and FROZEN with covers from the train split."""
-    data = split_prepared(spark, sf).persist()
+    data = split_prepared(spark, sf)  # reads the cached feature table
     ens = boost.fit_covers(FROZEN, data.where(F.col("split") == "train"))
     return data, ens
 
