@@ -130,7 +130,7 @@ def trained_gbt(spark: SparkSession, sf: str, label: str = "churn_100",
     importance reports of one setting explain the same fitted model.
     """
     merged = {**GBT_PARAMS, **params}
-    key = (id(spark), sf, label, downsample, tuple(sorted(merged.items())))
+    key = (spark.sparkContext.applicationId, sf, label, downsample, tuple(sorted(merged.items())))
     if key not in _MODELS:
         data = split_prepared(spark, sf).persist()
         feats = model_features(data)

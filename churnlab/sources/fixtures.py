@@ -221,7 +221,7 @@ def feature_table(spark: SparkSession, base: str, cut: str = DEFAULT_CUT) -> Dat
     reference reads; ``refresh_feature_table`` drops it.
     """
     from pyspark import StorageLevel
-    key = (id(spark), base, cut)
+    key = (spark.sparkContext.applicationId, base, cut)
     df = _STORE.get(key)
     if df is None:
         df = customer_features(spark, base, cut).persist(StorageLevel.MEMORY_AND_DISK)
@@ -231,7 +231,7 @@ def feature_table(spark: SparkSession, base: str, cut: str = DEFAULT_CUT) -> Dat
 
 def refresh_feature_table(spark: SparkSession | None = None) -> None:
     for key in list(_STORE):
-        if spark is None or key[0] == id(spark):
+        if spark is None or key[0] == spark.sparkContext.applicationId:
             _STORE.pop(key).unpersist()
 
 
