@@ -166,3 +166,29 @@ def mlp_input(spark: SparkSession, sf: str, feats: list[str] | None = None) -> t
     feats = feats or model_features(data)
     stats = prepare.column_stats(data.where(F.col("split") == "train"), feats, ddof=0)
     return prepare.standardize(data, feats, ddof=0, stats=stats), feats
+
+
+def gbt_fit_best(spark: SparkSession, sf: str, step_sizes=(0.1, 0.05), max_depths=(2, 4),
+                 folds: int = 5, **params) -> DataFrame:
+    """CV over step size x depth, refit the best setting (first wins on ties), report on test.
+
+    Returns one row: ``step_size, max_depth, cv_auc, auc, tp, fp, tn, fn,
+    accuracy, precision, recall, f1`` (the M12 -> M8 flow with A16).
+    """
+    from ..operators import metrics
+    data = split_prepared(spark, sf)
+    train = sampling.assign_folds(data.where(F.col("split") == "train"), "user_id", folds).persist()
+    feats = model_features(data)
+    cv = boost.cv_gbt(train, feats, "churn_100", "fold", step_sizes=step_sizes,
+                      max_depths=max_depths, num_folds=folds, **params)
+    best = metrics.best_setting(cv, "mean_auc", "grid_index").first()
+    model = boost.gbt_fit(train, feats, "churn_100",
+                          **{**params, "stepSize": best["step_size"], "maxDepth": best["max_depth"]})
+    train.unpersist()
+    scored = boost.score(model, data.where(F.col("split") == "test"), "user_id", keep=["churn_100"])
+    rep = metrics.classification_report(scored, "score", "churn_100", 0.5)
+    return rep.select(F.lit(best["step_size"]).alias("step_size"),
+                      F.lit(best["max_depth"]).alias("max_depth"),
+                      F.lit(best["mean_auc"]).alias("cv_auc"),
+                      F.lit(metrics.roc_auc(scored, "score", "churn_100")).alias("auc"),
+                      *rep.columns)

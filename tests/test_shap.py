@@ -96,3 +96,12 @@ def test_tree_values_match_recursive_walk():
     for i in range(len(x)):
         for t, tree in enumerate(ens.trees):
             assert vals[i, t] == cond_expectation(tree, x[i], set(range(d)))
+
+
+def test_gbt_fit_best_flow(spark):
+    from churnlab.plans import flows
+    from .conftest import SF_SMALL
+    r = flows.gbt_fit_best(spark, SF_SMALL, step_sizes=(0.1,), max_depths=(2, 3), folds=3,
+                           maxIter=2, seed=42).first()
+    assert r["max_depth"] in (2, 3) and 0.0 <= r["auc"] <= 1.0
+    assert r["tp"] + r["fp"] + r["tn"] + r["fn"] > 0
