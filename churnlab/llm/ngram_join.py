@@ -44,6 +44,8 @@ PERCENT = 75
 SHINGLE = 5
 SKETCH_BITS = 18
 BANDS, BAND_ROWS = 6, 2
+#: Shingles of the documents that are compared as one pack when a group is opened.
+PACK = 100_000
 _U = np.uint64
 _PERM = (mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=_U) + _U(977)) | _U(1))
 _SHIFT = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=_U) + _U(31337))
@@ -168,6 +170,55 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int =
     return full.mapInArrow(run, "a long, b long")
 
 
+def _packs(members: DataFrame, sizes: DataFrame, docs: DataFrame, shingles: int) -> DataFrame:
+    """(other, sets): the members' texts in packs of about ``shingles`` shingles."""
+    sized = members.join(sizes, "doc_id")
+    total = sized.groupBy("other").agg(F.ceil(F.sum("n") / shingles).alias("packs"))
+    pack = F.pmod(F.xxhash64("doc_id"), F.col("packs")).alias("pack")
+    return sized.join(total, "other").select("other", pack, "doc_id").join(docs.select("doc_id", "text"), "doc_id") \
+        .groupBy("other", "pack").agg(F.collect_list(F.struct("doc_id", "text")).alias("sets")).select("other", "sets")
+
+
+def _opened(asking: DataFrame, members: DataFrame, sizes: DataFrame, docs: DataFrame, k: int, percent: int,
+            shingles: int = PACK) -> DataFrame:
+    """Links (a, b) of the ``asking`` documents (other, doc_id) with ``members`` of the groups they ask.
+
+    Both sides meet in packs; a document's first link into a pack is enough, as
+    all members of a group are joined already.
+    """
+    asked = members.join(asking.select("other").distinct(), "other", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for i in range(batch.num_rows):
+                (left_ids, left), (right_ids, right) = (_pack_sets(batch.column(c)[i].values, k) for c in (0, 1))
+                size = np.array([len(x) for x in right])
+                every, owner = np.concatenate(right), np.repeat(np.arange(len(right)), size)
+                order = np.argsort(every, kind="stable")
+                every, owner = every[order], owner[order]
+                for a, own in zip(left_ids, left, strict=True):
+                    low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+                    hits = np.flatnonzero(high > low)
+                    if not len(hits):
+                        continue
+                    width = high[hits] - low[hits]
+                    at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low[hits], width)
+                    shared = np.bincount(owner[at], minlength=len(right))
+                    linked = np.flatnonzero((100 * shared >= percent * (len(own) + size - shared)) & (right_ids != a))
+                    if len(linked):
+                        links.append((int(a), int(right_ids[linked[0]])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    left = _packs(asking, sizes, docs, shingles).withColumnRenamed("sets", "asking")
+    met = left.join(_packs(asked, sizes, docs, shingles), "other").select("asking", "sets")
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _pack_sets(rows: pa.StructArray, k: int):
+    return rows.field(0).to_numpy(zero_copy_only=False), [s for _, s in shingle_sets(rows.field(1), k)]
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
                      percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row.
@@ -237,14 +288,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     apart = opened.join(mine, "doc_id", "left").join(its, "other", "left") \
         .where(F.coalesce("c1", "doc_id") != F.coalesce("c2", "other")) \
         .join(shapes.select(F.col("grp").alias("other"), "centre"), "other")
-    inside = groups.select(F.col("component").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("m"))
-    rest = apart.join(sizes.select("doc_id", "n"), "doc_id").join(inside, "other") \
-        .where((F.col("b") != F.col("centre")) & (100 * F.col("n") >= percent * F.col("m"))
-               & (100 * F.col("m") >= percent * F.col("n"))) \
-        .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-    rest = stored(rest)
-    if rest.limit(1).count():
-        joined = components(stored(links.union(verified(rest, reps, k, percent))))
+    found = stored(_opened(apart.select("other", "doc_id"), groups.select(F.col("component").alias("other"), "doc_id"),
+                           sizes.select("doc_id", "n"), reps, k, percent))
+    if found.limit(1).count():
+        joined = components(links.union(found))
 
     final = joined.withColumnRenamed("id", "class_id")
     return member.join(final, "class_id", "left").select(
