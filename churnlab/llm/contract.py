@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, ngram_join, packing, quality, quality_rules, secret_scan, sharding, substring_dedup, toxicity
+from . import decontamination, line_dedup, ngram_join, packing, quality, quality_rules, secret_scan, sharding, substring_dedup, toxicity
 from .store import benchmark, documents, labels
 
 
@@ -24,6 +24,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.leaks(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_retrieval_packing": op7_retrieval_packing,
     "op8_sharding": op8_sharding,
