@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, ngram_join, packing, quality, quality_rules, secret_scan, sharding, substring_dedup, toxicity
+from . import decontamination, line_dedup, ngram_join, oracle_sql, packing, quality, quality_rules, secret_scan, sharding, substring_dedup, toxicity
 from .store import benchmark, documents, labels
 
 
@@ -62,5 +62,9 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracle_sql.ngram_components(),
+    "op2_quality_rules": quality_rules.oracle_sql(),
+    "op3_substring_dedup": oracle_sql.substring_dedup(),
+    "op5_line_dedup": oracle_sql.line_report(),
     "op8_sharding": sharding.oracle_sql(),
 }

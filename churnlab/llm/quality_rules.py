@@ -133,3 +133,39 @@ def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return docs.join(out, (F.xxhash64(docs[text_col]) == out["_th"])
                      & (F.coalesce(docs[host_col], F.lit("")) == out["_host"]), "left") \
         .select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns])
+
+
+def oracle_sql(min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> str:
+    """``quality_rules`` of ``documents`` for DuckDB, which compares texts where Spark compares hashes."""
+    word = r"[^\x20\x09-\x0D]+"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, text, regexp_extract_all(coalesce(text, ''), '{word}') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls
+  FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+five AS (
+  SELECT doc_id, i, [w, lead(w, 1) OVER p, lead(w, 2) OVER p, lead(w, 3) OVER p, lead(w, 4) OVER p] AS g
+  FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM five WHERE g[5] IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(5) r(j) GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, d.host, d.text, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN covered c USING (doc_id)),
+raw AS (SELECT doc_id, host, text, unnest(ls) AS l FROM d),
+lines AS (SELECT doc_id, host, text, regexp_extract_all(lower(l), '{word}') AS l FROM raw),
+hosts AS (SELECT host, count(DISTINCT text) AS n FROM lines GROUP BY host),
+often AS (
+  SELECT l.host, l.l FROM (SELECT host, l, count(DISTINCT text) AS n FROM lines GROUP BY host, l) l
+  JOIN hosts h USING (host) WHERE l.n > {min_docs} AND l.n > {max_share} * h.n),
+gone AS (SELECT doc_id, sum(len(l))::BIGINT AS n FROM lines JOIN often USING (host, l) GROUP BY doc_id),
+judged AS (
+  SELECT b.*, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed,
+         coalesce(g.n, 0)::BIGINT AS removed_words
+  FROM base b LEFT JOIN gone g USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
+       (NOT base_failed AND n_words - removed_words >= {MIN_WORDS}
+        AND n_words - removed_words >= {min_left} * n_words) AS kept
+FROM judged"""
