@@ -51,17 +51,16 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _hashes(line: Column, k: int) -> Column:
     """Hashes of the k-word shingles; a shorter line is one token."""
-    def windows(h: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(h) - k)
-        return F.when(F.size(h) < k, F.array(F.xxhash64(h))) \
-            .otherwise(F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])))
-    return let(F.transform(F.split(line, WHITE_RUN), lambda w: F.xxhash64(w)), windows)
+    def windows(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))
+    return let(F.split(line, WHITE_RUN), windows)
 
 
 def rarity_ranks(lines: DataFrame, k: int = SHINGLE, buckets: int = BUCKETS) -> DataFrame:
     """One row with an array: the rarity rank (0 to 4095) of each hash bucket, from counts over all lines."""
-    counted = lines.select(F.explode(_hashes(F.col("line"), k)).alias("h")) \
-        .groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    split = lines.select(F.split("line", WHITE_RUN).alias("w"))
+    counted = split.select("w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1)))).alias("i")) \
+        .select(F.xxhash64(F.slice("w", "i", k)).alias("h")).groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = lines.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left")
     rank = F.least(F.lit(4095), F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 64)).cast("int")
     return stored(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", rank.alias("r")))), lambda x: x["r"]).alias("ranks")))
@@ -109,7 +108,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = _lines(base)
 
     # equal texts
-    keyed = lines.select("doc", "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    keyed = stored(lines.select("doc", "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")))
     first = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last")) \
         .where("first != last").select("h1", "h2", "first")
     copies = stored(keyed.join(first, ["h1", "h2"]).where(F.struct("doc", "at") != F.col("first")).select("doc", "at").distinct())
@@ -134,8 +133,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = stored(_verified(star, base, ranks, k, buckets, percent).select("doc", "at").distinct())
     open_rows = shared.drop("lead").join(bounded(gone), ["doc", "at"], "left_anti")
     earlier = shared.select(F.col("doc").alias("d"), F.col("at").alias("a"), F.col("n").alias("m"), F.col("pos").alias("qos"), "token")
+    # all common prefix tokens are counted here: with the longer rest behind a prefix they bound the overlap
+    behind = F.greatest(F.ceil(F.col("n") * percent / 100) - 1, F.ceil(F.col("m") * percent / 100) - 1)
     rest = open_rows.join(earlier, "token") \
-        .where((F.struct("d", "a") < F.struct("doc", "at")) & _may_match(percent)).select("doc", "at", "d", "a").distinct() \
+        .where((F.struct("d", "a") < F.struct("doc", "at")) & _may_match(percent)) \
+        .groupBy("doc", "at", "d", "a", "n", "m").agg(F.count(F.lit(1)).alias("common")) \
+        .where(F.col("common") >= _needed(F.col("n"), F.col("m"), percent) - behind).select("doc", "at", "d", "a") \
         .join(star, ["doc", "at", "d", "a"], "left_anti")
     late = _verified(stored(rest), base, ranks, k, buckets, percent).select("doc", "at").distinct()
     return copies.union(gone).union(late)
