@@ -71,9 +71,8 @@ def running_sums(df: DataFrame, order_col: str, cols: list[str], by: list[str] |
     prior = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(prior), F.lit(0))
                                               .alias(f"_o_{c}") for c in cols])
-    # one row per (group, bucket): broadcast when provably small
-    fixed = materialize(offsets)
-    small = F.broadcast(fixed) if fixed.count() <= 1_000_000 else fixed
-    joined = out.join(small, [*by, "_bucket"])
+    # one row per (group, bucket); a group key may be null
+    from .joins import join_groups
+    joined = join_groups(out, materialize(offsets), [*by, "_bucket"])
     return joined.withColumns({f"{c}{suffix}": F.col(f"_l_{c}") + F.col(f"_o_{c}") for c in cols}) \
         .drop("_bucket", *[f"_l_{c}" for c in cols], *[f"_o_{c}" for c in cols])

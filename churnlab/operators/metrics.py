@@ -116,11 +116,16 @@ def best_threshold(train: DataFrame, test: DataFrame, score: str, label: str,
                    grid: list[float] | None = None) -> DataFrame:
     """Pick the threshold with the best train F1 (first wins), report on test.
 
-    The F1 curve has len(grid) rows; the chosen threshold is one scalar.
+    The F1 curve has len(grid) rows; the chosen threshold is one scalar.  Without
+    labelled training rows the result is one row of nulls.
     """
     grid = grid or threshold_grid()
     best = (f1_curve(train, score, label, grid)
             .orderBy(F.desc("f1"), F.asc("idx")).limit(1).first())
+    if best is None:  # no labelled training row: nothing to choose from
+        null = F.lit(None).cast("double")
+        return test.limit(0).groupBy().agg(F.count(F.lit(1)).alias("_n")).select(
+            *[null.alias(c) for c in ("threshold", "train_f1", "accuracy", "precision", "recall", "f1")])
     t = float(best["threshold"])
     rep = classification_report(test, score, label, t)
     return rep.select(F.lit(t).alias("threshold"), F.lit(float(best["f1"])).alias("train_f1"),

@@ -11,7 +11,7 @@ Arrow batches of every partition starting from the broadcast weights, emits
 + ``groupBy``) into one vector per model - the driver only ever holds model
 parameters.  Several models (learning rates x CV folds) train in the same
 pass: a row updates every model whose hold-out fold is not its own.  With one
-partition and one Arrow batch the updates are exactly sequential SGD.
+partition the updates are exactly sequential SGD.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def init_weights(d: int, h: int, out: int = 2, seed: int = 0,
     v0, v1, v2 = 2.0 / (h + d), 2.0 / (2 * h), 2.0 / (out + h)
     w0 = rng.randn(d, h) * np.sqrt(v0)
     if feature_weight is not None:
-        w0 = np.tile(np.asarray(feature_weight, float), (h, 1)).T + w0
+        w0 = np.asarray(feature_weight, float)[:, None] + w0
         w0 = np.abs(w0 / np.max(w0))
     return [(w0, np.zeros(h)),
             (rng.randn(h, h) * np.sqrt(v1), np.zeros(h)),
@@ -216,6 +216,25 @@ def _unpack(vec: np.ndarray, shapes, optimizer: str):
     return weights, (m, v, float(vec[3 * size]))
 
 
+#: Rows shuffled together; a multiple of the usual mini-batch sizes.
+SHUFFLE_ROWS = 8192
+
+
+def _chunks(batches, size: int = SHUFFLE_ROWS):
+    """The rows of a partition in frames of ``size`` rows (the last may be shorter), whatever the Arrow batches."""
+    held, rows = [], 0
+    for pdf in batches:
+        while len(pdf):
+            held.append(pdf.iloc[:size - rows])
+            rows += len(held[-1])
+            pdf = pdf.iloc[len(held[-1]):]
+            if rows == size:
+                yield pd.concat(held, ignore_index=True)
+                held, rows = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _epoch(df: DataFrame, states: list[np.ndarray], shapes, specs: list[Spec], feature_cols,
            label, fold_col, batch: int, seed: int, epoch: int, activation, linear_grad,
            smoothing, dropout, optimizer) -> list[np.ndarray]:
@@ -233,7 +252,7 @@ def _epoch(df: DataFrame, states: list[np.ndarray], shapes, specs: list[Spec], f
         drop_rng = np.random.RandomState((seed * 1_000_003 + epoch * 7919 + part) % (2 ** 32))
         current = [_unpack(v, shapes, optimizer) for v in bc.value]
         seen = [0] * len(specs)
-        for pdf in batches:
+        for pdf in _chunks(batches):
             x_all = pdf[feature_cols].to_numpy(dtype=float)
             y_all = pdf[label].to_numpy().astype(int)
             folds = pdf[fold_col].to_numpy() if fold_col else None

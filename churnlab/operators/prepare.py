@@ -55,30 +55,39 @@ def split_xy(df: DataFrame, id_col: str, label_col: str, feature_cols: list[str]
     return df.select(id_col, *feature_cols, label_col)
 
 
+def dummy_name(col: str, value: str) -> str:
+    """``<col>_<value>``; dots and backticks, which Spark reads as part of a path, become ``_``."""
+    return f"{col}_{value}".replace(".", "_").replace("`", "_")
+
+
 def one_hot(df: DataFrame, cols: list[str] | None = None, max_categories: int = 1000,
-            drop_source: bool = True) -> DataFrame:
+            drop_source: bool = True, categories: dict[str, list[str]] | None = None,
+            fill: str | None = None) -> DataFrame:
     """Named one-hot columns ``<col>_<value>`` as 0/1 integers.
 
-    Categories are listed with one distinct-scan per column, bounded by
-    ``max_categories`` (the number of output columns must stay small; a column
-    with more values is an id, not a category, and raises).  Null maps to all
-    zeros.  Dummy columns follow the remaining columns, sorted by value.
+    ``categories`` gives a column's values; others are listed by one distinct
+    job per column, of which at most ``max_categories + 1`` rows reach the
+    driver (a column with more values is an id, not a category, and raises).
+    Null maps to all zeros, or with ``fill`` to the category of that name
+    (fill before one-hot, P5).  Dummy columns follow the remaining columns,
+    sorted by value; two values of a column must not share a name.
     """
     cols = string_columns(df) if cols is None else cols
+    source = df.na.fill(fill, subset=cols) if fill is not None and cols else df
     dummies = []
-    if cols:
-        # guard first with bounded-memory sketches, then gather the (small) sets in one job
-        approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-        for c in cols:
-            if approx[c] > max_categories * 1.05:
-                raise ValueError(f"{c}: more than {max_categories} categories")
-        sets = df.agg(*[F.collect_set(c).alias(c) for c in cols]).first()
-        for c in cols:
-            values = sets[c]
-            if len(values) > max_categories:
+    for c in cols:
+        values = (categories or {}).get(c)
+        if values is None:
+            found = source.select(c).where(F.col(c).isNotNull()).distinct().limit(max_categories + 1).collect()
+            if len(found) > max_categories:
                 raise ValueError(f"{c}: more than {max_categories} categories")
-            for v in sorted(values):
-                dummies.append(F.when(F.col(c) == v, 1).otherwise(0).alias(f"{c}_{v}"))
+            values = [r[0] for r in found]
+        names = [dummy_name(c, v) for v in values]
+        if len(set(names)) < len(names):
+            raise ValueError(f"{c}: two categories have one column name")
+        for v in sorted(values):
+            dummies.append(F.when(F.col(c) == v, 1).otherwise(0).alias(dummy_name(c, v)))
+    df = source
     keep = [x for x in df.columns if not (drop_source and x in cols)]
     return df.select(*keep, *dummies)
 
@@ -105,12 +114,18 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features",
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid=handle_invalid).transform(df)
 
 
+def _present(df: DataFrame, c: str):
+    """The column with NaN read as null."""
+    col = df[f"`{c}`"]
+    return F.when(~F.isnan(col), col) if df.schema[c].dataType.typeName() in ("double", "float") else col
+
+
 def column_stats(df: DataFrame, cols: list[str], ddof: int = 0) -> dict[str, tuple[float, float]]:
-    """Mean and standard deviation per column in one aggregate (A4); nulls ignored."""
+    """Mean and standard deviation per column in one aggregate (A4); nulls and NaN ignored."""
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.avg(c).alias(f"m{i}"), std(c).alias(f"s{i}")]
+        aggs += [F.avg(_present(df, c)).alias(f"m{i}"), std(_present(df, c)).alias(f"s{i}")]
     row = df.agg(*aggs).first()
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
 
@@ -121,7 +136,7 @@ def standardize(df: DataFrame, cols: list[str], ddof: int = 0, fit_on: DataFrame
 
     ``ddof=0`` divides by the population std (the single-machine scripts),
     ``ddof=1`` by the sample std (Spark's ``StandardScaler``).  Nulls stay
-    null and a zero std maps to 0.  The fitted statistics become literals, so
+    null, NaN becomes null, and a zero std maps to 0.  The fitted statistics become literals, so
     the transform is a plain projection inside whole-stage codegen.
     """
     stats = stats or column_stats(fit_on if fit_on is not None else df, cols, ddof)
@@ -131,15 +146,17 @@ def standardize(df: DataFrame, cols: list[str], ddof: int = 0, fit_on: DataFrame
         if mean is None:
             exprs[c + suffix] = F.lit(None).cast("double")
         elif not sd:
-            exprs[c + suffix] = F.when(F.col(c).isNotNull(), F.lit(0.0))
+            exprs[c + suffix] = F.when(_present(df, c).isNotNull(), F.lit(0.0))
         else:
-            exprs[c + suffix] = (F.col(c) - F.lit(mean)) / F.lit(sd)
+            exprs[c + suffix] = (_present(df, c) - F.lit(mean)) / F.lit(sd)
     return df.withColumns(exprs)
 
 
 def _corr_long(spark, cols: list[str], value) -> DataFrame:
-    rows = [(a, b, 1.0 if i == j else value(min(i, j), max(i, j)))
-            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    def one(i: int, j: int):
+        v = value(min(i, j), max(i, j))
+        return None if v is None or v != v else 1.0 if i == j else v
+    rows = [(a, b, one(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return spark.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 
@@ -190,7 +207,10 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
       ``Correlation`` - one distributed pass accumulating the Gram matrix.
     * Otherwise pairwise-complete (each pair uses the rows where both are
       present, like pandas ``corr``): one vectorised masked-Gram pass over
-      mean-shifted values; a pair with fewer than 2 rows or zero variance is NULL.
+      mean-shifted values.
+
+    A pair with fewer than 2 rows, or with a constant column, is NULL in both
+    cases, on the diagonal too.
 
     Plan size is constant in D; only D x D numbers reach the driver.
     """
@@ -200,18 +220,21 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     try:
         stats = data.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")))
                            .alias(f"n{i}") for i, c in enumerate(cols)],
-                         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+                         *[F.avg(_present(data, c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                         *[F.min(_present(data, c)).alias(f"lo{i}") for i, c in enumerate(cols)],
+                         *[F.max(_present(data, c)).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
+        varied = [stats[f"lo{i}"] != stats[f"hi{i}"] for i in range(len(cols))]
         if len(cols) > 1 and all(stats[f"n{i}"] == 0 for i in range(len(cols))):
             from pyspark.ml.stat import Correlation
             vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(data).select("_v")
             m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-            return _corr_long(spark, cols, lambda i, j: float(m[i, j]))
+            return _corr_long(spark, cols, lambda i, j: float(m[i, j]) if varied[i] and varied[j] else None)
         shift = [stats[f"m{i}"] or 0.0 for i in range(len(cols))]
         n, sx, sxx, sxy = _masked_gram(data, cols, shift)
 
         def corr(i: int, j: int):
             k = n[i, j]
-            if k < 2:
+            if k < 2 or not (varied[i] and varied[j]):
                 return None
             num = k * sxy[i, j] - sx[i, j] * sx[j, i]
             va = k * sxx[i, j] - sx[i, j] ** 2

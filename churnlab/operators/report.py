@@ -13,8 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cumulative import DEFAULT_ROWS_PER_BUCKET, running_sums
-from ..functions.joins import per_group
+from ..functions.cumulative import DEFAULT_ROWS_PER_BUCKET, materialize, running_sums
+from ..functions.joins import join_groups, per_group
 
 
 # ------------------------------------------------------------------ WOE
@@ -52,21 +52,17 @@ def _rank_value(target: Column) -> Column:
     return F.max(F.when(hit, F.col("_v")))
 
 
-def group_quantiles(df: DataFrame, by: list[str], x: str, probs: list[float],
-                    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
-    """Exact linear-interpolation quantiles (numpy / ``quantile_cont``) per group.
+def _value_counts(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """(group, value, count) rows, materialised; missing values are left out."""
+    v = F.col(x)
+    return materialize(df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(*by, v.alias("_v"))
+                       .agg(F.count(F.lit(1)).alias("cnt")))
 
-    Rows are reduced to (group, value, count) map-side, running counts come
-    from range buckets, and each quantile is picked by rank - no group is ever
-    gathered into one task.  Output: ``by..., n, q<i>`` for each prob.
-    """
-    by, drop = (list(by), []) if by else (["_g"], ["_g"])
-    src = df if not drop else df.withColumn("_g", F.lit(0))
-    counts = (src.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("cnt")))
+
+def _quantiles_of(counts: DataFrame, by: list[str], probs: list[float], rows_per_bucket: int) -> DataFrame:
     cum = running_sums(counts, "_v", ["cnt"], by, rows_per_bucket)
     sizes = counts.groupBy(*by).agg(F.sum("cnt").alias("n"))
-    j = cum.join(per_group(sizes), by)
+    j = join_groups(cum, per_group(sizes), by)
     aggs = []
     for i, p in enumerate(probs):
         h = (F.col("n") - 1) * F.lit(p)
@@ -75,7 +71,21 @@ def group_quantiles(df: DataFrame, by: list[str], x: str, probs: list[float],
     g = j.groupBy(*by, "n").agg(*aggs)
     return g.select(*by, "n", *[(F.col(f"_lo{i}") + F.col(f"_fr{i}") *
                                  (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}")
-                                for i in range(len(probs))]).drop(*drop)
+                                for i in range(len(probs))])
+
+
+def group_quantiles(df: DataFrame, by: list[str], x: str, probs: list[float],
+                    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+    """Exact linear-interpolation quantiles (numpy / ``quantile_cont``) per group.
+
+    Rows are reduced to (group, value, count) map-side, running counts come
+    from range buckets, and each quantile is picked by rank - no group is ever
+    gathered into one task.  A null group is a group.  Output: ``by..., n,
+    q<i>`` for each prob.
+    """
+    by, drop = (list(by), []) if by else (["_g"], ["_g"])
+    src = df if not drop else df.withColumn("_g", F.lit(0))
+    return _quantiles_of(_value_counts(src, by, x), by, probs, rows_per_bucket).drop(*drop)
 
 
 def box_stats(df: DataFrame, by: list[str], x: str, whis: float = 1.5,
@@ -83,25 +93,26 @@ def box_stats(df: DataFrame, by: list[str], x: str, whis: float = 1.5,
     """Box-plot numbers per group: n, q1, median, q3, whiskers, outliers, mean.
 
     Whiskers reach the most extreme values within ``whis`` x IQR of the box.
-    The second pass joins each row with its group's bounds (one row per
-    group) and aggregates; no group is collected.
+    The source is read once, into (group, value, count) rows; all numbers come
+    from those.  A null group is a group.
     """
     by, drop = (list(by), []) if by else (["_g"], ["_g"])
     src = df if not drop else df.withColumn("_g", F.lit(0))
-    q = group_quantiles(src, by, x, [0.25, 0.5, 0.75], rows_per_bucket) \
+    counts = _value_counts(src, by, x)
+    q = _quantiles_of(counts, by, [0.25, 0.5, 0.75], rows_per_bucket) \
         .select(*by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
                 F.col("q2").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     bounds = q.select(*by, "n", "q1", "median", "q3",
                       (F.col("q1") - whis * iqr).alias("_lo"), (F.col("q3") + whis * iqr).alias("_hi"))
-    v = F.col(x)
+    v = F.col("_v")
     inner = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    j = src.where(v.isNotNull()).select(*by, x).join(per_group(bounds), by)
+    j = join_groups(counts, per_group(bounds), by)
     return j.groupBy(*by, "n", "q1", "median", "q3").agg(
         F.min(F.when(inner, v)).alias("whisker_low"),
         F.max(F.when(inner, v)).alias("whisker_high"),
-        F.count_if(~inner).alias("outliers"),
-        F.avg(v).alias("mean")).drop(*drop)
+        F.coalesce(F.sum(F.when(~inner, F.col("cnt"))), F.lit(0)).cast("bigint").alias("outliers"),
+        (F.sum(v * F.col("cnt")) / F.sum("cnt")).alias("mean")).drop(*drop)
 
 
 # ------------------------------------------------------- histogram / density
@@ -112,16 +123,17 @@ def shap_histogram(long: DataFrame, feature: str, max_value: float, step: float)
     between the global first and last bin, empty ones with n = 0 (J3), and
     ``mean_shap`` is the value's mean SHAP on every row (J2).
     """
-    sel = long.where((F.col("feature") == feature) & (F.col("value") <= max_value))
+    sel = materialize(long.where((F.col("feature") == feature) & (F.col("value") <= max_value)).select("value", "shap"))
     binned = sel.select("value", "shap", F.floor(F.col("shap") / step).cast("bigint").alias("bin"))
     counts = binned.groupBy("value", "bin").agg(F.count(F.lit(1)).alias("n"))
-    per_value = binned.groupBy("value").agg(F.avg("shap").alias("mean_shap"),
-                                            F.min("bin").alias("_b0"), F.max("bin").alias("_b1"))
-    # one row per feature value: the global bin range is an unpartitioned window over few rows
-    everywhere = Window.partitionBy()
-    ranged = per_value.select("value", "mean_shap", F.min("_b0").over(everywhere).alias("_lo"),
-                              F.max("_b1").over(everywhere).alias("_hi"))
-    grid = ranged.select("value", "mean_shap", F.explode(F.sequence("_lo", "_hi")).alias("bin"))
+    per_value = binned.groupBy("value").agg(F.avg("shap").alias("mean_shap"))
+    # the global bin range is two numbers from a plain aggregate
+    bins = binned.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).first()
+    if bins["lo"] is None:
+        grid = per_value.select("value", "mean_shap", F.lit(0).cast("bigint").alias("bin"))
+    else:
+        grid = per_value.select("value", "mean_shap", F.explode(F.sequence(
+            F.lit(bins["lo"]).cast("bigint"), F.lit(bins["hi"]).cast("bigint"))).alias("bin"))
     full = grid.join(counts, ["value", "bin"], "left")
     return full.select("value", "mean_shap", (F.col("bin") * step).alias("bin_min"),
                        ((F.col("bin") + 1) * step).alias("bin_max"),
@@ -134,15 +146,19 @@ def shap_density(long: DataFrame, feature: str, max_value: float, gridsize: int
 
     Bandwidth = Scott's rule (n^-1/5 x sample std) x ``bw_adjust``; the grid
     spans min - cut*bw .. max + cut*bw in ``gridsize`` points.  Work is one
-    row per distinct (value, shap) times the fixed grid, not rows x grid.
+    row per distinct (value, shap) times the fixed grid, not rows x grid.  A
+    value whose SHAP is constant has no bandwidth: it gives one row, i = 0 at
+    that SHAP, with a null density.
     """
-    sel = long.where((F.col("feature") == feature) & (F.col("value") <= max_value))
+    sel = materialize(long.where((F.col("feature") == feature) & (F.col("value") <= max_value)).select("value", "shap"))
     distinct = sel.groupBy("value", "shap").agg(F.count(F.lit(1)).alias("cnt"))
-    stats = sel.groupBy("value").agg(
+    every = materialize(sel.groupBy("value").agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp("shap").alias("sd"),
-        F.min("shap").alias("lo"), F.max("shap").alias("hi"))
+        F.min("shap").alias("lo"), F.max("shap").alias("hi")))
+    spread = F.coalesce(F.col("sd") > 0, F.lit(False)) & (F.col("hi") > F.col("lo"))
+    flat = every.where(~spread).select("value", F.lit(0).alias("i"), F.col("lo").alias("x"), F.lit(None).cast("double").alias("density"))
     bw = F.col("sd") * F.pow(F.col("n").cast("double"), -0.2) * bw_adjust
-    stats = stats.where(F.col("sd") > 0).withColumn("bw", bw) \
+    stats = every.where(spread).withColumn("bw", bw) \
         .withColumn("g0", F.col("lo") - cut * F.col("bw")) \
         .withColumn("gstep", (F.col("hi") - F.col("lo") + 2 * cut * F.col("bw")) / (gridsize - 1))
     j = distinct.join(per_group(stats), "value")
@@ -151,13 +167,13 @@ def shap_density(long: DataFrame, feature: str, max_value: float, gridsize: int
     x = F.col("g0") + F.col("i") * F.col("gstep")
     z = (x - F.col("shap")) / F.col("bw")
     contrib = F.col("cnt") * F.exp(-0.5 * z * z) / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
-    return pts.groupBy("value", "i").agg(F.first(x).alias("x"), F.sum(contrib).alias("density"))
+    return pts.groupBy("value", "i").agg(F.first(x).alias("x"), F.sum(contrib).alias("density")).unionByName(flat)
 
 
 # ------------------------------------------------------------- SHAP reports
 def shap_ranking(long: DataFrame) -> DataFrame:
     """Mean |SHAP| per feature with rank 1..D, ties by name."""
-    agg = long.groupBy("feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap"))
+    agg = long.groupBy("feature").agg(F.avg(F.abs(F.col("shap"))).alias("mean_abs_shap"))
     # D rows (one per feature): a global window over them is small by construction
     w = Window.orderBy(F.desc("mean_abs_shap"), F.asc("feature"))
     return agg.withColumn("ranking", F.row_number().over(w))
@@ -165,6 +181,7 @@ def shap_ranking(long: DataFrame) -> DataFrame:
 
 def shap_summary(long: DataFrame, n: int = 20) -> DataFrame:
     """Beeswarm data (M18): the rows of the top-n features by mean |SHAP|."""
+    long = materialize(long)  # the SHAP values are computed once, for the ranking and for the rows
     top = shap_ranking(long).where(F.col("ranking") <= n).select("feature", "ranking")
     return long.join(F.broadcast(top), "feature")  # n rows: bounded by the argument
 

@@ -9,19 +9,21 @@ g(S) = prod_j (o_j if j in S else z_j), whose Shapley value is
 
     phi_j = v * (o_j - z_j) * sum_s w(s, m) * c_s,   w(s, m) = s! (m-1-s)! / m!
 
-with c_s the coefficient of t^s in prod_{k != j} (z_k + o_k t).  Summing over
-leaves and trees gives exact path-dependent TreeSHAP values; base value +
-sum(phi) equals the margin for every row.
+with c_s the coefficient of t^s in prod_{k != j} (z_k + o_k t).  As
+w(s, m) is the integral of t^s (1 - t)^(m-1-s) over [0, 1], the sum is the
+integral of prod_{k != j} (z_k (1 - t) + o_k t), a polynomial of degree m - 1,
+which Gauss-Legendre nodes integrate exactly.  Products that leave one factor
+out come from running products of both sides.  Summing over leaves and trees
+gives exact path-dependent TreeSHAP values; base value + sum(phi) equals the
+margin for every row.
 
 Execution: ``mapInPandas`` over Arrow batches, the ensemble shipped once per
 executor as a broadcast variable (its size is bounded by the model).  Cost
-per row is sum over leaves of m^3, fine for depth <= 6.
+per row is the sum over leaves of m^2 / 2.
 """
 
 from __future__ import annotations
 
-from math import factorial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,41 +55,47 @@ def leaf_paths(ens: Ensemble) -> list[tuple[float, list[tuple[int, float, list[t
     return out
 
 
+def _without_one(factors: np.ndarray) -> np.ndarray:
+    """Along the first axis, the product of all factors but each one."""
+    out = np.ones_like(factors)
+    np.multiply.accumulate(factors[:-1], axis=0, out=out[1:])
+    after = np.ones_like(factors[0])
+    for j in range(len(factors) - 2, -1, -1):
+        after = after * factors[j + 1]
+        out[j] *= after
+    return out
+
+
 def shap_matrix(x: np.ndarray, paths, n_features: int) -> np.ndarray:
     """SHAP values (rows x features) for a dense float matrix."""
     n = x.shape[0]
     phi = np.zeros((n, n_features))
-    weights: dict[int, np.ndarray] = {}
+    nodes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    held: dict[tuple, np.ndarray] = {}
+
+    def holds(f: int, thr: float, left: bool) -> np.ndarray:
+        key = (f, thr, left)
+        if key not in held:
+            held[key] = (x[:, f] <= thr) if left else (x[:, f] > thr)
+        return held[key]
+
     for value, feats in paths:
         m = len(feats)
         if m == 0 or value == 0.0:
             continue
-        if m not in weights:
-            weights[m] = np.array([factorial(s) * factorial(m - 1 - s) / factorial(m)
-                                   for s in range(m)])
-        w = weights[m]
+        if m not in nodes:
+            at, weight = np.polynomial.legendre.leggauss((m + 1) // 2)
+            nodes[m] = ((at + 1) / 2, weight / 2)
+        t, weight = nodes[m]
         ones = np.empty((m, n))
-        zs = np.empty(m)
-        for i, (f, z, conds) in enumerate(feats):
-            ok = np.ones(n, dtype=bool)
-            col = x[:, f]
-            for thr, left in conds:
-                ok &= (col <= thr) if left else (col > thr)
-            ones[i] = ok
-            zs[i] = z
-        for j in range(m):
-            poly = np.zeros((m, n))
-            poly[0] = 1.0
-            deg = 0
-            for k in range(m):
-                if k == j:
-                    continue
-                nxt = poly * zs[k]
-                nxt[1:deg + 2] += poly[0:deg + 1] * ones[k]
-                poly = nxt
-                deg += 1
-            total = w @ poly
-            phi[:, feats[j][0]] += value * (ones[j] - zs[j]) * total
+        zs = np.array([z for _, z, _ in feats])
+        for i, (f, _, conds) in enumerate(feats):
+            ones[i] = np.logical_and.reduce([holds(f, thr, left) for thr, left in conds])
+        factors = zs[:, None, None] * (1 - t)[None, :, None] + ones[:, None, :] * t[None, :, None]
+        total = np.einsum("q,mqn->mn", weight, _without_one(factors))
+        part = value * (ones - zs[:, None]) * total
+        for i, (f, _, _) in enumerate(feats):
+            phi[:, f] += part[i]
     return phi
 
 

@@ -85,6 +85,12 @@ def q_split(spark, sf):
     return smp.with_split(cf, "user_id", 0.25)
 
 
+@query("validation_flag", osql.validation_flag_sql)
+def q_valid(spark, sf):
+    cf = fx.feature_table(spark, sf).select("user_id", "churn_100")
+    return smp.with_validation_flag(cf, "user_id", 0.2)
+
+
 @query("assign_folds", osql.folds_sql)
 def q_folds(spark, sf):
     cf = fx.feature_table(spark, sf).select("user_id", "churn_100")
@@ -113,6 +119,15 @@ def q_std_samp(spark, sf):
     return _rounded(prep.standardize(cf, osql.STD_COLS, ddof=1), osql.STD_COLS)
 
 
+@query("correlation_odd_columns", osql.correlation_odd_sql)
+def q_corr_odd(spark, sf):
+    """A column with NaN, a constant one, and columns without a missing value."""
+    cf = fx.feature_table(spark, sf).select(
+        F.when(F.col("tc") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("tc").cast("double")).alias("holey"),
+        F.lit(3.0).alias("flat"), "tc", "ta")
+    return _rounded(prep.correlation_matrix(cf, ["holey", "flat", "tc", "ta"]), ["corr"])
+
+
 @query("correlation_matrix", osql.correlation_sql)
 def q_corr(spark, sf):
     cf = fx.feature_table(spark, sf)
@@ -173,6 +188,24 @@ def q_woe(spark, sf):
     return _rounded(report.woe(data, osql.WOE_FEATURES, "churn_100"), ["woe"])
 
 
+@query("box_stats_null_group", osql.box_stats_null_group_sql)
+def q_box_null(spark, sf):
+    """Groups with a null key, forced through many range buckets."""
+    cf = fx.feature_table(spark, sf).withColumn("seg", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")))
+    out = report.box_stats(cf, ["seg"], "ta", rows_per_bucket=100)
+    return _rounded(out, ["q1", "median", "q3", "whisker_low", "whisker_high", "mean"], 4)
+
+
+@query("roc_auc_null_group", osql.roc_auc_null_group_sql)
+def q_auc_null(spark, sf):
+    """One AUC per fold, fold 0 under a null key, over a continuous score in many buckets."""
+    data, feats = flows.mlp_input(spark, sf, flows.MLP_FROZEN_FEATURES)
+    s = nn.mlp_score(data, flows.frozen_mlp_weights(len(feats)), feats, "user_id", keep=["churn_100"]) \
+        .withColumn("score", rnd("score", 6))
+    s = smp.assign_folds(s, "user_id", 5).withColumn("fold", F.when(F.col("fold") > 0, F.col("fold")))
+    return metrics.roc_auc_table(s, "score", "churn_100", by=["fold"], rows_per_bucket=50).withColumn("auc", rnd("auc", 6))
+
+
 @query("box_stats", osql.box_stats_sql)
 def q_box(spark, sf):
     cf = fx.feature_table(spark, sf)

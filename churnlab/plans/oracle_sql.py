@@ -234,7 +234,7 @@ def correlation_sql() -> str:
     parts = []
     for a in CORR_COLS:
         for b in CORR_COLS:
-            v = "max(1.0)" if a == b else f"corr({a}, {b})"
+            v = f"CASE WHEN count({a}) > 1 AND min({a}) <> max({a}) THEN 1.0 END" if a == b else f"corr({a}, {b})"
             parts.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round({v}, 6) AS corr FROM cf")
     return with_cf("\nUNION ALL\n".join(parts))
 
@@ -466,7 +466,7 @@ SELECT q.{by} AS {by}, q.n, {r('q1')} AS q1, {r('median')} AS median, {r('q3')}
   {r(f"max(CASE WHEN {x} >= q1 - 1.5 * (q3 - q1) AND {x} <= q3 + 1.5 * (q3 - q1) THEN {x} END)")} AS whisker_high,
   CAST(count_if(NOT ({x} >= q1 - 1.5 * (q3 - q1) AND {x} <= q3 + 1.5 * (q3 - q1))) AS BIGINT) AS outliers,
   {r(f"avg({x})")} AS mean
-FROM {src} s JOIN q ON s.{by} = q.{by} WHERE {x} IS NOT NULL
+FROM {src} s JOIN q ON s.{by} IS NOT DISTINCT FROM q.{by} WHERE {x} IS NOT NULL
 GROUP BY q.{by}, q.n, q.q1, q.median, q.q3"""
 
 
@@ -564,13 +564,15 @@ def shap_density_sql() -> str:
     import math
     return shap_cte() + f""", sel AS (SELECT value, shap FROM lg WHERE feature = 'tc_diff' AND value <= 20),
 st AS (SELECT value, count(*) AS n, stddev_samp(shap) * pow(count(*), -0.2) * 0.5 AS bw,
-         min(shap) AS lo, max(shap) AS hi FROM sel GROUP BY value HAVING stddev_samp(shap) > 0),
+         min(shap) AS lo, max(shap) AS hi FROM sel GROUP BY value HAVING stddev_samp(shap) > 0 AND max(shap) > min(shap)),
+flat AS (SELECT value, min(shap) AS lo FROM sel GROUP BY value HAVING NOT coalesce(stddev_samp(shap) > 0, false) OR max(shap) = min(shap)),
 gr AS (SELECT st.value, g.i, st.lo - 3.0 * st.bw + g.i * ((st.hi - st.lo + 6.0 * st.bw) / 199) AS x, st.n, st.bw
        FROM st, range(0, 200) g(i))
 SELECT gr.value, CAST(gr.i AS INTEGER) AS i, round(gr.x, 6) AS x,
   round(sum(exp(-0.5 * ((gr.x - sel.shap) / gr.bw) * ((gr.x - sel.shap) / gr.bw)))
         / (gr.n * gr.bw * {math.sqrt(2 * math.pi)!r}), 6) AS density
-FROM gr JOIN sel ON gr.value = sel.value GROUP BY gr.value, gr.i, gr.x, gr.n, gr.bw"""
+FROM gr JOIN sel ON gr.value = sel.value GROUP BY gr.value, gr.i, gr.x, gr.n, gr.bw
+UNION ALL SELECT value, 0, round(lo, 6), NULL FROM flat"""
 
 
 def explain_cases_sql() -> str:
@@ -680,3 +682,40 @@ SELECT user_id, churn_100,
   round(exp(a{last - 1}_1 - greatest(a{last - 1}_0, a{last - 1}_1)) /
     (exp(a{last - 1}_0 - greatest(a{last - 1}_0, a{last - 1}_1)) + exp(a{last - 1}_1 - greatest(a{last - 1}_0, a{last - 1}_1))), 6) AS score
 FROM l{last}"""
+
+
+# ------------------------------------------------------------------ null groups and odd columns
+def box_stats_null_group_sql() -> str:
+    return with_cf(""", g AS (SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS seg, ta FROM cf), """
+                   + _box("g", "seg", "ta", 4))
+
+
+def roc_auc_null_group_sql() -> str:
+    from ..functions.hashing import hash_unit_sql
+    return f"""WITH m AS ({mlp_score_sql()}),
+g AS (SELECT nullif(CAST(floor({hash_unit_sql('user_id', 'fold')} * 5) AS INTEGER), 0) AS fold,
+             round(score, 6) AS s, churn_100 AS y FROM m WHERE churn_100 IN (0, 1)),
+r AS (SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY s)
+             + (count(*) OVER (PARTITION BY fold, s) - 1) / 2.0 AS mid FROM g),
+t AS (SELECT fold, sum(CASE WHEN y = 1 THEN mid END) AS mid, CAST(count_if(y = 1) AS BIGINT) AS pos,
+             CAST(count_if(y = 0) AS BIGINT) AS neg FROM r GROUP BY fold)
+SELECT fold, round(CASE WHEN pos > 0 AND neg > 0 THEN (mid - pos * (pos + 1) / 2.0) / (pos * neg) END, 6) AS auc, pos, neg
+FROM t"""
+
+
+def correlation_odd_sql() -> str:
+    cols = ("holey", "flat", "tc", "ta")
+    parts = []
+    for a in cols:
+        for b in cols:
+            both = f"FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+            v = f"CASE WHEN min({a}) <> max({a}) AND min({b}) <> max({b}) THEN " \
+                + ("1.0" if a == b else f"corr({a}, {b}) {both}") + " END"
+            parts.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round({v}, 6) AS corr FROM o")
+    return with_cf(", o AS (SELECT CASE WHEN tc % 7 <> 0 THEN CAST(tc AS DOUBLE) END AS holey, 3.0::DOUBLE AS flat, tc, ta FROM cf)\n"
+                   + "\nUNION ALL\n".join(parts))
+
+
+def validation_flag_sql() -> str:
+    from ..functions.hashing import hash_unit_sql
+    return with_cf(f"SELECT user_id, churn_100, {hash_unit_sql('user_id', 'valid')} < 0.2 AS is_valid FROM cf")

@@ -18,6 +18,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # let AQE size the partitions of cached tables too; this changes only partitioning
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -57,7 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared file system path and is used as
-    is.  Only when it is unset (local tests) a scratch folder is created.
+    is.  Only on a local master a scratch folder is created where it is unset;
+    elsewhere that folder would be on one machine, so it is refused.
     """
     sc = spark.sparkContext
     active = sc.getCheckpointDir()
@@ -65,6 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return active
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="churnlab-ckpt-")
     sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
@@ -97,10 +102,6 @@ def ship_package(spark: SparkSession) -> None:
     key = sc.applicationId
     if key in _SHIPPED:
         return
-    # let AQE size the partitions of cached tables too (by default a persisted
-    # aggregate keeps all spark.sql.shuffle.partitions partitions); this changes
-    # only partitioning, never results
-    spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     root = os.path.dirname(pkg)
     out = os.path.join(tempfile.mkdtemp(prefix="churnlab-pyfiles-"), "churnlab.zip")

@@ -1,66 +1,66 @@
-"""MLP: one partition equals plain sequential SGD; closed-form output gradient."""
+"""MLP: numerical gradients, sequential equality, independence of Arrow batches."""
 
 import numpy as np
 
 from churnlab.operators import mlp
 
 
-def reference_style_sgd(x, y, weights, lr, epochs, batch=128, seed=1):
-    """Sequential mini-batch SGD written directly from the algorithm description."""
-    ws = [(w.copy(), b.copy()) for w, b in weights]
-    for _ in range(epochs):
-        idx = np.arange(len(y))
-        np.random.RandomState(seed).shuffle(idx)
-        for s in range(0, len(y), batch):
-            sel = idx[s:s + batch]
-            xb, yb = x[sel], y[sel]
-            hs, acts = [xb], []
-            h = xb
-            for i, (w, b) in enumerate(ws):
-                a = b + h @ w
-                acts.append(a)
-                if i == 0:
-                    h = a
-                elif i == 3:
-                    e = np.exp(a - a.max(axis=1, keepdims=True))
-                    h = e / e.sum(axis=1, keepdims=True)
-                else:
-                    h = np.where(a < 20, np.log(1 + np.exp(np.minimum(a, 20))), a)
-                hs.append(h)
-            # output error through the full softmax Jacobian, row by row
-            target = np.eye(2)[yb]
-            delta3 = np.zeros_like(acts[3])
-            for n in range(len(yb)):
-                s_ = hs[-1][n].reshape(-1, 1)
-                jac = np.diagflat(s_) - s_ @ s_.T
-                delta3[n] = (-target[n] / hs[-1][n]) @ jac
-            deltas = [None, None, None, delta3]
-            for i in (2, 1, 0):
-                sig = 1 / (1 + np.exp(-np.clip(acts[i], -500, 500)))
-                deltas[i] = sig * (deltas[i + 1] @ ws[i + 1][0].T)
-            ws = [(w - lr * hs[i].T @ deltas[i] / len(yb), b - lr * deltas[i].mean(axis=0))
-                  for i, (w, b) in enumerate(ws)]
-    return ws
-
-
-def test_one_partition_equals_sequential_sgd(spark):
+def frame(spark, x, y, parts=1):
+    cols = [f"x{i}" for i in range(x.shape[1])]
+    df = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(len(y))],
+                               "id long, y int, " + ", ".join(f"{c} double" for c in cols))
+    return df.coalesce(parts).persist(), cols
+
+
+def test_step_follows_the_numerical_gradient():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(12, 3)), rng.integers(0, 2, 12)
+    ws = mlp.init_weights(3, 4, 2, seed=2)
+
+    def loss(vec):
+        h = mlp.forward(x, mlp.unflatten(vec, mlp.shapes_of(ws)), "softplus", None)[1][-1]
+        return -np.log(h[np.arange(len(y)), y]).mean()
+
+    at = mlp.flatten(ws)
+    numeric = np.array([(loss(at + e) - loss(at - e)) / 2e-6 for e in np.eye(len(at)) * 1e-6])
+    step = mlp.flatten(mlp.sgd_step(ws, x, y, 1.0, "softplus", "identity"))
+    np.testing.assert_allclose(at - step, numeric, atol=1e-6)
+
+
+def test_one_partition_equals_sequential_steps(spark):
     rng = np.random.default_rng(0)
-    n, d = 300, 5
-    x = rng.normal(size=(n, d))
-    y = (x[:, 0] + 0.5 * rng.normal(size=n) > 0).astype(int)
-    init = mlp.init_weights(d, 6, 2, seed=3)
-    rows = [(i, int(y[i]), *map(float, x[i])) for i in range(n)]
-    cols = [f"x{i}" for i in range(d)]
-    df = spark.createDataFrame(rows, "id long, y int, " + ", ".join(f"{c} double" for c in cols)) \
-        .coalesce(1).persist()
-    got = mlp.mlp_fit(df, cols, "y", hidden=6, epochs=2, lr=0.05, init=init,
-                      linear_grad="sigmoid")
-    want = reference_style_sgd(x, y, init, 0.05, 2)
+    x = rng.normal(size=(300, 5))
+    y = (x[:, 0] + 0.5 * rng.normal(size=300) > 0).astype(int)
+    init = mlp.init_weights(5, 6, 2, seed=3)
+    df, cols = frame(spark, x, y)
+    got = mlp.mlp_fit(df, cols, "y", hidden=6, epochs=2, lr=0.05, init=init)
+    want = init
+    for _ in range(2):
+        order = np.arange(300)
+        np.random.RandomState(1).shuffle(order)
+        for s in range(0, 300, 128):
+            want = mlp.sgd_step(want, x[order[s:s + 128]], y[order[s:s + 128]], 0.05, "softplus", "identity")
     for (gw, gb), (ww, wb) in zip(got, want):
         np.testing.assert_allclose(gw, ww, atol=1e-10)
         np.testing.assert_allclose(gb, wb, atol=1e-10)
 
 
+def test_weights_do_not_depend_on_arrow_batches(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3))
+    y = (x[:, 0] > 0).astype(int)
+    df, cols = frame(spark, x, y)
+    key, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    try:
+        for size in ("10000", "70"):
+            spark.conf.set(key, size)
+            found.append(mlp.flatten(mlp.mlp_fit(df, cols, "y", hidden=4, epochs=2, lr=0.05)))
+    finally:
+        spark.conf.set(key, before)
+    np.testing.assert_allclose(found[0], found[1], atol=1e-12)
+
+
 def test_softplus_threshold():
     v = mlp.softplus(np.array([-5.0, 0.0, 19.9, 20.0, 50.0]))
     assert v[3] == 20.0 and v[4] == 50.0

@@ -77,3 +77,30 @@ def test_box_stats_matches_numpy(spark):
 def test_unknown_session_option_rejected():
     with pytest.raises(TypeError):
         get_session(memmory="32G")
+
+
+def test_nan_is_missing_in_statistics(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0, 5.0), (2, float("nan"), 3.0, 5.0), (3, 3.0, 4.0, 5.0), (4, 4.0, 1.0, 5.0)],
+                               "id int, a double, b double, c double")
+    z = {r["id"]: r["a"] for r in prepare.standardize(df, ["a"]).collect()}
+    assert z[2] is None and abs(z[1] + z[3] + z[4]) < 1e-12
+    corr = {(r["feature_a"], r["feature_b"]): r["corr"] for r in prepare.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    import numpy as np
+    assert abs(corr["a", "b"] - np.corrcoef([1, 3, 4], [2, 4, 1])[0, 1]) < 1e-12
+    assert corr["a", "a"] == 1.0 and corr["c", "c"] is None and corr["b", "c"] is None
+    whole = {(r["feature_a"], r["feature_b"]): r["corr"] for r in prepare.correlation_matrix(df, ["b", "c"]).collect()}
+    assert whole["b", "b"] == 1.0 and whole["c", "c"] is None and whole["b", "c"] is None
+
+
+def test_dotted_categories_and_given_lists(spark):
+    df = spark.createDataFrame([(1, "A.B"), (2, None), (3, "C")], "id int, c string")
+    out = prepare.fill_missing(prepare.one_hot(df, ["c"]), -1)
+    assert out.columns == ["id", "c_A_B", "c_C"]
+    given = prepare.one_hot(df, ["c"], categories={"c": ["C", "D"]}).orderBy("id").collect()
+    assert [(r["c_C"], r["c_D"]) for r in given] == [(0, 0), (0, 0), (1, 0)]
+    filled = prepare.one_hot(df, ["c"], fill="-1")
+    assert "c_-1" in filled.columns
+    with pytest.raises(ValueError):
+        prepare.one_hot(spark.createDataFrame([("a.b",), ("a_b",)], "c string"), ["c"])
+    with pytest.raises(ValueError):
+        prepare.one_hot(df, ["c"], max_categories=1)

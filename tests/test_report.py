@@ -75,3 +75,26 @@ def test_best_of_keeps_lowest_cost(spark):
     df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "a double, b double").persist()
     model, costs = segment.kmeans_best_of(df, ["a", "b"], k=3, seeds=[1, 2, 3], max_iter=20)
     assert model.summary.trainingCost == pytest.approx(min(c for _, c in costs))
+
+
+def test_null_groups_survive_any_number_of_buckets(spark):
+    rows = [(None if i % 3 == 0 else i % 3, float((i * 37) % 50), i % 2) for i in range(90)]
+    df = spark.createDataFrame(rows, "g int, x double, y int")
+    from churnlab.operators import metrics
+    one, many = ({r["g"]: tuple(r) for r in report.box_stats(df, ["g"], "x", rows_per_bucket=n).collect()} for n in (10_000, 10))
+    assert set(one) == {None, 1, 2} and one == many
+    auc = [{r["g"]: r["auc"] for r in metrics.roc_auc_table(df, "x", "y", by=["g"], rows_per_bucket=n).collect()} for n in (10_000, 10)]
+    assert set(auc[0]) == {None, 1, 2} and auc[0] == auc[1]
+
+
+def test_constant_shap_keeps_its_value_in_the_density(spark):
+    long = spark.createDataFrame([(i, "f", float(i % 2), 0.5 if i % 2 else i / 10) for i in range(20)],
+                                 "id int, feature string, value double, shap double")
+    rows = [r for r in report.shap_density(long, "f", 20).collect() if r["value"] == 1.0]
+    assert [(r["i"], r["x"], r["density"]) for r in rows] == [(0, 0.5, None)]
+
+
+def test_no_training_rows_give_a_null_threshold(spark):
+    from churnlab.operators import metrics
+    df = spark.createDataFrame([(0.3, 1), (0.6, 0)], "score double, y int")
+    assert metrics.best_threshold(df.limit(0), df, "score", "y").first()["threshold"] is None

@@ -1,5 +1,7 @@
 """Session helpers: checkpoint folder and package shipping."""
 
+import pytest
+
 from churnlab.sources import session
 
 
@@ -12,7 +14,6 @@ def test_existing_checkpoint_dir_is_kept(spark):
 def test_package_is_shipped_once(spark):
     session.ship_package(spark)
     assert spark.sparkContext.applicationId in session._SHIPPED
-    assert spark.conf.get("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning") == "true"
 
     def probe(it):
         import churnlab.operators.shap as mod  # imported on the worker
@@ -22,3 +23,20 @@ def test_package_is_shipped_once(spark):
 
     out = spark.range(4).mapInPandas(probe, "ok boolean").collect()
     assert all(r["ok"] for r in out)
+
+
+def test_local_scratch_folder_is_refused_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())

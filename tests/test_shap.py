@@ -67,6 +67,15 @@ def test_matches_brute_force_and_additivity():
     np.testing.assert_allclose(boost.expected_value(ens) + phi.sum(axis=1), margin, atol=1e-9)
 
 
+def test_deep_tree_matches_brute_force():
+    rng = np.random.default_rng(8)
+    ens = Ensemble([random_tree(rng, 6, 10)], [f"f{i}" for i in range(6)], 0.0)
+    x = rng.normal(size=(2, 6))
+    phi = shap.shap_matrix(x, shap.leaf_paths(ens), 6)
+    for i in range(len(x)):
+        np.testing.assert_allclose(phi[i], brute_force(ens, x[i], 6), atol=1e-10)
+
+
 def test_unused_feature_is_exactly_zero():
     rng = np.random.default_rng(5)
     ens = Ensemble([random_tree(rng, 2, 3)], ["a", "b", "c"], 0.0)
