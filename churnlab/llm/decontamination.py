@@ -148,22 +148,29 @@ class ItemIndex:
             return
         start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         end = np.append(start[1:], len(term))
-        step = 1 << 12
+        step = max(64, min(1 << 11, (1 << 20) // max(1, len(self.ids))))
         for i in range(0, len(start), step):
             lo, hi = start[i], end[min(i + step, len(start)) - 1]
-            bound = np.add.reduceat(self.block_max[term[lo:hi]], start[i: i + step] - lo, axis=0)
-            for p in np.flatnonzero((bound >= slack).any(axis=1)):
-                own = term[start[i + p]: end[i + p]]
-                open_blocks = np.flatnonzero(bound[p] >= slack)
-                posting = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in own])
-                posting = posting[np.isin(self.items[posting] // BLOCK, open_blocks)]
-                score = np.bincount(self.items[posting], weights=self.impacts[posting])
-                which = owner[start[i + p]]
+            opened = np.add.reduceat(self.block_max[term[lo:hi]], start[i: i + step] - lo, axis=0) >= slack
+            found = np.flatnonzero(opened.any(axis=1))
+            if not len(found):
+                continue
+            # postings of the opened passages' terms, in opened blocks only
+            size = end[i + found] - start[i + found]
+            own = term[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[i + found], size)]
+            asked = np.repeat(np.arange(len(found)), size)
+            width = self.first[own + 1] - self.first[own]
+            posting = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(self.first[own], width)
+            asked, item = np.repeat(asked, width), self.items[posting]
+            kept = opened[found][asked, item // BLOCK]
+            key = asked[kept] * len(self.ids) + item[kept]
+            score = np.bincount(key, weights=self.impacts[posting[kept]], minlength=len(found) * len(self.ids))
+            for at in np.flatnonzero(score >= threshold):
+                which = owner[start[i + found[at // len(self.ids)]]]
                 r = int(np.searchsorted(base, which, side="right")) - 1
                 while halves[r] == 0:
                     r -= 1
-                for item in np.flatnonzero(score >= threshold):
-                    yield r, int(which - base[r]) * half, int(item), float(score[item])
+                yield r, int(which - base[r]) * half, int(at % len(self.ids)), float(score[at])
 
     def judge(self, item: int, around: np.ndarray) -> tuple[float, float]:
         return _share(self.questions[item], around), _share(self.answers[item], around)
