@@ -108,12 +108,6 @@ def dedup(df: DataFrame, key: str | list[str], order_by: list[str]) -> DataFrame
             .select(*df.columns))
 
 
-def assemble(df: DataFrame, cols: list[str], out: str = "features",
-             handle_invalid: str = "error") -> DataFrame:
-    """Dense feature vector (M1); fill missing values first."""
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid=handle_invalid).transform(df)
-
-
 def _present(df: DataFrame, c: str):
     """The column with NaN read as null."""
     col = df[f"`{c}`"]

@@ -75,11 +75,3 @@ def segment_profile(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
     """Mean of each feature and size per cluster (A2), aliased ``avg_<col>``."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("size"),
                               *[F.avg(c).alias(f"avg_{c}") for c in cols])
-
-
-def centers_table(model, cols: list[str]):
-    """Centres of a fitted model as rows ``(cluster, feature, value)`` (k x d, bounded)."""
-    rows = []
-    for i, center in enumerate(model.clusterCenters()):
-        rows += [(i, c, float(v)) for c, v in zip(cols, center)]
-    return rows

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.cumulative import materialize
 from ..functions.numeric import rnd, wrap_sql_rounds
 from ..sources import fixtures as fx
 from . import oracle_sql as osql
@@ -333,7 +334,7 @@ def q_kmeans_best_of(spark, sf):
 # ---------------------------------------------------------------- trained boosted trees
 @query("gbt_fit_score")
 def q_gbt_fit_score(spark, sf):
-    """Trained GBT (10 trees, depth 4) scored on the test split (rows-only check)."""
+    """Trained GBT (100 trees, depth 4) scored on the test split (rows-only check)."""
     data, model, _ = flows.trained_gbt(spark, sf)
     test = data.where(F.col("split") == "test")
     return boost.score(model, test, "user_id", keep=["churn_100"])
@@ -349,7 +350,7 @@ def _evaluate(scored, label):
 def q_gbt_evaluate(spark, sf):
     """Train and test AUC / accuracy / precision / recall of the trained GBT (rows-only)."""
     data, model, _ = flows.trained_gbt(spark, sf)
-    scored = boost.score(model, data, "user_id", keep=["churn_100", "split"]).persist()
+    scored = materialize(boost.score(model, data, "user_id", keep=["churn_100", "split"]))
     out = None
     for part in ("train", "test"):
         s = scored.where(F.col("split") == part)
@@ -372,22 +373,105 @@ def q_cv_gbt(spark, sf):
     data = smp.assign_folds(flows.split_prepared(spark, sf).where(F.col("split") == "train"),
                             "user_id", 5).persist()
     feats = flows.model_features(data.drop("fold"))
-    return boost.cv_gbt(data, feats, "churn_100", "fold", step_sizes=(0.1, 0.05),
-                        max_depths=(2, 4), parallelism=4, maxIter=5, seed=42)
+    out = boost.cv_gbt(data, feats, "churn_100", "fold", step_sizes=(0.1, 0.05),
+                       max_depths=(2, 4), parallelism=4, maxIter=10, seed=42)
+    data.unpersist()
+    return out
+
+
+@query("cv_gbt_folds")
+def q_cv_gbt_folds(spark, sf):
+    """Per-fold AUC and best round of each setting, early stopping inside the fold (rows-only)."""
+    data = smp.assign_folds(flows.split_prepared(spark, sf).where(F.col("split") == "train"),
+                            "user_id", 5).persist()
+    feats = flows.model_features(data.drop("fold"))
+    out = boost.cv_gbt_folds(data, feats, "churn_100", "fold", step_sizes=(0.1,), max_depths=(2, None),
+                             parallelism=4, maxIter=20, seed=42)
+    data.unpersist()
+    return out
 
 
 @query("early_stop_curve")
 def q_early_stop(spark, sf):
-    """Validation AUC per boosting round and the early-stopping pick (patience 20)."""
+    """AUC per boosting round on the fitting and the validation rows, and the early-stopping pick."""
     base = smp.with_validation_flag(
         flows.split_prepared(spark, sf).where(F.col("split") == "train"), "user_id", 0.2).persist()
     feats = flows.model_features(base)
-    model = boost.gbt_fit(base.where(~F.col("is_valid")), feats, "churn_100",
-                          **{**flows.GBT_PARAMS, "maxIter": 30, "maxDepth": 3})
+    model = boost.gbt_fit(base.where(~F.col("is_valid")), feats, "churn_100", **{**flows.GBT_PARAMS, "maxDepth": 3})
     ens = boost.ensemble_from_spark(model, feats)
-    curve = boost.staged_auc(ens, base.where(F.col("is_valid")), "churn_100").persist()
+    both = [materialize(boost.staged_auc(ens, base.where(F.col("is_valid") == v), "churn_100"))
+            .withColumn("part", F.lit("valid" if v else "train")) for v in (True, False)]
+    best = boost.best_iteration([(r["iteration"], r["auc"]) for r in both[0].collect()], 20)
+    base.unpersist()
+    return both[0].unionByName(both[1]).withColumn("is_best", F.col("iteration") == F.lit(best))
+
+
+@query("early_stop_score")
+def q_early_stop_score(spark, sf):
+    """Test report of the model cut to its best validation round (rows-only)."""
+    data = flows.split_prepared(spark, sf)
+    base = smp.with_validation_flag(data.where(F.col("split") == "train"), "user_id", 0.2).persist()
+    feats = flows.model_features(data)
+    model = boost.gbt_fit(base.where(~F.col("is_valid")), feats, "churn_100", **{**flows.GBT_PARAMS, "maxDepth": 3})
+    ens, auc = boost.early_stopped(model, feats, base.where("is_valid"), "churn_100")
+    base.unpersist()
+    scored = materialize(boost.score_ensemble(data.where(F.col("split") == "test"), ens, "user_id", keep=["churn_100"]))
+    return _evaluate(scored, "churn_100").withColumns({"rounds": F.lit(len(ens.trees)), "valid_auc": F.lit(auc)})
+
+
+@query("early_stop_pick_frozen", osql.early_stop_pick_sql)
+def q_early_stop_pick(spark, sf):
+    """The best round of the frozen curve (M9)."""
+    data = flows.split_prepared(spark, sf).where(F.col("split") == "test")
+    curve = materialize(boost.staged_auc(flows.FROZEN, data, "churn_100").withColumn("auc", rnd("auc", 6)))
     best = boost.best_iteration([(r["iteration"], r["auc"]) for r in curve.collect()], 20)
-    return curve.withColumn("is_best", F.col("iteration") == F.lit(best))
+    return curve.where(F.col("iteration") == best).select("iteration", "auc")
+
+
+@query("fold_means", osql.fold_means_sql)
+def q_fold_means(spark, sf):
+    """Mean AUC over folds for the prefixes of the frozen trees, and the first best one."""
+    data = smp.assign_folds(flows.split_prepared(spark, sf), "user_id", 5)
+    per = None
+    for k in (1, 2, 3):
+        s = data.select("fold", "churn_100", rnd(flows.FROZEN.margin_expr(k), 6).alias("m"))
+        one = metrics.roc_auc_table(s, "m", "churn_100", by=["fold"]).select(F.lit(k).alias("trees"), rnd("auc", 9).alias("auc"))
+        per = one if per is None else per.unionByName(one)
+    means = materialize(metrics.mean_over_folds(per, ["trees"]).withColumn("mean_auc", rnd("mean_auc", 6)))
+    best = metrics.best_setting(means, "mean_auc", "trees").first()["trees"]
+    return means.select("trees", "mean_auc", "folds", (F.col("trees") == best).alias("is_best"))
+
+
+@query("gbt_fit_best")
+def q_gbt_fit_best(spark, sf):
+    """CV, refit of the best setting, test report (rows-only)."""
+    return flows.gbt_fit_best(spark, sf, maxIter=10, seed=42)
+
+
+@query("shap_subset", osql.shap_subset_sql)
+def q_shap_subset(spark, sf):
+    out = report.shap_subset(flows.frozen_shap_long(spark, sf), "tc_diff", 1.0)
+    return _rounded(out.select("user_id", "value", "shap"), ["shap"])
+
+
+@query("preview", osql.preview_sql)
+def q_preview(spark, sf):
+    """Ordered slice (S6, O2): a display feature, so its limit is the point."""
+    from ..sources.io import preview
+    return preview(fx.feature_table(spark, sf).select("user_id", "tc"), ["tc", "user_id"], offset=5, n=20)
+
+
+@query("csv_round_trip", osql.csv_sql)
+def q_csv(spark, sf):
+    """CSV written and read with an explicit schema (S4); the files are in the shared folder."""
+    import uuid
+
+    from ..sources.io import read_csv, write_csv
+    from ..sources.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    cf = fx.feature_table(spark, sf).select("user_id", "c_mktsegment", "churn_100")
+    write_csv(cf, path)
+    return read_csv(spark, path, cf.schema)
 
 
 @query("tree_shap_trained")
@@ -453,10 +537,10 @@ def _mlp_history(spark, sf, epochs, lr, hidden):
 @query("mlp_fit")
 def q_mlp_fit(spark, sf):
     """Per-epoch loss / accuracy / AUC of the SGD MLP on train and test (rows-only)."""
-    return _mlp_history(spark, sf, epochs=5, lr=0.05, hidden=16)
+    return _mlp_history(spark, sf, epochs=40, lr=0.05, hidden=64)
 
 
-def _cv_mlp_summary(spark, sf, lrs=(0.1, 0.05), folds=5, epochs=3, hidden=16):
+def _cv_mlp_summary(spark, sf, lrs=(0.1, 0.05), folds=5, epochs=10, hidden=64):
     data, feats = flows.mlp_input(spark, sf)
     train = smp.assign_folds(data.where(F.col("split") == "train"), "user_id", folds).persist()
     specs = [nn.Spec(lr, f) for lr in lrs for f in range(folds)]
@@ -489,7 +573,7 @@ def q_mlp_best(spark, sf):
     summary, data, feats = _cv_mlp_summary(spark, sf)
     best = metrics.best_setting(summary, "mean_auc", "grid_index").first()
     train = data.where(F.col("split") == "train").persist()
-    ws = nn.mlp_fit(train, feats, "churn_100", hidden=16, epochs=3, lr=float(best["lr"]))
+    ws = nn.mlp_fit(train, feats, "churn_100", hidden=64, epochs=40, lr=float(best["lr"]))
     train.unpersist()
     scored = nn.mlp_score(data.where(F.col("split") == "test"), ws, feats, "user_id",
                           keep=["churn_100"])
@@ -509,7 +593,7 @@ def q_mlp_builtin(spark, sf):
 @query("mlp_variant")
 def q_mlp_variant(spark, sf):
     """Keras-style options (M28): tanh, Adam, dropout .2, label smoothing .05, early stop on
-    validation AUC with patience 2; per-epoch validation AUC and the kept epoch (rows-only)."""
+    validation AUC with patience 10; per-epoch validation AUC and the kept epoch (rows-only)."""
     data, feats = flows.mlp_input(spark, sf)
     base = smp.with_validation_flag(data.where(F.col("split") == "train"), "user_id", 0.2).persist()
     fit_rows, valid = base.where(~F.col("is_valid")), base.where(F.col("is_valid"))
@@ -521,8 +605,8 @@ def q_mlp_variant(spark, sf):
         curve.append(auc)
         return auc
 
-    stopper = nn.early_stopping(valid_auc, patience=2)
-    nn.mlp_fit(fit_rows, feats, "churn_100", hidden=16, epochs=6, lr=0.01, activation="tanh",
+    stopper = nn.early_stopping(valid_auc, patience=10)
+    nn.mlp_fit(fit_rows, feats, "churn_100", hidden=60, epochs=30, lr=0.01, activation="tanh",
                optimizer="adam", dropout=0.2, smoothing=0.05, on_epoch=stopper)
     best_epoch = stopper.state["best"][0]
     base.unpersist()

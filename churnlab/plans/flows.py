@@ -93,8 +93,8 @@ def segment_input(spark: SparkSession, sf: str) -> DataFrame:
     return prepare.standardize(filled, SEGMENT_FEATURES, ddof=1, suffix="_z")
 
 
-def segment_profile_flow(spark: SparkSession, sf: str, k: int = 4, restarts: int = 3,
-                         max_iter: int = 20) -> DataFrame:
+def segment_profile_flow(spark: SparkSession, sf: str, k: int = 4, restarts: int = 5,
+                         max_iter: int = 100) -> DataFrame:
     """Minimum slice: k-means best of ``restarts`` seeds, then mean features per cluster."""
     data = segment_input(spark, sf).persist()
     zcols = [c + "_z" for c in SEGMENT_FEATURES]
@@ -115,7 +115,7 @@ FROZEN_CENTERS = [
 
 
 # ------------------------------------------------------------- trained boosted trees
-GBT_PARAMS = dict(maxIter=10, maxDepth=4, seed=42, subsamplingRate=0.8,
+GBT_PARAMS = dict(maxIter=100, maxDepth=4, seed=42, subsamplingRate=0.8,
                   featureSubsetStrategy="0.9", stepSize=0.1)
 
 

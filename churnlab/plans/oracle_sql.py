@@ -719,3 +719,35 @@ def correlation_odd_sql() -> str:
 def validation_flag_sql() -> str:
     from ..functions.hashing import hash_unit_sql
     return with_cf(f"SELECT user_id, churn_100, {hash_unit_sql('user_id', 'valid')} < 0.2 AS is_valid FROM cf")
+
+
+def early_stop_pick_sql() -> str:
+    return f"""SELECT iteration, auc FROM ({early_stop_curve_sql()}) c
+ORDER BY auc DESC, iteration LIMIT 1"""
+
+
+def fold_means_sql() -> str:
+    from ..functions.hashing import hash_unit_sql
+    from .flows import FROZEN
+    parts = [f"SELECT {k} AS trees, CAST(floor({hash_unit_sql('user_id', 'fold')} * 5) AS INTEGER) AS fold, "
+             f"churn_100 AS y, round({margin_sql(FROZEN, k)}, 6) AS m FROM prep" for k in (1, 2, 3)]
+    return prep_cte() + f""", st AS ({' UNION ALL '.join(parts)}),
+r AS (SELECT trees, fold, y, rank() OVER (PARTITION BY trees, fold ORDER BY m)
+             + (count(*) OVER (PARTITION BY trees, fold, m) - 1) / 2.0 AS mid FROM st),
+a AS (SELECT trees, fold, round((sum(CASE WHEN y = 1 THEN mid END) - count_if(y = 1) * (count_if(y = 1) + 1) / 2.0)
+             / (count_if(y = 1) * count_if(y = 0)), 9) AS auc FROM r GROUP BY trees, fold),
+m AS (SELECT trees, round(avg(auc), 6) AS mean_auc, count(*) AS folds FROM a GROUP BY trees)
+SELECT trees, mean_auc, folds, trees = (SELECT trees FROM m ORDER BY mean_auc DESC, trees LIMIT 1) AS is_best FROM m"""
+
+
+def shap_subset_sql() -> str:
+    return shap_cte() + """
+SELECT user_id, value, round(shap, 6) AS shap FROM lg WHERE feature = 'tc_diff' AND value = 1.0"""
+
+
+def preview_sql() -> str:
+    return with_cf("SELECT user_id, tc FROM cf ORDER BY tc, user_id LIMIT 20 OFFSET 5")
+
+
+def csv_sql() -> str:
+    return with_cf("SELECT user_id, c_mktsegment, churn_100 FROM cf")

@@ -27,12 +27,6 @@ def read_table(spark: SparkSession, name_or_path: str, base: str | None = None)
     return spark.table(name_or_path)
 
 
-def register_tables(spark: SparkSession, base: str, names=TABLES) -> None:
-    """Expose the Parquet tables under ``base`` as temporary views."""
-    for name in names:
-        read_table(spark, name, base).createOrReplaceTempView(name)
-
-
 def write_table(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
     """Overwrite sink (S5): a catalog table by name or a path."""
