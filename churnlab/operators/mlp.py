@@ -40,23 +40,27 @@ def softmax(a: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def init_weights(d: int, h: int, out: int = 2, seed: int = 0,
+def layer_widths(hidden: int | list[int]) -> list[int]:
+    """An integer means the three equal hidden layers of the numpy script."""
+    return [hidden] * 3 if isinstance(hidden, int) else list(hidden)
+
+
+def init_weights(d: int, h: int | list[int], out: int = 2, seed: int = 0,
                  feature_weight: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Xavier-style normal init; optional feature-informed first layer."""
     rng = np.random.RandomState(seed)
-    v0, v1, v2 = 2.0 / (h + d), 2.0 / (2 * h), 2.0 / (out + h)
-    w0 = rng.randn(d, h) * np.sqrt(v0)
+    sizes = [d, *layer_widths(h), out]
+    weights = [(rng.randn(m, n) * np.sqrt(2.0 / (m + n)), np.zeros(n)) for m, n in zip(sizes, sizes[1:])]
     if feature_weight is not None:
-        w0 = np.asarray(feature_weight, float)[:, None] + w0
-        w0 = np.abs(w0 / np.max(w0))
-    return [(w0, np.zeros(h)),
-            (rng.randn(h, h) * np.sqrt(v1), np.zeros(h)),
-            (rng.randn(h, h) * np.sqrt(v1), np.zeros(h)),
-            (rng.randn(h, out) * np.sqrt(v2), np.zeros(out))]
+        w0 = np.asarray(feature_weight, float)[:, None] + weights[0][0]
+        weights[0] = (np.abs(w0 / np.max(w0)), weights[0][1])
+    return weights
+
 
+def forward(x: np.ndarray, weights, activation: str = "softplus", masks=None, first_linear: bool = True):
+    """Pre-activations and activations of every layer (the first one linear unless told otherwise).
 
-def forward(x: np.ndarray, weights, activation: str = "softplus", masks=None):
-    """Pre-activations and activations of every layer (first layer linear).
+    The two-way softmax output is a sigmoid of the difference of its inputs.
 
     ``masks[i]`` (inverted dropout, already scaled) multiplies the output of
     hidden layer i before it feeds the next layer.
@@ -66,7 +70,7 @@ def forward(x: np.ndarray, weights, activation: str = "softplus", masks=None):
     h = x
     for i, (w, b) in enumerate(weights):
         a = b + h @ w
-        if i == 0:
+        if i == 0 and first_linear:
             h = a
         elif i == len(weights) - 1:
             h = softmax(a)
@@ -90,7 +94,7 @@ ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-7
 
 def sgd_step(weights, x: np.ndarray, y: np.ndarray, lr: float, activation: str = "softplus",
              linear_grad: str = "identity", smoothing: float = 0.0, dropout: float = 0.0,
-             rng: np.random.RandomState | None = None, adam=None):
+             rng: np.random.RandomState | None = None, adam=None, first_linear: bool = True):
     """One mini-batch update; all deltas first, then every layer (as the reference).
 
     ``adam`` = (m, v, t) switches the update to Adam and returns
@@ -103,7 +107,7 @@ def sgd_step(weights, x: np.ndarray, y: np.ndarray, lr: float, activation: str =
         rng = rng or np.random.RandomState(0)
         masks = [(rng.random_sample((len(y), w.shape[1])) >= dropout) / (1.0 - dropout)
                  for w, _ in weights[:-1]]
-    a_l, h_l = forward(x, weights, activation, masks)
+    a_l, h_l = forward(x, weights, activation, masks, first_linear)
     target = np.eye(2)[y]
     if smoothing:
         target = target * (1 - smoothing) + smoothing / 2
@@ -113,7 +117,7 @@ def sgd_step(weights, x: np.ndarray, y: np.ndarray, lr: float, activation: str =
         back = delta[i + 1] @ weights[i + 1][0].T
         if masks is not None:
             back = back * masks[i]
-        if i == 0 and linear_grad == "identity":
+        if i == 0 and first_linear and linear_grad == "identity":
             delta[i] = back
         else:
             delta[i] = _act_grad(a_l[i], activation) * back
@@ -165,7 +169,7 @@ class Spec:
 
 def mlp_score(df: DataFrame, weights, feature_cols: list[str], id_col: str,
               keep: list[str] = (), activation: str = "softplus",
-              layer: int | None = None) -> DataFrame:
+              layer: int | None = None, first_linear: bool = True) -> DataFrame:
     """``(id, keep..., p0, p1, score)`` by a forward pass in Arrow batches.
 
     ``layer=1`` also returns the first hidden layer's activations (M31).
@@ -182,7 +186,7 @@ def mlp_score(df: DataFrame, weights, feature_cols: list[str], id_col: str,
         ws = bc.value
         for pdf in batches:
             x = pdf[feature_cols].to_numpy(dtype=float)
-            _, h_l = forward(x, ws, activation)
+            _, h_l = forward(x, ws, activation, first_linear=first_linear)
             out = {id_col: pdf[id_col].to_numpy()}
             for c in keep:
                 out[c] = pdf[c].to_numpy()
@@ -237,7 +241,7 @@ def _chunks(batches, size: int = SHUFFLE_ROWS):
 
 def _epoch(df: DataFrame, states: list[np.ndarray], shapes, specs: list[Spec], feature_cols,
            label, fold_col, batch: int, seed: int, epoch: int, activation, linear_grad,
-           smoothing, dropout, optimizer) -> list[np.ndarray]:
+           smoothing, dropout, optimizer, first_linear=True) -> list[np.ndarray]:
     """One distributed epoch for every model; returns the averaged state per model."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(states)
@@ -267,7 +271,7 @@ def _epoch(df: DataFrame, states: list[np.ndarray], shapes, specs: list[Spec], f
                 for s in range(0, len(y), batch):
                     sel = idx[s:s + batch]
                     out = sgd_step(ws, x[sel], y[sel], spec.lr, activation, linear_grad,
-                                   smoothing, dropout, drop_rng, adam)
+                                   smoothing, dropout, drop_rng, adam, first_linear)
                     ws, adam = out if adam is not None else (out, None)
                 current[m] = (ws, adam)
                 seen[m] += len(y)
@@ -285,12 +289,12 @@ def _epoch(df: DataFrame, states: list[np.ndarray], shapes, specs: list[Spec], f
     return out
 
 
-def mlp_fit(df: DataFrame, feature_cols: list[str], label: str, hidden: int = 64,
+def mlp_fit(df: DataFrame, feature_cols: list[str], label: str, hidden: int | list[int] = 64,
             epochs: int = 40, lr: float = 0.01, batch: int = 128, seed: int = 1,
             init_seed: int = 0, activation: str = "softplus", linear_grad: str = "identity",
             smoothing: float = 0.0, dropout: float = 0.0, optimizer: str = "sgd",
             specs: list[Spec] | None = None, fold_col: str | None = None,
-            init=None, on_epoch=None):
+            init=None, on_epoch=None, first_linear: bool = True):
     """Train one model (or several ``specs`` in the same pass); returns the weights.
 
     ``optimizer`` is 'sgd' (the numpy script) or 'adam' (the Keras script; its
@@ -305,7 +309,7 @@ def mlp_fit(df: DataFrame, feature_cols: list[str], label: str, hidden: int = 64
     states = [_pack([(w.copy(), b.copy()) for w, b in base], adam0) for _ in specs]
     for e in range(epochs):
         states = _epoch(df, states, shapes, specs, feature_cols, label, fold_col, batch, seed,
-                        e, activation, linear_grad, smoothing, dropout, optimizer)
+                        e, activation, linear_grad, smoothing, dropout, optimizer, first_linear)
         weights = [_unpack(v, shapes, optimizer)[0] for v in states]
         if on_epoch is not None and on_epoch(e + 1, weights):
             break

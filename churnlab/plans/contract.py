@@ -592,23 +592,51 @@ def q_mlp_builtin(spark, sf):
 
 @query("mlp_variant")
 def q_mlp_variant(spark, sf):
-    """Keras-style options (M28): tanh, Adam, dropout .2, label smoothing .05, early stop on
-    validation AUC with patience 10; per-epoch validation AUC and the kept epoch (rows-only)."""
+    """Keras-style options (M28): layers 60-30, tanh, Adam, dropout .2, label smoothing .05, early stop
+    on validation AUC; per-epoch validation AUC, the kept epoch and its weights' test AUC (rows-only)."""
     data, feats = flows.mlp_input(spark, sf)
     base = smp.with_validation_flag(data.where(F.col("split") == "train"), "user_id", 0.2).persist()
     fit_rows, valid = base.where(~F.col("is_valid")), base.where(F.col("is_valid"))
     curve = []
 
+    def auc_of(ws, rows):
+        s = nn.mlp_score(rows, ws, feats, "user_id", keep=["churn_100"], activation="tanh", first_linear=False)
+        return metrics.roc_auc(s, "score", "churn_100")
+
     def valid_auc(ws):
-        s = nn.mlp_score(valid, ws, feats, "user_id", keep=["churn_100"], activation="tanh")
-        auc = metrics.roc_auc(s, "score", "churn_100")
-        curve.append(auc)
-        return auc
+        curve.append(auc_of(ws, valid))
+        return curve[-1]
 
     stopper = nn.early_stopping(valid_auc, patience=10)
-    nn.mlp_fit(fit_rows, feats, "churn_100", hidden=60, epochs=30, lr=0.01, activation="tanh",
-               optimizer="adam", dropout=0.2, smoothing=0.05, on_epoch=stopper)
-    best_epoch = stopper.state["best"][0]
+    nn.mlp_fit(fit_rows, feats, "churn_100", hidden=[60, 30], epochs=30, lr=0.01, activation="tanh", optimizer="adam",
+               dropout=0.2, smoothing=0.05, on_epoch=stopper, first_linear=False)
+    best_epoch, _, kept = stopper.state["best"]
+    test = auc_of(kept, data.where(F.col("split") == "test"))
     base.unpersist()
-    rows = [(i + 1, a, i + 1 == best_epoch) for i, a in enumerate(curve)]
-    return spark.createDataFrame(rows, "epoch int, valid_auc double, is_best boolean")
+    rows = [(i + 1, a, i + 1 == best_epoch, test if i + 1 == best_epoch else None) for i, a in enumerate(curve)]
+    return spark.createDataFrame(rows, "epoch int, valid_auc double, is_best boolean, test_auc double")
+
+
+@query("mlp_learning_rates")
+def q_mlp_rates(spark, sf):
+    """Final train loss and accuracy of four learning rates without CV, trained in one pass per epoch (rows-only)."""
+    data, feats = flows.mlp_input(spark, sf)
+    train = data.where(F.col("split") == "train").persist()
+    rates = (0.1, 0.05, 0.01, 0.001)
+    models = nn.mlp_fit(train, feats, "churn_100", hidden=64, epochs=10, specs=[nn.Spec(r) for r in rates])
+    out = None
+    for rate, ws in zip(rates, models):
+        loss = metrics.kl_loss(nn.mlp_score(train, ws, feats, "user_id", keep=["churn_100"]), "score", "churn_100")
+        one = loss.select(F.lit(rate).alias("lr"), "kl_mean", "log_loss", "accuracy")
+        out = one if out is None else out.unionByName(one)
+    out = materialize(out)
+    train.unpersist()
+    return out
+
+
+@query("mlp_activations", osql.mlp_activations_sql)
+def q_mlp_activations(spark, sf):
+    """First-layer activations of the frozen network."""
+    data, feats = flows.mlp_input(spark, sf, flows.MLP_FROZEN_FEATURES)
+    out = nn.mlp_score(data, flows.frozen_mlp_weights(len(feats)), feats, "user_id", layer=1)
+    return out.select("user_id", *[rnd(F.get("activation", F.lit(i)), 6).alias(f"h{i}") for i in range(3)])

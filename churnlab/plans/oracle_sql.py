@@ -751,3 +751,13 @@ def preview_sql() -> str:
 
 def csv_sql() -> str:
     return with_cf("SELECT user_id, c_mktsegment, churn_100 FROM cf")
+
+
+def mlp_activations_sql() -> str:
+    from .flows import MLP_FROZEN_FEATURES, frozen_mlp_weights
+    w, b = frozen_mlp_weights(len(MLP_FROZEN_FEATURES))[0]
+    zs = ", ".join(f"({c} - avg({c}) FILTER (WHERE split = 'train') OVER ()) / "
+                   f"stddev_pop({c}) FILTER (WHERE split = 'train') OVER () AS z_{c}" for c in MLP_FROZEN_FEATURES)
+    units = ", ".join("round(" + f"{_f(b[j])} + " + " + ".join(
+        f"z_{c} * {_f(w[i, j])}" for i, c in enumerate(MLP_FROZEN_FEATURES)) + f", 6) AS h{j}" for j in range(w.shape[1]))
+    return prep_cte() + f", l0 AS (SELECT user_id, {zs} FROM prep)\nSELECT user_id, {units} FROM l0"

@@ -1,6 +1,7 @@
 """MLP: numerical gradients, sequential equality, independence of Arrow batches."""
 
 import numpy as np
+import pytest
 
 from churnlab.operators import mlp
 
@@ -12,18 +13,19 @@ def frame(spark, x, y, parts=1):
     return df.coalesce(parts).persist(), cols
 
 
-def test_step_follows_the_numerical_gradient():
+@pytest.mark.parametrize("hidden,act,linear", [(4, "softplus", True), ([5, 3], "tanh", False)])
+def test_step_follows_the_numerical_gradient(hidden, act, linear):
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(12, 3)), rng.integers(0, 2, 12)
-    ws = mlp.init_weights(3, 4, 2, seed=2)
+    ws = mlp.init_weights(3, hidden, 2, seed=2)
 
     def loss(vec):
-        h = mlp.forward(x, mlp.unflatten(vec, mlp.shapes_of(ws)), "softplus", None)[1][-1]
+        h = mlp.forward(x, mlp.unflatten(vec, mlp.shapes_of(ws)), act, None, linear)[1][-1]
         return -np.log(h[np.arange(len(y)), y]).mean()
 
     at = mlp.flatten(ws)
     numeric = np.array([(loss(at + e) - loss(at - e)) / 2e-6 for e in np.eye(len(at)) * 1e-6])
-    step = mlp.flatten(mlp.sgd_step(ws, x, y, 1.0, "softplus", "identity"))
+    step = mlp.flatten(mlp.sgd_step(ws, x, y, 1.0, act, "identity", first_linear=linear))
     np.testing.assert_allclose(at - step, numeric, atol=1e-6)
 
 
