@@ -49,18 +49,24 @@ def _lines(docs: DataFrame) -> DataFrame:
         .select("doc", "at", F.lower(F.btrim("line", F.lit(WHITE))).alias("line"))
 
 
-def _hashes(line: Column, k: int) -> Column:
-    """Hashes of the k-word shingles; a shorter line is one token."""
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))
-    return let(F.split(line, WHITE_RUN), windows)
+def _word_hashes(line: Column) -> Column:
+    return F.transform(F.split(line, WHITE_RUN), lambda w: F.xxhash64(w))
+
+
+def _shingle(h: Column, i: Column, k: int) -> Column:
+    """The hash of ``k`` words from place ``i``; a shorter line ends in nulls, which the hash skips."""
+    return F.xxhash64(*[F.get(h, i + j) for j in range(k)])
+
+
+def _places(h: Column, k: int) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0)))
 
 
 def rarity_ranks(lines: DataFrame, k: int = SHINGLE, buckets: int = BUCKETS) -> DataFrame:
     """One row with an array: the rarity rank (0 to 4095) of each hash bucket, from counts over all lines."""
-    split = lines.select(F.split("line", WHITE_RUN).alias("w"))
-    counted = split.select("w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1)))).alias("i")) \
-        .select(F.xxhash64(F.slice("w", "i", k)).alias("h")).groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    hashed = lines.select(_word_hashes(F.col("line")).alias("h"))
+    counted = hashed.select("h", F.explode(_places(F.col("h"), k)).alias("i")) \
+        .groupBy(F.pmod(_shingle(F.col("h"), F.col("i"), k), F.lit(buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = lines.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left")
     rank = F.least(F.lit(4095), F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 64)).cast("int")
     return stored(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", rank.alias("r")))), lambda x: x["r"]).alias("ranks")))
@@ -73,8 +79,9 @@ def _tokens(lines: DataFrame, ranks: DataFrame, k: int, buckets: int) -> DataFra
         rank = F.get(F.col("ranks"), F.pmod(h, F.lit(buckets)).cast("int")).cast("long")
         return F.shiftleft(rank, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(mask)))
     # a subquery with one row puts the array beside each line
+    shingles = let(_word_hashes(F.col("line")), lambda h: F.transform(_places(h, k), lambda i: _shingle(h, i, k)))
     return lines.withColumn("ranks", ranks.scalar()) \
-        .select("doc", "at", F.sort_array(F.array_distinct(F.transform(_hashes(F.col("line"), k), token))).alias("tokens"))
+        .select("doc", "at", F.sort_array(F.array_distinct(F.transform(shingles, token))).alias("tokens"))
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -83,10 +90,16 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
 
 
 def _may_match(percent: int) -> Column:
-    """Length and positional filter of a row (n, pos) against (m, qos), sharing the token there."""
+    """Length, prefix and positional filter of a row (n, pos) against (m, qos), sharing the token there.
+
+    Sets that share ``c`` tokens meet in the first n - c + 1 of one and m - c + 1
+    of the other, so with the overlap that this pair of sizes needs, the prefixes
+    get shorter than those made for all sizes.
+    """
     n, pos, m, qos = (F.col(c) for c in ("n", "pos", "m", "qos"))
+    needed = _needed(n, m, percent)
     reach = F.least(pos, qos) + 1 + F.least(n - pos - 1, m - qos - 1)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (reach >= _needed(n, m, percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (pos <= n - needed) & (qos <= m - needed) & (reach >= needed)
 
 
 def _verified(pairs: DataFrame, lines_of: DataFrame, ranks: DataFrame, k: int, buckets: int, percent: int) -> DataFrame:
@@ -94,7 +107,7 @@ def _verified(pairs: DataFrame, lines_of: DataFrame, ranks: DataFrame, k: int, b
     ends = stored(pairs.select("doc", "at").union(pairs.select("d", "a")).distinct())
     ids = stored(ends.select("doc").distinct())
     lines = _lines(lines_of.join(bounded(ids), "doc", "left_semi")).join(bounded(ends), ["doc", "at"], "left_semi")
-    sets = _tokens(lines, ranks, k, buckets).dropDuplicates(["doc", "at"])
+    sets = _tokens(lines, ranks, k, buckets)
     other = sets.select(F.col("doc").alias("d"), F.col("at").alias("a"), F.col("tokens").alias("others"))
     shared = F.size(F.array_intersect("tokens", "others"))
     return pairs.join(sets, ["doc", "at"]).join(other, ["d", "a"]) \
@@ -133,12 +146,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = stored(_verified(star, base, ranks, k, buckets, percent).select("doc", "at").distinct())
     open_rows = shared.drop("lead").join(bounded(gone), ["doc", "at"], "left_anti")
     earlier = shared.select(F.col("doc").alias("d"), F.col("at").alias("a"), F.col("n").alias("m"), F.col("pos").alias("qos"), "token")
-    # all common prefix tokens are counted here: with the longer rest behind a prefix they bound the overlap
-    behind = F.greatest(F.ceil(F.col("n") * percent / 100) - 1, F.ceil(F.col("m") * percent / 100) - 1)
     rest = open_rows.join(earlier, "token") \
-        .where((F.struct("d", "a") < F.struct("doc", "at")) & _may_match(percent)) \
-        .groupBy("doc", "at", "d", "a", "n", "m").agg(F.count(F.lit(1)).alias("common")) \
-        .where(F.col("common") >= _needed(F.col("n"), F.col("m"), percent) - behind).select("doc", "at", "d", "a") \
+        .where((F.struct("d", "a") < F.struct("doc", "at")) & _may_match(percent)).select("doc", "at", "d", "a").distinct() \
         .join(star, ["doc", "at", "d", "a"], "left_anti")
     late = _verified(stored(rest), base, ranks, k, buckets, percent).select("doc", "at").distinct()
     return copies.union(gone).union(late)
