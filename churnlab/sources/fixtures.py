@@ -105,54 +105,45 @@ def _order_aggregates(orders: DataFrame, b: dict) -> DataFrame:
 
 
 def _line_aggregates(orders, lineitem, part, supplier, b) -> DataFrame:
-    """Line-item features per customer in two aggregation levels.
-
-    Level 1 groups by (customer, supplier): every sum, min and max, plus the
-    discount in integer cents (count, sum, sum of squares - exact).  Level 2
-    rolls those up per customer: ``distinct_store`` is the number of level-1
-    groups and ``distinct_city`` the only distinct aggregate, so Spark needs
-    no ``Expand`` (which would copy every line item once per distinct
-    aggregate before the shuffle).  The sample standard deviation comes from
-    the exact integer moments: var = (n S2 - S1^2) / (n (n - 1)) / 100^2.
+    """Line-item features per customer.
+
+    Sums, minima, maxima and the discount's moments in integer cents (exact) go
+    straight to the customer, combined in the map tasks first.  Stores and
+    cities come from a two-column distinct (customer, supplier) of their own, so
+    the wide aggregate is never shuffled once per supplier, and no ``Expand``
+    copies line items per distinct aggregate.  The sample standard deviation
+    comes from the moments: var = (n S2 - S1^2) / (n (n - 1)) / 100^2.
     """
     ob = orders.filter(F.col("o_orderdate") < _ts(b["cut"])).select("o_orderkey", "o_custkey")
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity",
                          "l_extendedprice", "l_discount")
-    j = (
-        li.join(ob, li.l_orderkey == ob.o_orderkey)
-        .join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left")
-        .join(supplier.select("s_suppkey", "s_nationkey"),
-              F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    )
+    placed = li.join(ob, li.l_orderkey == ob.o_orderkey)
     disc = F.col("l_discount")
     cents = F.round(disc * 100).cast("bigint")
-    level1 = [
-        F.count(disc).alias("_n"), F.sum(disc).alias("_sum"),
-        F.sum(cents).alias("_c1"), F.sum(cents * cents).alias("_c2"),
-        F.max(disc).alias("_max"), F.min(disc).alias("_min"),
-        F.max("s_nationkey").alias("_nation"),
-    ]
-    for t in P_TYPES:
-        is_t = F.col("p_type") == t
-        level1 += [F.sum(F.when(is_t, F.col("l_quantity")).otherwise(0.0)).alias(f"_q_{t}"),
-                   F.sum(F.when(is_t, F.col("l_extendedprice")).otherwise(0.0)).alias(f"_p_{t}")]
-    per_supplier = j.groupBy("o_custkey", "l_suppkey").agg(*level1)
-
-    n, c1, c2 = F.sum("_n"), F.sum("_c1"), F.sum("_c2")
+    n, c1, c2 = F.count(disc), F.sum(cents), F.sum(cents * cents)
     var_cents = F.try_divide((n * c2 - c1 * c1).cast("double"), (n * (n - 1)).cast("double"))
-    level2 = [
-        F.try_divide(rnd(F.sum("_sum"), 2), n.cast("double")).alias("avg_discount"),
-        F.max("_max").alias("max_discount"),
-        F.min("_min").alias("min_discount"),
-        rnd(F.sum("_sum"), 2).alias("sum_discount"),
+    sums = [
+        F.try_divide(rnd(F.sum(disc), 2), n.cast("double")).alias("avg_discount"),
+        F.max(disc).alias("max_discount"),
+        F.min(disc).alias("min_discount"),
+        rnd(F.sum(disc), 2).alias("sum_discount"),
         rnd(F.sqrt(var_cents) / 100.0, 9).alias("std_discount"),
-        F.count(F.col("l_suppkey")).alias("distinct_store"),
-        F.count_distinct("_nation").alias("distinct_city"),
     ]
+    types = []
     for t in P_TYPES:
-        level2 += [rnd(F.sum(f"_q_{t}"), 2).alias(f"{t.lower()}_sold"),
-                   rnd(F.sum(f"_p_{t}"), 2).alias(f"{t.lower()}_sell_price")]
-    return per_supplier.groupBy(F.col("o_custkey").alias("user_id")).agg(*level2)
+        is_t = F.col("p_type") == t
+        types += [rnd(F.sum(F.when(is_t, F.col("l_quantity")).otherwise(0.0)), 2).alias(f"{t.lower()}_sold"),
+                  rnd(F.sum(F.when(is_t, F.col("l_extendedprice")).otherwise(0.0)), 2).alias(f"{t.lower()}_sell_price")]
+    per_customer = placed \
+        .join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left") \
+        .groupBy(F.col("o_custkey").alias("user_id")).agg(*sums, *types)
+    stores = placed.select(F.col("o_custkey").alias("user_id"), "l_suppkey").distinct() \
+        .join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left") \
+        .groupBy("user_id").agg(F.count("l_suppkey").alias("distinct_store"),
+                                F.count_distinct("s_nationkey").alias("distinct_city"))
+    out = per_customer.join(stores, "user_id")
+    first = [c for c in per_customer.columns if not c.endswith(("_sold", "_sell_price"))]
+    return out.select(*first, "distinct_store", "distinct_city", *[c for c in per_customer.columns if c not in first])
 
 
 def _event_aggregates(events: DataFrame) -> DataFrame:
