@@ -38,7 +38,7 @@ MIN_LOG_ODDS = 2.0
 MAX_TERMS = 4096
 STEMS = (4, 5, 6)
 NEAR = 5
-TREES, DEPTH = 20, 4
+TREES, DEPTH = 10, 3
 # Second-person words of the four languages, and plain readings of look-alike characters.
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu te toi ton ta tes vous votre vos "
