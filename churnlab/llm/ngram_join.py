@@ -145,6 +145,11 @@ def _prefix_rows(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
     return docs.select("doc_id", "text", "grp").mapInArrow(run, "token long, doc_id long, grp long, n int")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the listed documents only, so that no other text is shuffled."""
+    return docs.select("doc_id", "text").join(bounded(stored(ids.distinct())), "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of document ids whose whole shingle sets reach the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +169,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]) \
                 .filter(pa.array(keep, pa.bool_()))
 
-    one = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    texts = _texts_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
+    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     full = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(run, "a long, b long")
 
@@ -175,7 +181,8 @@ def _packs(members: DataFrame, sizes: DataFrame, docs: DataFrame, shingles: int)
     sized = members.join(sizes, "doc_id")
     total = sized.groupBy("other").agg(F.ceil(F.sum("n") / shingles).alias("packs"))
     pack = F.pmod(F.xxhash64("doc_id"), F.col("packs")).alias("pack")
-    return sized.join(total, "other").select("other", pack, "doc_id").join(docs.select("doc_id", "text"), "doc_id") \
+    return sized.join(total, "other").select("other", pack, "doc_id") \
+        .join(_texts_of(docs, members.select("doc_id")), "doc_id") \
         .groupBy("other", "pack").agg(F.collect_list(F.struct("doc_id", "text")).alias("sets")).select("other", "sets")
 
 
