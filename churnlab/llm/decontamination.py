@@ -1,20 +1,22 @@
 """Benchmark decontamination: BM25 retrieval of test items for every training passage.
 
-The inverted index is built over the benchmark's items; its impacts are BM25
-term weights divided by the item's own total, so an item scores 1 against
-itself.  Every document is cut into passages of ``passage`` words that overlap by
-half, and each passage is a query.  Retrieval follows block-max WAND, for all
-passages of an Arrow batch at once:
+The inverted index is built over entries of the benchmark's items: the item, its
+question cut into pieces of at most half a passage, and such pieces of the whole
+item if it is longer.  Impacts are BM25 term weights divided by the entry's own
+total, so an entry scores 1 against itself, and an item's score is that of its
+best entry.  Every document is cut into passages of ``passage`` words that overlap
+by half, so a copied piece always lies inside one; each passage is a query.
+Retrieval follows block-max WAND, for all passages of an Arrow batch at once:
 
 1. a passage whose terms' greatest impacts do not sum to the threshold is skipped;
-2. items stand in blocks of 8 with the greatest impact of each term in the block;
+2. entries stand in blocks of 8 with the greatest impact of each term in the block;
    a block is skipped where those sums stay below the threshold;
-3. the items of the blocks that are left are scored exactly, and all at or above
-   the threshold are retrieved.
+3. the entries of the blocks that are left are scored exactly, and the items of all
+   at or above the threshold are retrieved.
 
 A retrieved item counts as leaked if its question and its answer overlap the
-text around the passage: the shares of their 3-word grams found there.  Both
-must reach ``overlap``, or the question alone ``question_only``.  Items with
+text around the passage (the item's length, at least half a passage, on each
+side): the shares of their 3-word grams found there.  Both must reach ``overlap``, or the question alone ``question_only``.  Items with
 columns ``question`` and ``answer`` are taken as they are; a plain ``text`` is split
 before its last line, or last sentence, or in the middle.
 
@@ -76,22 +78,39 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
     return distinct(shingles(words, np.array([0, len(words)]), k)[0])
 
 
-def _share(part: np.ndarray, around: np.ndarray) -> float:
-    """Share of the distinct grams of ``part`` that ``around`` holds."""
+def _own_grams(part: np.ndarray) -> tuple[int, np.ndarray]:
+    """The gram length of a question or an answer, and its distinct grams."""
     k = min(GRAM, len(part))
-    if not k:
-        return 0.0
-    own = _grams(part, k)
-    return float(np.isin(own, _grams(around, k)).mean())
+    return k, _grams(part, k) if k else part
 
 
-class ItemIndex:
-    """BM25 inverted index of items with block-max impacts."""
+def _share(own: tuple[int, np.ndarray], around: np.ndarray) -> float:
+    """Share of the distinct grams of a part that ``around`` holds."""
+    k, grams = own
+    return float(np.isin(grams, _grams(around, k)).mean()) if k else 0.0
+
+
+def _entries(question: np.ndarray, whole: np.ndarray, size: int) -> list[np.ndarray]:
+    """What is indexed of an item: all of it, and pieces of its question and of itself of at most ``size`` words."""
+    cuts = [whole]
+    for part in (question, whole):
+        if len(part):
+            cuts += np.array_split(part, -(-len(part) // size))
+    return list({c.tobytes(): c for c in cuts}.values())
 
-    def __init__(self, ids: list[int], questions: list[str], answers: list[str], everything: list[np.ndarray]):
-        self.ids, self.questions, self.answers = ids, _hashed(questions), _hashed(answers)
-        words = [np.concatenate(x) for x in zip(self.questions, self.answers, strict=True)]
-        self.longest = max(map(len, words), default=0)
+
+class ItemIndex:
+    """BM25 inverted index of the entries of items with block-max impacts."""
+
+    def __init__(self, ids: list[int], questions: list[str], answers: list[str], everything: list[np.ndarray],
+                 passage: int = PASSAGE):
+        self.ids, hashed, answered = ids, _hashed(questions), _hashed(answers)
+        self.questions, self.answers = [_own_grams(w) for w in hashed], [_own_grams(w) for w in answered]
+        whole = [np.concatenate(x) for x in zip(hashed, answered, strict=True)]
+        self.lengths = [len(w) for w in whole]
+        made = [_entries(q, w, max(1, passage // 2)) for q, w in zip(hashed, whole, strict=True)]
+        words = [w for entries in made for w in entries]
+        self.owner = np.repeat(np.arange(len(ids)), [len(x) for x in made]).astype(np.int64)
         lengths = np.array([len(w) for w in words], float)
         mean = np.mean([len(w) for w in everything]) or 1.0
         known, held = np.unique(np.concatenate([distinct(w) for w in everything] or [np.zeros(0, _U)]), return_counts=True)
@@ -110,7 +129,7 @@ class ItemIndex:
         impacts = np.concatenate(impact or [np.zeros(0)])
         self.terms = distinct(terms)
         at = np.searchsorted(self.terms, terms)
-        self.block_max = np.zeros((len(self.terms), -(-max(1, len(ids)) // BLOCK)), np.float32)
+        self.block_max = np.zeros((len(self.terms), -(-max(1, len(words)) // BLOCK)), np.float32)
         np.maximum.at(self.block_max, (at, items // BLOCK), impacts.astype(np.float32))
         self.term_max = self.block_max.max(axis=1) if len(self.terms) else np.zeros(0, np.float32)
         order = np.lexsort((items, at))
@@ -148,7 +167,7 @@ class ItemIndex:
             return
         start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         end = np.append(start[1:], len(term))
-        step = max(64, min(1 << 11, (1 << 20) // max(1, len(self.ids))))
+        step = max(64, min(1 << 11, (1 << 20) // max(1, len(self.owner))))
         for i in range(0, len(start), step):
             lo, hi = start[i], end[min(i + step, len(start)) - 1]
             opened = np.add.reduceat(self.block_max[term[lo:hi]], start[i: i + step] - lo, axis=0) >= slack
@@ -163,20 +182,28 @@ class ItemIndex:
             posting = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(self.first[own], width)
             asked, item = np.repeat(asked, width), self.items[posting]
             kept = opened[found][asked, item // BLOCK]
-            key = asked[kept] * len(self.ids) + item[kept]
-            score = np.bincount(key, weights=self.impacts[posting[kept]], minlength=len(found) * len(self.ids))
-            for at in np.flatnonzero(score >= threshold):
+            key = asked[kept] * len(self.owner) + item[kept]
+            score = np.bincount(key, weights=self.impacts[posting[kept]], minlength=len(found) * len(self.owner))
+            passed = np.flatnonzero(score >= threshold)
+            if not len(passed):
+                continue
+            # the entries of an item are neighbours; its best one counts
+            pair = passed // len(self.owner) * len(self.ids) + self.owner[passed % len(self.owner)]
+            pair, first_of = np.unique(pair, return_index=True)
+            for at, top in zip(pair.tolist(), np.maximum.reduceat(score[passed], first_of).tolist(), strict=True):
                 which = owner[start[i + found[at // len(self.ids)]]]
                 r = int(np.searchsorted(base, which, side="right")) - 1
                 while halves[r] == 0:
                     r -= 1
-                yield r, int(which - base[r]) * half, int(at % len(self.ids)), float(score[at])
+                yield r, int(which - base[r]) * half, at % len(self.ids), top
 
-    def judge(self, item: int, around: np.ndarray) -> tuple[float, float]:
-        return _share(self.questions[item], around), _share(self.answers[item], around)
+    def judge(self, item: int, around: np.ndarray, least: float = 0.0) -> tuple[float, float]:
+        """Shares of the question and of the answer; the answer's is not computed for a question below ``least``."""
+        question = _share(self.questions[item], around)
+        return question, _share(self.answers[item], around) if question >= least else 0.0
 
 
-def _indexes(benchmark: DataFrame, id_col: str, text_col: str, passes: int, number: int) -> list[ItemIndex]:
+def _indexes(benchmark: DataFrame, id_col: str, text_col: str, passes: int, number: int, passage: int) -> list[ItemIndex]:
     split = {"question", "answer"} <= set(benchmark.columns)
     part = benchmark.where(F.pmod(F.xxhash64(id_col), F.lit(passes)) == number).orderBy(id_col)
     if split:
@@ -185,7 +212,7 @@ def _indexes(benchmark: DataFrame, id_col: str, text_col: str, passes: int, numb
         rows = [(r[0], *split_item(r[1])) for r in part.select(id_col, text_col).collect()]
     rows = [r for r in rows if r[0] is not None]
     everything = _hashed([f"{q} {a}" for _, q, a in rows])
-    return [ItemIndex(*map(list, zip(*rows[i: i + SHARD_ITEMS], strict=True)), everything)
+    return [ItemIndex(*map(list, zip(*rows[i: i + SHARD_ITEMS], strict=True)), everything, passage)
             for i in range(0, len(rows), SHARD_ITEMS)]
 
 
@@ -198,7 +225,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     bare = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def one_pass(number: int) -> DataFrame:
-        shared = sc.broadcast(_indexes(benchmark, item_col, item_text_col, passes, number))
+        shared = sc.broadcast(_indexes(benchmark, item_col, item_text_col, passes, number, passage))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -209,9 +236,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     words = word_hashes(raw, starts, ends)
                     for index in shared.value:
                         for row, start, item, score in index.retrieve(words, rows, passage, threshold):
-                            lo = max(rows[row], rows[row] + start - index.longest)
-                            hi = min(rows[row + 1], rows[row] + start + passage + index.longest)
-                            question, answer = index.judge(item, words[lo:hi])
+                            reach = max(index.lengths[item], passage // 2)
+                            lo = max(rows[row], rows[row] + start - reach)
+                            hi = min(rows[row + 1], rows[row] + start + passage + reach)
+                            question, answer = index.judge(item, words[lo:hi], min(overlap, question_only))
                             if question >= overlap and answer >= overlap or question >= question_only:
                                 key, value = (at + row, index.ids[item]), (score, question, answer)
                                 best[key] = max(best.get(key, value), value)

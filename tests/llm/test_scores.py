@@ -129,6 +129,19 @@ def test_decontamination(spark, docs, empty):
     assert {r.doc_id for r in decontamination.without_leaks(made, bench).collect()} == {903, 904}
 
 
+def test_long_items_and_questions_alone_leak(spark):
+    long, split = prose(90, 400), (prose(91, 20), prose(92, 60))
+    bench = spark.createDataFrame([(1, prose(93, 200), prose(94, 200)), (2, *split), (3, long, "")],
+                                  "item_id long, question string, answer string")
+    items = {r.item_id: r for r in bench.collect()}
+    docs = spark.createDataFrame([(10, f"{prose(95, 37)} {items[1].question} {items[1].answer} {prose(96, 300)}"),
+                                  (11, f"{prose(97, 150)} {split[0]} {prose(98, 300)}"), (12, f"{prose(99, 100)} {long}"),
+                                  (13, f"{prose(101, 90)} {split[1]}"), (14, prose(102, 900))], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontamination.leaks(docs, bench).collect()}
+    assert set(found) == {(10, 1), (11, 2), (12, 3)}
+    assert found[11, 2].question_overlap == 1 and found[11, 2].answer_overlap < 0.5 and found[10, 1].answer_overlap == 1
+
+
 def test_retrieval_is_exact():
     rng = random.Random(9)
     vocab = [f"t{i}" for i in range(60)]
