@@ -21,8 +21,10 @@ columns ``question`` and ``answer`` are taken as they are; a plain ``text`` is s
 before its last line, or last sentence, or in the middle.
 
 Words are runs of letters and digits, lower-cased.  The index of up to
-``max_items`` items goes to all tasks; more items take more passes.  Documents
-are not shuffled.  Null texts and items have no words and are never retrieved;
+``max_items`` items goes to all tasks; more items take more passes, built and
+written one after the other.  The number and mean length of items and the items
+that hold a word are counted over the whole benchmark, so passes do not change
+scores.  Documents are not shuffled.  Null texts and items have no words and are never retrieved;
 equal items are reported each; repeated rows repeat their result; columns other
 than ids and texts are ignored.
 """
@@ -99,10 +101,23 @@ def _entries(question: np.ndarray, whole: np.ndarray, size: int) -> list[np.ndar
     return list({c.tobytes(): c for c in cuts}.values())
 
 
+class Counts:
+    """Number and mean length of all items, and how many of them hold each of the ``known`` (sorted) words."""
+
+    def __init__(self, n: int, mean: float, known: np.ndarray, held: np.ndarray):
+        self.mean = mean or 1.0
+        self.known, self.idf = known, np.log1p((n - held + 0.5) / (held + 0.5))
+
+    @classmethod
+    def of(cls, items: list[np.ndarray]) -> Counts:
+        known, held = np.unique(np.concatenate([distinct(w) for w in items] or [np.zeros(0, _U)]), return_counts=True)
+        return cls(len(items), sum(map(len, items)) / max(1, len(items)), known, held)
+
+
 class ItemIndex:
     """BM25 inverted index of the entries of items with block-max impacts."""
 
-    def __init__(self, ids: list[int], questions: list[str], answers: list[str], everything: list[np.ndarray],
+    def __init__(self, ids: list[int], questions: list[str], answers: list[str], everything: Counts | list[np.ndarray],
                  passage: int = PASSAGE):
         self.ids, hashed, answered = ids, _hashed(questions), _hashed(answers)
         self.questions, self.answers = [_own_grams(w) for w in hashed], [_own_grams(w) for w in answered]
@@ -112,15 +127,14 @@ class ItemIndex:
         words = [w for entries in made for w in entries]
         self.owner = np.repeat(np.arange(len(ids)), [len(x) for x in made]).astype(np.int64)
         lengths = np.array([len(w) for w in words], float)
-        mean = np.mean([len(w) for w in everything]) or 1.0
-        known, held = np.unique(np.concatenate([distinct(w) for w in everything] or [np.zeros(0, _U)]), return_counts=True)
-        idf = np.log1p((len(everything) - held + 0.5) / (held + 0.5))
+        counts = everything if isinstance(everything, Counts) else Counts.of(everything)
         term, item, impact = [], [], []
         for i, w in enumerate(words):
             kinds, tf = np.unique(w, return_counts=True)
             if not len(kinds):
                 continue
-            weight = idf[np.searchsorted(known, kinds)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / mean))
+            weight = counts.idf[np.searchsorted(counts.known, kinds)] * tf * (K1 + 1) / (
+                tf + K1 * (1 - B + B * lengths[i] / counts.mean))
             term.append(kinds)
             item.append(np.full(len(kinds), i))
             impact.append(weight / weight.sum())
@@ -203,16 +217,42 @@ class ItemIndex:
         return question, _share(self.answers[item], around) if question >= least else 0.0
 
 
-def _indexes(benchmark: DataFrame, id_col: str, text_col: str, passes: int, number: int, passage: int) -> list[ItemIndex]:
-    split = {"question", "answer"} <= set(benchmark.columns)
-    part = benchmark.where(F.pmod(F.xxhash64(id_col), F.lit(passes)) == number).orderBy(id_col)
-    if split:
-        rows = [(r[0], r[1] or "", r[2] or "") for r in part.select(id_col, "question", "answer").collect()]
-    else:
-        rows = [(r[0], *split_item(r[1])) for r in part.select(id_col, text_col).collect()]
-    rows = [r for r in rows if r[0] is not None]
-    everything = _hashed([f"{q} {a}" for _, q, a in rows])
-    return [ItemIndex(*map(list, zip(*rows[i: i + SHARD_ITEMS], strict=True)), everything, passage)
+def _parts(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, question, answer) or (id, text) of the items with an id."""
+    columns = ["question", "answer"] if {"question", "answer"} <= set(items.columns) else [text_col]
+    return items.where(F.col(id_col).isNotNull()).select(id_col, *columns)
+
+
+def _split(row: tuple) -> tuple[str, str]:
+    return (row[0] or "", row[1] or "") if len(row) == 2 else split_item(row[0])
+
+
+def _word_counts(parts: DataFrame) -> DataFrame:
+    """(word, held, words), stored: items that hold each word; the row without a word has the items and all their words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_split(r) for r in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            items = _hashed([f"{q} {a}" for q, a in rows])
+            word, held = np.unique(np.concatenate([distinct(w) for w in items] or [np.zeros(0, _U)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([None, *word.view(np.int64).tolist()], pa.int64()), pa.array([len(items), *held.tolist()], pa.int64()),
+                pa.array([sum(map(len, items)), *[0] * len(word)], pa.int64())], names=["word", "held", "words"])
+
+    return stored(parts.mapInArrow(run, "word long, held long, words long").groupBy("word")
+                  .agg(F.sum("held").alias("held"), F.sum("words").alias("words")))
+
+
+def _indexes(parts: DataFrame, counted: DataFrame, n: int, mean: float, passes: int, number: int, passage: int) -> list[ItemIndex]:
+    id_col = parts.columns[0]
+    part = parts.where(F.pmod(F.xxhash64(id_col), F.lit(passes)) == number).orderBy(id_col)
+    rows = [(r[0], *_split(r[1:])) for r in part.collect()]
+    words = distinct(np.concatenate(_hashed([f"{q} {a}" for _, q, a in rows]) or [np.zeros(0, _U)]))
+    if passes > 1:
+        mine = part.sparkSession.createDataFrame(pa.table({"word": pa.array(words.view(np.int64))}))
+        counted = counted.join(F.broadcast(mine), "word")
+    held = {r.word: r.held for r in counted.where("word is not null").collect()}
+    counts = Counts(n, mean, words, np.array([held[w] for w in words.view(np.int64).tolist()], float))
+    return [ItemIndex(*map(list, zip(*rows[i: i + SHARD_ITEMS], strict=True)), counts, passage)
             for i in range(0, len(rows), SHARD_ITEMS)]
 
 
@@ -221,11 +261,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           question_only: float = QUESTION_ONLY, max_items: int = MAX_ITEMS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every verified leak, with its best passage's values."""
     sc = docs.sparkSession.sparkContext
-    passes = max(1, math.ceil(benchmark.count() / max_items))
+    parts = _parts(benchmark, item_col, item_text_col)
+    counted = _word_counts(parts)
+    total = counted.where("word is null").first()
+    n, words_of_all = (total.held, total.words) if total else (0, 0)
+    passes = max(1, math.ceil(n / max_items))
     bare = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def one_pass(number: int) -> DataFrame:
-        shared = sc.broadcast(_indexes(benchmark, item_col, item_text_col, passes, number, passage))
+        shared = sc.broadcast(_indexes(parts, counted, n, words_of_all / max(1, n), passes, number, passage))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -250,7 +294,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         return bare.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
-    return reduce(DataFrame.union, [one_pass(i) for i in range(passes)])
+    if passes == 1:
+        return one_pass(0)
+    return reduce(DataFrame.union, [stored(one_pass(i)) for i in range(passes)])
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

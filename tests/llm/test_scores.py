@@ -142,6 +142,16 @@ def test_long_items_and_questions_alone_leak(spark):
     assert found[11, 2].question_overlap == 1 and found[11, 2].answer_overlap < 0.5 and found[10, 1].answer_overlap == 1
 
 
+def test_passes_do_not_change_scores(spark):
+    common = prose(110, 30).split()
+    texts = [f"{' '.join(common[i % 20:i % 20 + 8])} {prose(120 + i, 6 + i)}. {prose(160 + i, 5)}" for i in range(12)]
+    bench = spark.createDataFrame([*enumerate(texts), (None, "no id")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{prose(200 + i, 70)} {' '.join(t.split()[1 + i % 4:])} {prose(300 + i, 70)}")
+                                  for i, t in enumerate(texts)], "doc_id long, text string")
+    one, five = (sorted(map(tuple, decontamination.leaks(docs, bench, max_items=m).collect())) for m in (100, 3))
+    assert len(one) >= 8 and any(r[2] < 0.99 for r in one) and one == five
+
+
 def test_retrieval_is_exact():
     rng = random.Random(9)
     vocab = [f"t{i}" for i in range(60)]
