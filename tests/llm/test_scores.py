@@ -216,6 +216,39 @@ def test_neighbours_share_words():
         assert len({i % 3 for i, _, _ in parts}) == 1
 
 
+def test_neighbours_meet_whatever_the_number_of_shards(spark):
+    rng = random.Random(17)
+    topics = [[prose(500 + 40 * t + i, 2) for i in range(12)] for t in range(8)]
+    docs = [(8 * i + t, " ".join(rng.choice(topics[t]) for _ in range(14))) for i in range(30) for t in range(8)]
+    made = spark.createDataFrame(docs, "doc_id long, text string")
+    for shard_docs in (2048, 30):
+        rows = packing.pack(made, window=512, shard_docs=shard_docs).collect()
+        fills = check_packing(rows, docs, 512)
+        held = Counter((r.sequence_id, r.doc_id % 8) for r in rows)
+        most = {}
+        for (sequence, _), n in held.items():
+            most[sequence] = max(n, most.get(sequence, 0))
+        assert sum(most.values()) > 0.6 * sum(held.values()) and len(fills) == len(most)
+
+
+def test_one_hot_key_is_dealt_out():
+    key = 5 << 48 | 6 << 32 | 7 << 16 | 8
+    levels = [{5: 100, 9: 3}, {5 << 16 | 6: 100}, {5 << 32 | 6 << 16 | 7: 100}, {key: 100}]
+    shards = packing.Shards(levels, 10)
+    assert shards.number == 11 and len({shards.of(key, i) for i in range(100)}) == 10 and shards.of(9 << 48, 0) == 10
+
+
+def test_all_ids_of_the_seed_are_asked_with_counts_of_all_tails():
+    tails = [np.arange(i, 300 + i, dtype=np.uint16) for i in range(5)]
+    counts = packing.Counts.of(tails + [np.arange(250, 300, dtype=np.uint16)] * 40)
+    index = packing.TailIndex(tails, packing.QUERY_TERMS, counts)
+    assert np.diff(index.query_at).tolist() == [300] * 5
+    _, term, weight = packing._weights(tails, counts)
+    for seed, tail in enumerate(tails):
+        wanted = [sum(weight[(term == x) & (packing._pairs(tails)[0] == d)].sum() for x in tail) for d in range(5)]
+        assert np.allclose(index.scores(seed), wanted)
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
