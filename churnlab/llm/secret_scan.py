@@ -1,10 +1,13 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on other runs of encoded text.
 
 The base kinds are patterns (assign, access, hex).  The method adds ``random``
-spans.  Candidates are runs of 20 or more characters of ``[A-Za-z0-9+/_=-]``
-that hold a digit and a letter, overlap no base span, and carry at least
-``min_bits`` bits in the encoding inferred from their characters (hex, base32,
-base36, base62, base64 or its URL form).  Three tests ask whether a candidate
+spans.  Candidates are runs of 20 or more characters of ``[A-Za-z0-9+/_-]``, with
+the ``=`` that end them, in what base spans leave of the text.  A run with
+separators of both base64 and its URL form has no encoding; it is split at those
+of one form, whichever leaves the longer piece, or at all where a piece is nearly
+as long even so, and every piece of 20 characters is a candidate.  Candidates hold
+a digit and a letter and carry at least ``min_bits`` bits in the encoding inferred
+from their characters (hex, base32, base36, base62, base64 or its URL form).  Three tests ask whether a candidate
 is a random string of that encoding:
 
 * chi-squared uniformity of its alphabet (Wilson-Hilferty normal form);
@@ -38,7 +41,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_MIN = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+# a run; or a shorter one that has the length with the "=" that end it
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]{8,19}=+(?![A-Za-z0-9+/_=-])"
+PIECES = tuple(rf"[A-Za-z0-9{x}]{{20,}}=*|[A-Za-z0-9{x}]{{8,19}}=+" for x in ("", "+/", "_-"))
 KINDS = ("assign", "access", "hex", "random")
 ALPHABETS = (
     (r"^[0-9a-f]+$", "0123456789abcdef"),
@@ -131,17 +137,46 @@ def randomness(run: Column) -> Column:
     return let(F.rtrim(run, F.lit("=")), of)
 
 
+def _without(text: Column, base: Column) -> Column:
+    """``text`` with blanks in place of the base spans."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    blank = F.aggregate(base, start, lambda acc, x: F.when(x["e"] <= acc["at"], acc).otherwise(F.struct(
+        x["e"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))),
+                                     F.repeat(F.lit(" "), x["e"] - F.greatest(x["s"], acc["at"]))).alias("out"))),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, blank).otherwise(text)
+
+
+def _pieces(run: Column) -> Column:
+    """Spans inside a run that has separators of two encodings."""
+    def longest(spans: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(spans, lambda x: x["e"] - x["s"])), F.lit(0))
+
+    def chosen(found: Column) -> Column:
+        all_, plain, url = (F.get(found, i) for i in range(3))
+        coarse = F.greatest(longest(plain), longest(url))
+        return F.when(5 * longest(all_) >= 4 * coarse, all_).when(longest(url) >= coarse, url).otherwise(plain)
+
+    found = F.array(*[F.filter(_spans(run, x, len(KINDS) - 1), lambda x: x["e"] - x["s"] >= LEAST) for x in PIECES])
+    return let(found, chosen)
+
+
 def _candidates(text: Column, base: Column, min_bits: float) -> Column:
+    def parts(c: Column) -> Column:
+        def of(run: Column) -> Column:
+            inner = F.transform(_pieces(run), lambda x: F.struct((c["s"] + x["s"]).alias("s"), x["k"].alias("k"), (c["s"] + x["e"]).alias("e")))
+            return F.when(run.rlike("[+/]") & run.rlike("[_-]"), inner).otherwise(F.array(c))
+        return let(F.substring(text, c["s"] + 1, c["e"] - c["s"]), of)
+
     def judged(spans: Column) -> Column:
-        free = F.filter(spans, lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-        runs = F.transform(free, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"),
+        runs = F.transform(F.flatten(F.transform(spans, parts)), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"),
                                                     F.substring(text, c["s"] + 1, c["e"] - c["s"]).alias("run")))
         likely = F.filter(runs, lambda c: c["run"].rlike("[0-9]") & c["run"].rlike("[A-Za-z]"))
         tested = F.transform(likely, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), randomness(c["run"]).alias("t")))
         return F.transform(F.filter(tested, lambda c: c["t"]["bits"] >= min_bits), lambda c: F.struct(
             c["s"].alias("s"), c["e"].alias("e"), stratum(c["e"] - c["s"]).alias("stratum"), grid(c["t"]["p"]).alias("step")))
     none = F.array().cast("array<struct<s:int,e:int,stratum:int,step:int>>")
-    spans = _spans(text, CANDIDATE, len(KINDS) - 1)
+    spans = let(_without(text, base), lambda free: _spans(free, CANDIDATE, len(KINDS) - 1))
     return F.coalesce(let(spans, lambda s: F.when(F.size(s) > 0, judged(s))), none)
 
 

@@ -86,6 +86,25 @@ def test_random_spans(spark):
     assert not any("random" in found[i] for i in range(40, 160))
 
 
+def test_random_runs_beside_other_text(spark):
+    rng = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ["x AWS_SECRET_ACCESS_KEY={}/{} y", "x client_id={}{} y", "x ?sig={}+{}== y", "x /my-files/{}{}/a-b y",
+             "x 00112233445566778899aabbccddeeff_{}_{} y"]
+    rows, wanted = [], {}
+    for i in range(100):
+        halves = ["".join(rng.choice(alphabet) for _ in range(24)) for _ in range(2)]
+        text = forms[i % 5].format(*halves)
+        rows.append((i, text))
+        end = text.index(halves[1]) + 24
+        wanted[i] = (text.index(halves[0]) - (i % 5 == 4), end + 2 * (i % 5 == 2))
+    rows += [(i, f"see {'version1' * 5}={'a-b/c' * 9}1") for i in range(100, 150)]
+    found = {r.doc_id: [(x.s, x.e) for x in r.added] for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for form in range(5):
+        assert sum(found[i] == [wanted[i]] for i in range(form, 100, 5)) >= 15, forms[form]
+    assert not any(found[i] for i in range(100, 150))
+
+
 def test_redacted(spark):
     docs = spark.createDataFrame([(1, "x password=abcdef1 y"), (2, None), (3, "clean")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()} == {1: "x [SECRET] y", 2: None, 3: "clean"}
