@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded, stored
+from .store import stored, without_rows
 from .words import NOT_ALNUM, blocks, distinct, shingles, word_hashes, word_spans
 
 PASSAGE = 128
@@ -301,5 +301,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold a verified leak."""
-    bad = stored(leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(bounded(bad), id_col, "left_anti").select(*docs.columns)
+    return without_rows(docs, id_col, lambda named: leaks(named, benchmark, id_col, text_col, **options))

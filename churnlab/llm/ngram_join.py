@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import bounded, stored
+from .store import bounded, stored, without_rows
 from .words import mix, shingle_sets
 
 PERCENT = 75
@@ -315,7 +315,5 @@ def _prefix_sql(name: str, percent: int) -> str:
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents whose component holds a smaller id."""
-    found = ngram_components(docs, id_col, text_col)
-    drop = stored(found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(bounded(drop), id_col, "left_anti")
+    """``docs`` without the documents whose component holds a smaller id; rows without an id come after all others."""
+    return without_rows(docs, id_col, lambda named: ngram_components(named, id_col, text_col).where("component_id < doc_id"))

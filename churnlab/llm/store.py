@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,28 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def without_rows(docs: DataFrame, id_col: str, rejected: Callable[[DataFrame], DataFrame], *others: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in the column ``doc_id`` of ``rejected(docs)``.
+
+    Every row without an id is a document of its own: such rows are stored with ids
+    above all of ``docs`` and ``others`` for the decision, and have none afterwards.
+    """
+    unnamed = docs.where(F.col(id_col).isNull())
+    some = unnamed.limit(1).count() > 0
+    named = docs
+    if some:
+        tops = [x.agg(F.max(F.col(id_col).cast("long"))).first()[0] for x in (docs, *others)]
+        top = max((x for x in tops if x is not None), default=0)
+        rows = stored(unnamed.withColumn("_unnamed", F.monotonically_increasing_id()))
+        named = docs.where(F.col(id_col).isNotNull()).withColumn("_unnamed", F.lit(None).cast("long")).unionByName(rows) \
+            .withColumn(id_col, F.coalesce(F.col(id_col).cast("long"), F.lit(top + 1).cast("long") + F.col("_unnamed")))
+    bad = stored(rejected(named).select(F.col("doc_id").alias(id_col)).distinct())
+    kept = named.join(bounded(bad), id_col, "left_anti")
+    if some:
+        kept = kept.withColumn(id_col, F.when(F.col("_unnamed").isNull(), F.col(id_col)).cast(docs.schema[id_col].dataType))
+    return kept.select(*docs.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
 

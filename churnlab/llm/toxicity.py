@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import MAX_TRAIN, STOPS, SYMBOLS, UPPER, WORDS, fold, removed_by, training_sample
-from .store import bounded, stored
+from .store import stored, without_rows
 
 FOLDS, HELD_OUT = 5, 0
 MIN_SHARE = 0.01
@@ -134,5 +134,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that the score rejects."""
-    bad = stored(toxicity(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(bounded(bad), id_col, "left_anti").select(*docs.columns)
+    return without_rows(docs, id_col, lambda named: toxicity(named, labels, id_col, text_col).where("predicted = 1"), labels)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from churnlab.llm import contract, decontamination, packing, quality, secret_scan, sharding, toxicity
+from churnlab.llm import contract, decontamination, ngram_join, packing, quality, secret_scan, sharding, toxicity
 
 from . import brute
 from .conftest import SCHEMA, prose
@@ -287,5 +287,31 @@ def test_pipeline(spark):
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect(), after.items(), 2048)
 
 
+def test_rows_without_an_id_are_filtered(spark):
+    def frame(rows):
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def left(df):
+        assert df.columns == ["doc_id", "text", "lang"]
+        return sorted((r.doc_id is None, r.doc_id or 0, r.text, r.lang) for r in df.collect())
+
+    item, clean, copy = prose(700, 40) + ". " + prose(701, 9), prose(702, 90), prose(703, 90)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"{clean} {item}", "a"), (None, clean, "b"), (5, clean, "c"), (6, item, "d")]
+    assert left(decontamination.without_leaks(frame(rows), bench)) == [(False, 5, clean, "c"), (True, 0, clean, "b")]
+
+    rows = [(7, copy, "a"), (None, copy, "b"), (None, clean, "c"), (None, clean, "c"), (None, "short text", "d")]
+    assert left(ngram_join.keep_one_per_component(frame(rows))) == [
+        (False, 7, copy, "a"), (True, 0, clean, "c"), (True, 0, "short text", "d")]
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    rng = random.Random(8)
+    rows = [(i, prose(i, 20) + (" you are vilewretch horridfool" if i % 2 else " fine day"), "x") for i in range(400)]
+    rows += [(None, prose(5000 + i, 20) + (" you are vilewretch horridfool" if i % 2 else " fine day"), "y") for i in range(40)]
+    rng.shuffle(rows)
+    kept = left(toxicity.without_toxic(frame(rows), labels))
+    assert sum(r[0] for r in kept) == 20 and not any("vilewretch" in r[2] for r in kept)
+
+
 def test_pipeline_runs_as_a_query(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
