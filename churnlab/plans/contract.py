@@ -540,7 +540,7 @@ def q_mlp_fit(spark, sf):
     return _mlp_history(spark, sf, epochs=40, lr=0.05, hidden=64)
 
 
-def _cv_mlp_summary(spark, sf, lrs=(0.1, 0.05), folds=5, epochs=10, hidden=64):
+def _cv_mlp_summary(spark, sf, lrs=(0.1, 0.05), folds=5, epochs=40, hidden=64):
     data, feats = flows.mlp_input(spark, sf)
     train = smp.assign_folds(data.where(F.col("split") == "train"), "user_id", folds).persist()
     specs = [nn.Spec(lr, f) for lr in lrs for f in range(folds)]
@@ -608,7 +608,7 @@ def q_mlp_variant(spark, sf):
         return curve[-1]
 
     stopper = nn.early_stopping(valid_auc, patience=10)
-    nn.mlp_fit(fit_rows, feats, "churn_100", hidden=[60, 30], epochs=30, lr=0.01, activation="tanh", optimizer="adam",
+    nn.mlp_fit(fit_rows, feats, "churn_100", hidden=[60, 30], epochs=100, lr=0.01, activation="tanh", optimizer="adam",
                dropout=0.2, smoothing=0.05, on_epoch=stopper, first_linear=False)
     best_epoch, _, kept = stopper.state["best"]
     test = auc_of(kept, data.where(F.col("split") == "test"))
@@ -619,15 +619,17 @@ def q_mlp_variant(spark, sf):
 
 @query("mlp_learning_rates")
 def q_mlp_rates(spark, sf):
-    """Final train loss and accuracy of four learning rates without CV, trained in one pass per epoch (rows-only)."""
+    """Final train and test loss and accuracy of four learning rates without CV, trained in one pass per epoch (rows-only)."""
     data, feats = flows.mlp_input(spark, sf)
     train = data.where(F.col("split") == "train").persist()
-    rates = (0.1, 0.05, 0.01, 0.001)
-    models = nn.mlp_fit(train, feats, "churn_100", hidden=64, epochs=10, specs=[nn.Spec(r) for r in rates])
+    rates = (0.005, 0.01, 0.05, 0.1)
+    models = nn.mlp_fit(train, feats, "churn_100", hidden=64, epochs=40, specs=[nn.Spec(r) for r in rates])
     out = None
     for rate, ws in zip(rates, models):
-        loss = metrics.kl_loss(nn.mlp_score(train, ws, feats, "user_id", keep=["churn_100"]), "score", "churn_100")
-        one = loss.select(F.lit(rate).alias("lr"), "kl_mean", "log_loss", "accuracy")
+        parts = [metrics.kl_loss(nn.mlp_score(rows, ws, feats, "user_id", keep=["churn_100"]), "score", "churn_100")
+                 .select(*[F.col(c).alias(prefix + c) for c in ("kl_mean", "log_loss", "accuracy")])
+                 for prefix, rows in (("", train), ("test_", data.where(F.col("split") == "test")))]
+        one = parts[0].crossJoin(parts[1]).select(F.lit(rate).alias("lr"), *parts[0].columns, *parts[1].columns)
         out = one if out is None else out.unionByName(one)
     out = materialize(out)
     train.unpersist()
