@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, ngram_join, oracle_sql, packing, quality, quality_rules, secret_scan, sharding, substring_dedup, toxicity
-from .store import benchmark, documents, labels
+from . import decontamination, line_dedup, ngram_join, oracle_sql, packing, quality, quality_rules, secret_scan, sharding, substring_dedup, toxicity, whitening
+from .store import benchmark, documents, embeddings, labels
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(documents(spark, sf_dir)))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(embeddings(spark, sf_dir))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -59,6 +63,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE: dict[str, str] = {

@@ -64,3 +64,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "benchmark.parquet"))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet"))
