@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, ngram_join, oracle_sql, packing, quality, quality_rules, secret_scan, sharding, substring_dedup, toxicity, whitening
+from . import (
+    decontamination, language_model, line_dedup, ngram_join, oracle_sql, packing, quality, quality_rules, secret_scan, sharding, spelling,
+    substring_dedup, toxicity, whitening,
+)
 from .store import benchmark, documents, embeddings, labels
 
 
@@ -48,6 +51,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(documents(spark, sf_dir)))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(documents(spark, sf_dir))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(embeddings(spark, sf_dir))
 
@@ -63,6 +74,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
