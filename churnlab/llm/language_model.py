@@ -52,11 +52,12 @@ FOLDS, HELD_OUT = 7, 2
 ORDER = 2
 #: One of so many training documents is deleted.
 PARTS = 16
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Tokens for which there is a bucket of n-grams, and tokens of a block that a bucket gets at least, so that rows stay worth
-#: their overhead.  Beyond some terabytes the second decides: blocks of 128 MB then keep a bucket of 100 TB near 200 MB.
-BUCKET_TOKENS = 2_000_000
-CELL_TOKENS = 64
+#: their overhead.  From some hundred gigabytes on the second decides; with blocks of 64 MB (and workers of 2 GB) a bucket
+#: of 100 TB has about 25 million tokens.
+BUCKET_TOKENS = 1_000_000
+CELL_TOKENS = 16
 TOKEN_BYTES = 6
 ROUNDS, CHANGE = 25, 1e-4
 OTHER, DELETED, TESTED = 0, 1, 2
