@@ -24,8 +24,10 @@ judged on the input.  The steps:
 5. Windows whose first owner is smaller than the document are covered; the
    covered words of each document are cut out.
 
-Null texts have no words.  A null id is larger than all others.  A row repeated
-whole keeps all its rows, with one result.  Only the id and the text are used.
+Null texts have no words.  A null id is larger than all others.  Texts under one id, or
+without one, are kept apart (by a hash of the text, only where an id has several): none
+has a smaller id than the other, so none loses words to it.  A row repeated whole keeps
+all its rows, with one result.  Only the id and the text are used.
 """
 
 from __future__ import annotations
@@ -96,23 +98,23 @@ def _text_hash(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nda
 
 
 def _routes(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, doc, at, n, same): the runs of every document; ``same`` hashes the run's words."""
+    """(key, doc, v, at, n, same): the runs of every text; ``same`` hashes the run's words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, version = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for at, raw, off in blocks(batch.column(1)):
                 starts, ends, rows = word_spans(raw, off)
                 words = word_hashes(raw, starts, ends)
                 row, low, first, size = _runs(words, rows, length, gram)
                 same = _text_hash(words, rows[:-1][row] + first, size + length - 1)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(low.view(np.int64)), pa.array(ids[at + row]), pa.array(first.astype(np.int32)),
-                    pa.array(size.astype(np.int32)), pa.array(same.view(np.int64))], names=["key", "doc", "at", "n", "same"])
-    return docs.select("doc", "text").mapInArrow(run, "key long, doc long, at int, n int, same long")
+                    pa.array(low.view(np.int64)), pa.array(ids[at + row]), pa.array(version[at + row]), pa.array(first.astype(np.int32)),
+                    pa.array(size.astype(np.int32)), pa.array(same.view(np.int64))], names=["key", "doc", "v", "at", "n", "same"])
+    return docs.select("doc", "text", "v").mapInArrow(run, "key long, doc long, v long, at int, n int, same long")
 
 
 def _texts(owners: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """(key, same, n, doc, words) of the owners' runs; owners: doc, runs array<struct<key, same, at, n>>."""
+    """(key, same, n, doc, words) of the owners' runs; owners: doc, v, runs array<struct<key, same, at, n>>."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -134,7 +136,7 @@ def _texts(owners: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                     out, made = ([], [], [], [], []), 0
             yield _text_batch(out)
 
-    return owners.join(docs.where("text is not null"), "doc").select("doc", "text", "runs") \
+    return owners.join(docs.where("text is not null"), ["doc", "v"]).select("doc", "text", "runs") \
         .mapInArrow(run, "key long, same long, n int, doc long, words string")
 
 
@@ -291,16 +293,16 @@ def _search(texts: DataFrame, shards: int, length: int) -> DataFrame:
 
 
 def _owners_of(distinct_runs: DataFrame) -> DataFrame:
-    return distinct_runs.groupBy("doc").agg(F.collect_list(F.struct("key", "same", "at", "n")).alias("runs"))
+    return distinct_runs.groupBy("doc", "v").agg(F.collect_list(F.struct("key", "same", "at", "n")).alias("runs"))
 
 
 def _covered(docs: DataFrame, length: int, gram: int, shard_words: int, hot_texts: int) -> DataFrame:
-    """(doc, cut): for every document with repeated windows, arrays of (first, last) covered words."""
+    """(doc, v, cut): for every text with repeated windows, arrays of (first, last) covered words."""
     routes = stored(_routes(docs, length, gram))
     key = ["key", "same", "n"]
     def collapsed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*key).agg(F.min(F.struct("doc", "at")).alias("o"), F.max("doc").alias("last"))
-    texts = stored(collapsed(routes).select(*key, F.col("o.doc").alias("doc"), F.col("o.at").alias("at"), "last"))
+        return rows.groupBy(*key).agg(F.min(F.struct("doc", "v", "at")).alias("o"), F.max("doc").alias("last"))
+    texts = stored(collapsed(routes).select(*key, "o.doc", "o.v", "o.at", "last"))
     shared = stored(texts.groupBy("key").agg(F.min("doc").alias("lo"), F.max("last").alias("hi"),
                                              F.count(F.lit(1)).alias("texts")).where("lo < hi").select("key", "texts"))
     cold, hot = shared.where(F.col("texts") <= hot_texts).select("key"), stored(shared.where(F.col("texts") > hot_texts).select("key"))
@@ -309,25 +311,25 @@ def _covered(docs: DataFrame, length: int, gram: int, shard_words: int, hot_text
     if hot.limit(1).count():
         # windows of hot minimizers one by one, under their own hash
         single = stored(_single_windows(docs, routes.join(bounded(hot), "key", "left_semi"), length))
-        occurrences = occurrences.join(bounded(hot), "key", "left_anti").select("key", "doc", "at", "n", "same") \
-            .union(single.select("key", "doc", "at", "n", "same"))
-        again = collapsed(single).where("o.doc < last").select(*key, F.col("o.doc").alias("doc"), F.col("o.at").alias("at"))
-        wanted = wanted.select(*key, "doc", "at").union(again)
-    wanted = stored(wanted.select(*key, "doc", "at"))
+        occurrences = occurrences.join(bounded(hot), "key", "left_anti").select(*single.columns).union(single)
+        again = collapsed(single).where("o.doc < last").select(*key, "o.doc", "o.v", "o.at")
+        wanted = wanted.select(*key, "doc", "v", "at").union(again)
+    wanted = stored(wanted.select(*key, "doc", "v", "at"))
     total = wanted.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
     shards = max(1, -(-total // shard_words))
     found = _search(_texts(_owners_of(wanted), docs, length), shards, length)
-    covered = occurrences.join(found, key).select("doc", "at", F.explode("spans").alias("s")).where("s.who < doc") \
-        .select("doc", F.struct((F.col("at") + F.col("s.a")).alias("first"),
+    covered = occurrences.join(found, key).select("doc", "v", "at", F.explode("spans").alias("s")).where("s.who < doc") \
+        .select("doc", "v", F.struct((F.col("at") + F.col("s.a")).alias("first"),
                                 (F.col("at") + F.col("s.b") + (length - 2)).alias("last")).alias("cut"))
-    return stored(covered.groupBy("doc").agg(F.collect_set("cut").alias("cut")))
+    return stored(covered.groupBy("doc", "v").agg(F.collect_set("cut").alias("cut")))
 
 
 def _single_windows(docs: DataFrame, hot: DataFrame, length: int) -> DataFrame:
-    """(key, doc, at, n = 1, same) of each window in the ``hot`` runs; key and same are the window's hash."""
+    """(key, doc, v, at, n = 1, same) of each window in the ``hot`` runs; key and same are the window's hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            ids, version = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+            lists = batch.column(2)
             cuts, flat = lists.offsets.to_numpy(), lists.values
             first, size = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
             for at, raw, off in blocks(batch.column(1)):
@@ -338,12 +340,13 @@ def _single_windows(docs: DataFrame, hot: DataFrame, length: int) -> DataFrame:
                     where = np.concatenate([np.arange(a, a + n) for a, n in zip(first[own], size[own], strict=True)])
                     same = _text_hash(words[rows[i]: rows[i + 1]], where, np.full(len(where), length)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(same), pa.array(np.full(len(where), ids[at + i])), pa.array(where.astype(np.int32)),
-                        pa.array(np.ones(len(where), np.int32)), pa.array(same)], names=["key", "doc", "at", "n", "same"])
+                        pa.array(same), pa.array(np.full(len(where), ids[at + i])), pa.array(np.full(len(where), version[at + i])),
+                        pa.array(where.astype(np.int32)), pa.array(np.ones(len(where), np.int32)), pa.array(same)],
+                        names=["key", "doc", "v", "at", "n", "same"])
 
-    runs = hot.groupBy("doc").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
-    return runs.join(docs.where("text is not null"), "doc").select("doc", "text", "runs") \
-        .mapInArrow(run, "key long, doc long, at int, n int, same long")
+    runs = hot.groupBy("doc", "v").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    return runs.join(docs.where("text is not null"), ["doc", "v"]).select("doc", "text", "runs", "v") \
+        .mapInArrow(run, "key long, doc long, v long, at int, n int, same long")
 
 
 def _cut_out(df: DataFrame, rest: list[str], with_text: bool) -> DataFrame:
@@ -378,19 +381,30 @@ def _cut_out(df: DataFrame, rest: list[str], with_text: bool) -> DataFrame:
     return df.select(*rest, "text", "cut").mapInArrow(run, schema)
 
 
+def _versions(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc, text) with ``v``: a hash of the text where an id has several texts, else 0."""
+    text = F.xxhash64("text")
+    several = stored(rows.groupBy("doc").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo != hi").select("doc"))
+    if not several.limit(1).count():
+        return rows.withColumn("v", F.lit(0).cast("long"))
+    some = several.withColumn("some", F.lit(True))
+    return rows.join(bounded(some), "doc", "left").withColumn("v", F.when(F.col("some"), text).otherwise(F.lit(0))).drop("some")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
                     shard_words: int = SHARD_WORDS, hot_texts: int = HOT_TEXTS, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
                        F.col(text_col).alias("text"))
-    covered = _covered(base.select("doc", "text"), length, gram, shard_words, hot_texts)
+    base = _versions(rows)
+    covered = _covered(base.select("doc", "v", "text"), length, gram, shard_words, hot_texts)
     none = F.lit(None).cast("array<struct<first:int,last:int>>")
-    ids = covered.select("doc")
+    ids = covered.select("doc", "v")
     if ids.limit(2_000_001).count() <= 2_000_000:
         # texts without repeats need no shuffle
-        whole = base.join(F.broadcast(ids), "doc", "left_anti").withColumn("cut", none)
-        some = base.join(F.broadcast(ids), "doc", "left_semi").join(covered, "doc")
+        whole = base.join(F.broadcast(ids), ["doc", "v"], "left_anti").withColumn("cut", none)
+        some = base.join(F.broadcast(ids), ["doc", "v"], "left_semi").join(covered, ["doc", "v"])
         rows = whole.select("doc_id", "text", "cut").union(some.select("doc_id", "text", "cut"))
     else:
-        rows = base.join(covered, "doc", "left")
+        rows = base.join(covered, ["doc", "v"], "left")
     return _cut_out(rows, ["doc_id"], with_text)

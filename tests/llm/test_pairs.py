@@ -8,6 +8,7 @@ from churnlab.llm import line_dedup, ngram_join, quality_rules, substring_dedup
 from churnlab.llm.graph import components
 
 from . import brute
+from .conftest import prose
 
 
 def one_row_each(df, key="doc_id"):
@@ -66,6 +67,29 @@ def test_substring_keeps_the_text(docs):
     assert rows[0].kept_text == one_row_each(docs)[0].text and rows[1].kept_text == ""
 
 
+def test_substring_with_shared_and_missing_ids(spark):
+    words = [prose(600 + i, 130).split() for i in range(6)]
+    texts = [(1, words[0]), (None, words[0][:120] + words[1][:30]), (None, words[2] + words[3][:70]), (None, words[2]), (5, words[3]),
+             (5, words[4] + words[0][20:90]), (5, words[4]), (9, words[4][10:]), (9, words[5]), (9, words[5]), (None, None), (5, None)]
+    docs = [(d, None if w is None else " ".join(w)) for d, w in texts]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    # without an id: above all others, and equal to each other
+    first = {}
+    for d, t in docs:
+        w = brute.words(t)
+        for i in range(len(w) - 49):
+            first[tuple(w[i:i + 50])] = min(first.get(tuple(w[i:i + 50]), 99), 99 if d is None else d)
+    expected = []
+    for d, t in docs:
+        w = brute.words(t)
+        gone = {i + j for i in range(len(w) - 49) if first[tuple(w[i:i + 50])] < (99 if d is None else d) for j in range(50)}
+        expected.append((d is None, d or 0, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
+    for options in ({}, {"hot_texts": 1, "shard_words": 300}):
+        found = substring_dedup.substring_dedup(frame, with_text=True, **options).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_text or "") for r in found) == sorted(expected)
+    assert sum(r[3] for r in expected) == 120 + 70 + 70 + 120
+
+
 def test_backward_search_against_a_scan():
     rng = np.random.default_rng(5)
     texts = [" ".join(f"v{x}" for x in rng.integers(0, 3, n)) for n in (3, 9, 20, 21, 40, 41)]
