@@ -1,8 +1,8 @@
 """Benchmark decontamination: BM25 retrieval of test items for every training passage.
 
 The inverted index is built over entries of the benchmark's items: the item, its
-question cut into pieces of at most half a passage, and such pieces of the whole
-item if it is longer.  Impacts are BM25 term weights divided by the entry's own
+question of at least ``question_words`` words cut into pieces of at most half a passage,
+and such pieces of the whole item if it is longer.  Impacts are BM25 term weights divided by the entry's own
 total, so an entry scores 1 against itself, and an item's score is that of its
 best entry.  Every document is cut into passages of ``passage`` words that overlap
 by half, so a copied piece always lies inside one; each passage is a query.
@@ -16,13 +16,15 @@ Retrieval follows block-max WAND, for all passages of an Arrow batch at once:
 
 A retrieved item counts as leaked if its question and its answer overlap the
 text around the passage (the item's length, at least half a passage, on each
-side): the shares of their 3-word grams found there.  Both must reach ``overlap``, or the question alone ``question_only``.  Items with
+side): the shares of their 3-word grams found there.  Both must reach ``overlap``, or a question of at least ``question_words`` words alone
+``question_only`` (a shorter one stands in clean texts too).  Items with
 columns ``question`` and ``answer`` are taken as they are; a plain ``text`` is split
 before its last line, or last sentence, or in the middle.
 
-Words are runs of letters and digits, lower-cased.  The index of up to
-``max_items`` items goes to all tasks; more items take more passes, built and
-written one after the other.  The number and mean length of items and the items
+Words are runs of letters and digits, lower-cased.  The index of up to ``max_items``
+items and ``max_chars`` characters goes to all tasks; more take more passes, counted
+first, built and written one after the other.  Only an item that is longer by itself
+passes that bound.  Postings and block maxima are sparse, in proportion to the words.  The number and mean length of items and the items
 that hold a word are counted over the whole benchmark, so passes do not change
 scores.  Documents are not shuffled.  Null texts and items have no words and are never retrieved;
 equal items are reported each; repeated rows repeat their result; columns other
@@ -51,8 +53,11 @@ OVERLAP = 0.5
 QUESTION_ONLY = 0.8
 GRAM = 3
 BLOCK = 8
+#: Words that a question needs to have an entry of its own and to be a leak without its answer.
+QUESTION_WORDS = 8
 MAX_ITEMS = 16_384
-SHARD_ITEMS = 1024
+MAX_CHARS = 8 << 20
+SHARD_WORDS = 1 << 16
 K1, B = 1.2, 0.75
 _U = np.uint64
 
@@ -92,15 +97,21 @@ def _share(own: tuple[int, np.ndarray], around: np.ndarray) -> float:
     return float(np.isin(grams, _grams(around, k)).mean()) if k else 0.0
 
 
-def _entries(question: np.ndarray, whole: np.ndarray, size: int) -> list[np.ndarray]:
+def _entries(question: np.ndarray, whole: np.ndarray, size: int, question_words: int) -> list[np.ndarray]:
     """What is indexed of an item: all of it, and pieces of its question and of itself of at most ``size`` words."""
     cuts = [whole]
-    for part in (question, whole):
-        if len(part):
+    for part, least in ((question, max(1, question_words)), (whole, 1)):
+        if len(part) >= least:
             cuts += np.array_split(part, -(-len(part) // size))
     return list({c.tobytes(): c for c in cuts}.values())
 
 
+def _ranges(first: np.ndarray, term: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the terms' lists, one after the other, and who asked for each."""
+    width = first[term + 1] - first[term]
+    return np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first[term], width), np.repeat(asked, width)
+
+
 class Counts:
     """Number and mean length of all items, and how many of them hold each of the ``known`` (sorted) words."""
 
@@ -115,15 +126,15 @@ class Counts:
 
 
 class ItemIndex:
-    """BM25 inverted index of the entries of items with block-max impacts."""
+    """BM25 inverted index of the entries of items, with the greatest impact of each term in each block that holds it."""
 
     def __init__(self, ids: list[int], questions: list[str], answers: list[str], everything: Counts | list[np.ndarray],
-                 passage: int = PASSAGE):
+                 passage: int = PASSAGE, question_words: int = QUESTION_WORDS):
         self.ids, hashed, answered = ids, _hashed(questions), _hashed(answers)
         self.questions, self.answers = [_own_grams(w) for w in hashed], [_own_grams(w) for w in answered]
         whole = [np.concatenate(x) for x in zip(hashed, answered, strict=True)]
-        self.lengths = [len(w) for w in whole]
-        made = [_entries(q, w, max(1, passage // 2)) for q, w in zip(hashed, whole, strict=True)]
+        self.lengths, self.alone = [len(w) for w in whole], [len(w) >= question_words for w in hashed]
+        made = [_entries(q, w, max(1, passage // 2), question_words) for q, w in zip(hashed, whole, strict=True)]
         words = [w for entries in made for w in entries]
         self.owner = np.repeat(np.arange(len(ids)), [len(x) for x in made]).astype(np.int64)
         lengths = np.array([len(w) for w in words], float)
@@ -143,12 +154,17 @@ class ItemIndex:
         impacts = np.concatenate(impact or [np.zeros(0)])
         self.terms = distinct(terms)
         at = np.searchsorted(self.terms, terms)
-        self.block_max = np.zeros((len(self.terms), -(-max(1, len(words)) // BLOCK)), np.float32)
-        np.maximum.at(self.block_max, (at, items // BLOCK), impacts.astype(np.float32))
-        self.term_max = self.block_max.max(axis=1) if len(self.terms) else np.zeros(0, np.float32)
         order = np.lexsort((items, at))
-        self.items, self.impacts = items[order], impacts[order]
-        self.first = np.searchsorted(at[order], np.arange(len(self.terms) + 1))
+        at, self.items, self.impacts = at[order], items[order], impacts[order]
+        self.first = np.searchsorted(at, np.arange(len(self.terms) + 1))
+        # a term's postings in one block are neighbours
+        self.blocks = -(-max(1, len(words)) // BLOCK)
+        cell = at * self.blocks + self.items // BLOCK
+        new = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
+        self.block_of = self.items[new] // BLOCK
+        self.block_max = np.maximum.reduceat(self.impacts, new) if len(new) else np.zeros(0)
+        self.block_first = np.searchsorted(at[new], np.arange(len(self.terms) + 1))
+        self.term_max = np.maximum.reduceat(self.impacts, self.first[:-1]) if len(self.terms) else np.zeros(0)
         self.known = np.zeros(1 << 16, dtype=bool)
         self.known[(self.terms >> _U(48)).astype(np.int64)] = True
 
@@ -184,17 +200,19 @@ class ItemIndex:
         step = max(64, min(1 << 11, (1 << 20) // max(1, len(self.owner))))
         for i in range(0, len(start), step):
             lo, hi = start[i], end[min(i + step, len(start)) - 1]
-            opened = np.add.reduceat(self.block_max[term[lo:hi]], start[i: i + step] - lo, axis=0) >= slack
+            count = end[i: i + step] - start[i: i + step]
+            own, asked = term[lo:hi], np.repeat(np.arange(len(count)), count)
+            cell, asked = _ranges(self.block_first, own, asked)
+            bound = np.bincount(asked * self.blocks + self.block_of[cell], weights=self.block_max[cell], minlength=len(count) * self.blocks)
+            opened = bound.reshape(-1, self.blocks) >= slack
             found = np.flatnonzero(opened.any(axis=1))
             if not len(found):
                 continue
             # postings of the opened passages' terms, in opened blocks only
             size = end[i + found] - start[i + found]
             own = term[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[i + found], size)]
-            asked = np.repeat(np.arange(len(found)), size)
-            width = self.first[own + 1] - self.first[own]
-            posting = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(self.first[own], width)
-            asked, item = np.repeat(asked, width), self.items[posting]
+            posting, asked = _ranges(self.first, own, np.repeat(np.arange(len(found)), size))
+            item = self.items[posting]
             kept = opened[found][asked, item // BLOCK]
             key = asked[kept] * len(self.owner) + item[kept]
             score = np.bincount(key, weights=self.impacts[posting[kept]], minlength=len(found) * len(self.owner))
@@ -216,6 +234,10 @@ class ItemIndex:
         question = _share(self.questions[item], around)
         return question, _share(self.answers[item], around) if question >= least else 0.0
 
+    def leaked(self, item: int, question: float, answer: float, overlap: float, question_only: float) -> bool:
+        """Whether these shares are a leak of the item."""
+        return question >= overlap and answer >= overlap or self.alone[item] and question >= question_only
+
 
 def _parts(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, question, answer) or (id, text) of the items with an id."""
@@ -242,7 +264,22 @@ def _word_counts(parts: DataFrame) -> DataFrame:
                   .agg(F.sum("held").alias("held"), F.sum("words").alias("words")))
 
 
-def _indexes(parts: DataFrame, counted: DataFrame, n: int, mean: float, passes: int, number: int, passage: int) -> list[ItemIndex]:
+def _passes(parts: DataFrame, n: int, max_items: int, max_chars: int) -> int:
+    """Into how many passes the items go (by hash of the id), so that none holds more than allowed."""
+    chars = sum((F.coalesce(F.length(c), F.lit(0)) for c in parts.columns[1:]), F.lit(0))
+    sizes = stored(parts.select(F.xxhash64(parts.columns[0]).alias("h"), chars.cast("long").alias("chars")))
+    passes = max(1, math.ceil(n / max_items))
+    while passes < n:
+        most = sizes.groupBy(F.pmod("h", F.lit(passes))).agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n"), F.max("chars").alias("one")) \
+            .agg(F.max(F.when((F.col("chars") > max_chars) & (F.col("chars") > F.col("one")), F.col("chars"))).alias("chars")).first()
+        if most.chars is None:
+            break
+        passes *= 2
+    return passes
+
+
+def _indexes(parts: DataFrame, counted: DataFrame, n: int, mean: float, passes: int, number: int, passage: int,
+             question_words: int) -> list[ItemIndex]:
     id_col = parts.columns[0]
     part = parts.where(F.pmod(F.xxhash64(id_col), F.lit(passes)) == number).orderBy(id_col)
     rows = [(r[0], *_split(r[1:])) for r in part.collect()]
@@ -252,24 +289,26 @@ def _indexes(parts: DataFrame, counted: DataFrame, n: int, mean: float, passes:
         counted = counted.join(F.broadcast(mine), "word")
     held = {r.word: r.held for r in counted.where("word is not null").collect()}
     counts = Counts(n, mean, words, np.array([held[w] for w in words.view(np.int64).tolist()], float))
-    return [ItemIndex(*map(list, zip(*rows[i: i + SHARD_ITEMS], strict=True)), counts, passage)
-            for i in range(0, len(rows), SHARD_ITEMS)]
+    shard = np.cumsum([len(w) for w in _hashed([f"{q} {a}" for _, q, a in rows])]) // SHARD_WORDS
+    cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(rows)] if rows else []
+    return [ItemIndex(*map(list, zip(*rows[a:b], strict=True)), counts, passage, question_words) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text", passage: int = PASSAGE, threshold: float = THRESHOLD, overlap: float = OVERLAP,
-          question_only: float = QUESTION_ONLY, max_items: int = MAX_ITEMS) -> DataFrame:
+          question_only: float = QUESTION_ONLY, question_words: int = QUESTION_WORDS, max_items: int = MAX_ITEMS,
+          max_chars: int = MAX_CHARS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every verified leak, with its best passage's values."""
     sc = docs.sparkSession.sparkContext
     parts = _parts(benchmark, item_col, item_text_col)
     counted = _word_counts(parts)
     total = counted.where("word is null").first()
     n, words_of_all = (total.held, total.words) if total else (0, 0)
-    passes = max(1, math.ceil(n / max_items))
+    passes = _passes(parts, n, max_items, max_chars)
     bare = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def one_pass(number: int) -> DataFrame:
-        shared = sc.broadcast(_indexes(parts, counted, n, words_of_all / max(1, n), passes, number, passage))
+        shared = sc.broadcast(_indexes(parts, counted, n, words_of_all / max(1, n), passes, number, passage, question_words))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -284,7 +323,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                             lo = max(rows[row], rows[row] + start - reach)
                             hi = min(rows[row + 1], rows[row] + start + passage + reach)
                             question, answer = index.judge(item, words[lo:hi], min(overlap, question_only))
-                            if question >= overlap and answer >= overlap or question >= question_only:
+                            if index.leaked(item, question, answer, overlap, question_only):
                                 key, value = (at + row, index.ids[item]), (score, question, answer)
                                 best[key] = max(best.get(key, value), value)
                 columns = list(zip(*((ids[r], i, *v) for (r, i), v in best.items()), strict=True)) or [[]] * 5

@@ -1,6 +1,7 @@
 """Learned scores, secrets, sharding, decontamination, packing and the pipeline."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -161,6 +162,48 @@ def test_long_items_and_questions_alone_leak(spark):
     assert found[11, 2].question_overlap == 1 and found[11, 2].answer_overlap < 0.5 and found[10, 1].answer_overlap == 1
 
 
+def test_short_questions_alone_are_no_leak(spark):
+    bench = spark.createDataFrame([(1, f"Why?\nBecause {prose(750, 20)}"), (2, f"who am i\n{prose(751, 30)}"), (3, prose(752, 8) + "\n" + prose(753, 20))],
+                                  "item_id long, text string")
+    items = {r.item_id: r.text for r in bench.collect()}
+    docs = spark.createDataFrame([(1, f"{prose(754, 60)} why {prose(755, 90)}"), (2, "who am i " * 20), (3, f"{prose(756, 50)} {items[1]} {prose(757, 20)}"),
+                                  (4, items[2]), (5, f"{prose(758, 99)} {prose(752, 8)} {prose(759, 70)}")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == {(3, 1), (4, 2), (5, 3)}
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench, max_chars=150).collect()} == {(3, 1), (4, 2), (5, 3)}
+
+
+def words_of(text):
+    return re.findall("[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+
+
+def test_shares_against_sets_of_grams():
+    def share(part, around):
+        k = min(3, len(part))
+        grams = {tuple(part[i:i + k]) for i in range(len(part) - k + 1)} if k else set()
+        held = {tuple(around[i:i + k]) for i in range(max(1, len(around) - k + 1))}
+        return len(grams & held) / len(grams) if grams else 0
+
+    rng = random.Random(12)
+    for i in range(60):
+        vocab = [f"w{j}" for j in range(rng.choice([3, 8, 40]))]
+        question, answer, around = (" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 12))) for _ in range(3))
+        index = decontamination.ItemIndex([1], [question], [answer], decontamination._hashed([f"{question} {answer}"]))
+        got = index.judge(0, decontamination._hashed([around])[0])
+        assert got == pytest.approx((share(question.split(), around.split()), share(answer.split(), around.split())))
+        long = len(question.split()) >= decontamination.QUESTION_WORDS
+        assert index.leaked(0, *got, 0.5, 0.8) == (min(got) >= 0.5 or long and got[0] >= 0.8)
+
+
+def test_leaks_on_the_given_tables_hold_much_of_the_item(spark):
+    bench = {r.item_id: words_of(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    texts = {r.doc_id: set(words_of(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = contract.op4_benchmark_decontamination(spark, SF).collect()
+    assert found
+    for r in found:
+        item = set(bench[r.item_id])
+        assert len(item & texts[r.doc_id]) >= min(decontamination.QUESTION_WORDS, len(item)) and len(item & texts[r.doc_id]) >= 0.5 * len(item)
+
+
 def test_passes_do_not_change_scores(spark):
     common = prose(110, 30).split()
     texts = [f"{' '.join(common[i % 20:i % 20 + 8])} {prose(120 + i, 6 + i)}. {prose(160 + i, 5)}" for i in range(12)]
