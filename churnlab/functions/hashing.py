@@ -26,3 +26,13 @@ def hash_unit_sql(key: str, salt: str = "") -> str:
     """The same draw as a DuckDB expression (used by the oracles)."""
     return (f"(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{salt}'), 1, 8))::BIGINT "
             f"/ {TWO_32})")
+
+
+def hash_60(key: str | Column, salt: str = "") -> Column:
+    """The first 60 bits of the same digest, as a whole number."""
+    k = F.col(key) if isinstance(key, str) else key
+    return F.conv(F.substring(F.md5(F.concat(k.cast("string"), F.lit(f":{salt}"))), 1, 15), 16, 10).cast("bigint")
+
+
+def hash_60_sql(key: str, salt: str = "") -> str:
+    return f"('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{salt}'), 1, 15))::BIGINT"

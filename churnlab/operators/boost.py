@@ -17,7 +17,6 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
@@ -27,9 +26,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .metrics import roc_auc_table
+from ..functions.ranked import auc_of_entries, entries_of
 
 
 @dataclass
@@ -294,33 +293,28 @@ def staged_auc(ens: Ensemble, df: DataFrame, label: str, max_trees: int | None =
     """AUC of every tree prefix in one pass (M9b): ``(iteration, auc, pos, neg)``.
 
     Arrow batches walk all trees level by level in numpy (work linear in the
-    number of trees; a per-prefix SQL expression would grow quadratically),
-    emit one (iteration, margin) pair per prefix, and Spark reduces them per
-    distinct margin before the exact AUC.
+    number of trees; a per-prefix SQL expression would grow quadratically).
+    Equal margins of a prefix are one entry of a task, sent by ranges of the
+    score, so the shuffle has prefixes x ranges rows for each task.
     """
     k = len(ens.trees) if max_trees is None else min(max_trees, len(ens.trees))
     keep = [i for i in range(1, k + 1) if i % every == 0 or i == k]
-    sub = ens.truncate(k)
-    bc = df.sparkSession.sparkContext.broadcast((sub, keep))
-    feats = list(ens.features)
-    schema = StructType([StructField("iteration", IntegerType()), StructField("m", DoubleType()),
-                         StructField(label, IntegerType())])
+    bc = df.sparkSession.sparkContext.broadcast((ens.truncate(k), keep))
 
-    def run(batches):
+    def margins(columns):
         e, its = bc.value
-        for pdf in batches:
-            vals = tree_values(e, pdf[feats].to_numpy(dtype=float))
+        x, y = np.column_stack(columns[:-1]).astype(float), columns[-1].astype(int)
+        total = np.full(len(y), float(e.base))
+        values = tree_values(e, x)
+        for i in range(1, k + 1):
             # ((base + t0) + t1) + ...: the same association as the scoring expression
-            start = np.full((len(pdf), 1), float(e.base))
-            margins = np.cumsum(np.hstack([start, vals]), axis=1)[:, 1:]
-            y = pdf[label].to_numpy().astype(int)
-            yield pd.DataFrame({
-                "iteration": np.repeat(np.asarray(its, dtype=np.int32), len(pdf)),
-                "m": np.concatenate([margins[:, i - 1] for i in its]),
-                label: np.tile(y, len(its)).astype(np.int32)})
-
-    long = df.select(*feats, F.col(label).cast("int").alias(label)).mapInPandas(run, schema)
-    return roc_auc_table(long, "m", label, by=["iteration"])
+            total = total + values[:, i - 1]
+            if i in its:
+                yield i, total, y
+
+    rows = entries_of(df.select(*ens.features, F.col(label).cast("int").alias("_y")), [*ens.features, "_y"], margins)
+    found = [(i, *auc) for i, auc in sorted(auc_of_entries(rows).items())]
+    return df.sparkSession.createDataFrame(found, "iteration int, auc double, pos long, neg long")
 
 
 def best_iteration(curve_rows: list[tuple[int, float]], patience: int = 20) -> int:

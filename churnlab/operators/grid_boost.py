@@ -17,7 +17,7 @@ each has its own tree and round, and drops out when its patience ends.
   partitioning nor the order of the tasks changes a tree.
 * **Early stopping** watches the exact AUC of the held-out fold.  It is counted with the
   pass that starts the next tree: equal margins are combined in each task, and the
-  classes are compared in ``RANGES`` ranges of the score, whose few sums come back.
+  classes are compared in ranges of the score, whose few sums come back.
 * **State**: margins are written with the bins to ``spark.checkpoint.dir`` every few
   trees; in between, a task adds the trees since then.
 
@@ -39,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranked import Entries, joined_ranges, range_sums
 from ..sources.session import ensure_checkpoint_dir
 from .boost import Ensemble, Tree
 
 MAX_BINS = 255
 #: Fixed point of the gradients.
 UNIT = float(1 << 32)
-RANGES = 64
 #: Trees of one member after which the margins are written anew.
 REFRESH = 8
 MIN_GAIN = 1e-10
@@ -373,26 +373,13 @@ def _histograms(rows: _Rows, margin: np.ndarray, task: _Task, width: int) -> np.
     return np.stack([*(s.astype(np.int64) for s in sums), np.bincount(cell, minlength=size)]).reshape(3, len(task.nodes), d, width)
 
 
-def _compared(margins: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[int, int, int]:
-    """Positives, negatives, and twice the pairs in which the positive stands higher (ties count half)."""
-    order = np.argsort(margins, kind="stable")
-    pos, neg = pos[order].astype(object), neg[order].astype(object)
-    below = np.cumsum(neg) - neg
-    return int(pos.sum()), int(neg.sum()), int((pos * (2 * below + neg)).sum())
-
-
-def _combined(margins: np.ndarray, pos: np.ndarray, neg: np.ndarray):
-    kinds, where = np.unique(margins, return_inverse=True)
-    return kinds, *(np.bincount(where, weights=x, minlength=len(kinds)).astype(np.int64) for x in (pos, neg))
-
-
 def _pass(state: _State, tasks: list[_Task], d: int, width: int) -> tuple[dict, dict]:
     """One job: {(member, node): Split} and {member: AUC or None}."""
     wide = "member int, node int, part int, a binary, b binary, c binary"
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        scores: dict[int, tuple] = {}
+        scores = Entries()
         for rows in _read(batches):
             for task in tasks:
                 margin = rows.margins[task.member]
@@ -403,14 +390,10 @@ def _pass(state: _State, tasks: list[_Task], d: int, width: int) -> tuple[dict,
                     sums[task.member] = sums[task.member] + part if task.member in sums else part
                 if task.score:
                     held = rows.folds == task.holdout
-                    found = (margin[held], rows.y[held].astype(np.int64), 1 - rows.y[held].astype(np.int64))
-                    before = scores.get(task.member)
-                    scores[task.member] = _combined(*(np.concatenate(x) for x in zip(before, found, strict=True)) if before else found)
+                    scores.add(task.member, margin[held], rows.y[held])
         out = [(task.member, node, 0, *(x.tobytes() for x in sums[task.member][:, i]))
                for task in tasks if task.member in sums for i, node in enumerate(task.nodes)]
-        for member, (margins, pos, neg) in scores.items():
-            part = np.minimum((RANGES / (1 + np.exp(-margins))).astype(int), RANGES - 1)
-            out += [(member, -1, int(r), *(x[part == r].tobytes() for x in (margins, pos, neg))) for r in np.unique(part)]
+        out += [(member, -1, *rest) for member, *rest in scores.rows()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(
             [pa.int32()] * 3 + [pa.binary()] * 3)], names=["member", "node", "part", "a", "b", "c"])
 
@@ -425,9 +408,7 @@ def _pass(state: _State, tasks: list[_Task], d: int, width: int) -> tuple[dict,
             found = best_split(g, h, n, features, s)
             values, gain = [v for i, v in enumerate(found) if i != 5], found.gain
         else:
-            margins, pos, neg = (np.concatenate([np.frombuffer(x, kind) for x in c])
-                                 for c, kind in zip(columns, (np.float64, np.int64, np.int64), strict=True))
-            values, gain = list(_compared(*_combined(margins, pos, neg))), 0.0
+            values, gain = range_sums(columns), 0.0
         return pa.table({"member": pa.array([member], pa.int32()), "node": pa.array([node], pa.int32()),
                          "part": pa.array([part], pa.int32()), "gain": [gain], "values": pa.array([[str(v) for v in values]])})
 
@@ -440,15 +421,7 @@ def _pass(state: _State, tasks: list[_Task], d: int, width: int) -> tuple[dict,
             splits[r["member"], r["node"]] = Split(*values[:5], r["gain"], *values[5:])
         else:
             ranges.setdefault(r["member"], []).append((r["part"], values))
-    return splits, {m: _auc(parts) for m, parts in ranges.items()}
-
-
-def _auc(parts: list[tuple[int, list[int]]]) -> float | None:
-    pos = neg = twice = 0
-    for _, (p, n, t) in sorted(parts):
-        twice += t + 2 * p * neg
-        pos, neg = pos + p, neg + n
-    return twice / (2 * pos * neg) if pos and neg else None
+    return splits, {m: joined_ranges(parts)[0] for m, parts in ranges.items()}
 
 
 def _bases(df: DataFrame, label: str, fold: str | None, members: list[Member]) -> np.ndarray:

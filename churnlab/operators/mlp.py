@@ -7,8 +7,8 @@ cross-entropy loss.
 Distribution: parallel SGD with parameter averaging (Zinkevich et al. 2010).
 Each epoch is one Spark job: ``mapInPandas`` runs batch-128 SGD over the
 Arrow batches of every partition starting from the broadcast weights, emits
-``n x weights`` per partition and model, and Spark sums them (``posexplode``
-+ ``groupBy``) into one vector per model - the driver only ever holds model
+``n x weights`` per partition and model, and Spark sums whole arrays
+(``functions.vectors``) into one per model - the driver only ever holds model
 parameters.  Several models (learning rates x CV folds) train in the same
 pass: a row updates every model whose hold-out fold is not its own.  With one
 partition the updates are exactly sequential SGD.
@@ -21,9 +21,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StructField,
-                               StructType)
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+
+from ..functions.vectors import sum_arrays
 
 SOFTPLUS_THRESHOLD = 20.0
 CLIP = 500.0
@@ -245,8 +245,7 @@ def _epoch(df: DataFrame, states: list[np.ndarray], shapes, specs: list[Spec], f
     """One distributed epoch for every model; returns the averaged state per model."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(states)
-    schema = StructType([StructField("model", IntegerType()), StructField("n", LongType()),
-                         StructField("w", ArrayType(DoubleType()))])
+    schema = StructType([StructField("model", IntegerType()), StructField("w", ArrayType(DoubleType()))])
     cols = [*feature_cols, label] + ([fold_col] if fold_col else [])
 
     def train(batches):
@@ -275,17 +274,14 @@ def _epoch(df: DataFrame, states: list[np.ndarray], shapes, specs: list[Spec], f
                     ws, adam = out if adam is not None else (out, None)
                 current[m] = (ws, adam)
                 seen[m] += len(y)
-        rows = [(m, seen[m], (_pack(*current[m]) * seen[m]).tolist())
-                for m in range(len(specs)) if seen[m]]
-        yield pd.DataFrame(rows, columns=["model", "n", "w"])
+        rows = [(m, np.append(_pack(*current[m]) * seen[m], seen[m])) for m in range(len(specs)) if seen[m]]
+        yield pd.DataFrame(rows, columns=["model", "w"])
 
     per_part = df.select(*cols).mapInPandas(train, schema)
-    summed = (per_part.select("model", "n", F.posexplode("w").alias("i", "v"))
-              .groupBy("model", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")))
-    rows = summed.collect()  # models x parameters: bounded by the model size
     out = [v.copy() for v in states]
-    for r in rows:
-        out[r["model"]][r["i"]] = r["v"] / r["n"]
+    for r in sum_arrays(per_part, ["model"], "w").collect():  # models x parameters: bounded by the model size
+        sums = np.array(r["w"])
+        out[r["model"]] = sums[:-1] / sums[-1]
     return out
 
 

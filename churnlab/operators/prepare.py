@@ -7,11 +7,15 @@ limit) and per-column statistics (one number per column).
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from ..functions.cumulative import materialize
+from ..functions.vectors import sum_arrays
+
 
 def encode_flags(df: DataFrame, mapping: dict[str, str], yes: str = "Y", no: str = "N",
                  drop_source: bool = False) -> DataFrame:
@@ -146,97 +150,83 @@ def standardize(df: DataFrame, cols: list[str], ddof: int = 0, fit_on: DataFrame
     return df.withColumns(exprs)
 
 
-def _corr_long(spark, cols: list[str], value) -> DataFrame:
-    def one(i: int, j: int):
-        v = value(min(i, j), max(i, j))
-        return None if v is None or v != v else 1.0 if i == j else v
-    rows = [(a, b, one(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return spark.createDataFrame(rows, "feature_a string, feature_b string, corr double")
+#: Doubles that a task holds of the pair sums at a time (64 MB), and that one row carries.
+PASS_DOUBLES, BLOCK_DOUBLES = 1 << 23, 1 << 17
 
 
-def _masked_gram(data: DataFrame, cols: list[str], shift: list[float]):
-    """Pairwise-complete sums over all column pairs in one pass.
+def _pair_sums(data: DataFrame, cols: list[str], shift: list[float], lo: int, hi: int, block: int) -> DataFrame:
+    """(block, sums): pairwise-complete sums of the columns ``lo`` to ``hi`` with all columns, ``block`` columns in a row.
 
-    Per Arrow batch, with X the mean-shifted values and M the presence mask:
-    N = M'M, SX = (X*M)'M, SXX = (X*M)^2'M, SXY = (X*M)'(X*M).  Each partition
-    emits its 4 x D x D sums once; Spark adds them up by element.  Returns the
-    four D x D matrices (driver memory ~ D^2, independent of the rows).
+    With X the mean-shifted values, M the presence mask, B the block's columns: the counts
+    M_B'M, the sums X_B'M and M_B'X, the squares (X*X)_B'M and M_B'(X*X), the products X_B'X.
     """
     import numpy as np
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+    import pyarrow as pa
 
-    d = len(cols)
     bc = data.sparkSession.sparkContext.broadcast(np.asarray(shift, dtype=float))
 
     def run(batches):
-        acc = np.zeros((4, d, d))
-        seen = False
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float) - bc.value
-            m = ~np.isnan(x)
-            x0 = np.where(m, x, 0.0)
-            mf = m.astype(float)
-            acc[0] += mf.T @ mf
-            acc[1] += x0.T @ mf
-            acc[2] += (x0 * x0).T @ mf
-            acc[3] += x0.T @ x0
-            seen = True
-        if seen:
-            yield pd.DataFrame({"s": [acc.ravel().tolist()]})
-
-    schema = StructType([StructField("s", ArrayType(DoubleType()))])
-    sums = (data.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(run, schema)
-            .select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")))
-    flat = np.zeros(4 * d * d)
-    for r in sums.collect():
-        flat[r["i"]] = r["v"]
-    return flat.reshape(4, d, d)
+        total = np.zeros((6, hi - lo, len(cols)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - bc.value
+            m = (~np.isnan(x)).astype(float)
+            x = np.where(m > 0, x, 0.0)
+            xb, mb = x[:, lo:hi], m[:, lo:hi]
+            for i, (left, right) in enumerate(((mb, m), (xb, m), (mb, x), (xb * xb, m), (mb, x * x), (xb, x))):
+                total[i] += left.T @ right
+        rows = [total[:, a:a + block].ravel() for a in range(0, hi - lo, block)]
+        yield pa.RecordBatch.from_arrays([pa.array([lo + a for a in range(0, hi - lo, block)], pa.int32()),
+                                          pa.array(rows, pa.list_(pa.float64()))], names=["block", "sums"])
+
+    rows = data.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+    return sum_arrays(rows.mapInArrow(run, "block int, sums array<double>"), ["block"], "sums")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlations as the D x D long table ``(feature_a, feature_b, corr)`` (A3).
 
-    * No null/NaN in any column (checked by one small aggregate): Spark ML's
-      ``Correlation`` - one distributed pass accumulating the Gram matrix.
-    * Otherwise pairwise-complete (each pair uses the rows where both are
-      present, like pandas ``corr``): one vectorised masked-Gram pass over
-      mean-shifted values.
+    Pairwise-complete: each pair uses the rows where both are present, like pandas ``corr``.
+    A pair with fewer than 2 rows, or with a constant column, is NULL, on the diagonal too.
 
-    A pair with fewer than 2 rows, or with a constant column, is NULL in both
-    cases, on the diagonal too.
-
-    Plan size is constant in D; only D x D numbers reach the driver.
+    One pass over mean-shifted values adds up the sums of all pairs.  They travel and are
+    added as whole blocks of columns (about a megabyte a row), and each block's correlations
+    are made where it ends up, so neither a task, the driver nor the shuffle holds rows for
+    single pairs.  With very many columns (over about 1,100) the blocks take several passes,
+    so that a task holds at most 64 MB of sums.
     """
     import numpy as np
-    spark = df.sparkSession
+    import pyarrow as pa
+
+    d = len(cols)
+    schema = "feature_a string, feature_b string, corr double"
+    if not d:
+        return df.sparkSession.createDataFrame([], schema)
     data = df.select(*cols).persist()
     try:
-        stats = data.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")))
-                           .alias(f"n{i}") for i, c in enumerate(cols)],
-                         *[F.avg(_present(data, c)).alias(f"m{i}") for i, c in enumerate(cols)],
+        stats = data.agg(*[F.avg(_present(data, c)).alias(f"m{i}") for i, c in enumerate(cols)],
                          *[F.min(_present(data, c)).alias(f"lo{i}") for i, c in enumerate(cols)],
                          *[F.max(_present(data, c)).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
-        varied = [stats[f"lo{i}"] != stats[f"hi{i}"] for i in range(len(cols))]
-        if len(cols) > 1 and all(stats[f"n{i}"] == 0 for i in range(len(cols))):
-            from pyspark.ml.stat import Correlation
-            vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(data).select("_v")
-            m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-            return _corr_long(spark, cols, lambda i, j: float(m[i, j]) if varied[i] and varied[j] else None)
-        shift = [stats[f"m{i}"] or 0.0 for i in range(len(cols))]
-        n, sx, sxx, sxy = _masked_gram(data, cols, shift)
-
-        def corr(i: int, j: int):
-            k = n[i, j]
-            if k < 2 or not (varied[i] and varied[j]):
-                return None
-            num = k * sxy[i, j] - sx[i, j] * sx[j, i]
-            va = k * sxx[i, j] - sx[i, j] ** 2
-            vb = k * sxx[j, i] - sx[j, i] ** 2
-            if va <= 0 or vb <= 0:
-                return None
-            return float(num / np.sqrt(va * vb))
-
-        return _corr_long(spark, cols, corr)
+        varied = np.array([stats[f"lo{i}"] != stats[f"hi{i}"] for i in range(d)])
+        shift = [stats[f"m{i}"] or 0.0 for i in range(d)]
+        block = max(1, BLOCK_DOUBLES // (6 * d))
+        step = max(block, PASS_DOUBLES // (6 * d) // block * block)
+
+        def run(batches):
+            for batch in batches:
+                for lo, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    n, xa, xb, xxa, xxb, xy = sums.values.to_numpy().reshape(6, -1, d)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        va, vb = n * xxa - xa ** 2, n * xxb - xb ** 2
+                        corr = np.clip((n * xy - xa * xb) / np.sqrt(va * vb), -1.0, 1.0)
+                    own = np.arange(lo, lo + len(n))
+                    known = (n >= 2) & (va > 0) & (vb > 0) & varied[own][:, None] & varied
+                    corr[np.arange(len(n)), own] = 1.0
+                    corr = np.where(known, corr, np.nan)
+                    for i, a in enumerate(own):
+                        yield pa.RecordBatch.from_arrays([pa.array([cols[a]] * d), pa.array(cols), pa.array(corr[i], from_pandas=True)],
+                                                         names=["feature_a", "feature_b", "corr"])
+
+        parts = [_pair_sums(data, cols, shift, lo, min(d, lo + step), block) for lo in range(0, d, step)]
+        return materialize(reduce(DataFrame.union, parts).mapInArrow(run, schema))
     finally:
         data.unpersist()

@@ -10,11 +10,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cumulative import DEFAULT_ROWS_PER_BUCKET, materialize, running_sums
+from ..functions.hashing import hash_60
 from ..functions.joins import join_groups, per_group
+from ..functions.selection import kth_smallest
+from ..functions.vectors import sum_arrays
+
+#: Grids that a task of ``shap_density`` holds before it hands them on.
+HELD_GRIDS = 5_000
 
 
 # ------------------------------------------------------------------ WOE
@@ -145,29 +153,53 @@ def shap_density(long: DataFrame, feature: str, max_value: float, gridsize: int
     """Gaussian KDE of SHAP per feature value (M20): ``(value, i, x, density)``.
 
     Bandwidth = Scott's rule (n^-1/5 x sample std) x ``bw_adjust``; the grid
-    spans min - cut*bw .. max + cut*bw in ``gridsize`` points.  Work is one
-    row per distinct (value, shap) times the fixed grid, not rows x grid.  A
-    value whose SHAP is constant has no bandwidth: it gives one row, i = 0 at
-    that SHAP, with a null density.
+    spans min - cut*bw .. max + cut*bw in ``gridsize`` points.  A task adds up
+    the grid of each value over its rows, so what is shuffled is one array for
+    each task and value, whatever the number of rows.  A value whose SHAP is
+    constant has no bandwidth: it gives one row, i = 0 at that SHAP, with a
+    null density.
     """
     sel = materialize(long.where((F.col("feature") == feature) & (F.col("value") <= max_value)).select("value", "shap"))
-    distinct = sel.groupBy("value", "shap").agg(F.count(F.lit(1)).alias("cnt"))
     every = materialize(sel.groupBy("value").agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp("shap").alias("sd"),
         F.min("shap").alias("lo"), F.max("shap").alias("hi")))
     spread = F.coalesce(F.col("sd") > 0, F.lit(False)) & (F.col("hi") > F.col("lo"))
     flat = every.where(~spread).select("value", F.lit(0).alias("i"), F.col("lo").alias("x"), F.lit(None).cast("double").alias("density"))
     bw = F.col("sd") * F.pow(F.col("n").cast("double"), -0.2) * bw_adjust
-    stats = every.where(spread).withColumn("bw", bw) \
-        .withColumn("g0", F.col("lo") - cut * F.col("bw")) \
-        .withColumn("gstep", (F.col("hi") - F.col("lo") + 2 * cut * F.col("bw")) / (gridsize - 1))
-    j = distinct.join(per_group(stats), "value")
-    pts = j.select("value", "shap", "cnt", "n", "bw", "g0", "gstep",
-                   F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("i"))
-    x = F.col("g0") + F.col("i") * F.col("gstep")
-    z = (x - F.col("shap")) / F.col("bw")
-    contrib = F.col("cnt") * F.exp(-0.5 * z * z) / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
-    return pts.groupBy("value", "i").agg(F.first(x).alias("x"), F.sum(contrib).alias("density")).unionByName(flat)
+    stats = per_group(every.where(spread).withColumn("bw", bw)
+                      .withColumn("g0", F.col("lo") - cut * F.col("bw"))
+                      .withColumn("gstep", (F.col("hi") - F.col("lo") + 2 * cut * F.col("bw")) / (gridsize - 1))
+                      .select("value", "n", "bw", "g0", "gstep"))
+
+    def run(batches):
+        held: dict[float, np.ndarray] = {}
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.float64()), pa.array(list(held.values()), pa.list_(pa.float64()))],
+                                              names=["value", "sums"])
+        for batch in batches:
+            value, shap, width, start, step = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            kinds, first, where = np.unique(value, return_index=True, return_inverse=True)
+            for j, v in enumerate(kinds):
+                at, n = np.unique(shap[where == j], return_counts=True)
+                grid = start[first[j]] + np.arange(gridsize) * step[first[j]]
+                total = np.zeros(gridsize)
+                for k in range(0, len(at), 1000):
+                    z = (grid - at[k:k + 1000, None]) / width[first[j]]
+                    total += (n[k:k + 1000, None] * np.exp(-0.5 * z * z)).sum(axis=0)
+                held[v] = held[v] + total if v in held else total
+            if len(held) > HELD_GRIDS:
+                yield made()
+                held = {}
+        yield made()
+
+    rows = sel.join(stats, "value").select(F.col("value").cast("double"), "shap", "bw", "g0", "gstep")
+    sums = sum_arrays(rows.mapInArrow(run, "value double, sums array<double>"), ["value"], "sums")
+    pts = sums.join(stats.withColumn("value", F.col("value").cast("double")), "value") \
+        .select("value", "n", "bw", "g0", "gstep", F.posexplode("sums").alias("i", "s"))
+    out = pts.select(F.col("value").cast(sel.schema["value"].dataType).alias("value"), "i", (F.col("g0") + F.col("i") * F.col("gstep")).alias("x"),
+                     (F.col("s") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))).alias("density"))
+    return out.unionByName(flat)
 
 
 # ------------------------------------------------------------- SHAP reports
@@ -212,6 +244,98 @@ def shap_regression(long: DataFrame, features: list[str], lo: float = 0.0,
         F.regr_count("shap", "value").alias("n"))
 
 
+#: Poisson(1) cumulative probabilities (fixed values): how often a bootstrap draws a row, by the interval of a uniform number.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183,
+           0.9999167588507119, 0.9999897508033253, 0.999998874797402)
+#: A prime; replicate r draws (h * a_r) mod PRIME of a row's hash h, with a_r = 48271^(r + 1) mod PRIME.
+PRIME = (1 << 31) - 1
+
+
+def bootstrap_factors(replicates: int) -> list[int]:
+    return [pow(48271, r + 1, PRIME) for r in range(replicates)]
+
+
+def shap_regression_band(long: DataFrame, features: list[str], id_col: str, lo: float = 0.0, hi: float = 1.0,
+                         replicates: int = 200, gridsize: int = 100, level: float = 0.95, salt: str = "band") -> DataFrame:
+    """The regression line of SHAP on value with its bootstrap band (M22): ``(feature, i, x, fit, low, high)``.
+
+    Each replicate weighs a row by a Poisson(1) draw from the hash of its key, so the draw
+    needs no shuffle and no seed state.  One pass adds up the five regression sums of the line
+    and of all replicates in each task; Spark adds the tasks' arrays, and each feature's band
+    (percentiles of the replicates' lines, linear interpolation) is made where its sums are.
+    The grid runs from the least to the greatest value.  A feature with one value only has no
+    line: its rows have nulls.  Replicates without a line of their own are left out.
+    """
+    factors = np.array(bootstrap_factors(replicates), dtype=np.uint64)
+    sel = long.where(F.col("feature").isin(features) & F.col("value").between(lo, hi) & F.col("shap").isNotNull())
+    rows = sel.select("feature", F.col("value").cast("double").alias("x"), F.col("shap").cast("double").alias("y"),
+                      (hash_60(id_col, salt) % PRIME).alias("h"))
+
+    def run(batches):
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names, (x, y, h) = batch.column(0).to_pylist(), (c.to_numpy() for c in batch.columns[1:])
+            names = np.array(names, dtype=object)
+            for name in set(names.tolist()):
+                at = np.flatnonzero(names == name)
+                for part in np.array_split(at, -(-len(at) // 2000)):
+                    drawn = (h[part, None].astype(np.uint64) * factors % np.uint64(PRIME)) / PRIME
+                    weight = np.column_stack((np.ones(len(part)), np.searchsorted(POISSON, drawn, side="right")))
+                    one = np.stack([weight.T @ v for v in (np.ones(len(part)), x[part], y[part], x[part] ** 2, x[part] * y[part])])
+                    held[name] = held[name] + one.ravel() if name in held else one.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.list_(pa.float64()))],
+                                         names=["feature", "sums"])
+
+    ends = per_group(rows.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
+    sums = sum_arrays(rows.mapInArrow(run, "feature string, sums array<double>"), ["feature"], "sums").join(ends, "feature")
+
+    def band(batches):
+        for batch in batches:
+            for name, flat, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, sx, sy, sxx, sxy = np.array(flat).reshape(5, -1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    down = n * sxx - sx ** 2
+                    slope = (n * sxy - sx * sy) / down
+                    start = (sy - slope * sx) / n
+                usable = (n > 1) & (down > 1e-12 * np.maximum(n * sxx, 1e-300))
+                grid = first + np.arange(gridsize) * ((last - first) / max(1, gridsize - 1))
+                lines = start[1:][usable[1:]] + grid[:, None] * slope[1:][usable[1:]]
+                some = usable[0] and lines.shape[1] > 0
+                ends = np.quantile(lines, [(1 - level) / 2, (1 + level) / 2], axis=1) if some else np.full((2, gridsize), np.nan)
+                fit = start[0] + slope[0] * grid if usable[0] else np.full(gridsize, np.nan)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name] * gridsize), pa.array(np.arange(gridsize, dtype=np.int32)), pa.array(grid),
+                    *(pa.array(v, from_pandas=True) for v in (fit, *ends))], names=["feature", "i", "x", "fit", "low", "high"])
+
+    return sums.select("feature", "sums", "lo", "hi").mapInArrow(band, "feature string, i int, x double, fit double, low double, high double")
+
+
+def shap_beeswarm(long: DataFrame, id_col: str, n: int = 20, sample: int = 1000, bins: int = 100, salt: str = "swarm") -> DataFrame:
+    """Points of a summary plot (M18): ``(feature, ranking, id, value, shap, bin, layer, offset)``.
+
+    The top ``n`` features, each at the ``sample`` ids of the smallest key hashes (all, if
+    there are fewer); the border hash comes from ``kth_smallest``.  A feature's points fall
+    into ``bins`` + 1 rounded places between its least and greatest SHAP of the sample, and
+    those of one place pile up by hash: layer 0, 1, 2, ... at offset 0, 1, -1, 2, -2, ...
+    A feature with one SHAP value has one place, and null SHAP values have none.
+    """
+    long = materialize(long)
+    top = shap_ranking(long).where(F.col("ranking") <= n).select("feature", "ranking")
+    drawn = hash_60(id_col, salt)
+    ids = long.select(id_col).distinct().select(drawn.alias("h"))
+    total = ids.count()
+    kept = long if total <= sample else long.where(drawn <= kth_smallest(ids, "h", [sample])[0])
+    points = kept.where(F.col("shap").isNotNull()).join(F.broadcast(top), "feature").withColumn("h", drawn)
+    # at most ``sample`` rows a feature stand together here
+    per = Window.partitionBy("feature")
+    spread = F.max("shap").over(per) - F.min("shap").over(per)
+    place = F.when(spread > 0, F.floor(bins * (F.col("shap") - F.min("shap").over(per)) / spread + 0.5)).otherwise(0).cast("int")
+    layer = F.row_number().over(Window.partitionBy("feature", "bin").orderBy("h", id_col)) - 1
+    offset = F.ceil(F.col("layer") / 2) * F.when(F.col("layer") % 2 == 1, 1).otherwise(-1)
+    return points.withColumn("bin", place).withColumn("layer", layer) \
+        .select("feature", F.col("ranking").cast("int").alias("ranking"), id_col, "value", "shap", "bin", "layer", offset.cast("int").alias("offset"))
+
+
 def shap_box(long: DataFrame, feature: str) -> DataFrame:
     """SHAP distribution per value of one feature."""
     return box_stats(long.where(F.col("feature") == feature), ["value"], "shap")

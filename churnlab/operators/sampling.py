@@ -7,10 +7,13 @@ projection only - no shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_unit
+from ..functions.hashing import hash_60, hash_unit
+from ..functions.selection import kth_smallest
 
 
 def with_split(df: DataFrame, key: str, test: float = 0.25, salt: str = "split",
@@ -37,6 +40,35 @@ def with_validation_flag(df: DataFrame, key: str, frac: float = 0.2, salt: str =
     return df.withColumn(col, hash_unit(key, salt) < frac)
 
 
+def _parts(df: DataFrame, key: str, salt: str, sizes: list[int], col: str) -> DataFrame:
+    """Add the number of the part (from 0) of each row: parts of these sizes in the order of the key's hash."""
+    ends = [sum(sizes[:i + 1]) for i in range(len(sizes) - 1)]
+    drawn = hash_60(key, salt)
+    cuts = kth_smallest(df.select(drawn.alias("h")), "h", [e for e in ends if e > 0]) if sum(sizes) else []
+    cuts = [-1] * (len(ends) - len(cuts)) + cuts
+    part = sum(((drawn > c).cast("int") for c in cuts), F.lit(0))
+    return df.withColumn(col, part)
+
+
+def exact_split(df: DataFrame, key: str, test: float = 0.25, salt: str = "split", col: str = "split") -> DataFrame:
+    """``split`` as ``with_split``, with exactly ceil(``test`` x rows) test rows (R2).
+
+    The test rows are those of the smallest key hashes; the hash at the border is found by
+    ``kth_smallest``, so no task orders the rows.  Rows that share a key stay together, so
+    repeated keys may make the part larger.  Keys may not be null.
+    """
+    n = df.count()
+    size = min(n, math.ceil(n * test))
+    return _parts(df, key, salt, [size, n - size], "_part") \
+        .withColumn(col, F.when(F.col("_part") == 0, "test").otherwise("train")).drop("_part")
+
+
+def exact_folds(df: DataFrame, key: str, k: int = 5, salt: str = "fold", col: str = "fold") -> DataFrame:
+    """Folds 0..k-1 by ascending key hash whose sizes differ by one row at most, the first ones larger."""
+    n = df.count()
+    return _parts(df, key, salt, [n // k + (i < n % k) for i in range(k)], col)
+
+
 def class_counts(df: DataFrame, label: str) -> tuple[int, int]:
     """Positives and negatives in one job (A1)."""
     row = df.agg(F.count_if(F.col(label) == 1).alias("p"),

@@ -8,11 +8,15 @@ Assignment to given centres is a JVM-side expression, no model object needed.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import sum_arrays
+
 
 def _assembled(df: DataFrame, cols: list[str], out: str = "_features") -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol=out).transform(df)
@@ -45,6 +49,71 @@ def kmeans_best_of(df: DataFrame, cols: list[str], k: int, seeds: list[int],
     return fits[best][0], costs
 
 
+def hashed_starts(df: DataFrame, cols: list[str], key: str, k: int, seeds: list[int]) -> list[np.ndarray]:
+    """For each seed, the ``k`` distinct points of the smallest key hashes as first centres (fewer if there are no more)."""
+    out = []
+    for seed in seeds:
+        point = F.array(*[F.col(c).cast("double") for c in cols])
+        first = df.groupBy(point.alias("p")).agg(F.min(F.xxhash64(key, F.lit(seed))).alias("h"))
+        out.append(np.array([r["p"] for r in first.orderBy("h", "p").limit(k).collect()]).reshape(-1, len(cols)))
+    return out
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first nearest centre of each row, and its squared distance."""
+    d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    at = d.argmin(axis=1)
+    return at, d[np.arange(len(x)), at]
+
+
+def kmeans_restarts(df: DataFrame, cols: list[str], starts: list[np.ndarray], max_iter: int = 100,
+                    tol: float = 1e-4) -> list[tuple[np.ndarray, float, int]]:
+    """All restarts of k-means in one pass per iteration (M4): ``(centres, cost, iterations)`` of each start.
+
+    A task assigns its rows to the centres of every restart that still moves and adds up
+    (restart, centre) sums; Spark adds those up as whole arrays.  A restart has settled when no
+    centre moves by more than ``tol``; a centre without rows stays.  The cost is that of the
+    returned centres.  Persist ``df`` first.
+    """
+    sc = df.sparkSession.sparkContext
+    rows = df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+    centres = [np.array(s, dtype=float) for s in starts]
+    iterations, cost, live = [0] * len(starts), [0.0] * len(starts), [i for i, s in enumerate(starts) if len(s)]
+
+    def sums(which: list[int]) -> dict[int, np.ndarray]:
+        shared = sc.broadcast({i: centres[i] for i in which})
+
+        def run(batches):
+            total = {i: np.zeros((len(c), len(cols) + 2)) for i, c in shared.value.items()}
+            for batch in batches:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                for i, c in shared.value.items():
+                    at, d = _nearest(x, c)
+                    np.add.at(total[i], at, np.column_stack((x, np.ones(len(x)), d)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.ravel() for t in total.values()], pa.list_(pa.float64()))],
+                                             names=["restart", "sums"])
+
+        found = sum_arrays(rows.mapInArrow(run, "restart int, sums array<double>"), ["restart"], "sums").collect()
+        shared.unpersist()
+        return {r["restart"]: np.array(r["sums"]).reshape(-1, len(cols) + 2) for r in found}
+
+    for _ in range(max_iter):
+        if not live:
+            break
+        moved = []
+        for i, total in sorted(sums(live).items()):
+            n = total[:, -2:-1]
+            new = np.where(n > 0, total[:, :-2] / np.maximum(n, 1), centres[i])
+            far = np.sqrt(((new - centres[i]) ** 2).sum(axis=1)).max()
+            centres[i], iterations[i] = new, iterations[i] + 1
+            if far > tol:
+                moved.append(i)
+        live = moved
+    for i, total in sums([i for i, c in enumerate(centres) if len(c)]).items():
+        cost[i] = float(total[:, -1].sum())
+    return list(zip(centres, cost, iterations, strict=True))
+
+
 def assign(model, df: DataFrame, cols: list[str]) -> DataFrame:
     """Cluster label per row from a fitted model (M5)."""
     out = model.transform(_assembled(df, cols))

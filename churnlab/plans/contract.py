@@ -98,6 +98,18 @@ def q_folds(spark, sf):
     return smp.assign_folds(cf, "user_id", 5)
 
 
+@query("train_test_split_exact", osql.split_exact_sql)
+def q_split_exact(spark, sf):
+    """75/25 split with exact sizes (R2)."""
+    return smp.exact_split(fx.feature_table(spark, sf).select("user_id"), "user_id")
+
+
+@query("assign_folds_exact", osql.folds_exact_sql)
+def q_folds_exact(spark, sf):
+    """Five folds whose sizes differ by one at most."""
+    return smp.exact_folds(fx.feature_table(spark, sf).select("user_id"), "user_id", 5)
+
+
 @query("downsample_negatives", osql.downsample_sql)
 def q_downsample(spark, sf):
     cf = fx.feature_table(spark, sf).select("user_id", "re1")
@@ -136,7 +148,7 @@ def q_corr(spark, sf):
 
 
 # ---------------------------------------------------------------- metrics (frozen scores)
-from ..operators import boost, metrics, report, segment  # noqa: E402
+from ..operators import boost, grid_boost, metrics, report, segment  # noqa: E402
 from ..operators import shap as tshap  # noqa: E402
 from . import flows  # noqa: E402
 
@@ -266,6 +278,19 @@ def q_shap_regression(spark, sf):
     return _rounded(out, ["slope", "intercept", "r2"])
 
 
+@query("shap_regression_band", osql.shap_band_sql)
+def q_shap_band(spark, sf):
+    """Regression line and bootstrap band."""
+    out = report.shap_regression_band(flows.frozen_shap_long(spark, sf), ["avg_discount", "mon_tc"], "user_id", replicates=100, gridsize=25)
+    return _rounded(out, ["x", "fit", "low", "high"])
+
+
+@query("shap_beeswarm", osql.shap_beeswarm_sql)
+def q_shap_beeswarm(spark, sf):
+    """Points of the summary plot with their places (M18); the sample is the reference's argument."""
+    return _rounded(report.shap_beeswarm(flows.frozen_shap_long(spark, sf), "user_id", 3, 150), ["shap"])
+
+
 @query("shap_histogram", osql.shap_histogram_sql)
 def q_shap_hist(spark, sf):
     out = report.shap_histogram(flows.frozen_shap_long(spark, sf), "tc", 20, 0.05)
@@ -325,6 +350,19 @@ def q_segment_profile_frozen(spark, sf):
     return _rounded(out, [f"avg_{c}" for c in flows.SEGMENT_FEATURES])
 
 
+@query("kmeans_restart_costs")
+def q_kmeans_restarts(spark, sf):
+    """Cost and iterations of five restarts, all in one pass per iteration (M4; rows-only)."""
+    data = flows.segment_input(spark, sf).persist()
+    zcols = [c + "_z" for c in flows.SEGMENT_FEATURES]
+    seeds = [1, 2, 3, 4, 5]
+    found = segment.kmeans_restarts(data, zcols, segment.hashed_starts(data, zcols, "user_id", 4, seeds))
+    data.unpersist()
+    least = min(cost for _, cost, _ in found)
+    rows = [(seed, cost, n, cost == least) for seed, (_, cost, n) in zip(seeds, found)]
+    return spark.createDataFrame(rows, "seed int, cost double, iterations int, is_best boolean")
+
+
 @query("kmeans_best_of")
 def q_kmeans_best_of(spark, sf):
     """Trained: k = 4, best of 5 seeds, up to 100 iterations (rows-only check)."""
@@ -381,16 +419,28 @@ def q_cv_gbt(spark, sf):
 
 @query("cv_gbt_folds")
 def q_cv_gbt_folds(spark, sf):
-    """Per-fold AUC and best round of each setting, early stopping inside the fold (rows-only)."""
-    data = smp.assign_folds(flows.split_prepared(spark, sf).where(F.col("split") == "train"),
-                            "user_id", 5).persist()
+    """The reference's grid: 3 step sizes x 3 depths x 5 folds, up to 500 rounds, patience 20, leaf budgets, bags redrawn
+    every 5 rounds, features drawn per tree; all 45 members grow in one pass per level (rows-only)."""
+    data = smp.assign_folds(flows.split_prepared(spark, sf).where(F.col("split") == "train"), "user_id", 5).persist()
     feats = flows.model_features(data.drop("fold"))
-    out = boost.cv_gbt_folds(data, feats, "churn_100", "fold", step_sizes=(0.1,), max_depths=(2, None),
-                             parallelism=4, maxIter=20, seed=42)
+    out = grid_boost.cv_grid(data, feats, "churn_100", "user_id", "fold", 5)
     data.unpersist()
     return out
 
 
+@query("leafwise_fit_score")
+def q_leafwise(spark, sf):
+    """Best-first trees of 31 leaves, up to 500 rounds, stopped on the validation slice: test scores (M8, M9; rows-only)."""
+    data = flows.split_prepared(spark, sf)
+    base = smp.with_validation_flag(data.where(F.col("split") == "train"), "user_id", 0.2).persist()
+    feats = flows.model_features(data)
+    member = grid_boost.Member(grid_boost.Setting(0.05), 1)
+    grown, = grid_boost.grow(base.withColumn("part", F.col("is_valid").cast("int")), feats, "churn_100", [member], "user_id", "part")
+    base.unpersist()
+    return boost.score_ensemble(data.where(F.col("split") == "test"), grown.ensemble, "user_id", keep=["churn_100"]) \
+        .withColumn("rounds", F.lit(grown.best_round))
+
+
 @query("early_stop_curve")
 def q_early_stop(spark, sf):
     """AUC per boosting round on the fitting and the validation rows, and the early-stopping pick."""
@@ -461,6 +511,34 @@ def q_preview(spark, sf):
     return preview(fx.feature_table(spark, sf).select("user_id", "tc"), ["tc", "user_id"], offset=5, n=20)
 
 
+@query("table_replace_round_trip", osql.replace_table_sql)
+def q_replace(spark, sf):
+    """A table overwritten in stages by rows read from itself."""
+    import uuid
+
+    from ..sources.io import read_table, replace_table
+    from ..sources.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    replace_table(fx.feature_table(spark, sf).select("user_id", "tc", "c_mktsegment"), path)
+    replace_table(read_table(spark, path).where(F.col("tc") > 10), path)
+    return read_table(spark, path)
+
+
+@query("frozen_pipeline", osql.frozen_pipeline_sql)
+def q_frozen_pipeline(spark, sf):
+    """Assembler, pipeline, vector elements and renames with fixed weights."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+    data = flows.prepared_features(spark, sf)
+    stages = [VectorAssembler(inputCols=["tc", "avg_discount"], outputCol="features"),
+              ElementwiseProduct(scalingVec=Vectors.dense([0.5, 10.0]), inputCol="features", outputCol="scaled")]
+    out = Pipeline(stages=stages).fit(data).transform(data).withColumn("v", vector_to_array("scaled"))
+    out = out.select("user_id", F.col("v")[0].alias("first"), F.col("v")[1].alias("second"))
+    return _rounded(out.withColumnRenamed("first", "half_tc").withColumnRenamed("second", "discount_tenths"), ["half_tc", "discount_tenths"])
+
+
 @query("csv_round_trip", osql.csv_sql)
 def q_csv(spark, sf):
     """CSV written and read with an explicit schema (S4); the files are in the shared folder."""
@@ -495,6 +573,7 @@ def q_gbt_importance(spark, sf):
 
 # ---------------------------------------------------------------- MLP
 from ..operators import mlp as nn  # noqa: E402
+from ..operators import mlp_norm  # noqa: E402
 
 
 @query("mlp_score_frozen", osql.mlp_score_sql)
@@ -590,33 +669,56 @@ def q_mlp_builtin(spark, sf):
     return _evaluate(scored, "churn_100")
 
 
+def _variant_net(feats):
+    """The Keras script's network: batch normalisation before, and behind each of the layers 60 and 30; tanh, dropout, smoothing."""
+    return mlp_norm.Net((len(feats), 60, 30, 1), "tanh", True, 0.2, 0.05)
+
+
 @query("mlp_variant")
 def q_mlp_variant(spark, sf):
-    """Keras-style options (M28): layers 60-30, tanh, Adam, dropout .2, label smoothing .05, early stop
-    on validation AUC; per-epoch validation AUC, the kept epoch and its weights' test AUC (rows-only)."""
+    """Keras-style network (M28): batch normalisation, layers 60-30, tanh, Adam, dropout .2, label smoothing .05, up to 100
+    epochs, early stop on validation AUC; per-epoch validation AUC, the kept epoch and its test AUC (rows-only)."""
     data, feats = flows.mlp_input(spark, sf)
     base = smp.with_validation_flag(data.where(F.col("split") == "train"), "user_id", 0.2).persist()
-    fit_rows, valid = base.where(~F.col("is_valid")), base.where(F.col("is_valid"))
-    curve = []
-
-    def auc_of(ws, rows):
-        s = nn.mlp_score(rows, ws, feats, "user_id", keep=["churn_100"], activation="tanh", first_linear=False)
-        return metrics.roc_auc(s, "score", "churn_100")
-
-    def valid_auc(ws):
-        curve.append(auc_of(ws, valid))
-        return curve[-1]
-
-    stopper = nn.early_stopping(valid_auc, patience=10)
-    nn.mlp_fit(fit_rows, feats, "churn_100", hidden=[60, 30], epochs=100, lr=0.01, activation="tanh", optimizer="adam",
-               dropout=0.2, smoothing=0.05, on_epoch=stopper, first_linear=False)
-    best_epoch, _, kept = stopper.state["best"]
-    test = auc_of(kept, data.where(F.col("split") == "test"))
+    net = _variant_net(feats)
+    valid = base.where("is_valid").persist()
+    stop = mlp_norm.patience_of(lambda models: mlp_norm.auc_per_member(valid, feats, "churn_100", net, models), 1, 20)
+    mlp_norm.fit(base.where(~F.col("is_valid")), feats, "churn_100", "user_id", net, [nn.Spec(0.01)], 100, on_epoch=stop)
+    epoch, _, kept = stop.best[0]
+    test = mlp_norm.auc_per_member(data.where(F.col("split") == "test"), feats, "churn_100", net, [kept]).get(0)
+    valid.unpersist()
     base.unpersist()
-    rows = [(i + 1, a, i + 1 == best_epoch, test if i + 1 == best_epoch else None) for i, a in enumerate(curve)]
+    rows = [(i + 1, c[0], i + 1 == epoch, test if i + 1 == epoch else None) for i, c in enumerate(stop.curve)]
     return spark.createDataFrame(rows, "epoch int, valid_auc double, is_best boolean, test_auc double")
 
 
+@query("cv_mlp_variant")
+def q_cv_mlp_variant(spark, sf):
+    """Learning-rate CV of the Keras-style network (M29): rates .1, .05, .01 x 5 folds, up to 100 epochs, patience 10 on the
+    fold's AUC; all 15 members share each epoch's pass (rows-only)."""
+    data, feats = flows.mlp_input(spark, sf)
+    train = smp.assign_folds(data.where(F.col("split") == "train"), "user_id", 5).persist()
+    net, specs = _variant_net(feats), [nn.Spec(lr, f) for lr in (0.1, 0.05, 0.01) for f in range(5)]
+    stop = mlp_norm.patience_of(lambda models: mlp_norm.auc_per_member(train, feats, "churn_100", net, models, specs, "fold"), len(specs), 10)
+    mlp_norm.fit(train, feats, "churn_100", "user_id", net, specs, 100, fold_col="fold", on_epoch=stop)
+    train.unpersist()
+    rows = [(s.lr, s.holdout, epoch, auc if epoch else None) for s, (epoch, auc, _) in zip(specs, stop.best)]
+    return spark.createDataFrame(rows, "lr double, fold int, epoch int, auc double")
+
+
+@query("mlp_synchronous")
+def q_mlp_synchronous(spark, sf):
+    """Three hidden layers of 64, mini-batches spread over all tasks: the weights do not depend on the partitions (M27; rows-only)."""
+    data, feats = flows.mlp_input(spark, sf)
+    train = data.where(F.col("split") == "train").persist()
+    net = mlp_norm.Net((len(feats), 64, 64, 64, 2), "softplus")
+    model, = mlp_norm.fit(train, feats, "churn_100", "user_id", net, [nn.Spec(0.05)], 10, 128, "sgd", synchronous=True)
+    train.unpersist()
+    scored = nn.mlp_score(data.where(F.col("split") == "test"), mlp_norm.folded(net, model), feats, "user_id", keep=["churn_100"],
+                          first_linear=False)
+    return _evaluate(scored, "churn_100")
+
+
 @query("mlp_learning_rates")
 def q_mlp_rates(spark, sf):
     """Final train and test loss and accuracy of four learning rates without CV, trained in one pass per epoch (rows-only)."""

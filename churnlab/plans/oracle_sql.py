@@ -761,3 +761,56 @@ def mlp_activations_sql() -> str:
     units = ", ".join("round(" + f"{_f(b[j])} + " + " + ".join(
         f"z_{c} * {_f(w[i, j])}" for i, c in enumerate(MLP_FROZEN_FEATURES)) + f", 6) AS h{j}" for j in range(w.shape[1]))
     return prep_cte() + f", l0 AS (SELECT user_id, {zs} FROM prep)\nSELECT user_id, {units} FROM l0"
+
+
+# ------------------------------------------------------------------ band, beeswarm, exact sizes, pipeline, sink
+def shap_band_sql(replicates: int = 100, gridsize: int = 25) -> str:
+    from ..functions.hashing import hash_60_sql
+    from ..operators.report import POISSON, PRIME, bootstrap_factors
+    factors = ", ".join(f"({r + 1}, {a})" for r, a in enumerate(bootstrap_factors(replicates)))
+    drawn = f"CAST((h * a) % {PRIME} AS DOUBLE) / {PRIME}"
+    weight = " + ".join(f"CAST({drawn} >= {_f(c)} AS INTEGER)" for c in POISSON)
+    return shap_cte() + f""", f(r, a) AS (VALUES (0, 0), {factors}),
+b AS (SELECT feature, value AS x, shap AS y, {hash_60_sql('user_id', 'band')} % {PRIME} AS h FROM lg
+      WHERE feature IN ('avg_discount', 'mon_tc') AND value BETWEEN 0 AND 1),
+w AS (SELECT feature, x, y, r, CASE WHEN r = 0 THEN 1 ELSE {weight} END AS w FROM b, f),
+m AS (SELECT feature, r, sum(w) AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM w GROUP BY feature, r),
+l AS (SELECT feature, r, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope, sx, sy, n FROM m WHERE n > 1 AND n * sxx - sx * sx > 1e-12 * n * sxx),
+e AS (SELECT feature, min(x) AS x0, max(x) AS x1 FROM b GROUP BY feature),
+g AS (SELECT feature, i, x0 + i * ((x1 - x0) / {gridsize - 1}) AS x FROM e, range(0, {gridsize}) t(i)),
+p AS (SELECT g.feature, i, x, r, (sy - slope * l.sx) / n + slope * x AS v FROM g JOIN l ON g.feature = l.feature)
+SELECT feature, CAST(i AS INTEGER) AS i, round(x, 6) AS x, round(max(CASE WHEN r = 0 THEN v END), 6) AS fit,
+  round(quantile_cont(CASE WHEN r > 0 THEN v END, 0.025), 6) AS low, round(quantile_cont(CASE WHEN r > 0 THEN v END, 0.975), 6) AS high
+FROM p GROUP BY feature, i, x"""
+
+
+def shap_beeswarm_sql(n: int = 3, sample: int = 150, bins: int = 100) -> str:
+    from ..functions.hashing import hash_60_sql
+    return shap_cte() + f""", rk AS (
+  SELECT feature, row_number() OVER (ORDER BY avg(abs(shap)) DESC, feature) AS ranking FROM lg GROUP BY feature),
+ids AS (SELECT user_id, {hash_60_sql('user_id', 'swarm')} AS h FROM lg GROUP BY user_id ORDER BY h LIMIT {sample}),
+pt AS (SELECT lg.*, rk.ranking, h, min(shap) OVER q AS lo, max(shap) OVER q AS hi FROM lg JOIN ids USING (user_id) JOIN rk USING (feature)
+       WHERE ranking <= {n} WINDOW q AS (PARTITION BY feature)),
+bn AS (SELECT *, CASE WHEN hi > lo THEN CAST(floor({bins} * (shap - lo) / (hi - lo) + 0.5) AS INTEGER) ELSE 0 END AS bin FROM pt),
+la AS (SELECT *, CAST(row_number() OVER (PARTITION BY feature, bin ORDER BY h) - 1 AS INTEGER) AS layer FROM bn)
+SELECT feature, CAST(ranking AS INTEGER) AS ranking, user_id, value, round(shap, 6) AS shap, bin, layer,
+  CAST(ceil(layer / 2) * CASE WHEN layer % 2 = 1 THEN 1 ELSE -1 END AS INTEGER) AS "offset" FROM la"""
+
+
+def split_exact_sql() -> str:
+    from ..functions.hashing import hash_60_sql
+    return with_cf(f"""SELECT user_id, CASE WHEN row_number() OVER (ORDER BY {hash_60_sql('user_id', 'split')}) <= ceil(count(*) OVER () * 0.25)
+  THEN 'test' ELSE 'train' END AS split FROM cf""")
+
+
+def folds_exact_sql() -> str:
+    from ..functions.hashing import hash_60_sql
+    return with_cf(f"""SELECT user_id, CAST(ntile(5) OVER (ORDER BY {hash_60_sql('user_id', 'fold')}) - 1 AS INTEGER) AS fold FROM cf""")
+
+
+def frozen_pipeline_sql() -> str:
+    return prep_cte() + "SELECT user_id, round(tc * 0.5, 6) AS half_tc, round(avg_discount * 10.0, 6) AS discount_tenths FROM prep"
+
+
+def replace_table_sql() -> str:
+    return with_cf("SELECT user_id, tc, c_mktsegment FROM cf WHERE tc > 10")

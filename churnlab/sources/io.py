@@ -8,8 +8,10 @@ the executors.
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 TABLES = (
@@ -39,6 +41,49 @@ def write_table(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "ove
         writer.saveAsTable(name)
 
 
+def _fs(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and its maker of paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def replace_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> int:
+    """Overwrite the table at ``path`` in stages (S5); returns its rows.
+
+    The new table is written beside the old one, read back and compared (rows and columns),
+    and only then takes its place by a rename; the old one goes last.  A job that fails before
+    leaves the old table as it is, and ``df`` may read from ``path`` itself.  A failure between
+    the two renames puts the old table back.
+    """
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    fresh, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    fs, make = _fs(spark, path)
+    seen = Observation()
+    try:
+        out = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(fmt).mode("error")
+        (out.partitionBy(*partition_by) if partition_by else out).save(fresh)
+        back = spark.read.format(fmt).load(fresh)
+        rows = back.count()
+        if rows != seen.get["rows"] or sorted(back.columns) != sorted(df.columns):
+            raise ValueError(f"{fresh} is not what was written")
+        had = fs.exists(make(path))
+        if had and not fs.rename(make(path), make(old)):
+            raise OSError(f"cannot move {path}")
+        try:
+            if not fs.rename(make(fresh), make(path)):
+                raise OSError(f"cannot move {fresh}")
+        except Exception:
+            if had:
+                fs.rename(make(old), make(path))
+            raise
+        if had:
+            fs.delete(make(old), True)
+        return rows
+    finally:
+        fs.delete(make(fresh), True)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV sink with a header row."""
     df.write.mode(mode).option("header", True).csv(path)
