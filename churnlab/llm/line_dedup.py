@@ -21,8 +21,9 @@ earlier line of the input.  The steps:
 6. Candidates are verified on their whole token sets.
 
 Only built-in functions run.  Tokens whose sketch count passes ``hot_rows`` are
-salted in step 4.  Null and empty texts, and documents with a null id, stay as
-they are.  A row repeated whole counts as one document.  Other columns are kept
+salted in step 4.  Null and empty texts stay as they are.  A row without an id is a
+document of its own, behind all others (in no defined order among themselves).  A row
+repeated whole counts as one document.  Other columns are kept
 by ``without_repeated_lines`` and ignored otherwise.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .native import WHITE, WHITE_RUN, WORD, let
-from .store import bounded, stored
+from .store import UNNAMED, bounded, stored, with_ids, without_made_ids
 
 PERCENT = 75
 SHINGLE = 5
@@ -41,12 +42,36 @@ HOT_ROWS = 1_000_000
 SALTS = 32
 #: A token is a rarity rank (12 bits) above 51 bits of hash.
 HASH_BITS = 51
+_DOC, _REMOVED = "__line_doc", "__line_removed"
+
+
+#: Line numbers that may be broadcast with their documents (32 MB).
+BROADCAST_LINES = 8_000_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, at, line): the lines with a word."""
-    return docs.select("doc", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(WORD)) \
-        .select("doc", "at", F.lower(F.btrim("line", F.lit(WHITE))).alias("line"))
+    return _bare(docs.select("doc", F.posexplode(F.split("text", "\n")).alias("at", "line")))
+
+
+def _bare(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("line").rlike(WORD)).select("doc", "at", F.lower(F.btrim("line", F.lit(WHITE))).alias("line"))
+
+
+def _lines_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The lines with a word that are not in ``gone`` (doc, at).
+
+    The line numbers go to their documents as one array each, so documents and not lines are
+    joined, and texts stay where they are while the numbers are few enough to broadcast.
+    """
+    per_doc = stored(gone.groupBy("doc").agg(F.collect_set("at").alias("gone")))
+    total = per_doc.agg(F.sum(F.size("gone")), F.count(F.lit(1))).first()
+    side = F.broadcast(per_doc) if (total[0] or 0) + 16 * total[1] <= BROADCAST_LINES else per_doc
+    rows = docs.join(side, "doc", "left").select("doc", "gone", F.split("text", "\n").alias("lines"))
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    kept = F.when(F.col("gone").isNull(), every).otherwise(F.array_except(every, "gone"))
+    pairs = let(F.col("lines"), lambda x: F.transform(kept, lambda i: F.struct(i.alias("at"), F.get(x, i).alias("line"))))
+    return _bare(rows.select("doc", F.inline(pairs)))
 
 
 def _word_hashes(line: Column) -> Column:
@@ -125,7 +150,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last")) \
         .where("first != last").select("h1", "h2", "first")
     copies = stored(keyed.join(first, ["h1", "h2"]).where(F.struct("doc", "at") != F.col("first")).select("doc", "at").distinct())
-    once = lines.join(bounded(copies), ["doc", "at"], "left_anti")
+    once = _lines_without(base, copies)
 
     # prefixes
     ranks = rarity_ranks(once, k, buckets)
@@ -160,23 +185,26 @@ def _per_document(docs: DataFrame, id_col: str, text_col: str, **options) -> Dat
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of every row; ``removed`` lists line numbers."""
+    docs = with_ids(docs, id_col)
     found = _per_document(docs, id_col, text_col, **options)
+    shown = F.when(F.col(UNNAMED).isNull(), F.col("doc_id")) if UNNAMED in docs.columns else F.col("doc_id")
     n = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
-        .select("doc_id", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n).alias("n_lines"))
+    made = [UNNAMED] if UNNAMED in docs.columns else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *made) \
+        .select("doc_id", *made, F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n).alias("n_lines"))
     return rows.join(found, rows["doc_id"] == found["doc"], "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        shown.alias("doc_id"), "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with repeated lines taken out of the texts; documents that lose all their words go."""
-    found = _per_document(docs, id_col, text_col, **options)
-    found = found.select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"))
+    named = with_ids(docs, id_col)
+    found = _per_document(named, id_col, text_col, **options).select(F.col("doc").alias(_DOC), F.col("removed").alias(_REMOVED))
     def kept(lines: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_REMOVED))
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(let(F.split(F.col(text_col), "\n"), kept))
-    joined = docs.join(found, docs[id_col] == found["_doc"], "left") \
-        .select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], "_removed")
-    return joined.where(F.col("_removed").isNull() | F.col(text_col).rlike(WORD)).select(*docs.columns)
+    text = F.when(F.col(_REMOVED).isNull(), F.col(text_col)).otherwise(let(F.split(F.col(text_col), "\n"), kept))
+    joined = named.join(found, named[id_col] == found[_DOC], "left") \
+        .select(*[text.alias(c) if c == text_col else named[c] for c in named.columns], _REMOVED)
+    return without_made_ids(joined.where(F.col(_REMOVED).isNull() | F.col(text_col).rlike(WORD)), docs, id_col)

@@ -32,26 +32,39 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+UNNAMED = "__row_without_id"
+
+
+def with_ids(docs: DataFrame, id_col: str, *others: DataFrame) -> DataFrame:
+    """``docs`` with an id for every row: rows without one are stored with ids above all of ``docs`` and ``others``.
+
+    If there are any, the column ``UNNAMED`` says which; ``without_made_ids`` takes both back.
+    """
+    unnamed = docs.where(F.col(id_col).isNull())
+    if not unnamed.limit(1).count():
+        return docs
+    tops = [x.agg(F.max(F.col(id_col).cast("long"))).first()[0] for x in (docs, *others)]
+    top = max((x for x in tops if x is not None), default=0)
+    rows = stored(unnamed.withColumn(UNNAMED, F.monotonically_increasing_id()))
+    return docs.where(F.col(id_col).isNotNull()).withColumn(UNNAMED, F.lit(None).cast("long")).unionByName(rows) \
+        .withColumn(id_col, F.coalesce(F.col(id_col).cast("long"), F.lit(top + 1).cast("long") + F.col(UNNAMED)))
+
+
+def without_made_ids(named: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``with_ids(docs)`` with the ids of ``docs``."""
+    if UNNAMED in named.columns:
+        named = named.withColumn(id_col, F.when(F.col(UNNAMED).isNull(), F.col(id_col)).cast(docs.schema[id_col].dataType))
+    return named.select(*docs.columns)
+
+
 def without_rows(docs: DataFrame, id_col: str, rejected: Callable[[DataFrame], DataFrame], *others: DataFrame) -> DataFrame:
     """``docs`` without the rows whose id is in the column ``doc_id`` of ``rejected(docs)``.
 
-    Every row without an id is a document of its own: such rows are stored with ids
-    above all of ``docs`` and ``others`` for the decision, and have none afterwards.
+    Every row without an id is a document of its own.
     """
-    unnamed = docs.where(F.col(id_col).isNull())
-    some = unnamed.limit(1).count() > 0
-    named = docs
-    if some:
-        tops = [x.agg(F.max(F.col(id_col).cast("long"))).first()[0] for x in (docs, *others)]
-        top = max((x for x in tops if x is not None), default=0)
-        rows = stored(unnamed.withColumn("_unnamed", F.monotonically_increasing_id()))
-        named = docs.where(F.col(id_col).isNotNull()).withColumn("_unnamed", F.lit(None).cast("long")).unionByName(rows) \
-            .withColumn(id_col, F.coalesce(F.col(id_col).cast("long"), F.lit(top + 1).cast("long") + F.col("_unnamed")))
+    named = with_ids(docs, id_col, *others)
     bad = stored(rejected(named).select(F.col("doc_id").alias(id_col)).distinct())
-    kept = named.join(bounded(bad), id_col, "left_anti")
-    if some:
-        kept = kept.withColumn(id_col, F.when(F.col("_unnamed").isNull(), F.col(id_col)).cast(docs.schema[id_col].dataType))
-    return kept.select(*docs.columns)
+    return without_made_ids(named.join(bounded(bad), id_col, "left_anti"), docs, id_col)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

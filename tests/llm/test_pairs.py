@@ -106,7 +106,8 @@ def test_backward_search_against_a_scan():
 
 
 @pytest.mark.parametrize("hot_rows", [1, 1_000_000])
-def test_line_dedup(docs, pairs, empty, hot_rows):
+def test_line_dedup(docs, pairs, empty, hot_rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", hot_rows)
     found = line_dedup.line_report(docs, hot_rows=hot_rows)
     assert found.count() == len(pairs) + 1
     expected = brute.repeated_lines(pairs)
@@ -114,6 +115,15 @@ def test_line_dedup(docs, pairs, empty, hot_rows):
     assert line_dedup.line_report(empty).count() == 0
 
 
+def test_lines_of_rows_without_an_id(spark):
+    a, b, c, d = (prose(800 + i, 11) for i in range(4))
+    docs = spark.createDataFrame([(4, f"{a}\n{b}", 1), (None, f"{b}\n{c}", 2), (None, d, 3), (None, a, 4), (9, None, 5)], "doc_id long, text string, _doc int")
+    kept = line_dedup.without_repeated_lines(docs)
+    assert sorted(((r.doc_id, r.text, r._doc) for r in kept.collect()), key=lambda r: r[2]) == [(4, f"{a}\n{b}", 1), (None, c, 2), (None, d, 3), (9, None, 5)]
+    found = line_dedup.line_report(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_lines, r.removed) for r in found) == [(0, 1, ""), (0, 1, "0"), (0, 2, "0"), (4, 2, ""), (9, 0, "")]
+
+
 def test_line_dedup_removes_from_texts(docs, pairs):
     kept = line_dedup.without_repeated_lines(docs)
     assert kept.columns == docs.columns
