@@ -8,6 +8,9 @@ rates, the rate of obfuscated words (letters with digits or symbols between)
 and of those that are lexicon words once read plainly.  Four fifths of the
 training sample fit the trees, the rest the calibration.
 
+Every term of at least ``min_share`` of the toxic training documents and ``min_log_odds``
+enters; there are at most ``1 / min_share`` times as many as a toxic document has on average.
+
 At most ``max_train`` labelled rows with distinct texts (by hash of the id) fit
 the model; every document is scored.  Null and empty texts have zero features
 and get the score of such a text.  Without labels of both classes every score
@@ -35,10 +38,9 @@ from .store import stored, without_rows
 FOLDS, HELD_OUT = 5, 0
 MIN_SHARE = 0.01
 MIN_LOG_ODDS = 2.0
-MAX_TERMS = 4096
 STEMS = (4, 5, 6)
 NEAR = 5
-TREES, DEPTH = 10, 3
+TREES, DEPTH = 20, 4
 # Second-person words of the four languages, and plain readings of look-alike characters.
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu te toi ton ta tes vous votre vos "
@@ -49,8 +51,7 @@ FEATURES = ("word_density", "stem_density", "hits", "near_density", "plain_densi
             "exclaim", "stops", "symbols", "words")
 
 
-def learn_lexicon(train: DataFrame, min_share: float = MIN_SHARE, min_log_odds: float = MIN_LOG_ODDS,
-                  max_terms: int = MAX_TERMS) -> dict[str, float]:
+def learn_lexicon(train: DataFrame, min_share: float = MIN_SHARE, min_log_odds: float = MIN_LOG_ODDS) -> dict[str, float]:
     """Terms (words, and stems with their length in front) by their smoothed log odds among toxic rows."""
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -70,7 +71,7 @@ def learn_lexicon(train: DataFrame, min_share: float = MIN_SHARE, min_log_odds:
     rows = train.select("text", "label").mapInArrow(terms, "term string, neg long, pos long") \
         .groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")) \
         .where(F.col("pos") >= max(3.0, min_share * pos)).select("term", odds.alias("odds")) \
-        .where(F.col("odds") >= min_log_odds).orderBy(F.desc("odds"), "term").limit(max_terms)
+        .where(F.col("odds") >= min_log_odds)
     return {r["term"]: r["odds"] for r in rows.collect()}
 
 
