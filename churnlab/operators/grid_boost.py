@@ -47,8 +47,10 @@ MAX_BINS = 255
 #: Fixed point of the gradients.
 UNIT = float(1 << 32)
 #: Trees of one member after which the margins are written anew.
-REFRESH = 8
+REFRESH = 4
 MIN_GAIN = 1e-10
+#: Rows for which there is a task: fewer make a pass mostly overhead.
+TASK_ROWS = 20_000
 _U = np.uint64
 
 
@@ -81,10 +83,10 @@ def grid(step_sizes=(0.1, 0.05, 0.01), max_depths=(2, 5, None), **options) -> li
 
 # ------------------------------------------------------------------ bins, hashes
 def bin_edges(df: DataFrame, features: list[str], max_bins: int = MAX_BINS) -> list[list[float]]:
-    """Ascending edges of each feature: its quantiles, at most ``max_bins - 1``, from one aggregate."""
+    """Ascending edges of each feature: its quantiles (within an eighth of a bin), at most ``max_bins - 1``, from one pass."""
     at = [i / max_bins for i in range(1, max_bins)]
-    row = df.agg(*[F.percentile_approx(F.col(f).cast("double"), at, 100 * max_bins).alias(f"q{i}") for i, f in enumerate(features)]).first()
-    return [sorted(set(row[i] or [])) for i in range(len(features))]
+    rows = df.select(*[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
+    return [sorted(set(q)) for q in rows.approxQuantile(rows.columns, at, 1 / (8 * max_bins))]
 
 
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -285,7 +287,8 @@ def _chunk(keys, y, folds, bins, margins) -> pa.RecordBatch:
 class _State:
     """The rows in chunks (keys, labels, folds, bins, margins), written anew when margins are brought up to date."""
 
-    def __init__(self, df: DataFrame, features: list[str], label: str, fold: str | None, key: str, edges: list[list[float]], bases: np.ndarray):
+    def __init__(self, df: DataFrame, features: list[str], label: str, fold: str | None, key: str, edges: list[list[float]], bases: np.ndarray,
+                 tasks: int):
         cuts = [np.array(e) for e in edges]
         schema = "n int, keys binary, y binary, folds binary, bins binary, margins binary"
 
@@ -309,12 +312,13 @@ class _State:
                          (F.col(fold).cast("int") if fold else F.lit(-1)).alias("fold"),
                          *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
         self.spark, self.schema, self.path = df.sparkSession, schema, None
-        self.chunks = self._written(rows.mapInArrow(run, schema))
+        self.chunks = self._written(rows.coalesce(max(1, tasks)).mapInArrow(run, schema))
 
     def _written(self, df: DataFrame) -> DataFrame:
         old, self.path = self.path, os.path.join(ensure_checkpoint_dir(self.spark), f"boost-{uuid.uuid4().hex}")
         df.write.parquet(self.path)
         out = self.spark.read.schema(self.schema).parquet(self.path)
+        self.alone = out.rdd.getNumPartitions() <= 1
         self._delete(old)
         return out
 
@@ -401,7 +405,7 @@ def _pass(state: _State, tasks: list[_Task], d: int, width: int) -> tuple[dict,
 
     def joined(rows: pa.Table) -> pa.Table:
         member, node, part = (rows.column(i)[0].as_py() for i in range(3))
-        columns = [[x.as_buffer() for x in rows.column(c)] for c in "abc"]
+        columns = [[x.as_buffer() for x in rows.column(c)] for c in "abc"]  # a row for each task
         if node >= 0:
             g, h, n = (sum(np.frombuffer(x, np.int64) for x in c).reshape(d, width) for c in columns)
             s, features = settings[member]
@@ -412,8 +416,16 @@ def _pass(state: _State, tasks: list[_Task], d: int, width: int) -> tuple[dict,
         return pa.table({"member": pa.array([member], pa.int32()), "node": pa.array([node], pa.int32()),
                          "part": pa.array([part], pa.int32()), "gain": [gain], "values": pa.array([[str(v) for v in values]])})
 
-    found = state.chunks.mapInArrow(partial, wide).groupBy("member", "node", "part") \
-        .applyInArrow(joined, "member int, node int, part int, gain double, values array<string>").collect()
+    out = "member int, node int, part int, gain double, values array<string>"
+    if state.alone:  # the sums of the only task are those of all
+        def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in partial(batches):
+                rows = pa.Table.from_batches([batch])
+                for i in range(rows.num_rows):
+                    yield from joined(rows.slice(i, 1)).to_batches()
+        found = state.chunks.mapInArrow(both, out).collect()
+    else:
+        found = state.chunks.mapInArrow(partial, wide).groupBy("member", "node", "part").applyInArrow(joined, out).collect()
     splits, ranges = {}, {}
     for r in found:
         values = [int(v) for v in r["values"]]
@@ -424,8 +436,8 @@ def _pass(state: _State, tasks: list[_Task], d: int, width: int) -> tuple[dict,
     return splits, {m: joined_ranges(parts)[0] for m, parts in ranges.items()}
 
 
-def _bases(df: DataFrame, label: str, fold: str | None, members: list[Member]) -> np.ndarray:
-    """The log odds of each member's training rows."""
+def _bases(df: DataFrame, label: str, fold: str | None, members: list[Member]) -> tuple[np.ndarray, int]:
+    """The log odds of each member's training rows, and the number of all rows."""
     kind = F.col(fold).cast("int") if fold else F.lit(-1)
     counts = {r["fold"]: (r["pos"], r["n"]) for r in df.groupBy(kind.alias("fold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("n")).collect()}
@@ -434,7 +446,7 @@ def _bases(df: DataFrame, label: str, fold: str | None, members: list[Member]) -
         seen = [c for f, c in counts.items() if m.holdout is None or f != m.holdout]
         pos, n = sum(c[0] for c in seen), sum(c[1] for c in seen)
         out.append(math.log(pos / (n - pos)) if 0 < pos < n else math.log((pos + 0.5) / (n - pos + 0.5)))
-    return np.array(out)
+    return np.array(out), sum(c[1] for c in counts.values())
 
 
 def grow(df: DataFrame, features: list[str], label: str, members: list[Member], key: str, fold: str | None = None,
@@ -442,8 +454,8 @@ def grow(df: DataFrame, features: list[str], label: str, members: list[Member],
     """Grow all ``members`` over ``df`` (``key`` draws the bags, ``fold`` names the folds, ``label`` is 0 or 1)."""
     edges = edges or bin_edges(df, features, max_bins)
     width = max(map(len, edges), default=0) + 1
-    bases = _bases(df, label, fold, members)
-    state = _State(df, features, label, fold, key, edges, bases)
+    bases, n = _bases(df, label, fold, members)
+    state = _State(df, features, label, fold, key, edges, bases, -(-n // TASK_ROWS))
     trees: list[list[Binned]] = [[] for _ in members]
     pending: dict[int, list[Binned]] = {i: [] for i in range(len(members))}
     growth = {i: _Growth(m.setting) for i, m in enumerate(members)}

@@ -37,6 +37,8 @@ from ..functions.vectors import sum_arrays
 from .mlp import ADAM_B1, ADAM_B2, ADAM_EPS, Spec, forward, softmax, softplus
 
 _U = np.uint64
+#: Mini-batches that a task has at least, where the rows suffice.
+TASK_BATCHES = 16
 
 
 @dataclass(frozen=True)
@@ -342,11 +344,14 @@ def fit(df: DataFrame, feature_cols: list[str], label: str, key: str, net: Net,
     start = init or init_model(net, seed)
     zeros = [np.zeros_like(p) for p in start.params]
     states: list[State] = [(start, Optimiser(zeros, zeros, 0.0) if optimizer == "adam" else None) for _ in specs]
-    data = df.select(F.xxhash64(key).alias("_key"), F.col(label).cast("int").alias("_y"),
+    data = held = df.select(F.xxhash64(key).alias("_key"), F.col(label).cast("int").alias("_y"),
                      (F.col(fold_col).cast("int") if fold_col else F.lit(-1)).alias("_fold"),
                      *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feature_cols)]).persist()
     names = [f"_x{i}" for i in range(len(feature_cols))]
-    batches = max(1, round(data.count() / batch)) if synchronous else 0
+    n = data.count()
+    batches = max(1, round(n / batch)) if synchronous else 0
+    # so few rows that a task has hardly a step to take before the averaging (or only the overhead of a job) share a task
+    data = data.coalesce(max(1, int(n / (TASK_BATCHES * batch))))
     live = list(range(len(specs)))
     for epoch in range(epochs):
         mine, chosen = [states[i] for i in live], [specs[i] for i in live]
@@ -360,7 +365,7 @@ def fit(df: DataFrame, feature_cols: list[str], label: str, key: str, net: Net,
         live = [] if ended is True else [i for i in live if i not in (ended or ())]
         if not live:
             break
-    data.unpersist()
+    held.unpersist()
     return [m for m, _ in states]
 
 

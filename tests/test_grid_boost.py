@@ -117,7 +117,8 @@ def test_trees_equal_those_of_a_plain_booster(spark, rows, table):
             assert g.curve[g.best_round - 1] == max(g.curve) and len(g.ensemble.trees) == g.best_round
 
 
-def test_result_does_not_depend_on_the_partitions(table):
+def test_result_does_not_depend_on_the_partitions(table, monkeypatch):
+    monkeypatch.setattr(gb, "TASK_ROWS", 100)
     members = [gb.Member(SETTINGS[0], 0), gb.Member(SETTINGS[1], 2)]
     one, many = (gb.grow(df, FEATURES, "y", members, "id", "fold") for df in (table.coalesce(1), table.repartition(7)))
     assert [(g.curve, g.ensemble) for g in one] == [(g.curve, g.ensemble) for g in many]

@@ -63,7 +63,8 @@ NETS = [Net((5, 8, 4, 1), "tanh", True, 0.2, 0.05), Net((5, 6, 6, 2), "softplus"
 
 
 @pytest.mark.parametrize("net,optimizer", [(NETS[0], "adam"), (NETS[1], "sgd")])
-def test_partitions_do_not_matter_and_equal_sequential_steps(spark, net, optimizer):
+def test_partitions_do_not_matter_and_equal_sequential_steps(spark, net, optimizer, monkeypatch):
+    monkeypatch.setattr(mlp_norm, "TASK_BATCHES", 0.1)
     x, y = data()
     df, cols = table(spark, x, y)
     specs, epochs = [Spec(0.01), Spec(0.05, 1)], 1 if net.batch_norm else 3
@@ -83,7 +84,8 @@ def test_partitions_do_not_matter_and_equal_sequential_steps(spark, net, optimiz
 
 
 @pytest.mark.parametrize("net", NETS)
-def test_averaged_tasks(spark, net):
+def test_averaged_tasks(spark, net, monkeypatch):
+    monkeypatch.setattr(mlp_norm, "TASK_BATCHES", 1)
     x, y = data()
     df, cols = table(spark, x, y)
     frame = df.repartition(3, "fold").persist()
