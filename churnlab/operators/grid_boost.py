@@ -32,6 +32,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -381,7 +382,7 @@ def _pass(state: _State, tasks: list[_Task], d: int, width: int) -> tuple[dict,
     """One job: {(member, node): Split} and {member: AUC or None}."""
     wide = "member int, node int, part int, a binary, b binary, c binary"
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(batches: Iterator[pa.RecordBatch], tasks: list[_Task]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         scores = Entries()
         for rows in _read(batches):
@@ -417,15 +418,20 @@ def _pass(state: _State, tasks: list[_Task], d: int, width: int) -> tuple[dict,
                          "part": pa.array([part], pa.int32()), "gain": [gain], "values": pa.array([[str(v) for v in values]])})
 
     out = "member int, node int, part int, gain double, values array<string>"
-    if state.alone:  # the sums of the only task are those of all
-        def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in partial(batches):
-                rows = pa.Table.from_batches([batch])
-                for i in range(rows.num_rows):
-                    yield from joined(rows.slice(i, 1)).to_batches()
-        found = state.chunks.mapInArrow(both, out).collect()
+    if state.alone:  # the sums of one task are those of all rows, so the members can be dealt to several tasks instead
+        def whole(mine: list[_Task]) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in partial(batches, mine):
+                    rows = pa.Table.from_batches([batch])
+                    for i in range(rows.num_rows):
+                        yield from joined(rows.slice(i, 1)).to_batches()
+            return state.chunks.mapInArrow(run, out)
+        deals = min(state.spark.sparkContext.defaultParallelism, -(-len(tasks) // 4))
+        found = reduce(DataFrame.union, [whole(tasks[i::deals]) for i in range(deals)]).collect()
     else:
-        found = state.chunks.mapInArrow(partial, wide).groupBy("member", "node", "part").applyInArrow(joined, out).collect()
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from partial(batches, tasks)
+        found = state.chunks.mapInArrow(some, wide).groupBy("member", "node", "part").applyInArrow(joined, out).collect()
     splits, ranges = {}, {}
     for r in found:
         values = [int(v) for v in r["values"]]

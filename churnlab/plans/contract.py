@@ -421,11 +421,7 @@ def q_cv_gbt(spark, sf):
 def q_cv_gbt_folds(spark, sf):
     """The reference's grid: 3 step sizes x 3 depths x 5 folds, up to 500 rounds, patience 20, leaf budgets, bags redrawn
     every 5 rounds, features drawn per tree; all 45 members grow in one pass per level (rows-only)."""
-    data = smp.assign_folds(flows.split_prepared(spark, sf).where(F.col("split") == "train"), "user_id", 5).persist()
-    feats = flows.model_features(data.drop("fold"))
-    out = grid_boost.cv_grid(data, feats, "churn_100", "user_id", "fold", 5)
-    data.unpersist()
-    return out
+    return flows.grid_cv(spark, sf)
 
 
 @query("leafwise_fit_score")
@@ -494,8 +490,8 @@ def q_fold_means(spark, sf):
 
 @query("gbt_fit_best")
 def q_gbt_fit_best(spark, sf):
-    """CV, refit of the best setting, test report (rows-only)."""
-    return flows.gbt_fit_best(spark, sf, maxIter=10, seed=42)
+    """Grid CV (shared with ``cv_gbt_folds``), refit of the best setting, test report (rows-only)."""
+    return flows.gbt_fit_best(spark, sf)
 
 
 @query("shap_subset", osql.shap_subset_sql)
