@@ -205,17 +205,28 @@ def rejection_steps(found: DataFrame, alpha: float = ALPHA) -> dict[int, int]:
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bits: float = MIN_BITS,
                 alpha: float = ALPHA) -> DataFrame:
     """(doc_id, base, added) of every row: arrays of (s, k, e) with k the place of the kind in KINDS."""
-    text = F.col("text")
     bare = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scanned = bare.withColumn("base", F.sort_array(F.concat(
-        _spans(text, ASSIGN, 0, group=2, least=ASSIGN_MIN), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))) \
-        .withColumn("tested", _candidates(text, F.col("base"), min_bits)).drop("text")
-    kept = stored(scanned)
-    steps = rejection_steps(kept.select(F.explode("tested").alias("c")).select("c.stratum", "c.step"), alpha)
-    limits = F.array(*[F.lit(steps.get(i)).cast("int") for i in range(len(STRATA))])
-    added = F.transform(F.filter("tested", lambda c: F.coalesce(c["step"] > F.get(limits, c["stratum"]), F.lit(True))),
-                        lambda c: F.struct(c["s"].alias("s"), F.lit(len(KINDS) - 1).alias("k"), c["e"].alias("e")))
-    return kept.select("doc_id", "base", added.alias("added"))
+    kept = stored(_scanned(bare, F.col("text"), "base", "tested", min_bits).drop("text"))
+    return kept.select("doc_id", "base", _accepted("tested", _limits(kept.select("tested"), alpha)).alias("added"))
+
+
+def _scanned(df: DataFrame, text: Column, base: str, tested: str, min_bits: float) -> DataFrame:
+    """``df`` with the base spans and the tested candidates of ``text``."""
+    spans = F.sort_array(F.concat(_spans(text, ASSIGN, 0, group=2, least=ASSIGN_MIN), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
+    return df.withColumn(base, spans).withColumn(tested, _candidates(text, F.col(base), min_bits))
+
+
+def _limits(tested: DataFrame, alpha: float) -> Column:
+    """The largest rejected grid step of each length class, from one column of candidates."""
+    rows = tested.select(F.explode(tested.columns[0]).alias("c")).select("c.stratum", "c.step")
+    steps = rejection_steps(rows, alpha)
+    return F.array(*[F.lit(steps.get(i)).cast("int") for i in range(len(STRATA))])
+
+
+def _accepted(tested: str, limits: Column) -> Column:
+    """Spans of the candidates that stay random."""
+    return F.transform(F.filter(tested, lambda c: F.coalesce(c["step"] > F.get(limits, c["stratum"]), F.lit(True))),
+                       lambda c: F.struct(c["s"].alias("s"), F.lit(len(KINDS) - 1).alias("k"), c["e"].alias("e")))
 
 
 def _written(spans: Column) -> Column:
@@ -231,15 +242,24 @@ def digest(found: DataFrame) -> DataFrame:
                         _written(F.sort_array(F.concat("base", "added"))).alias("spans"))
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of every text replaced by ``mark``; rows must have distinct ids."""
-    found = secret_scan(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.sort_array(F.concat("base", "added")).alias("_spans"))
-    text = F.coalesce(docs[text_col], F.lit(""))
+_BASE, _TESTED, _SPANS = "__secret_base", "__secret_tested", "__secret_spans"
+
+
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", min_bits: float = MIN_BITS,
+             alpha: float = ALPHA) -> DataFrame:
+    """``docs`` with every span of every text replaced by ``mark``.
+
+    Texts are scanned once for the rejection limits and once where they stand, so spans stay
+    with their row: ids play no part, and may be null or repeated.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = _scanned(docs, text, _BASE, _TESTED, min_bits)
+    limits = _limits(stored(found.select(_TESTED).where(F.size(_TESTED) > 0)), alpha)
+    spanned = found.withColumn(_SPANS, F.sort_array(F.concat(F.col(_BASE), _accepted(_TESTED, limits))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col("_spans"), start, lambda acc, x: F.when(x["s"] < acc["at"], F.struct(
+    clean = F.aggregate(F.col(_SPANS), start, lambda acc, x: F.when(x["s"] < acc["at"], F.struct(
         F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(
             x["e"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)).alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["_id"]), "left")
-    return joined.select(*[(F.when(docs[text_col].isNotNull() & (F.size("_spans") > 0), clean).otherwise(docs[text_col])).alias(c)
-                           if c == text_col else docs[c] for c in docs.columns])
+    return spanned.select(*[F.when(F.col(text_col).isNotNull() & (F.size(_SPANS) > 0), clean).otherwise(F.col(text_col)).alias(c)
+                            if c == text_col else F.col(c) for c in docs.columns])

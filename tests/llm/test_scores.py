@@ -1,5 +1,6 @@
 """Learned scores, secrets, sharding, decontamination, packing and the pipeline."""
 
+import math
 import random
 import re
 import zlib
@@ -111,6 +112,133 @@ def test_redacted(spark):
     assert {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()} == {1: "x [SECRET] y", 2: None, 3: "clean"}
 
 
+def test_redacted_rows_without_or_with_shared_ids(spark):
+    rows = [(None, "x password=abcdef1 y", 1), (None, "clean text", 2), (None, "token: zyxwvu9", 3), (4, "secret=qwerty12", 4), (4, "clean", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _spans int")
+    found = secret_scan.redacted(docs)
+    assert found.columns == docs.columns
+    assert {r._spans: (r.doc_id, r.text) for r in found.collect()} == {
+        1: (None, "x [SECRET] y"), 2: (None, "clean text"), 3: (None, "[SECRET]"), 4: (4, "[SECRET]"), 5: (4, "clean")}
+
+
+def battery(run):
+    """(p, bits) of the three tests in plain Python."""
+    letters = next((a for p, a in secret_scan.ALPHABETS if re.match(p, run)), None)
+    if letters is None:
+        return None
+    k, n = len(letters), len(run)
+    v = [letters.index(c) for c in run]
+
+    def tail(z):
+        return 1 / (1 + math.exp(1.5976 * z + 0.070565992 * z ** 3))
+    x2 = sum((c - n / k) ** 2 / (n / k) for c in Counter(v).values()) + (k - len(set(v))) * n / k
+    df = k - 1
+    uniform = tail(((max(x2, 1e-9) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = [x >= k / 2 for x in v]
+    n1 = sum(high)
+    mu = 2 * n1 * (n - n1) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    runs_p = min(1, 2 * tail(abs(runs - mu) / math.sqrt(var))) if 0 < n1 < n and var > 0 else 1e-12
+    mean = sum(v) / n
+    spread = sum((x - mean) ** 2 for x in v)
+    lag = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False))
+    serial = min(1, 2 * tail(abs(lag / spread + 1 / n) * math.sqrt(n))) if spread > 0 else 1e-12
+    half = -sum(math.log(max(p, 1e-12)) for p in (uniform, runs_p, serial))
+    return math.exp(-half) * (1 + half + half * half / 2), n * math.log2(k)
+
+
+def test_battery_against_plain_python(spark):
+    rng = random.Random(21)
+    runs = ["".join(rng.choice(a) for _ in range(rng.randint(20, 90))) for _, a in secret_scan.ALPHABETS for _ in range(6)]
+    runs += ["a1" * 15, "0" * 40, "abcdefghijklmnopqrstuvwxyz0123456789", "A9" + "B" * 30, "a-b+c" * 8]
+    made = spark.createDataFrame(list(enumerate(runs)), "i int, run string").select("i", secret_scan.randomness(F.col("run")).alias("t"))
+    found = {r.i: r.t for r in made.collect()}
+    for i, run in enumerate(runs):
+        wanted = battery(run)
+        assert (found[i] is None) == (wanted is None)
+        if wanted:
+            assert found[i].p == pytest.approx(wanted[0], rel=1e-6, abs=1e-12) and found[i].bits == pytest.approx(wanted[1])
+
+
+def test_rejection_against_benjamini_hochberg(spark):
+    rng = random.Random(22)
+    rows = [(s, math.ceil(math.log10(rng.random() ** (4 if i % 5 == 0 else 1)) * secret_scan.GRID)) for s in range(3) for i in range(60 * (s + 1))]
+    rows += [(4, 0)] * 5
+    found = secret_scan.rejection_steps(spark.createDataFrame(rows, "stratum int, step int"))
+    wanted = {}
+    for s in {s for s, _ in rows}:
+        steps = sorted(x for t, x in rows if t == s)
+        hits = [x for i, x in enumerate(steps) if 10 ** (x / secret_scan.GRID) <= secret_scan.ALPHA * (i + 1) / len(steps)]
+        if hits:
+            wanted[s] = max(hits)
+    assert found == wanted
+
+
+def test_preference_pairs_and_weights(spark):
+    from pyspark.ml.classification import LogisticRegression
+    rng = np.random.default_rng(4)
+    good = rng.normal(size=(9, 3)) + [1, 0, -1]
+    bad = rng.normal(size=(4, 3))
+    rows = spark.createDataFrame([(i, int(i < 9), [float(x) for x in v]) for i, v in enumerate([*good, *bad])], "id long, label int, f array<double>")
+    pairs = [(r.label, r.features.toArray()) for r in quality.preference_pairs(rows, 3).collect()]
+    assert len(pairs) == 2 * 9 * 3
+    every = {tuple(np.round(g - b, 9)) for g in good for b in bad}
+    won = [tuple(np.round(d, 9)) for y, d in pairs if y == 1]
+    assert set(won) <= every and sorted(won) == sorted(tuple(np.round(-d, 9)) for y, d in pairs if y == 0)
+    assert all(sum(np.allclose(np.array(w), g - b) for w in won for b in bad) == 3 for g in good)
+    model = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=50, standardization=False).fit(quality.preference_pairs(rows, 3))
+    w, d = model.coefficients.toArray(), np.array([x for y, x in pairs if y == 1])
+    gradient = -(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + 1e-4 * w
+    assert np.abs(gradient).max() < 1e-4
+
+
+def test_quality_threshold_is_the_quantile_of_the_bad_share(spark):
+    known = spark.read.parquet(f"{SF}/labels.parquet").where("quality in (0, 1)")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = quality.quality(docs, known).join(known.select("doc_id", "quality"), "doc_id").where("not held_out").toPandas()
+    assert abs((found.score < 0.7).mean() - (found.quality == 0).mean()) < 0.06
+
+
+def test_toxicity_features_against_a_plain_reading(spark):
+    words, stems = frozenset({"vile", "horridfool"}), frozenset({"wret", "stupi"})
+    rng = random.Random(6)
+    vocab = ["vile", "Horridfool", "wretched", "stupidity", "you", "fine", "day", "v1le", "vi.le", "v!le", "DEIN", "x9", "end.", "no!", "a_b", "<b>", "ok?"]
+    for _ in range(60):
+        text = " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 30)))
+        got = dict(zip(toxicity.FEATURES, toxicity.text_features(text, words, stems), strict=True))
+        found = re.findall(r"[^\W_]+", text.lower())
+        n = len(found) or 1
+        is_word = [w in words for w in found]
+        is_stem = [any(w[:k] in stems for k in (4, 5, 6)) for w in found]
+        person = [w in toxicity.SECOND_PERSON for w in found]
+        hit = [a or b for a, b in zip(is_word, is_stem, strict=True)]
+        hidden = re.findall(r"[^\W\d_]+(?:[@$*!|0-9._-]+[^\W\d_]+)+", text)
+        plain = [w.lower().translate(toxicity.LOOKALIKES) in words for w in hidden]
+        size = len(text.encode()) or 1
+        wanted = {"word_density": sum(is_word) / n, "stem_density": sum(is_stem) / n, "hits": math.log1p(sum(hit)),
+                  "near_density": sum(h and any(person[max(0, i - 5):i + 6]) for i, h in enumerate(hit)) / n,
+                  "plain_density": sum(plain) / n, "obfuscated": len(hidden) / n,
+                  "capitals": sum("A" <= c <= "Z" for c in text) / size, "exclaim": text.count("!") / n,
+                  "stops": sum(c in ".!?" for c in text) / n, "words": math.log1p(len(found))}
+        for name, value in wanted.items():
+            assert got[name] == pytest.approx(value), (name, text)
+
+
+def test_toxic_lexicon_against_counts(spark):
+    docs = [(f"{'badword horrid' if i % 3 == 0 else 'good day'} common{i % 4} w{i}", int(i % 3 == 0)) for i in range(60)]
+    train = spark.createDataFrame(docs, "text string, label int")
+    found = toxicity.learn_lexicon(train)
+    pos, neg = Counter(), Counter()
+    for text, label in docs:
+        terms = set(re.findall(r"[^\W_]+", text.lower()))
+        terms |= {f"{k}:{w[:k]}" for w in terms if w.isalpha() for k in toxicity.STEMS if len(w) > k}
+        (pos if label else neg).update(terms)
+    n_pos, n_neg = sum(y for _, y in docs), sum(1 - y for _, y in docs)
+    wanted = {t: math.log((pos[t] + 0.5) / (n_pos + 1)) - math.log((neg[t] + 0.5) / (n_neg + 1)) for t in pos if pos[t] >= max(3, 0.01 * n_pos)}
+    assert found == pytest.approx({t: v for t, v in wanted.items() if v >= toxicity.MIN_LOG_ODDS})
+
+
 def test_sharding(docs, pairs, empty):
     placed = sharding.place(docs, "doc_id")
     assert set(placed.columns) == set(docs.columns)
