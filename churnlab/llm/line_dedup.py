@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .native import WHITE, WHITE_RUN, WORD, let
-from .store import UNNAMED, bounded, stored, with_ids, without_made_ids
+from .store import BROADCAST_ROWS, UNNAMED, bounded, stored, with_ids, without_made_ids
 
 PERCENT = 75
 SHINGLE = 5
@@ -59,11 +59,14 @@ def _bare(lines: DataFrame) -> DataFrame:
 
 
 def _lines_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The lines with a word that are not in ``gone`` (doc, at).
+    """The lines with a word that are not in ``gone`` (doc, at), which is stored.
 
-    The line numbers go to their documents as one array each, so documents and not lines are
-    joined, and texts stay where they are while the numbers are few enough to broadcast.
+    Beyond what can be broadcast row by row, the line numbers go to their documents as one
+    array each, so documents and not lines are joined, and texts stay where they are while
+    the arrays are few enough to broadcast.
     """
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return _lines(docs).join(F.broadcast(gone), ["doc", "at"], "left_anti")
     per_doc = stored(gone.groupBy("doc").agg(F.collect_set("at").alias("gone")))
     total = per_doc.agg(F.sum(F.size("gone")), F.count(F.lit(1))).first()
     side = F.broadcast(per_doc) if (total[0] or 0) + 16 * total[1] <= BROADCAST_LINES else per_doc

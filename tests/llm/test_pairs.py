@@ -108,6 +108,7 @@ def test_backward_search_against_a_scan():
 @pytest.mark.parametrize("hot_rows", [1, 1_000_000])
 def test_line_dedup(docs, pairs, empty, hot_rows, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", hot_rows)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", hot_rows - 1)
     found = line_dedup.line_report(docs, hot_rows=hot_rows)
     assert found.count() == len(pairs) + 1
     expected = brute.repeated_lines(pairs)
