@@ -1,27 +1,18 @@
 """Sums of whole arrays, one row for each task and key.
 
-Two levels of groups, so neither a task nor the shuffle holds a row for each element, and
-no task adds up the arrays of all tasks at once.
+Spark's ``Summarizer`` adds up vectors in the JVM: each task combines its own rows before
+the shuffle, and a reducer holds one vector for a key, however many tasks there were.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FAN_IN = 64
-
 
 def sum_arrays(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """(keys, col): the elementwise sum of the array<double> column ``col`` over the rows of each key."""
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*keys, col))
-
-    def total(rows: pa.Table) -> pa.Table:
-        lists = rows.column(col).combine_chunks()
-        whole = lists.flatten().to_numpy().reshape(len(lists), -1).sum(axis=0)
-        return pa.table({**{k: rows.column(k)[:1] for k in keys}, col: pa.array([whole], pa.list_(pa.float64()))})
-
-    some = df.select(*keys, col).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
-    return some.groupBy(*keys, "_part").applyInArrow(total, schema).groupBy(*keys).applyInArrow(total, schema)
+    """(keys, col): the elementwise sum of the array<double> column ``col`` (of one length for a key) over the rows of each key."""
+    rows = df.select(*keys, array_to_vector(F.col(col)).alias("_v"))
+    return rows.groupBy(*keys).agg(Summarizer.sum(rows["_v"]).alias("_s")).select(*keys, vector_to_array("_s").alias(col))

@@ -96,6 +96,26 @@ def group_quantiles(df: DataFrame, by: list[str], x: str, probs: list[float],
     return _quantiles_of(_value_counts(src, by, x), by, probs, rows_per_bucket).drop(*drop)
 
 
+def _boxed(df: DataFrame, by: list[str], x: str, whis: float, rows_per_bucket: int) -> DataFrame:
+    """(group, value, count) rows with their group's n, quartiles, and whether the value is within the whiskers."""
+    counts = _value_counts(df, by, x)
+    q = _quantiles_of(counts, by, [0.25, 0.5, 0.75], rows_per_bucket) \
+        .select(*by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
+                F.col("q2").alias("q3"))
+    iqr = F.col("q3") - F.col("q1")
+    bounds = q.select(*by, "n", "q1", "median", "q3",
+                      (F.col("q1") - whis * iqr).alias("_lo"), (F.col("q3") + whis * iqr).alias("_hi"))
+    inner = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    return join_groups(counts, per_group(bounds), by).withColumn("_inner", inner)
+
+
+def box_outliers(df: DataFrame, by: list[str], x: str, whis: float = 1.5,
+                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+    """The points beyond the whiskers of ``box_stats`` (A9): ``by..., value, n`` for each distinct one."""
+    return _boxed(df, list(by), x, whis, rows_per_bucket).where(~F.col("_inner")) \
+        .select(*by, F.col("_v").alias("value"), F.col("cnt").alias("n"))
+
+
 def box_stats(df: DataFrame, by: list[str], x: str, whis: float = 1.5,
               rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Box-plot numbers per group: n, q1, median, q3, whiskers, outliers, mean.
@@ -105,17 +125,8 @@ def box_stats(df: DataFrame, by: list[str], x: str, whis: float = 1.5,
     from those.  A null group is a group.
     """
     by, drop = (list(by), []) if by else (["_g"], ["_g"])
-    src = df if not drop else df.withColumn("_g", F.lit(0))
-    counts = _value_counts(src, by, x)
-    q = _quantiles_of(counts, by, [0.25, 0.5, 0.75], rows_per_bucket) \
-        .select(*by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
-                F.col("q2").alias("q3"))
-    iqr = F.col("q3") - F.col("q1")
-    bounds = q.select(*by, "n", "q1", "median", "q3",
-                      (F.col("q1") - whis * iqr).alias("_lo"), (F.col("q3") + whis * iqr).alias("_hi"))
-    v = F.col("_v")
-    inner = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    j = join_groups(counts, per_group(bounds), by)
+    j = _boxed(df if not drop else df.withColumn("_g", F.lit(0)), by, x, whis, rows_per_bucket)
+    v, inner = F.col("_v"), F.col("_inner")
     return j.groupBy(*by, "n", "q1", "median", "q3").agg(
         F.min(F.when(inner, v)).alias("whisker_low"),
         F.max(F.when(inner, v)).alias("whisker_high"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import ranked
 from ..functions.cumulative import materialize
 from ..functions.numeric import rnd, wrap_sql_rounds
 from ..sources import fixtures as fx
@@ -219,6 +220,12 @@ def q_auc_null(spark, sf):
     return metrics.roc_auc_table(s, "score", "churn_100", by=["fold"], rows_per_bucket=50).withColumn("auc", rnd("auc", 6))
 
 
+@query("box_outliers", osql.box_outliers_sql)
+def q_box_outliers(spark, sf):
+    """Points beyond whiskers of 0.75 box lengths."""
+    return report.box_outliers(fx.feature_table(spark, sf), ["c_mktsegment"], "ta", 0.75)
+
+
 @query("box_stats", osql.box_stats_sql)
 def q_box(spark, sf):
     cf = fx.feature_table(spark, sf)
@@ -594,8 +601,10 @@ def _mlp_history(spark, sf, epochs, lr, hidden):
         s = nn.mlp_score(data, weights_list[0], feats, "user_id",
                          keep=["churn_100", "split"]).persist()
         losses = {r["split"]: r for r in metrics.kl_loss(s, "score", "churn_100", by=["split"]).collect()}
-        aucs = {r["split"]: r["auc"] for r in
-                metrics.roc_auc_table(s, "score", "churn_100", by=["split"]).collect()}
+        # the score orders rows as its log odds do, which is all that an AUC needs
+        rows = s.select("score", F.col("churn_100").cast("int"), (F.col("split") == "test").cast("int"))
+        found = ranked.auc_of_entries(ranked.entries_of(rows, rows.columns, lambda c: [(i, c[0][c[2] == i], c[1][c[2] == i]) for i in (0, 1)]))
+        aucs = {part: found[i][0] for i, part in enumerate(("train", "test")) if i in found}
         for part in ("train", "test"):
             loss = losses[part]
             history.append((epoch, part, float(loss["kl_mean"]), float(loss["accuracy"]),
@@ -702,6 +711,19 @@ def q_cv_mlp_variant(spark, sf):
     return spark.createDataFrame(rows, "lr double, fold int, epoch int, auc double")
 
 
+@query("mlp_informed")
+def q_mlp_informed(spark, sf):
+    """First layer started from feature weights, here each feature's |correlation| with the label: test report (M27; rows-only)."""
+    data, feats = flows.mlp_input(spark, sf)
+    train = data.where(F.col("split") == "train").persist()
+    strength = train.agg(*[F.abs(F.corr(f, "churn_100")).alias(f"r{i}") for i, f in enumerate(feats)]).first()
+    start = nn.init_weights(len(feats), 64, 2, feature_weight=[v if v is not None and v == v else 0.0 for v in strength])
+    ws = nn.mlp_fit(train, feats, "churn_100", hidden=64, epochs=40, lr=0.01, init=start)
+    train.unpersist()
+    scored = nn.mlp_score(data.where(F.col("split") == "test"), ws, feats, "user_id", keep=["churn_100"])
+    return _evaluate(scored, "churn_100")
+
+
 @query("mlp_synchronous")
 def q_mlp_synchronous(spark, sf):
     """Three hidden layers of 64, mini-batches spread over all tasks: the weights do not depend on the partitions (M27; rows-only)."""

@@ -814,3 +814,9 @@ def frozen_pipeline_sql() -> str:
 
 def replace_table_sql() -> str:
     return with_cf("SELECT user_id, tc, c_mktsegment FROM cf WHERE tc > 10")
+
+
+def box_outliers_sql() -> str:
+    return with_cf("""SELECT cf.c_mktsegment, ta AS value, count(*) AS n FROM cf JOIN (
+  SELECT c_mktsegment, quantile_cont(ta, 0.25) AS q1, quantile_cont(ta, 0.75) AS q3 FROM cf GROUP BY c_mktsegment) q
+ON cf.c_mktsegment = q.c_mktsegment WHERE ta < q1 - 0.75 * (q3 - q1) OR ta > q3 + 0.75 * (q3 - q1) GROUP BY cf.c_mktsegment, ta""")
