@@ -42,6 +42,30 @@ def test_opened_groups_find_links_in_packs(spark):
     assert [(r.a, r.b) for r in links] == [(2, 1)]
 
 
+def test_a_link_passes_the_group_bound_in_one_direction():
+    # the bound takes the lower of the two ends of a group's sizes; rounding can let a size in between need one less,
+    # so a link may be missed from one side, but never from both
+    percent = 75
+
+    def prefix(n):
+        return n - -(-n * percent // 100) + 1
+
+    def needed(n, m):
+        return -(-(n + m) * percent // (100 + percent)) - max(n - prefix(n), m - prefix(m))
+
+    def may_miss(n, m):
+        least, most = -(-n * percent // 100), n * 100 // percent
+        ends = [max(needed(n, x) for x in xs) for xs in (range(least, m + 1), range(m, most + 1))]
+        return min(ends) > needed(n, m)
+
+    misses = 0
+    for n in range(1, 121):
+        for m in range(-(-n * percent // 100), n * 100 // percent + 1):
+            misses += may_miss(n, m)
+            assert not (may_miss(n, m) and may_miss(m, n)), (n, m)
+    assert misses
+
+
 def test_keep_one_per_component(docs, pairs):
     kept = ngram_join.keep_one_per_component(docs)
     assert kept.columns == docs.columns
