@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .learning import fold
 from .store import stored
-from .words import blocks, distinct, mix, word_hashes, word_spans
+from .words import distinct, mix, word_hashes, word_spans
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 2
