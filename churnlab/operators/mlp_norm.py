@@ -29,8 +29,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.ranked import auc_of_entries, entries_of
 from ..functions.vectors import sum_arrays
@@ -308,6 +310,17 @@ def _averaged_epoch(data: DataFrame, names, net, states: list[State], specs: lis
     return out
 
 
+def _dealt(data: DataFrame, batches: int, seed: int) -> DataFrame:
+    """The rows with their mini-batch, those of a batch side by side: the jobs of a batch hand no other rows to Python."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            keys = part.column(0).to_numpy().astype(_U)
+            which = batch_of(Rows(keys, keys, keys, keys), batches, seed)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(which, pa.int64())], names=[*part.schema.names, "_batch"])
+
+    return data.mapInArrow(run, StructType([*data.schema.fields, StructField("_batch", LongType())])).sortWithinPartitions("_batch")
+
+
 def _synchronous_epoch(data: DataFrame, names, net, states: list[State], specs: list[Spec], batches: int, seed: int, epoch: int) -> list[State]:
     for b in range(batches):
         known: list[list[np.ndarray]] = [[] for _ in states]
@@ -321,14 +334,14 @@ def _synchronous_epoch(data: DataFrame, names, net, states: list[State], specs:
                 break
             shared = data.sparkSession.sparkContext.broadcast(([s[0] for s in states], known))
 
-            def run(frames: Iterator[pd.DataFrame], shared=shared, salt=salt, b=b) -> Iterator[pd.DataFrame]:
+            def run(frames: Iterator[pd.DataFrame], shared=shared, salt=salt) -> Iterator[pd.DataFrame]:
                 rows = _rows_of(frames, names)
-                rows = rows.at(batch_of(rows, batches, seed) == b)
                 for i, (spec, model, sums) in enumerate(zip(specs, *shared.value, strict=True)):
                     part = rows if spec.holdout is None else rows.at(rows.folds != spec.holdout)
                     yield pd.DataFrame({"member": [i], "sums": [replayed(gradient(net, model, *part[:3], salt), sums)]})
 
-            for r in sum_arrays(data.mapInPandas(run, SUMS), ["member"], "sums").collect():
+            here = data.where(F.col("_batch") == b).drop("_batch")
+            for r in sum_arrays(here.mapInPandas(run, SUMS), ["member"], "sums").collect():
                 known[r["member"]].append(np.array(r["sums"]))
             shared.unpersist()
     return states
@@ -352,6 +365,8 @@ def fit(df: DataFrame, feature_cols: list[str], label: str, key: str, net: Net,
     batches = max(1, round(n / batch)) if synchronous else 0
     # so few rows that a task has hardly a step to take before the averaging (or only the overhead of a job) share a task
     data = data.coalesce(max(1, int(n / (TASK_BATCHES * batch))))
+    if synchronous:
+        data = _dealt(data, batches, seed).persist()
     live = list(range(len(specs)))
     for epoch in range(epochs):
         mine, chosen = [states[i] for i in live], [specs[i] for i in live]
@@ -365,6 +380,8 @@ def fit(df: DataFrame, feature_cols: list[str], label: str, key: str, net: Net,
         live = [] if ended is True else [i for i in live if i not in (ended or ())]
         if not live:
             break
+    if synchronous:
+        data.unpersist()
     held.unpersist()
     return [m for m, _ in states]
 

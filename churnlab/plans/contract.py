@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import ranked
 from ..functions.cumulative import materialize
+from ..functions.layout import laid_out
 from ..functions.numeric import rnd, wrap_sql_rounds
 from ..sources import fixtures as fx
 from . import oracle_sql as osql
@@ -415,8 +416,8 @@ def q_gbt_re1(spark, sf):
 @query("cv_gbt")
 def q_cv_gbt(spark, sf):
     """5-fold CV over step size x depth with CrossValidator(foldCol) (rows-only)."""
-    data = smp.assign_folds(flows.split_prepared(spark, sf).where(F.col("split") == "train"),
-                            "user_id", 5).persist()
+    data = laid_out(smp.assign_folds(flows.split_prepared(spark, sf).where(F.col("split") == "train"),
+                                     "user_id", 5))
     feats = flows.model_features(data.drop("fold"))
     out = boost.cv_gbt(data, feats, "churn_100", "fold", step_sizes=(0.1, 0.05),
                        max_depths=(2, 4), parallelism=4, maxIter=10, seed=42)
@@ -447,8 +448,8 @@ def q_leafwise(spark, sf):
 @query("early_stop_curve")
 def q_early_stop(spark, sf):
     """AUC per boosting round on the fitting and the validation rows, and the early-stopping pick."""
-    base = smp.with_validation_flag(
-        flows.split_prepared(spark, sf).where(F.col("split") == "train"), "user_id", 0.2).persist()
+    base = laid_out(smp.with_validation_flag(
+        flows.split_prepared(spark, sf).where(F.col("split") == "train"), "user_id", 0.2))
     feats = flows.model_features(base)
     model = boost.gbt_fit(base.where(~F.col("is_valid")), feats, "churn_100", **{**flows.GBT_PARAMS, "maxDepth": 3})
     ens = boost.ensemble_from_spark(model, feats)
@@ -463,7 +464,7 @@ def q_early_stop(spark, sf):
 def q_early_stop_score(spark, sf):
     """Test report of the model cut to its best validation round (rows-only)."""
     data = flows.split_prepared(spark, sf)
-    base = smp.with_validation_flag(data.where(F.col("split") == "train"), "user_id", 0.2).persist()
+    base = laid_out(smp.with_validation_flag(data.where(F.col("split") == "train"), "user_id", 0.2))
     feats = flows.model_features(data)
     model = boost.gbt_fit(base.where(~F.col("is_valid")), feats, "churn_100", **{**flows.GBT_PARAMS, "maxDepth": 3})
     ens, auc = boost.early_stopped(model, feats, base.where("is_valid"), "churn_100")
@@ -593,7 +594,7 @@ def _mlp_history(spark, sf, epochs, lr, hidden):
     Each epoch scores both splits in one Arrow pass and aggregates by split.
     """
     data, feats = flows.mlp_input(spark, sf)
-    data = data.persist()
+    data = laid_out(data)
     train = data.where(F.col("split") == "train")
     history = []
 
@@ -626,7 +627,7 @@ def q_mlp_fit(spark, sf):
 
 def _cv_mlp_summary(spark, sf, lrs=(0.1, 0.05), folds=5, epochs=40, hidden=64):
     data, feats = flows.mlp_input(spark, sf)
-    train = smp.assign_folds(data.where(F.col("split") == "train"), "user_id", folds).persist()
+    train = laid_out(smp.assign_folds(data.where(F.col("split") == "train"), "user_id", folds))
     specs = [nn.Spec(lr, f) for lr in lrs for f in range(folds)]
     models = nn.mlp_fit(train, feats, "churn_100", hidden=hidden, epochs=epochs, specs=specs,
                         fold_col="fold")
@@ -656,7 +657,7 @@ def q_mlp_best(spark, sf):
     """Train with the best CV learning rate (first wins on ties) and report on test."""
     summary, data, feats = _cv_mlp_summary(spark, sf)
     best = metrics.best_setting(summary, "mean_auc", "grid_index").first()
-    train = data.where(F.col("split") == "train").persist()
+    train = laid_out(data.where(F.col("split") == "train"))
     ws = nn.mlp_fit(train, feats, "churn_100", hidden=64, epochs=40, lr=float(best["lr"]))
     train.unpersist()
     scored = nn.mlp_score(data.where(F.col("split") == "test"), ws, feats, "user_id",
@@ -686,7 +687,7 @@ def q_mlp_variant(spark, sf):
     data, feats = flows.mlp_input(spark, sf)
     base = smp.with_validation_flag(data.where(F.col("split") == "train"), "user_id", 0.2).persist()
     net = _variant_net(feats)
-    valid = base.where("is_valid").persist()
+    valid = laid_out(base.where("is_valid"))
     stop = mlp_norm.patience_of(lambda models: mlp_norm.auc_per_member(valid, feats, "churn_100", net, models), 1, 20)
     mlp_norm.fit(base.where(~F.col("is_valid")), feats, "churn_100", "user_id", net, [nn.Spec(0.01)], 100, on_epoch=stop)
     epoch, _, kept = stop.best[0]
@@ -702,7 +703,7 @@ def q_cv_mlp_variant(spark, sf):
     """Learning-rate CV of the Keras-style network (M29): rates .1, .05, .01 x 5 folds, up to 100 epochs, patience 10 on the
     fold's AUC; all 15 members share each epoch's pass (rows-only)."""
     data, feats = flows.mlp_input(spark, sf)
-    train = smp.assign_folds(data.where(F.col("split") == "train"), "user_id", 5).persist()
+    train = laid_out(smp.assign_folds(data.where(F.col("split") == "train"), "user_id", 5), 128 * mlp_norm.TASK_BATCHES)
     net, specs = _variant_net(feats), [nn.Spec(lr, f) for lr in (0.1, 0.05, 0.01) for f in range(5)]
     stop = mlp_norm.patience_of(lambda models: mlp_norm.auc_per_member(train, feats, "churn_100", net, models, specs, "fold"), len(specs), 10)
     mlp_norm.fit(train, feats, "churn_100", "user_id", net, specs, 100, fold_col="fold", on_epoch=stop)
@@ -715,7 +716,7 @@ def q_cv_mlp_variant(spark, sf):
 def q_mlp_informed(spark, sf):
     """First layer started from feature weights, here each feature's |correlation| with the label: test report (M27; rows-only)."""
     data, feats = flows.mlp_input(spark, sf)
-    train = data.where(F.col("split") == "train").persist()
+    train = laid_out(data.where(F.col("split") == "train"))
     strength = train.agg(*[F.abs(F.corr(f, "churn_100")).alias(f"r{i}") for i, f in enumerate(feats)]).first()
     start = nn.init_weights(len(feats), 64, 2, feature_weight=[v if v is not None and v == v else 0.0 for v in strength])
     ws = nn.mlp_fit(train, feats, "churn_100", hidden=64, epochs=40, lr=0.01, init=start)
@@ -728,7 +729,7 @@ def q_mlp_informed(spark, sf):
 def q_mlp_synchronous(spark, sf):
     """Three hidden layers of 64, mini-batches spread over all tasks: the weights do not depend on the partitions (M27; rows-only)."""
     data, feats = flows.mlp_input(spark, sf)
-    train = data.where(F.col("split") == "train").persist()
+    train = laid_out(data.where(F.col("split") == "train"))
     net = mlp_norm.Net((len(feats), 64, 64, 64, 2), "softplus")
     model, = mlp_norm.fit(train, feats, "churn_100", "user_id", net, [nn.Spec(0.05)], 10, 128, "sgd", synchronous=True)
     train.unpersist()
@@ -741,7 +742,7 @@ def q_mlp_synchronous(spark, sf):
 def q_mlp_rates(spark, sf):
     """Final train and test loss and accuracy of four learning rates without CV, trained in one pass per epoch (rows-only)."""
     data, feats = flows.mlp_input(spark, sf)
-    train = data.where(F.col("split") == "train").persist()
+    train = laid_out(data.where(F.col("split") == "train"))
     rates = (0.005, 0.01, 0.05, 0.1)
     models = nn.mlp_fit(train, feats, "churn_100", hidden=64, epochs=40, specs=[nn.Spec(r) for r in rates])
     out = None

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.layout import laid_out
 from ..operators import boost, grid_boost, prepare, sampling, segment, shap
 from ..operators.boost import Ensemble, Tree
 from ..sources import fixtures as fx
@@ -132,7 +133,7 @@ def trained_gbt(spark: SparkSession, sf: str, label: str = "churn_100",
     merged = {**GBT_PARAMS, **params}
     key = (spark.sparkContext.applicationId, sf, label, downsample, tuple(sorted(merged.items())))
     if key not in _MODELS:
-        data = split_prepared(spark, sf).persist()
+        data = laid_out(split_prepared(spark, sf))
         feats = model_features(data)
         train = data.where(F.col("split") == "train")
         if downsample:
