@@ -109,9 +109,12 @@ def _line_aggregates(orders, lineitem, part, supplier, b) -> DataFrame:
 
     Sums, minima, maxima and the discount's moments in integer cents (exact) go
     straight to the customer, combined in the map tasks first.  Stores and
-    cities come from a two-column distinct (customer, supplier) of their own, so
-    the wide aggregate is never shuffled once per supplier, and no ``Expand``
-    copies line items per distinct aggregate.  The sample standard deviation
+    cities come from the set of suppliers of each customer (at most as many as there
+    are suppliers, combined in the map tasks too), so the wide aggregate is never
+    shuffled once per supplier, and no ``Expand`` copies line items per distinct
+    aggregate.  The sets lie by customer, so the pairs taken from them are counted
+    where they are: they are shuffled once, not by (customer, supplier), then
+    (customer, nation), then customer.  The sample standard deviation
     comes from the moments: var = (n S2 - S1^2) / (n (n - 1)) / 100^2.
     """
     ob = orders.filter(F.col("o_orderdate") < _ts(b["cut"])).select("o_orderkey", "o_custkey")
@@ -137,7 +140,8 @@ def _line_aggregates(orders, lineitem, part, supplier, b) -> DataFrame:
     per_customer = placed \
         .join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left") \
         .groupBy(F.col("o_custkey").alias("user_id")).agg(*sums, *types)
-    stores = placed.select(F.col("o_custkey").alias("user_id"), "l_suppkey").distinct() \
+    stores = placed.groupBy(F.col("o_custkey").alias("user_id")).agg(F.collect_set("l_suppkey").alias("_stores")) \
+        .select("user_id", F.explode_outer("_stores").alias("l_suppkey")) \
         .join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left") \
         .groupBy("user_id").agg(F.count("l_suppkey").alias("distinct_store"),
                                 F.count_distinct("s_nationkey").alias("distinct_city"))
