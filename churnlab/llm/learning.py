@@ -1,4 +1,4 @@
-"""Labelled samples and text counts shared by the two learned scorers."""
+"""Labelled rows and text counts shared by the two learned scorers."""
 
 from __future__ import annotations
 
@@ -9,21 +9,21 @@ from pyspark.sql import functions as F
 
 from .store import bounded, stored
 
-#: Labelled rows that a model is fitted on at most, taken by key hash.
-MAX_TRAIN = 20_000
-
 
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, in_training: Column, id_col: str, text_col: str,
-                    max_train: int = MAX_TRAIN) -> DataFrame:
-    """(id, text, label) of at most ``max_train`` labelled training rows with distinct texts, stored."""
-    chosen = labels.where(in_training & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()) \
-        .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label)).cast("int").alias("label")) \
-        .orderBy(F.xxhash64("id"), "id").limit(max_train)
+def known_labels(labels: DataFrame, label: str, in_training: Column, id_col: str) -> DataFrame:
+    """(id, label) of all labelled training ids; an id with both labels has 1."""
+    return labels.where(in_training & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()) \
+        .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label)).cast("int").alias("label"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, in_training: Column, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, label) of all labelled training rows with distinct texts, stored."""
+    chosen = known_labels(labels, label, in_training, id_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
         .join(bounded(stored(chosen)), "id")
     return stored(rows.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")))

@@ -7,9 +7,9 @@ raw score is the weighted sum of its own features.  The threshold is the
 quantile of the training rows' raw scores at the share of bad labels; raw
 scores are shifted so that it has the score ``threshold`` (0.7).
 
-At most ``max_train`` labelled rows with distinct texts (by hash of the id) and
-``pairs_each`` pairs for each of them fit the model; every document is scored.
-Null and empty texts are scored as texts without words.  Without labels of both
+All labelled training rows with distinct texts, with ``pairs_each`` pairs for each of the
+larger class, fit the model and set the threshold; every document is scored.  The features
+of each document are made once and stored.  Null and empty texts are scored as texts without words.  Without labels of both
 classes every score is ``threshold``.  Rows repeat their result; other columns
 are ignored.
 """
@@ -25,13 +25,18 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import DIGITS, MAX_TRAIN, STOPS, SYMBOLS, UPPER, fold, removed_by, training_sample
-from .store import stored
+from ..functions.selection import kth_smallest
+from .learning import DIGITS, STOPS, SYMBOLS, UPPER, fold, known_labels, removed_by
+from .store import bounded, stored
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 PAIRS_EACH = 4
 N_FEATURES = 16
+#: Rows that are numbered in one task, and those of a class that may be broadcast with their features (under 10 MB).
+NUMBERED_ROWS, BROADCAST_ROWS = 200_000, 40_000
+#: Steps of a 52-bit scale.
+SCALE_BITS = 52
 
 
 def text_features(text: str) -> list[float]:
@@ -63,22 +68,39 @@ def with_features(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(*rest, text_col).mapInArrow(run, f"{schema}, f array<double>")
 
 
-def preference_pairs(rows: DataFrame, pairs_each: int = PAIRS_EACH) -> DataFrame:
+def numbered(rows: DataFrame, total: int, per_task: int = NUMBERED_ROWS) -> DataFrame:
+    """``rows`` with ``at``: their number within their label (0 or 1), from 0, in the order of (hash of id, id).
+
+    A task numbers one range of the hash, whose values are spread evenly; the ranges' sizes say where each one starts.
+    """
+    from pyspark.sql import Window
+    ranges = max(1, -(-total // per_task))
+    order = F.xxhash64("id")
+    within = F.least(F.floor((order.cast("double") / 2.0 ** 64 + 0.5) * ranges), F.lit(ranges - 1)).cast("int")
+    rows = rows.withColumn("_range", within)
+    starts, before = [], {0: 0, 1: 0}
+    for r in sorted(rows.groupBy("label", "_range").agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((r["label"], r["_range"], before[r["label"]]))
+        before[r["label"]] += r["n"]
+    where = rows.sparkSession.createDataFrame(starts, "label int, _range int, _start long")
+    number = F.row_number().over(Window.partitionBy("label", "_range").orderBy(order, "id")) - 1
+    return rows.withColumn("_number", number).join(F.broadcast(where), ["label", "_range"]) \
+        .withColumn("at", F.col("_start") + F.col("_number")).drop("_range", "_start", "_number")
+
+
+def preference_pairs(rows: DataFrame, pairs_each: int = PAIRS_EACH, per_task: int = NUMBERED_ROWS) -> DataFrame:
     """(label, features) of feature differences: each row of the larger class against ``pairs_each`` of the smaller.
 
     Rows are numbered within their class by hash; both directions of a pair are made.
     """
     numbers = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     few, many = sorted((0, 1), key=lambda x: numbers[x])
-    # the sample is bounded by max_train, so numbering it in one task is bounded too
-    from pyspark.sql import Window
-    number = (F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")) - 1).cast("long")
-    numbered = rows.withColumn("at", number)
-    small = numbered.where(F.col("label") == few).select("at", F.col("f").alias("g"))
-    large = numbered.where(F.col("label") == many).select(F.col("f"), "at") \
+    all_rows = stored(numbered(rows, sum(numbers.values()), per_task).select("label", "at", "f"))
+    small = all_rows.where(F.col("label") == few).select("at", F.col("f").alias("g"))
+    large = all_rows.where(F.col("label") == many).select(F.col("f"), "at") \
         .withColumn("turn", F.explode(F.array(*map(F.lit, range(pairs_each))))) \
         .withColumn("at", F.pmod(F.col("at") * pairs_each + F.col("turn"), F.lit(numbers[few])))
-    met = large.join(F.broadcast(small), "at")
+    met = large.join(bounded(small, BROADCAST_ROWS), "at")
     sign = 1.0 if many == 1 else -1.0
     better = F.transform(F.arrays_zip("f", "g"), lambda p: (p["f"] - p["g"]) * sign)
     pairs = met.select(F.explode(F.array(F.struct(F.lit(1.0).alias("label"), better.alias("d")), F.struct(
@@ -86,21 +108,38 @@ def preference_pairs(rows: DataFrame, pairs_each: int = PAIRS_EACH) -> DataFrame
     return pairs.select("p.label", array_to_vector("p.d").alias("features"))
 
 
+def quantile(df: DataFrame, col: str, share: float) -> float:
+    """The quantile of a double column as ``percentile`` has it, to 2^-52 of the column's width; no task holds the column."""
+    lo, hi, n = df.agg(F.min(col), F.max(col), F.count(col)).first()
+    if lo == hi:
+        return lo
+    scaled = df.select(F.floor((F.col(col) - F.lit(lo)) / F.lit(hi - lo) * F.lit(2.0 ** SCALE_BITS)).cast("long").alias("x"))
+    place = share * (n - 1)
+    below = math.floor(place)
+    a, b = (lo + x / 2.0 ** SCALE_BITS * (hi - lo) for x in kth_smallest(scaled, "x", [below + 1, min(below + 2, n)]))
+    return a + (place - below) * (b - a)
+
+
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality",
-            threshold: float = THRESHOLD, max_train: int = MAX_TRAIN, pairs_each: int = PAIRS_EACH) -> DataFrame:
+            threshold: float = THRESHOLD, pairs_each: int = PAIRS_EACH) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
-    train = training_sample(docs, labels, label, fold(id_col, FOLDS) != HELD_OUT, id_col, text_col, max_train)
+    known = stored(known_labels(labels, label, fold(id_col, FOLDS) != HELD_OUT, id_col))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"))
-    if train.select("label").distinct().count() < 2:
-        return base.select("doc_id", "held_out", F.lit(threshold).alias("score"), F.lit(1).alias("predicted"))
-    rows = stored(with_features(train, "text").coalesce(4))
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    made = stored(with_features(base.withColumn("digest", digest).select("doc_id", "held_out", "digest", "text"), "text"))
+    # a text's features are the same in all its rows
+    rows = stored(made.select(F.col("doc_id").alias("id"), "digest", "f").join(bounded(known), "id")
+                  .groupBy("digest").agg(F.min("id").alias("id"), F.max("label").alias("label"), F.first("f").alias("f"))
+                  .select("id", "label", "f"))
+    if rows.select("label").distinct().count() < 2:
+        return made.select("doc_id", "held_out", F.lit(threshold).alias("score"), F.lit(1).alias("predicted"))
     model = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=50).fit(stored(preference_pairs(rows, pairs_each)))
     weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
     raw = F.aggregate(F.zip_with("f", weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
     bad = rows.agg(F.avg(1.0 - F.col("label"))).first()[0]
-    cut = rows.select(raw.alias("raw")).agg(F.percentile("raw", F.lit(float(bad)))).first()[0]
+    cut = quantile(stored(rows.select(raw.alias("raw"))), "raw", float(bad))
     shift = math.log(threshold / (1 - threshold)) - cut
     score = 1.0 / (1.0 + F.exp(-(raw + F.lit(shift))))
-    return with_features(base, "text").select("doc_id", "held_out", score.alias("score")) \
+    return made.select("doc_id", "held_out", score.alias("score")) \
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))

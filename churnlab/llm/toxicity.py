@@ -6,13 +6,12 @@ features of a whole text are the densities of lexicon words and stems, hits
 near a second-person pronoun, capital, exclamation and other punctuation
 rates, the rate of obfuscated words (letters with digits or symbols between)
 and of those that are lexicon words once read plainly.  Four fifths of the
-training sample fit the trees, the rest the calibration.
+training rows fit the trees, the rest the calibration.
 
 Every term of at least ``min_share`` of the toxic training documents and ``min_log_odds``
 enters; there are at most ``1 / min_share`` times as many as a toxic document has on average.
 
-At most ``max_train`` labelled rows with distinct texts (by hash of the id) fit
-the model; every document is scored.  Null and empty texts have zero features
+All labelled training rows with distinct texts fit the model; every document is scored.  Null and empty texts have zero features
 and get the score of such a text.  Without labels of both classes every score
 is 0.  Rows repeat their result; other columns are ignored.
 """
@@ -32,7 +31,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import MAX_TRAIN, STOPS, SYMBOLS, UPPER, WORDS, fold, removed_by, training_sample
+from .learning import STOPS, SYMBOLS, UPPER, WORDS, fold, removed_by, training_rows
 from .store import stored, without_rows
 
 FOLDS, HELD_OUT = 5, 0
@@ -109,17 +108,16 @@ def with_features(df: DataFrame, lexicon: dict[str, float], text_col: str) -> Da
     return df.select(*rest, text_col).mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
-             max_train: int = MAX_TRAIN) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
-    train = training_sample(docs, labels, label, fold(id_col, FOLDS) != HELD_OUT, id_col, text_col, max_train)
+    train = training_rows(docs, labels, label, fold(id_col, FOLDS) != HELD_OUT, id_col, text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"))
     if train.select("label").distinct().count() < 2:
         return base.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     lexicon = learn_lexicon(train)
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    rows = stored(assemble.transform(with_features(train, lexicon, "text")).select("id", "label", "features").coalesce(4))
+    rows = stored(assemble.transform(with_features(train, lexicon, "text")).select("id", "label", "features"))
     part = F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(5))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=10, seed=7).fit(rows.where(part != 0))
     chance = vector_to_array("probability")[1]

@@ -200,6 +200,27 @@ def test_quality_threshold_is_the_quantile_of_the_bad_share(spark):
     assert abs((found.score < 0.7).mean() - (found.quality == 0).mean()) < 0.06
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    rows = spark.range(28_000).selectExpr("id as doc_id", "concat(if(id % 3 = 0, 'one | two ## ', 'three four, '), id, if(id % 6 < 3, '.', ' !')) as text")
+    labels = rows.selectExpr("doc_id", "cast(doc_id % 3 != 0 as int) as quality")
+    training = {i for i in range(28_000) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(training) > 20_000
+    seen, made = [], quality.preference_pairs
+    monkeypatch.setattr(quality, "preference_pairs", lambda rows, *rest: seen.extend(r.id for r in rows.collect()) or made(rows, *rest))
+    assert quality.quality(rows, labels).count() == 28_000
+    assert sorted(seen) == sorted(training)
+
+
+def test_quality_numbers_and_quantiles_need_no_single_task(spark):
+    rows = spark.range(500).selectExpr("id", "cast(id % 3 = 0 as int) as label")
+    one, many = ({(r.label, r.id): r["at"] for r in quality.numbered(rows, 500, n).collect()} for n in (500, 40))
+    assert one == many and all(sorted(v for (y, _), v in many.items() if y == x) == list(range(n)) for x, n in ((0, 333), (1, 167)))
+    values = np.random.default_rng(3).normal(size=301).round(2)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for share in (0.0, 0.137, 0.5, 0.86, 1.0):
+        assert quality.quantile(df, "v", share) == pytest.approx(np.percentile(values, 100 * share), abs=1e-12)
+
+
 def test_toxicity_features_against_a_plain_reading(spark):
     words, stems = frozenset({"vile", "horridfool"}), frozenset({"wret", "stupi"})
     rng = random.Random(6)
