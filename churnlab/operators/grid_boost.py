@@ -78,7 +78,10 @@ def leaves_for(max_depth: int | None) -> int:
     return 31 if max_depth is None else max(2, 2 ** max_depth - 20)
 
 
-def grid(step_sizes=(0.1, 0.05, 0.01), max_depths=(2, 5, None), **options) -> list[Setting]:
+def grid(step_sizes=(0.1, 0.05, 0.01), max_depths=(2, 5, None), maxIter: int | None = None, **options) -> list[Setting]:
+    """The settings of a grid; ``maxIter`` is Spark's name for ``rounds``."""
+    if maxIter is not None:
+        options["rounds"] = maxIter
     return [Setting(s, d, leaves_for(d), **options) for s in step_sizes for d in max_depths]
 
 
