@@ -29,6 +29,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, in_training: C
     return stored(rows.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")))
 
 
+def with_digest(base: DataFrame) -> DataFrame:
+    """(doc_id, held_out, digest, text): rows of equal texts have equal digests; a null text counts as empty."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    return base.select("doc_id", "held_out", digest.alias("digest"), "text")
+
+
 def removed_by(raw: bytes, chars: bytes) -> int:
     """How many bytes of ``raw`` are among ``chars``."""
     return len(raw) - len(raw.translate(None, chars))

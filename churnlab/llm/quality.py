@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.selection import kth_smallest
-from .learning import DIGITS, STOPS, SYMBOLS, UPPER, fold, known_labels, removed_by
+from .learning import DIGITS, STOPS, SYMBOLS, UPPER, fold, known_labels, removed_by, with_digest
 from .store import bounded, stored
 
 FOLDS, HELD_OUT = 4, 2
@@ -126,8 +126,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     known = stored(known_labels(labels, label, fold(id_col, FOLDS) != HELD_OUT, id_col))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"))
-    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    made = stored(with_features(base.withColumn("digest", digest).select("doc_id", "held_out", "digest", "text"), "text"))
+    made = stored(with_features(with_digest(base), "text"))
     # a text's features are the same in all its rows
     rows = stored(made.select(F.col("doc_id").alias("id"), "digest", "f").join(bounded(known), "id")
                   .groupBy("digest").agg(F.min("id").alias("id"), F.max("label").alias("label"), F.first("f").alias("f"))

@@ -11,7 +11,8 @@ training rows fit the trees, the rest the calibration.
 Every term of at least ``min_share`` of the toxic training documents and ``min_log_odds``
 enters; there are at most ``1 / min_share`` times as many as a toxic document has on average.
 
-All labelled training rows with distinct texts fit the model; every document is scored.  Null and empty texts have zero features
+All labelled training rows with distinct texts fit the model; every document is scored.  The
+features of each document are made once and stored.  Null and empty texts have zero features
 and get the score of such a text.  Without labels of both classes every score
 is 0.  Rows repeat their result; other columns are ignored.
 """
@@ -31,8 +32,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import STOPS, SYMBOLS, UPPER, WORDS, fold, removed_by, training_rows
-from .store import stored, without_rows
+from .learning import STOPS, SYMBOLS, UPPER, WORDS, fold, known_labels, removed_by, training_rows, with_digest
+from .store import bounded, stored, without_rows
 
 FOLDS, HELD_OUT = 5, 0
 MIN_SHARE = 0.01
@@ -117,13 +118,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return base.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     lexicon = learn_lexicon(train)
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    rows = stored(assemble.transform(with_features(train, lexicon, "text")).select("id", "label", "features"))
+    made = stored(with_features(with_digest(base), lexicon, "text"))
+    known = stored(known_labels(labels, label, fold(id_col, FOLDS) != HELD_OUT, id_col))
+    # a text's features are the same in all its rows
+    rows = made.withColumnRenamed("doc_id", "id").join(bounded(known), "id").groupBy("digest") \
+        .agg(F.min("id").alias("id"), F.max("label").alias("label"), *[F.first(c).alias(c) for c in FEATURES])
+    rows = stored(assemble.transform(rows).select("id", "label", "features"))
     part = F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(5))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=10, seed=7).fit(rows.where(part != 0))
     chance = vector_to_array("probability")[1]
     held = trees.transform(rows.where(part == 0)).select(F.col("label").cast("double").alias("label"), chance.alias("chance"))
     level = IsotonicRegression(featuresCol="chance", predictionCol="level").fit(held)
-    scored = trees.transform(assemble.transform(with_features(base, lexicon, "text"))) \
+    scored = trees.transform(assemble.transform(made)) \
         .select("doc_id", "held_out", chance.alias("chance"))
     # isotonic levels are flat in places; a small part of the trees' own value keeps the order inside one
     score = F.least(F.greatest(0.99 * F.col("level") + 0.01 * F.col("chance"), F.lit(0.0)), F.lit(1.0))
