@@ -148,3 +148,9 @@ def test_model_beats_the_base_on_the_given_documents(spark):
     found = contract.op12_lm_scoring(spark, "/root/testdata/sf0.01")
     r = found.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert r.s > r.b and found.count() == 1000
+
+
+def test_blocks_stay_small(spark):
+    docs = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    sizes = [r["size"] for r in language_model.text_blocks(docs, "doc_id", "text", 7, 2, 16, language_model.BLOCK_BYTES).collect()]
+    assert sum(sizes) == 600 * 10000 and max(sizes) <= 2 << 20
