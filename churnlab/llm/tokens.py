@@ -41,7 +41,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self._known: dict[int, int] = {}
+        self._known, self._place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # chunks ascending, and where their ids are noted
         self._first, self._count, self._ids, self._used = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)], 0
 
     def _learn(self, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
@@ -59,13 +59,23 @@ class Encoder:
             self._keep(keys[~inner], np.array([len(x) for x in single]), np.concatenate(single))
 
     def _keep(self, keys: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
-        at = len(self._known)
-        self._known.update(zip(keys.tolist(), range(at, at + len(keys)), strict=True))
+        at, where = len(self._known), np.searchsorted(self._known, keys)
+        self._known = np.insert(self._known, where, keys)
+        self._place = np.insert(self._place, where, np.arange(at, at + len(keys)))
         self._first.append(np.cumsum(count) - count + self._used)
         self._count.append(count)
         self._ids.append(ids)
         self._used += len(ids)
 
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Where the ids of known chunks are noted; -1 for others."""
+        where = np.searchsorted(self._known, keys)
+        out = np.full(len(keys), -1)
+        inside = np.flatnonzero(where < len(self._known))
+        inside = inside[self._known[where[inside]] == keys[inside]]
+        out[inside] = self._place[where[inside]]
+        return out
+
     def encode_block(self, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """The ids (uint16) of each row of a block."""
         n = len(raw)
@@ -80,11 +90,11 @@ class Encoder:
         keys, which, inverse = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
         if len(self._known) > MAX_CACHE:
             self._clear()
-        at = np.fromiter((self._known.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        at = self._places(keys)
         new = np.flatnonzero(at < 0)
         if len(new):
             self._learn(keys[new], raw, starts[which[new]], ends[which[new]])
-            at[new] = [self._known[k] for k in keys[new].tolist()]
+            at[new] = self._places(keys[new])
         if len(self._ids) > 16:
             self._first, self._count, self._ids = ([np.concatenate(x)] for x in (self._first, self._count, self._ids))
         all_first, all_count, pool = (np.concatenate(x) if len(x) > 1 else x[0] for x in (self._first, self._count, self._ids))
