@@ -9,8 +9,10 @@ each has its own tree and round, and drops out when its patience ends.
 * **Bins**: at most 255 for each feature, from quantiles; a split is ``bin <= b``, that is
   ``x <= edge``.
 * **Growth** is best first under ``num_leaves``: the leaf with the greatest gain is split
-  next.  The order needs the gains of all leaves, so a pass asks for all nodes that the
-  splits known so far may lead to, not for one leaf at a time.
+  next.  The order needs the gains of all leaves, so a pass asks ahead for nodes that the
+  splits known so far may lead to, not for one leaf at a time: at most ``AHEAD`` nodes for
+  each leaf of the budget, those below the greatest gains first.  So the histograms of a task
+  are bounded by the budget, not by how many nodes enough rows could keep open.
 * **Bags** (rows, by hash of their key) are redrawn every ``bagging_freq`` rounds, and
   features for each tree; both are functions of the seed, so a retried task draws the same.
 * **Gradients** travel as integers of ``2^-32``.  Their sums are exact, so neither the
@@ -50,6 +52,8 @@ UNIT = float(1 << 32)
 #: Trees of one member after which the margins are written anew.
 REFRESH = 4
 MIN_GAIN = 1e-10
+#: Nodes of a tree that a pass asks for at most, for each leaf of its budget.
+AHEAD = 2
 #: Rows for which there is a task: fewer make a pass mostly overhead.
 TASK_ROWS = 20_000
 _U = np.uint64
@@ -179,8 +183,9 @@ class _Growth:
         """Split nodes in best-first order, and the nodes whose gain has to be known to go on (none: the tree is done)."""
         leaves, taken = [0], []
         while len(leaves) < self.setting.num_leaves:
-            if any(self.nodes[i].known is None and not self._closed(i) for i in leaves):
-                return taken, self._open()
+            wanted = [i for i in leaves if self._is_open(i)]
+            if wanted:
+                return taken, self._ahead(wanted)
             best = max(leaves, key=lambda i: (self._gain(i), -i))
             if self._gain(best) <= 0:
                 break
@@ -192,8 +197,14 @@ class _Growth:
     def _gain(self, i: int) -> float:
         return self.nodes[i].known.gain if self.nodes[i].left >= 0 else 0.0
 
-    def _open(self) -> list[int]:
-        return [i for i, node in enumerate(self.nodes) if node.known is None and not self._closed(i)]
+    def _is_open(self, i: int) -> bool:
+        return self.nodes[i].known is None and not self._closed(i)
+
+    def _ahead(self, wanted: list[int]) -> list[int]:
+        """The wanted nodes, and further open ones that the order may come to, as far as the budget goes."""
+        above = {child: node.known.gain for node in self.nodes if node.left >= 0 for child in (node.left, node.right)}
+        others = sorted((i for i in range(len(self.nodes)) if self._is_open(i) and i not in wanted), key=lambda i: (-above[i], i))
+        return sorted(wanted + others[:max(0, AHEAD * self.setting.num_leaves - len(wanted))])
 
     def finished(self, taken: list[int]) -> Binned:
         """The tree of the taken splits, its nodes in the order in which they came up, leaves shrunk by the step size."""

@@ -151,3 +151,21 @@ def test_leaf_budgets():
     keys = np.arange(1000)
     assert (gb.in_bag(keys, s, 0) == gb.in_bag(keys, s, 4)).all() and (gb.in_bag(keys, s, 0) != gb.in_bag(keys, s, 5)).any()
     assert 0.75 < gb.in_bag(keys, s, 0).mean() < 0.85
+
+
+def test_a_pass_asks_for_no_more_nodes_than_the_leaf_budget_allows(spark, monkeypatch):
+    asked, passes = [], gb._pass
+
+    def seen(state, tasks, *rest):
+        asked.extend(len(t.nodes) for t in tasks)
+        return passes(state, tasks, *rest)
+
+    x = [F.rand(i).alias(f) for i, f in enumerate(FEATURES)]
+    df = spark.range(0, 4000, 1, 2).select("id", *x).withColumn("y", F.expr("cast(sin(40 * a) + sin(30 * b) + sin(20 * c) * d > 0.3 as int)"))
+    monkeypatch.setattr(gb, "_pass", seen)
+    member = [gb.Member(gb.Setting(0.5, num_leaves=8, rounds=2, min_rows=2, bagging_fraction=1.0))]
+    bounded = gb.grow(df, FEATURES, "y", member, "id")[0].ensemble
+    assert max(asked) <= gb.AHEAD * 8
+    monkeypatch.setattr(gb, "AHEAD", 1000)
+    asked.clear()
+    assert gb.grow(df, FEATURES, "y", member, "id")[0].ensemble == bounded and max(asked) > 16
