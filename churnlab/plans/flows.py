@@ -85,6 +85,10 @@ SEGMENT_FEATURES = ["tc", "ta", "distinct_store", "ta_diff", "if_purchase_ev",
                     "avg_discount", "travel_flag", "value_seeker_flag"]
 
 
+#: Rows for which there is a task of the k-means fits: each of their some hundred passes sends a result of each task to the driver.
+SEGMENT_TASK_ROWS = 200_000
+
+
 def segment_input(spark: SparkSession, sf: str) -> DataFrame:
     """Churned customers with encoded flags, one row per id, filled, standardised."""
     cf = fx.feature_table(spark, sf).where(F.col("churn_100") == 1)
@@ -97,7 +101,7 @@ def segment_input(spark: SparkSession, sf: str) -> DataFrame:
 def segment_profile_flow(spark: SparkSession, sf: str, k: int = 4, restarts: int = 5,
                          max_iter: int = 100) -> DataFrame:
     """Minimum slice: k-means best of ``restarts`` seeds, then mean features per cluster."""
-    data = segment_input(spark, sf).persist()
+    data = laid_out(segment_input(spark, sf), SEGMENT_TASK_ROWS)
     zcols = [c + "_z" for c in SEGMENT_FEATURES]
     model, _ = segment.kmeans_best_of(data, zcols, k=k, seeds=list(range(1, restarts + 1)),
                                       max_iter=max_iter)

@@ -98,3 +98,18 @@ def test_no_training_rows_give_a_null_threshold(spark):
     from churnlab.operators import metrics
     df = spark.createDataFrame([(0.3, 1), (0.6, 0)], "score double, y int")
     assert metrics.best_threshold(df.limit(0), df, "score", "y").first()["threshold"] is None
+
+
+def test_segment_fits_have_a_task_for_many_rows(spark, monkeypatch):
+    from churnlab.plans import flows
+    from .conftest import SF_SMALL
+    parts, fit = [], segment.kmeans_best_of
+
+    def seen(df, *rest, **options):
+        parts.append(df.rdd.getNumPartitions())
+        return fit(df, *rest, **options)
+
+    monkeypatch.setattr(flows, "segment_input", lambda s, sf, made=flows.segment_input: made(s, sf).repartition(20))
+    monkeypatch.setattr(segment, "kmeans_best_of", seen)
+    out = flows.segment_profile_flow(spark, SF_SMALL, k=2, restarts=1, max_iter=2)
+    assert parts == [1] and out.count() == 2
