@@ -16,3 +16,8 @@ TASK_ROWS = 20_000
 def laid_out(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
     """All rows of ``df``, persisted in about one partition for each ``rows`` of them (never more than it has); unpersist when done."""
     return df.coalesce(max(1, -(-df.count() // rows))).persist()
+
+
+def task_count(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Partitions for about as many rows as ``df`` has: one for each ``rows`` of them, and one for each core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))

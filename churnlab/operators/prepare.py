@@ -64,28 +64,45 @@ def dummy_name(col: str, value: str) -> str:
     return f"{col}_{value}".replace(".", "_").replace("`", "_")
 
 
+def _categories(df: DataFrame, cols: list[str], most: int) -> dict[str, list]:
+    """The values of each column but null, from one pass; more than ``most`` of a column raise.
+
+    One row beyond ``most`` for each column is enough to see that some column has too many.
+    """
+    out: dict[str, list] = {c: [] for c in cols}
+    kinds: dict = {}
+    for i, c in enumerate(dict.fromkeys(cols)):
+        kinds.setdefault(df.select(c).schema[0].dataType, []).append((i, c))
+    for named in kinds.values():  # columns of one type share a pass
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in named])
+        found = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct().limit(most * len(named) + 1).collect()
+        for i, c in named:
+            out[c] = [r["v"] for r in found if r["i"] == i]
+            if len(out[c]) > most:
+                raise ValueError(f"{c}: more than {most} categories")
+    return out
+
+
 def one_hot(df: DataFrame, cols: list[str] | None = None, max_categories: int = 1000,
             drop_source: bool = True, categories: dict[str, list[str]] | None = None,
             fill: str | None = None) -> DataFrame:
     """Named one-hot columns ``<col>_<value>`` as 0/1 integers.
 
     ``categories`` gives a column's values; others are listed by one distinct
-    job per column, of which at most ``max_categories + 1`` rows reach the
-    driver (a column with more values is an id, not a category, and raises).
+    job for all columns, of which at most ``max_categories`` rows per column and
+    one more reach the driver (a column with more values is an id, not a
+    category, and raises).
     Null maps to all zeros, or with ``fill`` to the category of that name
     (fill before one-hot, P5).  Dummy columns follow the remaining columns,
     sorted by value; two values of a column must not share a name.
     """
     cols = string_columns(df) if cols is None else cols
     source = df.na.fill(fill, subset=cols) if fill is not None and cols else df
+    categories = dict(categories or {})
+    categories |= _categories(source, [c for c in cols if categories.get(c) is None], max_categories)
     dummies = []
     for c in cols:
-        values = (categories or {}).get(c)
-        if values is None:
-            found = source.select(c).where(F.col(c).isNotNull()).distinct().limit(max_categories + 1).collect()
-            if len(found) > max_categories:
-                raise ValueError(f"{c}: more than {max_categories} categories")
-            values = [r[0] for r in found]
+        values = categories[c]
         names = [dummy_name(c, v) for v in values]
         if len(set(names)) < len(names):
             raise ValueError(f"{c}: two categories have one column name")

@@ -19,6 +19,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.layout import task_count
 from ..functions.numeric import rnd
 from .io import read_table
 
@@ -213,13 +214,16 @@ def feature_table(spark: SparkSession, base: str, cut: str = DEFAULT_CUT) -> Dat
 
     Persisted with MEMORY_AND_DISK (blocks lost with an executor are rebuilt
     from lineage).  This plays the role of the stored feature table the
-    reference reads; ``refresh_feature_table`` drops it.
+    reference reads; ``refresh_feature_table`` drops it.  It has at most as many
+    partitions as its rows (one per customer) are worth, whatever the shuffles
+    had: every report, and a fit some hundred times, pays for each of them.
     """
     from pyspark import StorageLevel
     key = (spark.sparkContext.applicationId, base, cut)
     df = _STORE.get(key)
     if df is None:
-        df = customer_features(spark, base, cut).persist(StorageLevel.MEMORY_AND_DISK)
+        parts = task_count(read_table(spark, "customer", base))
+        df = customer_features(spark, base, cut).coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
         _STORE[key] = df
     return df
 

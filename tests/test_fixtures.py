@@ -16,3 +16,17 @@ def test_stores_are_shuffled_once_by_customer(spark):
     plan = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
     dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     assert dealt and not [x for x in dealt if "s_nationkey" in x or "user_id" in x and "l_suppkey" in x]
+
+
+def test_feature_table_has_no_more_partitions_than_its_rows_are_worth(spark):
+    from .conftest import SF_SMALL
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    fx.refresh_feature_table(spark)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert fx.feature_table(spark, SF_SMALL).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        fx.refresh_feature_table(spark)

@@ -104,3 +104,21 @@ def test_dotted_categories_and_given_lists(spark):
         prepare.one_hot(spark.createDataFrame([("a.b",), ("a_b",)], "c string"), ["c"])
     with pytest.raises(ValueError):
         prepare.one_hot(df, ["c"], max_categories=1)
+
+
+def test_one_hot_lists_all_columns_in_one_job(spark):
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+    schema = StructType([StructField("a", StringType()), StructField("b", StringType()), StructField("c", IntegerType())])
+    df = spark.createDataFrame([("x", "x", 1), ("y", None, 2), (None, "x", None), ("x", "z", 1)], schema)
+    sc = spark.sparkContext
+    sc.setJobGroup("one_hot", "")
+    out = prepare.one_hot(df, ["a", "b"])
+    one = len(sc.statusTracker().getJobIdsForGroup("one_hot"))
+    sc.setJobGroup("single", "")
+    prepare.one_hot(df, ["a"])
+    single = len(sc.statusTracker().getJobIdsForGroup("single"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert out.columns == ["c", "a_x", "a_y", "b_x", "b_z"] and one == single
+    assert [tuple(r) for r in out.collect()] == [(1, 1, 0, 1, 0), (2, 0, 1, 0, 0), (None, 0, 0, 1, 0), (1, 1, 0, 0, 1)]
+    mixed = prepare.one_hot(df, ["a", "c"])
+    assert mixed.columns == ["b", "a_x", "a_y", "c_1", "c_2"] and mixed.where("c_1 = 1").count() == 2
