@@ -7,6 +7,11 @@ pays for each task every time.
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 
 #: Rows for which there is a task.
@@ -21,3 +26,21 @@ def laid_out(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
 def task_count(df: DataFrame, rows: int = TASK_ROWS) -> int:
     """Partitions for about as many rows as ``df`` has: one for each ``rows`` of them, and one for each core at least."""
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows of ``df`` as files in the shared checkpoint folder; they are deleted at the end.
+
+    A persisted table still carries every step that made it in each task of each job, which the
+    task has to unpack first.  Of a stored one a task only knows its files.
+    """
+    from ..sources.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), f"rows-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions.layout import stored
 from ..functions.ranked import auc_of_entries, entries_of
 
 
@@ -135,10 +136,13 @@ def gbt_fit(df: DataFrame, feature_cols: list[str], label: str, features_col: st
     """Fit ``VectorAssembler`` + ``GBTClassifier``; returns the ``PipelineModel`` (M7/M8).
 
     Fill missing values before: the assembler rejects nulls and GBT rejects NaN.
+    The rows are stored first: a fit runs several jobs for each tree.
     """
     asm = VectorAssembler(inputCols=feature_cols, outputCol=features_col)
     gbt = GBTClassifier(featuresCol=features_col, labelCol=label, **params)
-    return Pipeline(stages=[asm, gbt]).fit(df)
+    weight = [params["weightCol"]] if params.get("weightCol") else []
+    with stored(df.select(*dict.fromkeys([*feature_cols, label, *weight]))) as rows:
+        return Pipeline(stages=[asm, gbt]).fit(rows)
 
 
 def score(model, df: DataFrame, id_col: str, keep: list[str] = ()) -> DataFrame:

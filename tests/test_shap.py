@@ -114,3 +114,18 @@ def test_gbt_fit_best_flow(spark):
                            maxIter=2, seed=42).first()
     assert r["max_depth"] in (2, 3) and 0.0 <= r["auc"] <= 1.0
     assert r["tp"] + r["fp"] + r["tn"] + r["fn"] > 0
+
+
+def test_gbt_fit_reads_stored_rows_and_leaves_none(spark, monkeypatch):
+    import glob
+
+    from churnlab.sources.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    df = spark.range(0, 200, 1, 2).selectExpr("id", "id % 7 * 1.0D AS a", "id % 11 * 1.0D AS b", "IF(id % 7 > 3, 1, 0) AS y")
+    seen, fit = [], boost.Pipeline.fit
+    monkeypatch.setattr(boost.Pipeline, "fit", lambda self, rows: seen.append(rows.inputFiles()) or fit(self, rows))
+    model = boost.gbt_fit(df, ["a", "b"], "y", maxIter=2, maxDepth=2, seed=1)
+    assert seen[0] and all("/rows-" in f for f in seen[0])  # no step before the fit is in its tasks
+    assert not glob.glob(f"{folder}/rows-*")
+    wrong = boost.score(model, df, "id", ["y"]).where("prediction != y").count()
+    assert wrong == 0
