@@ -239,14 +239,26 @@ def _chunks(batches, size: int = SHUFFLE_ROWS):
         yield pd.concat(held, ignore_index=True)
 
 
-def _epoch(df: DataFrame, states: list[np.ndarray], shapes, specs: list[Spec], feature_cols,
-           label, fold_col, batch: int, seed: int, epoch: int, activation, linear_grad,
+PACKED = "x binary, y binary, folds binary"
+
+
+def _packed(df: DataFrame, feature_cols, label, fold_col) -> DataFrame:
+    """A row for each chunk of a partition: its features, labels and folds as whole arrays, converted once and not in every epoch."""
+    def run(batches):
+        for pdf in _chunks(batches):
+            folds = pdf[fold_col].to_numpy(dtype=float) if fold_col else np.zeros(len(pdf))
+            arrays = pdf[feature_cols].to_numpy(dtype=float), pdf[label].to_numpy().astype(np.int64), folds
+            yield pd.DataFrame([[np.ascontiguousarray(a).tobytes() for a in arrays]], columns=["x", "y", "folds"])
+
+    return df.select(*dict.fromkeys([*feature_cols, label, *([fold_col] if fold_col else [])])).mapInPandas(run, PACKED)
+
+
+def _epoch(rows: DataFrame, states: list[np.ndarray], shapes, specs: list[Spec],
+           batch: int, seed: int, epoch: int, activation, linear_grad,
            smoothing, dropout, optimizer, first_linear=True) -> list[np.ndarray]:
-    """One distributed epoch for every model; returns the averaged state per model."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(states)
+    """One distributed epoch for every model over ``_packed`` rows; returns the averaged state per model."""
+    bc = rows.sparkSession.sparkContext.broadcast(states)
     schema = StructType([StructField("model", IntegerType()), StructField("w", ArrayType(DoubleType()))])
-    cols = [*feature_cols, label] + ([fold_col] if fold_col else [])
 
     def train(batches):
         from pyspark import TaskContext
@@ -255,12 +267,11 @@ def _epoch(df: DataFrame, states: list[np.ndarray], shapes, specs: list[Spec], f
         drop_rng = np.random.RandomState((seed * 1_000_003 + epoch * 7919 + part) % (2 ** 32))
         current = [_unpack(v, shapes, optimizer) for v in bc.value]
         seen = [0] * len(specs)
-        for pdf in _chunks(batches):
-            x_all = pdf[feature_cols].to_numpy(dtype=float)
-            y_all = pdf[label].to_numpy().astype(int)
-            folds = pdf[fold_col].to_numpy() if fold_col else None
+        for chunk in (c for pdf in batches for c in pdf.itertuples(index=False)):
+            y_all, folds = np.frombuffer(chunk.y, np.int64), np.frombuffer(chunk.folds)
+            x_all = np.frombuffer(chunk.x).reshape(len(y_all), -1)
             for m, spec in enumerate(specs):
-                mask = np.ones(len(pdf), bool) if spec.holdout is None else folds != spec.holdout
+                mask = np.ones(len(y_all), bool) if spec.holdout is None else folds != spec.holdout
                 x, y = x_all[mask], y_all[mask]
                 if len(y) == 0:
                     continue
@@ -274,10 +285,10 @@ def _epoch(df: DataFrame, states: list[np.ndarray], shapes, specs: list[Spec], f
                     ws, adam = out if adam is not None else (out, None)
                 current[m] = (ws, adam)
                 seen[m] += len(y)
-        rows = [(m, np.append(_pack(*current[m]) * seen[m], seen[m])) for m in range(len(specs)) if seen[m]]
-        yield pd.DataFrame(rows, columns=["model", "w"])
+        out = [(m, np.append(_pack(*current[m]) * seen[m], seen[m])) for m in range(len(specs)) if seen[m]]
+        yield pd.DataFrame(out, columns=["model", "w"])
 
-    per_part = df.select(*cols).mapInPandas(train, schema)
+    per_part = rows.mapInPandas(train, schema)
     out = [v.copy() for v in states]
     for r in sum_arrays(per_part, ["model"], "w").collect():  # models x parameters: bounded by the model size
         sums = np.array(r["w"])
@@ -296,19 +307,21 @@ def mlp_fit(df: DataFrame, feature_cols: list[str], label: str, hidden: int | li
     ``optimizer`` is 'sgd' (the numpy script) or 'adam' (the Keras script; its
     moments are averaged with the weights).  ``on_epoch(epoch, weights_list)``
     runs after every epoch (history, early stopping: return True to stop).
-    Persist ``df`` before calling.
+    The rows are packed once and kept for the epochs.
     """
     specs = specs or [Spec(lr)]
     base = init or init_weights(len(feature_cols), hidden, 2, init_seed)
     shapes = shapes_of(base)
     adam0 = (_zeros_like(base), _zeros_like(base), 0) if optimizer == "adam" else None
     states = [_pack([(w.copy(), b.copy()) for w, b in base], adam0) for _ in specs]
+    rows = _packed(df, feature_cols, label, fold_col).persist()
     for e in range(epochs):
-        states = _epoch(df, states, shapes, specs, feature_cols, label, fold_col, batch, seed,
+        states = _epoch(rows, states, shapes, specs, batch, seed,
                         e, activation, linear_grad, smoothing, dropout, optimizer, first_linear)
         weights = [_unpack(v, shapes, optimizer)[0] for v in states]
         if on_epoch is not None and on_epoch(e + 1, weights):
             break
+    rows.unpersist()
     weights = [_unpack(v, shapes, optimizer)[0] for v in states]
     return weights if len(specs) > 1 else weights[0]
 

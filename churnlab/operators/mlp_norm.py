@@ -36,7 +36,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.ranked import auc_of_entries, entries_of
 from ..functions.vectors import sum_arrays
-from .mlp import ADAM_B1, ADAM_B2, ADAM_EPS, Spec, forward, softmax, softplus
+from .mlp import ADAM_B1, ADAM_B2, ADAM_EPS, Spec, _chunks, forward, softmax, softplus
 
 _U = np.uint64
 #: Mini-batches that a task has at least, where the rows suffice.
@@ -287,15 +287,34 @@ def _rows_of(frames: Iterator[pd.DataFrame], names: list[str]) -> Rows:
     return Rows(whole[names].to_numpy(float), whole["_y"].to_numpy(int), whole["_key"].to_numpy(np.int64).astype(_U), whole["_fold"].to_numpy(int))
 
 
+PACKED = "x binary, y binary, keys binary, folds binary"
+
+
+def _packed(data: DataFrame, names: list[str]) -> DataFrame:
+    """A row for each chunk of a partition, its columns as whole arrays: converted once and not in every epoch."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _chunks(frames):
+            yield pd.DataFrame([[np.ascontiguousarray(a).tobytes() for a in _rows_of(iter([frame]), names)]], columns=list(Rows._fields))
+
+    return data.mapInPandas(run, PACKED)
+
+
+def _unpacked(frames: Iterator[pd.DataFrame], width: int) -> Rows:
+    """All rows of a partition of ``_packed`` ones."""
+    chunks = [c for frame in frames for c in frame.itertuples(index=False)]
+    x, y, keys, folds = (np.frombuffer(b"".join(c[i] for c in chunks), kind) for i, kind in enumerate((float, np.int64, _U, np.int64)))
+    return Rows(x.reshape(-1, width), y, keys, folds)
+
+
 SUMS = "member int, sums array<double>"
 
 
-def _averaged_epoch(data: DataFrame, names, net, states: list[State], specs: list[Spec], batch: int, seed: int, epoch: int) -> list[State]:
+def _averaged_epoch(data: DataFrame, net, states: list[State], specs: list[Spec], batch: int, seed: int, epoch: int) -> list[State]:
     shared = data.sparkSession.sparkContext.broadcast([_flat(s) for s in states])
     like = states[0]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = _rows_of(frames, names)
+        rows = _unpacked(frames, net.sizes[0])
         for i, (spec, flat) in enumerate(zip(specs, shared.value, strict=True)):
             n = len(rows.y) if spec.holdout is None else int((rows.folds != spec.holdout).sum())
             if n:
@@ -367,21 +386,22 @@ def fit(df: DataFrame, feature_cols: list[str], label: str, key: str, net: Net,
     data = data.coalesce(max(1, int(n / (TASK_BATCHES * batch))))
     if synchronous:
         data = _dealt(data, batches, seed).persist()
+    else:
+        data = _packed(data, names).persist()
     live = list(range(len(specs)))
     for epoch in range(epochs):
         mine, chosen = [states[i] for i in live], [specs[i] for i in live]
         if synchronous:
             mine = _synchronous_epoch(data, names, net, mine, chosen, batches, seed, epoch)
         else:
-            mine = _averaged_epoch(data, names, net, mine, chosen, batch, seed, epoch)
+            mine = _averaged_epoch(data, net, mine, chosen, batch, seed, epoch)
         for i, state in zip(live, mine, strict=True):
             states[i] = state
         ended = on_epoch(epoch + 1, [m for m, _ in states]) if on_epoch else None
         live = [] if ended is True else [i for i in live if i not in (ended or ())]
         if not live:
             break
-    if synchronous:
-        data.unpersist()
+    data.unpersist()
     held.unpersist()
     return [m for m, _ in states]
 

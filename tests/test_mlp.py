@@ -82,3 +82,25 @@ def test_adam_dropout_learns(spark):
                      activation="tanh", smoothing=0.05)
     s = mlp.mlp_score(df, ws, cols, "id", keep=["y"], activation="tanh")
     assert metrics.roc_auc(s, "score", "y") > 0.9
+
+
+def test_rows_are_packed_once_for_all_epochs(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf.assign(x=pdf["id"] / 7.0, y=pdf["id"] % 2)[["x", "y"]]
+
+    df = spark.range(0, 300, 1, 2).mapInPandas(rows, "x double, y long")
+    mlp.mlp_fit(df, ["x"], "y", hidden=3, epochs=3)
+    assert made.value == 300
+
+
+def test_packed_rows_hold_each_chunk_in_order(spark):
+    df = spark.range(0, 10, 1, 1).selectExpr("id * 0.5D AS a", "id * 2.0D AS b", "id % 2 AS y", "IF(id = 3, NULL, id % 5) AS fold")
+    row, = mlp._packed(df, ["a", "b"], "y", "fold").collect()
+    assert np.frombuffer(row["x"]).reshape(-1, 2).tolist() == [[i * 0.5, i * 2.0] for i in range(10)]
+    assert np.frombuffer(row["y"], np.int64).tolist() == [i % 2 for i in range(10)]
+    folds = np.frombuffer(row["folds"])
+    assert np.isnan(folds[3]) and [f for f in folds if f == f] == [i % 5 for i in range(10) if i != 3]

@@ -151,3 +151,12 @@ def test_members_stop_alone_and_empty_tables(spark):
     assert [stop(e, models) for e in range(1, 6)] == [[], [], [], [], [0, 1]] and [b[:2] for b in stop.best] == [(3, 0.9), (3, 0.7)]
     model, = mlp_norm.fit(df.limit(0), cols, "y", "id", NETS[0], [Spec(0.1)], 2)
     np.testing.assert_allclose(flat(model), flat(mlp_norm.init_model(NETS[0], 1)))
+
+
+def test_rows_are_packed_whole_and_in_order(spark):
+    df = spark.range(0, 9, 1, 1).selectExpr("id * 3 - 5 AS _key", "CAST(id % 2 AS INT) AS _y", "CAST(id % 4 AS INT) AS _fold", "id * 0.5D AS _x0", "id * 2.0D AS _x1")
+    rows = mlp_norm._unpacked(iter([mlp_norm._packed(df, ["_x0", "_x1"]).toPandas()]), 2)
+    assert rows.x.tolist() == [[i * 0.5, i * 2.0] for i in range(9)]
+    assert rows.y.tolist() == [i % 2 for i in range(9)] and rows.folds.tolist() == [i % 4 for i in range(9)]
+    assert rows.keys.astype(np.int64).tolist() == [i * 3 - 5 for i in range(9)]
+    assert len(mlp_norm._unpacked(iter([]), 2).y) == 0
