@@ -372,9 +372,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
             yield _Rows(keys, y, folds, bins.reshape(n, -1), margins.reshape(-1, n).copy())
 
 
-def _histograms(rows: _Rows, margin: np.ndarray, task: _Task, width: int) -> np.ndarray:
-    """(3, nodes, features, bins): sums of gradients and hessians in units, and rows, of the wanted nodes."""
-    d = rows.bins.shape[1]
+def _histograms(rows: _Rows, margin: np.ndarray, task: _Task, widths: list[int]) -> np.ndarray:
+    """(3, nodes, bins of all features side by side): sums of gradients and hessians in units, and rows, of the wanted nodes.
+
+    A feature at a time: its cells are few enough to stay in the processor's cache.
+    """
     use = in_bag(rows.keys, task.setting, task.round)
     if task.holdout is not None:
         use &= rows.folds != task.holdout
@@ -386,15 +388,21 @@ def _histograms(rows: _Rows, margin: np.ndarray, task: _Task, width: int) -> np.
     inside = place >= 0
     at, bins, place = at[inside], bins[inside], place[inside]
     p = 1 / (1 + np.exp(-margin[at]))
-    cell = ((place[:, None] * d + np.arange(d)) * width + bins).ravel()
-    size = len(task.nodes) * d * width
-    sums = [np.bincount(cell, weights=np.repeat(np.rint(v * UNIT), d), minlength=size) for v in (p - rows.y[at], p * (1 - p))]
-    return np.stack([*(s.astype(np.int64) for s in sums), np.bincount(cell, minlength=size)]).reshape(3, len(task.nodes), d, width)
+    weights = [np.rint(v * UNIT) for v in (p - rows.y[at], p * (1 - p))]
+    k = len(task.nodes)
+    out, start = np.empty((3, k, sum(widths)), np.int64), 0
+    for column, width in zip(np.ascontiguousarray(bins.T), widths, strict=True):
+        cell = place * width + column
+        for i, w in enumerate((*weights, None)):
+            out[i, :, start:start + width] = np.bincount(cell, weights=w, minlength=k * width).reshape(k, width)
+        start += width
+    return out
 
 
-def _pass(state: _State, tasks: list[_Task], d: int, width: int) -> tuple[dict, dict]:
+def _pass(state: _State, tasks: list[_Task], widths: list[int]) -> tuple[dict, dict]:
     """One job: {(member, node): Split} and {member: AUC or None}."""
     wide = "member int, node int, part int, a binary, b binary, c binary"
+    d, inside = len(widths), np.arange(max(widths, default=1)) < np.array(widths)[:, None]
 
     def partial(batches: Iterator[pa.RecordBatch], tasks: list[_Task]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -405,7 +413,7 @@ def _pass(state: _State, tasks: list[_Task], d: int, width: int) -> tuple[dict,
                 for tree in task.pending:
                     margin = margin + tree.values(rows.bins)
                 if task.nodes:
-                    part = _histograms(rows, margin, task, width)
+                    part = _histograms(rows, margin, task, widths)
                     sums[task.member] = sums[task.member] + part if task.member in sums else part
                 if task.score:
                     held = rows.folds == task.holdout
@@ -422,7 +430,9 @@ def _pass(state: _State, tasks: list[_Task], d: int, width: int) -> tuple[dict,
         member, node, part = (rows.column(i)[0].as_py() for i in range(3))
         columns = [[x.as_buffer() for x in rows.column(c)] for c in "abc"]  # a row for each task
         if node >= 0:
-            g, h, n = (sum(np.frombuffer(x, np.int64) for x in c).reshape(d, width) for c in columns)
+            g, h, n = (np.zeros(inside.shape, np.int64) for _ in range(3))
+            for whole, c in zip((g, h, n), columns, strict=True):
+                whole[inside] = sum(np.frombuffer(x, np.int64) for x in c)
             s, features = settings[member]
             found = best_split(g, h, n, features, s)
             values, gain = [v for i, v in enumerate(found) if i != 5], found.gain
@@ -473,7 +483,7 @@ def grow(df: DataFrame, features: list[str], label: str, members: list[Member],
          max_bins: int = MAX_BINS, edges: list[list[float]] | None = None) -> list[Grown]:
     """Grow all ``members`` over ``df`` (``key`` draws the bags, ``fold`` names the folds, ``label`` is 0 or 1)."""
     edges = edges or bin_edges(df, features, max_bins)
-    width = max(map(len, edges), default=0) + 1
+    widths = [len(e) + 1 for e in edges]
     bases, n = _bases(df, label, fold, members)
     state = _State(df, features, label, fold, key, edges, bases, -(-n // TASK_ROWS))
     trees: list[list[Binned]] = [[] for _ in members]
@@ -486,7 +496,7 @@ def grow(df: DataFrame, features: list[str], label: str, members: list[Member],
     while growth or unscored:
         tasks = [_Task(i, members[i].setting, members[i].holdout, len(trees[i]), pending[i], growth[i].partial() if i in growth else None,
                        growth[i].replay()[1] if i in growth else [], i in unscored) for i in sorted({*growth, *unscored})]
-        splits, aucs = _pass(state, tasks, len(features), width)
+        splits, aucs = _pass(state, tasks, widths)
         for i in unscored:
             auc = aucs.get(i)
             curves[i].append(auc)

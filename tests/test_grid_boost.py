@@ -169,3 +169,20 @@ def test_a_pass_asks_for_no_more_nodes_than_the_leaf_budget_allows(spark, monkey
     monkeypatch.setattr(gb, "AHEAD", 1000)
     asked.clear()
     assert gb.grow(df, FEATURES, "y", member, "id")[0].ensemble == bounded and max(asked) > 16
+
+
+def test_histograms_have_only_the_bins_of_each_feature():
+    rng = np.random.default_rng(3)
+    bins = np.column_stack([rng.integers(0, 2, 60), rng.integers(0, 9, 60)]).astype(np.uint8)
+    rows = gb._Rows(np.arange(60), rng.integers(0, 2, 60).astype(np.uint8), np.zeros(60, np.int32), bins, np.zeros((1, 60)))
+    grown = gb._Growth(gb.Setting(bagging_fraction=1.0, min_rows=1))
+    grown.add(0, gb.Split(0, 0, 60, 1, 4, 1.0, 0, 0, int((bins[:, 1] <= 4).sum())))
+    task = gb._Task(0, grown.setting, None, 0, [], grown.partial(), [1, 2], False)
+    g, h, n = gb._histograms(rows, rows.margins[0], task, [2, 9])
+    assert n.shape == (2, 11)
+    for i, side in enumerate((bins[:, 1] <= 4, bins[:, 1] > 4)):
+        for start, f, width in ((0, 0, 2), (2, 1, 9)):
+            for b in range(width):
+                here = side & (bins[:, f] == b)
+                assert n[i, start + b] == here.sum() and h[i, start + b] == here.sum() * gb.UNIT / 4
+                assert g[i, start + b] == (0.5 - rows.y[here]).sum() * gb.UNIT
