@@ -22,6 +22,10 @@ each has its own tree and round, and drops out when its patience ends.
   classes are compared in ranges of the score, whose few sums come back.
 * **State**: margins are written with the bins to ``spark.checkpoint.dir`` every few
   trees; in between, a task adds the trees since then.
+* **Few rows** (``grow(whole=True)`` and bins within ``WHOLE_ROWS`` and ``WHOLE_CELLS``): a pass
+  would be mostly overhead, so a task holds the bins of all rows and grows one member from its
+  first round to its last.  It knows the sums of a split node, so only those of its smaller
+  child are counted, and no node is asked for ahead.  The trees are those of the passes.
 
 What reaches the driver are splits, sums of ranges and bin edges: bounded by the grid and
 its trees.  Fill missing values before (P5): a null or NaN feature raises.
@@ -29,10 +33,11 @@ its trees.  Fill missing values before (P5): a null or NaN feature raises.
 
 from __future__ import annotations
 
+import heapq
 import math
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import NamedTuple
@@ -56,6 +61,14 @@ MIN_GAIN = 1e-10
 AHEAD = 2
 #: Rows for which there is a task: fewer make a pass mostly overhead.
 TASK_ROWS = 20_000
+#: Rows, and rows x features, up to which one task holds all bins.  Sums over so many rows are exact in floats.
+WHOLE_ROWS, WHOLE_CELLS = 1 << 20, 1 << 26
+#: Bits of a packed sum below the count: the hessians of as many rows as a packed cell may have.
+PACK_BITS, PACK_ROWS = 41, (1 << 11) - 1
+#: Rows x features of a node up to which its features are counted at once.
+FEW_CELLS = 1 << 18
+#: Combinations of bins up to which features are counted as one.
+JOINT_CELLS = 2048
 _U = np.uint64
 
 
@@ -168,14 +181,14 @@ class _Growth:
     setting: Setting
     nodes: list[_Node] = field(default_factory=lambda: [_Node(0, None)])
 
-    def _closed(self, i: int) -> bool:
+    def closed(self, i: int) -> bool:
         node, s = self.nodes[i], self.setting
         return s.max_depth is not None and node.depth >= s.max_depth or node.n is not None and node.n < 2 * s.min_rows
 
     def add(self, i: int, split: Split) -> None:
         node = self.nodes[i]
         node.known, node.n = split, split.n
-        if split.feature >= 0 and not self._closed(i):
+        if split.feature >= 0 and not self.closed(i):
             node.left, node.right = len(self.nodes), len(self.nodes) + 1
             self.nodes += [_Node(node.depth + 1, split.nl), _Node(node.depth + 1, split.n - split.nl)]
 
@@ -198,7 +211,7 @@ class _Growth:
         return self.nodes[i].known.gain if self.nodes[i].left >= 0 else 0.0
 
     def _is_open(self, i: int) -> bool:
-        return self.nodes[i].known is None and not self._closed(i)
+        return self.nodes[i].known is None and not self.closed(i)
 
     def _ahead(self, wanted: list[int]) -> list[int]:
         """The wanted nodes, and further open ones that the order may come to, as far as the budget goes."""
@@ -224,6 +237,14 @@ class _Growth:
                                   (split.g - split.gl, split.h - split.hl, split.n - split.nl)))
         return out
 
+    def order(self, taken: list[int]) -> list[int]:
+        """The node behind each one of the ``finished`` tree."""
+        chosen, queue = set(taken), [0]
+        for i in queue:
+            if i in chosen:
+                queue += [self.nodes[i].left, self.nodes[i].right]
+        return queue
+
     def partial(self) -> Binned:
         """All known splits, for walking rows to the nodes in question."""
         return Binned([x.known.feature if x.left >= 0 else -1 for x in self.nodes], [x.known.bin if x.left >= 0 else 0 for x in self.nodes],
@@ -363,13 +384,19 @@ class _Rows(NamedTuple):
     margins: np.ndarray
 
 
+def _decoded(n: int, *columns) -> list[np.ndarray]:
+    """Keys, labels, folds, bins and (if given) margins of a chunk."""
+    out = [np.frombuffer(c, kind) for c, kind in zip(columns, (np.int64, np.uint8, np.int32, np.uint8, np.float64), strict=False)]
+    out[3] = out[3].reshape(n, -1)
+    return out
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
     for batch in batches:
         for i in range(batch.num_rows):
             n = batch.column(0)[i].as_py()
-            keys, y, folds, bins, margins = (np.frombuffer(batch.column(j)[i].as_buffer(), kind)
-                                             for j, kind in enumerate((np.int64, np.uint8, np.int32, np.uint8, np.float64), 1))
-            yield _Rows(keys, y, folds, bins.reshape(n, -1), margins.reshape(-1, n).copy())
+            *rest, margins = _decoded(n, *(batch.column(j)[i].as_buffer() for j in range(1, 6)))
+            yield _Rows(*rest, margins.reshape(-1, n).copy())
 
 
 def _histograms(rows: _Rows, margin: np.ndarray, task: _Task, widths: list[int]) -> np.ndarray:
@@ -466,6 +493,235 @@ def _pass(state: _State, tasks: list[_Task], widths: list[int]) -> tuple[dict, d
     return splits, {m: joined_ranges(parts)[0] for m, parts in ranges.items()}
 
 
+# ------------------------------------------------------------------ whole members
+class _Cells(NamedTuple):
+    """The bins of all features side by side, and which of them a tree may cut behind (drawn features, not their last bins)."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    cuts: np.ndarray
+
+
+def best_splits(sums: np.ndarray, totals: list[tuple[int, int, int]], cells: _Cells, s: Setting) -> list[Split]:
+    """``best_split`` of several nodes; ``sums`` (3, nodes, cells) are gradients, hessians and rows, ``totals`` those of each node."""
+    total = np.array(totals, np.int64).T
+    left = sums.copy()
+    left[:, :, cells.starts[1:]] -= total[:, :, None]  # so the running sum begins anew with each feature
+    np.cumsum(left, axis=2, out=left)
+    enough = (left[2] >= s.min_rows) & (left[2] <= (total[2] - s.min_rows)[:, None]) & cells.cuts
+    g, h = left[:2] * (1 / UNIT)
+    down = total[1][:, None] / UNIT - h
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = _score(g, h, s)
+        gain += _score(total[0][:, None] / UNIT - g, down, s)
+        gain -= np.array([_score(tg / UNIT, th / UNIT, s) if th or s.l2 else np.nan for tg, th, _ in totals])[:, None]
+    out = []
+    for i, (tg, th, tn) in enumerate(totals):
+        found = Split(tg, th, tn, -1, 0, 0.0, 0, 0, 0)
+        gains = np.where(enough[i], gain[i], -np.inf)
+        at = int(gains.argmax())
+        if not (h[i, at] >= s.min_hessian and down[i, at] >= s.min_hessian):  # then others may have to be left out too
+            gains = np.where((h[i] >= s.min_hessian) & (down[i] >= s.min_hessian), gains, -np.inf)
+            at = int(gains.argmax())
+        if gains[at] > MIN_GAIN:
+            f = int(np.searchsorted(cells.ends, at, side="right"))
+            found = Split(tg, th, tn, f, at - int(cells.starts[f]), float(gains[at]), *(int(x) for x in left[:, i, at]))
+        out.append(found)
+    return out
+
+
+def _score(g, h, s: Setting):
+    return g ** 2 / (h + s.l2)
+
+
+def _auc(margins: np.ndarray, y: np.ndarray) -> float | None:
+    """The exact AUC of some rows (None for one class)."""
+    order = np.argsort(margins)
+    margins, pos = margins[order], y[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(y)), dtype=bool), margins[1:] != margins[:-1])))
+    if not len(first):
+        return None
+    pos = np.add.reduceat(pos, first)
+    neg = np.diff(np.append(first, len(y))) - pos
+    return joined_ranges([(0, [int(pos.sum()), int(neg.sum()), int((pos * (2 * (np.cumsum(neg) - neg) + neg)).sum())])])[0]
+
+
+def _together(widths: list[int]) -> list[list[int]]:
+    """Features that are counted as one for the root: of few bins each, and of at most JOINT_CELLS combinations."""
+    out, size = [], JOINT_CELLS + 1
+    for f in sorted(range(len(widths)), key=lambda f: widths[f]):
+        if size * widths[f] > JOINT_CELLS:
+            out.append([])
+            size = 1
+        out[-1].append(f)
+        size *= widths[f]
+    return out
+
+
+class _Whole:
+    """One member over rows that are all here."""
+
+    def __init__(self, rows: _Rows, base: float, member: Member, widths: list[int]):
+        self.rows, self.setting, self.widths = rows, member.setting, widths
+        self.ends = np.cumsum(widths)
+        self.starts = self.ends - widths
+        self.columns = np.ascontiguousarray(rows.bins.T)
+        self.groups = _together(widths)
+        self.margin = np.full(len(rows.y), base)
+        self.seen = np.ones(len(rows.y), dtype=bool) if member.holdout is None else rows.folds != member.holdout
+        self.held = None if member.holdout is None else np.flatnonzero(~self.seen)
+        self.trees: list[Binned] = []
+        self.curve: list[float | None] = []
+        self.best, self.stopped = (0, -math.inf), False
+
+    def grow(self) -> _Whole:
+        s = self.setting
+        for t in range(s.rounds):
+            if t == 0 or s.bagging_freq and t % s.bagging_freq == 0:
+                self._draw(t)
+            if not self._tree(t):
+                break
+            if self.held is not None and self._scored():
+                break
+        return self
+
+    def _scored(self) -> bool:
+        """Whether patience ends the member with this round."""
+        auc = _auc(self.margin[self.held], self.rows.y[self.held])
+        self.curve.append(auc)
+        if auc is not None and auc > self.best[1]:
+            self.best = (len(self.trees), auc)
+        elif len(self.trees) - self.best[0] >= self.setting.patience:
+            self.stopped = True
+        return self.stopped
+
+    def _draw(self, round_: int) -> None:
+        """The bag and the rows outside, the bag's bins, and its rows in each cell."""
+        bag = self.seen & in_bag(self.rows.keys, self.setting, round_)
+        self.bag, self.out = np.flatnonzero(bag), np.flatnonzero(~bag)
+        self.inside = np.take(self.columns, self.bag, axis=1)
+        self.joint = []
+        for group in self.groups:
+            code = self.inside[group[0]]
+            for f in group[1:]:
+                code = code * np.uint16(self.widths[f]) + self.inside[f]
+            self.joint.append(code)
+        self.counts = self._counted(lambda code, size: np.bincount(code, minlength=size), np.int64)
+        self.packs = np.maximum.reduceat(self.counts, self.starts) <= PACK_ROWS
+
+    def _counted(self, count, kind) -> np.ndarray:
+        """The sums of each cell over the bag, from those of each combination of a group's bins."""
+        out = np.empty(self.ends[-1], kind)
+        for group, code in zip(self.groups, self.joint, strict=True):
+            wide = [self.widths[f] for f in group]
+            found = count(code, math.prod(wide)).reshape(wide)
+            for i, f in enumerate(group):
+                out[self.starts[f]:self.ends[f]] = found.sum(axis=tuple(j for j in range(len(group)) if j != i))
+        return out
+
+    def _root(self, weights: np.ndarray) -> np.ndarray:
+        def count(code: np.ndarray, size: int) -> np.ndarray:
+            sums = np.zeros(size, complex)
+            np.add.at(sums, code.astype(np.intp), weights)
+            return sums
+        both = self._counted(count, complex)
+        return np.stack([both.real.astype(np.int64), both.imag.astype(np.int64), self.counts])
+
+    def _sums(self, at: np.ndarray, weights: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        """(3, cells): gradients, hessians and rows of the bag's rows ``at``.  Where no cell can have too many rows, their
+        count is added up in the bits above the hessians."""
+        out = np.zeros(self.ends[-1], complex)
+        plain = weights[at]
+        packed = plain + 1j * float(1 << PACK_BITS)
+        counts = {}
+        few = len(at) <= PACK_ROWS and len(at) * len(self.widths) <= FEW_CELLS
+        if few:
+            place = self.rows.bins[self.bag[at]] + self.starts
+            np.add.at(out, place.ravel(), np.repeat(packed, len(self.widths)))
+        else:
+            for f in drawn:
+                place = self.inside[f][at].astype(np.intp)
+                fits = len(at) <= PACK_ROWS or self.packs[f]
+                np.add.at(out[self.starts[f]:self.ends[f]], place, packed if fits else plain)
+                if not fits:
+                    counts[f] = np.bincount(place, minlength=self.widths[f])
+        both = out.imag.astype(np.int64)
+        sums = np.stack([out.real.astype(np.int64), both & (1 << PACK_BITS) - 1, both >> PACK_BITS])
+        for f, n in counts.items():
+            here = slice(self.starts[f], self.ends[f])
+            sums[1, here], sums[2, here] = both[here], n
+        if not few:  # every feature has the same total, the others have it in one cell
+            whole = plain.sum()
+            sums[:, np.delete(self.starts, drawn)] = np.array([int(whole.real), int(whole.imag), len(at)])[:, None]
+        return sums
+
+    def _tree(self, round_: int) -> bool:
+        """Grow the next tree and add it to the margins; False without a split."""
+        s, growth = self.setting, _Growth(self.setting)
+        drawn = drawn_features(len(self.widths), s, round_)
+        cuts = np.repeat(np.isin(np.arange(len(self.widths)), drawn), self.widths)
+        cuts[self.ends - 1] = False
+        cells = _Cells(self.starts, self.ends, cuts)
+        p = 1 / (1 + np.exp(-self.margin[self.bag]))
+        weights = np.rint((p - self.rows.y[self.bag]) * UNIT) + 1j * np.rint(p * (1 - p) * UNIT)
+        total = weights.sum()
+        sums = {0: self._root(weights)}
+        growth.add(0, best_splits(sums[0][:, None], [(int(total.real), int(total.imag), len(weights))], cells, s)[0])
+        inside, out = {0: np.arange(len(self.bag))}, {0: self.out}
+        taken, options = [], [(-growth.nodes[0].known.gain, 0)] if growth.nodes[0].left >= 0 else []
+        while options and len(taken) < s.num_leaves - 1:
+            _, i = heapq.heappop(options)
+            taken.append(i)
+            node = growth.nodes[i]
+            split = node.known
+            for rows, column in ((inside, self.inside[split.feature]), (out, self.columns[split.feature])):
+                at = rows.pop(i)
+                low = column[at] <= split.bin
+                rows[node.left], rows[node.right] = at[low], at[~low]
+            above = sums.pop(i)
+            wanted = [c for c in (node.left, node.right) if not growth.closed(c)]
+            if not wanted or len(taken) == s.num_leaves - 1:
+                continue
+            small, large = sorted((node.left, node.right), key=lambda c: len(inside[c]))
+            sums[small] = self._sums(inside[small], weights, drawn)
+            sums[large] = above - sums[small]
+            totals = {node.left: (split.gl, split.hl, split.nl), node.right: (split.g - split.gl, split.h - split.hl, split.n - split.nl)}
+            for c, found in zip(wanted, best_splits(np.stack([sums[c] for c in wanted], axis=1), [totals[c] for c in wanted], cells, s), strict=True):
+                growth.add(c, found)
+                if growth.nodes[c].left >= 0:
+                    heapq.heappush(options, (-found.gain, c))
+        if not taken:
+            return False
+        tree = growth.finished(taken)
+        for i, feature, value in zip(growth.order(taken), tree.feature, tree.value, strict=True):
+            if feature < 0:
+                self.margin[self.bag[inside[i]]] += value
+                self.margin[out[i]] += value
+        self.trees.append(tree)
+        return True
+
+
+def _gathered(chunks: Iterable) -> _Rows:
+    """All rows of some chunks, without margins."""
+    held = [_decoded(c["n"], *(c[k] for k in ("keys", "y", "folds", "bins"))) for c in chunks]
+    return _Rows(*(np.concatenate([c[i] for c in held]) for i in range(4)), np.empty((0, 0)))
+
+
+def _grown_whole(state: _State, members: list[Member], bases: np.ndarray, widths: list[int]) -> list[tuple]:
+    """(trees, curve, best round and its AUC, stopped) of each member: a task for each, those with most leaves first."""
+    order = sorted(range(len(members)), key=lambda i: -members[i].setting.num_leaves)
+
+    def run(place: int, chunks: Iterator) -> Iterator[tuple]:
+        i, rows = order[place], list(chunks)
+        if rows:
+            grown = _Whole(_gathered(rows), bases[i], members[i], widths).grow()
+            yield i, (grown.trees, grown.curve, grown.best, grown.stopped)
+
+    chunks = state.chunks.coalesce(1).rdd
+    found = dict(state.spark.sparkContext.union([chunks] * len(members)).mapPartitionsWithIndex(run).collect())
+    return [found.get(i, ([], [], (0, -math.inf), False)) for i in range(len(members))]
+
+
 def _bases(df: DataFrame, label: str, fold: str | None, members: list[Member]) -> tuple[np.ndarray, int]:
     """The log odds of each member's training rows, and the number of all rows."""
     kind = F.col(fold).cast("int") if fold else F.lit(-1)
@@ -480,12 +736,27 @@ def _bases(df: DataFrame, label: str, fold: str | None, members: list[Member]) -
 
 
 def grow(df: DataFrame, features: list[str], label: str, members: list[Member], key: str, fold: str | None = None,
-         max_bins: int = MAX_BINS, edges: list[list[float]] | None = None) -> list[Grown]:
-    """Grow all ``members`` over ``df`` (``key`` draws the bags, ``fold`` names the folds, ``label`` is 0 or 1)."""
+         max_bins: int = MAX_BINS, edges: list[list[float]] | None = None, whole: bool = False) -> list[Grown]:
+    """Grow all ``members`` over ``df`` (``key`` draws the bags, ``fold`` names the folds, ``label`` is 0 or 1).
+
+    With ``whole``, a member is grown in one task where the rows are few enough for that.
+    """
     edges = edges or bin_edges(df, features, max_bins)
     widths = [len(e) + 1 for e in edges]
     bases, n = _bases(df, label, fold, members)
-    state = _State(df, features, label, fold, key, edges, bases, -(-n // TASK_ROWS))
+    whole = whole and n <= WHOLE_ROWS and n * len(features) <= WHOLE_CELLS
+    state = _State(df, features, label, fold, key, edges, bases[:0] if whole else bases, -(-n // TASK_ROWS))
+    found = (_grown_whole if whole else _grown_together)(state, members, bases, widths)
+    state.close()
+    out = []
+    for i, (m, (trees, curve, best, stopped)) in enumerate(zip(members, found, strict=True)):
+        kept = best[0] if m.holdout is not None else len(trees)
+        out.append(Grown(m, Ensemble([t.over(edges) for t in trees[:kept]], list(features), float(bases[i])), curve, kept, stopped))
+    return out
+
+
+def _grown_together(state: _State, members: list[Member], bases: np.ndarray, widths: list[int]) -> list[tuple]:
+    """(trees, curve, best round and its AUC, stopped) of each member, all of them in one pass per level."""
     trees: list[list[Binned]] = [[] for _ in members]
     pending: dict[int, list[Binned]] = {i: [] for i in range(len(members))}
     growth = {i: _Growth(m.setting) for i, m in enumerate(members)}
@@ -526,12 +797,7 @@ def grow(df: DataFrame, features: list[str], label: str, members: list[Member],
         if max(map(len, pending.values()), default=0) >= REFRESH and (growth or unscored):
             state.refresh(pending)
             pending = {i: [] for i in pending}
-    state.close()
-    out = []
-    for i, m in enumerate(members):
-        kept = best[i][0] if m.holdout is not None else len(trees[i])
-        out.append(Grown(m, Ensemble([t.over(edges) for t in trees[i][:kept]], list(features), float(bases[i])), curves[i], kept, stopped[i]))
-    return out
+    return list(zip(trees, curves, best, stopped, strict=True))
 
 
 def cv_grid(df: DataFrame, features: list[str], label: str, key: str, fold: str, num_folds: int = 5,
@@ -543,7 +809,7 @@ def cv_grid(df: DataFrame, features: list[str], label: str, key: str, fold: str,
     settings = settings or grid()
     members = [Member(s, f) for s in settings for f in range(num_folds)]
     rows = []
-    for i, g in enumerate(grow(df, features, label, members, key, fold)):
+    for i, g in enumerate(grow(df, features, label, members, key, fold, whole=True)):
         s = g.member.setting
         auc = g.curve[g.best_round - 1] if g.best_round else None
         rows.append((i // num_folds, s.step_size, s.max_depth, g.member.holdout, g.best_round, len(g.curve), g.stopped, auc))

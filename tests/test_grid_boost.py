@@ -186,3 +186,47 @@ def test_histograms_have_only_the_bins_of_each_feature():
                 here = side & (bins[:, f] == b)
                 assert n[i, start + b] == here.sum() and h[i, start + b] == here.sum() * gb.UNIT / 4
                 assert g[i, start + b] == (0.5 - rows.y[here]).sum() * gb.UNIT
+
+
+def test_whole_members_equal_those_of_the_passes(table, monkeypatch):
+    settings = [SETTINGS[1], gb.Setting(0.9, None, 12, rounds=8, patience=2, min_rows=5), gb.Setting(0.1, 2, 2, rounds=3, min_rows=400)]
+    members = [gb.Member(s, f) for s in settings for f in (None, 1, 9)]  # nothing is held out in fold 9
+    passes = gb.grow(table, FEATURES, "y", members, "id", "fold")
+    monkeypatch.setattr(gb, "_pass", lambda *_: pytest.fail("a job for a level"))
+    whole = gb.grow(table.repartition(3), FEATURES, "y", members, "id", "fold", whole=True)
+    assert any(g.stopped for g in whole) and any(g.ensemble.trees for g in whole) and any(not g.curve for g in whole)
+    assert passes == whole
+    assert gb.cv_grid(table, FEATURES, "y", "id", "fold", 3, settings[:2]).count() == 6
+    empty = gb.grow(table.where("id < 0"), FEATURES, "y", members[:2], "id", "fold", whole=True)
+    assert [g.ensemble.trees for g in empty] == [[], []]
+
+
+def test_members_are_whole_only_where_all_rows_fit(table, monkeypatch):
+    seen, passes = [], gb._pass
+    monkeypatch.setattr(gb, "_pass", lambda *a: seen.append(1) or passes(*a))
+    member = [gb.Member(gb.Setting(rounds=2))]
+    small = gb.grow(table, FEATURES, "y", member, "id", whole=True)
+    assert not seen
+    for name in ("WHOLE_ROWS", "WHOLE_CELLS"):
+        with monkeypatch.context() as m:
+            m.setattr(gb, name, 599)
+            assert gb.grow(table, FEATURES, "y", member, "id", whole=True) == small and seen
+        seen.clear()
+
+
+def test_whole_members_count_alike_in_every_way(monkeypatch):
+    rng = np.random.default_rng(5)
+    widths = [2, 3, 40, 200, 4]
+    bins = np.column_stack([rng.integers(0, w, 5000) for w in widths]).astype(np.uint8)
+    y = (rng.random(5000) < 0.2 + 0.5 * (bins[:, 3] > 90) * (bins[:, 0] + bins[:, 1]) / 3).astype(np.uint8)
+    rows = gb._Rows(rng.integers(0, 1 << 60, 5000), y, np.arange(5000, dtype=np.int32) % 4, bins, np.empty((0, 0)))
+    member = gb.Member(gb.Setting(0.3, None, 20, rounds=7, min_rows=5, bagging_freq=3, feature_fraction=0.7), 2)
+    found = []
+    for sizes in ((gb.PACK_ROWS, gb.FEW_CELLS, gb.JOINT_CELLS), (300, 1 << 18, 30), (300, 0, 1), (gb.PACK_ROWS, 0, 5000), (0, 0, 30)):
+        for name, size in zip(("PACK_ROWS", "FEW_CELLS", "JOINT_CELLS"), sizes, strict=True):
+            monkeypatch.setattr(gb, name, size)
+        grown = gb._Whole(rows, -0.5, member, widths).grow()
+        found.append((grown.trees, grown.curve))
+    assert len(found[0][0]) == 7 and all(f == found[0] for f in found)
+    plain = gb._auc(np.array([0.1, 0.3, 0.3, 0.2, -0.5]), np.array([0, 1, 0, 1, 0]))
+    assert plain == 4.5 / 6 and gb._auc(np.empty(0), np.empty(0, int)) is None and gb._auc(np.ones(3), np.ones(3, int)) is None
