@@ -29,8 +29,9 @@ def task_count(df: DataFrame, rows: int = TASK_ROWS) -> int:
 
 
 @contextmanager
-def stored(df: DataFrame) -> Iterator[DataFrame]:
-    """The rows of ``df`` as files in the shared checkpoint folder; they are deleted at the end.
+def stored(df: DataFrame, *by: str) -> Iterator[DataFrame]:
+    """The rows of ``df`` as files in the shared checkpoint folder, those of each value of the columns ``by`` apart; they are
+    deleted at the end.
 
     A persisted table still carries every step that made it in each task of each job, which the
     task has to unpack first.  Of a stored one a task only knows its files.
@@ -38,8 +39,8 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
     from ..sources.session import ensure_checkpoint_dir
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), f"rows-{uuid.uuid4().hex}")
-    df.write.parquet(path)
     try:
+        df.write.partitionBy(*by).parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,23 +7,26 @@ its own sums and gets the whole batch's, so the same code serves two ways of tra
 * **averaged** (the default): a mini-batch lies in one task, which answers itself.  Each task
   runs an epoch over its rows; weights, running means and variances and optimiser moments
   are averaged by rows (parallel SGD with parameter averaging).  One job for an epoch.
-* **synchronous**: a mini-batch is spread over all tasks.  Each sum is one job: tasks replay
-  the batch with the sums known so far and yield the next, Spark adds them up, and the
-  driver takes the step.  Which rows form a batch and which units drop out depend on the
-  rows' keys and the seed alone, so the weights do not depend on the number of partitions
-  (but for the rounding of sums).  One job for a batch, and six more with two normalised
-  hidden layers.  An all-gather inside a barrier stage would save the jobs, but its calls
-  poll once a second, which is slower.
+* **synchronous**: the steps of an epoch are taken one after another, each over a whole
+  mini-batch of rows from all over the table.  Which rows form a batch and which units drop out
+  depend on the rows' keys and the seed alone, so the weights do not depend on the number of
+  partitions (but for the rounding of sums).  Rows are dealt by batch once, into runs of batches
+  (``RUN_CELLS``); a job takes the steps of one run.  A batch that is larger than a run is spread
+  over all tasks instead: each sum is one job, in which tasks replay the batch with the sums
+  known so far and yield the next, Spark adds them up, and the driver takes the step.  That is one
+  job for a batch, and six more with two normalised hidden layers.  An all-gather inside a
+  barrier stage would save the jobs, but its calls poll once a second, which is slower.
 
 Several (rate, hold-out fold) members take their steps together and share the jobs; members
 may stop one by one.  ``folded`` puts running statistics into plain weights for
-``mlp.mlp_score``.  Every job ends with an epoch or a step, so a lost executor repeats that.
+``mlp.mlp_score``.  Every job ends with an epoch, a run or a step, so a lost executor repeats that.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Generator, Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -34,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.layout import stored
 from ..functions.ranked import auc_of_entries, entries_of
 from ..functions.vectors import sum_arrays
 from .mlp import ADAM_B1, ADAM_B2, ADAM_EPS, Spec, _chunks, forward, softmax, softplus
@@ -41,6 +45,8 @@ from .mlp import ADAM_B1, ADAM_B2, ADAM_EPS, Spec, _chunks, forward, softmax, so
 _U = np.uint64
 #: Mini-batches that a task has at least, where the rows suffice.
 TASK_BATCHES = 16
+#: Rows x features of a run of synchronous mini-batches, which a task holds.
+RUN_CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -330,14 +336,61 @@ def _averaged_epoch(data: DataFrame, net, states: list[State], specs: list[Spec]
 
 
 def _dealt(data: DataFrame, batches: int, seed: int) -> DataFrame:
-    """The rows with their mini-batch, those of a batch side by side: the jobs of a batch hand no other rows to Python."""
+    """The rows with their mini-batch."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             keys = part.column(0).to_numpy().astype(_U)
             which = batch_of(Rows(keys, keys, keys, keys), batches, seed)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(which, pa.int64())], names=[*part.schema.names, "_batch"])
 
-    return data.mapInArrow(run, StructType([*data.schema.fields, StructField("_batch", LongType())])).sortWithinPartitions("_batch")
+    return data.mapInArrow(run, StructType([*data.schema.fields, StructField("_batch", LongType())]))
+
+
+def _runs(data: DataFrame, names: list[str], n: int, batches: int, seed: int) -> DataFrame:
+    """A row for each run of mini-batches, its columns as whole arrays in the order of the batches."""
+    size = -(-batches // max(1, -(-n * len(names) // RUN_CELLS)))
+
+    def run(rows: pa.Table) -> pa.Table:
+        if any(rows.column(c).null_count for c in ("_y", "_fold")):
+            raise ValueError("label or fold holds nulls")
+        which, keys, y, folds = (rows.column(c).to_numpy() for c in ("_batch", "_key", "_y", "_fold"))
+        order = np.lexsort((keys, which))
+        arrays = [which, np.column_stack([rows.column(c).to_numpy() for c in names]), y.astype(np.int64), keys, folds.astype(np.int64)]
+        return pa.table({"run": pa.array([which[0] // size], pa.int32()), **{c: pa.array([np.ascontiguousarray(a[order]).tobytes()], pa.binary())
+                                                                             for c, a in zip(("batches", *Rows._fields), arrays, strict=True)}})
+
+    dealt = _dealt(data, batches, seed)
+    return dealt.groupBy(F.floor(F.col("_batch") / size).alias("run")).applyInArrow(run, f"run int, batches binary, {PACKED}")
+
+
+def _chained_epoch(runs: DataFrame, count: int, net, states: list[State], specs: list[Spec], batches: int, seed: int, epoch: int) -> list[State]:
+    """An epoch over ``_runs``, a job for each of them in turn."""
+    like = states[0]
+    for k in range(count):
+        shared = runs.sparkSession.sparkContext.broadcast([_flat(s) for s in states])
+
+        def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for which, *columns in (row for part in parts for row in zip(*(c.to_pylist() for c in part.columns), strict=True)):
+                which = np.frombuffer(which, np.int64)
+                rows = _unpacked(iter([pd.DataFrame([columns])]), net.sizes[0])
+                found, ends = np.unique(which, return_index=True)
+                ends = np.append(ends[1:], len(which))
+                out = []
+                for spec, flat in zip(specs, shared.value, strict=True):
+                    state, start = _shaped(flat, like), 0
+                    for b, end in zip(found.tolist(), ends, strict=True):
+                        part, start = Rows(*(c[start:end] for c in rows)), end
+                        if spec.holdout is not None:
+                            part = part.at(part.folds != spec.holdout)
+                        state = _after(net, state, alone(gradient(net, state[0], *part[:3], salt_of(epoch, b, batches, seed))), spec.lr)
+                    out.append(_flat(state).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array(out, pa.binary())], names=["member", "state"])
+
+        here = runs.where(F.col("run") == k).select("batches", *Rows._fields)
+        ended = {r["member"]: r["state"] for r in here.mapInArrow(run, "member int, state binary").collect()}
+        states = [_shaped(np.frombuffer(ended[i]), like) if ended else s for i, s in enumerate(states)]
+        shared.unpersist()
+    return states
 
 
 def _synchronous_epoch(data: DataFrame, names, net, states: list[State], specs: list[Spec], batches: int, seed: int, epoch: int) -> list[State]:
@@ -384,23 +437,34 @@ def fit(df: DataFrame, feature_cols: list[str], label: str, key: str, net: Net,
     batches = max(1, round(n / batch)) if synchronous else 0
     # so few rows that a task has hardly a step to take before the averaging (or only the overhead of a job) share a task
     data = data.coalesce(max(1, int(n / (TASK_BATCHES * batch))))
+    chained = False
     if synchronous:
-        data = _dealt(data, batches, seed).persist()
-    else:
-        data = _packed(data, names).persist()
-    live = list(range(len(specs)))
-    for epoch in range(epochs):
-        mine, chosen = [states[i] for i in live], [specs[i] for i in live]
-        if synchronous:
-            mine = _synchronous_epoch(data, names, net, mine, chosen, batches, seed, epoch)
+        largest = _dealt(held.select("_key"), batches, seed).groupBy("_batch").count().agg(F.max("count")).first()[0] or 0
+        chained = largest * len(names) <= RUN_CELLS
+    with ExitStack() as kept:
+        if chained:
+            data = kept.enter_context(stored(_runs(data, names, n, batches, seed), "run"))
+            count = (data.agg(F.max("run")).first()[0] if n else -1) + 1
+        elif synchronous:
+            # those of a batch side by side: its jobs hand no other rows to Python
+            data = _dealt(data, batches, seed).sortWithinPartitions("_batch").persist()
         else:
-            mine = _averaged_epoch(data, net, mine, chosen, batch, seed, epoch)
-        for i, state in zip(live, mine, strict=True):
-            states[i] = state
-        ended = on_epoch(epoch + 1, [m for m, _ in states]) if on_epoch else None
-        live = [] if ended is True else [i for i in live if i not in (ended or ())]
-        if not live:
-            break
+            data = _packed(data, names).persist()
+        live = list(range(len(specs)))
+        for epoch in range(epochs):
+            mine, chosen = [states[i] for i in live], [specs[i] for i in live]
+            if chained:
+                mine = _chained_epoch(data, count, net, mine, chosen, batches, seed, epoch)
+            elif synchronous:
+                mine = _synchronous_epoch(data, names, net, mine, chosen, batches, seed, epoch)
+            else:
+                mine = _averaged_epoch(data, net, mine, chosen, batch, seed, epoch)
+            for i, state in zip(live, mine, strict=True):
+                states[i] = state
+            ended = on_epoch(epoch + 1, [m for m, _ in states]) if on_epoch else None
+            live = [] if ended is True else [i for i in live if i not in (ended or ())]
+            if not live:
+                break
     data.unpersist()
     held.unpersist()
     return [m for m, _ in states]

@@ -727,7 +727,7 @@ def q_mlp_informed(spark, sf):
 
 @query("mlp_synchronous")
 def q_mlp_synchronous(spark, sf):
-    """Three hidden layers of 64, mini-batches spread over all tasks: the weights do not depend on the partitions (M27; rows-only)."""
+    """Three hidden layers of 64, mini-batches from all over the table: the weights do not depend on the partitions (M27; rows-only)."""
     data, feats = flows.mlp_input(spark, sf)
     train = laid_out(data.where(F.col("split") == "train"))
     net = mlp_norm.Net((len(feats), 64, 64, 64, 2), "softplus")

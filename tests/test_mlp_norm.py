@@ -160,3 +160,45 @@ def test_rows_are_packed_whole_and_in_order(spark):
     assert rows.y.tolist() == [i % 2 for i in range(9)] and rows.folds.tolist() == [i % 4 for i in range(9)]
     assert rows.keys.astype(np.int64).tolist() == [i * 3 - 5 for i in range(9)]
     assert len(mlp_norm._unpacked(iter([]), 2).y) == 0
+
+
+@pytest.mark.parametrize("net,optimizer", [(NETS[0], "adam"), (NETS[1], "sgd")])
+def test_synchronous_batches_run_in_chains_or_spread(spark, net, optimizer, monkeypatch):
+    x, y = data(240)
+    df, cols = table(spark, x, y)
+    chained, spread, specs, jobs = mlp_norm._chained_epoch, mlp_norm._synchronous_epoch, [Spec(0.01), Spec(0.05, 1)], []
+
+    def fitted(df, batch, cells, way, other):
+        monkeypatch.setattr(mlp_norm, "RUN_CELLS", cells)
+        monkeypatch.setattr(mlp_norm, way.__name__, lambda *a: jobs.append(a[1]) or way(*a))
+        monkeypatch.setattr(mlp_norm, other.__name__, lambda *_: pytest.fail(f"batches of {batch} rows, {cells} cells"))
+        return [flat(m) for m in mlp_norm.fit(df, cols, "y", "id", net, specs, 2, batch, optimizer, fold_col="fold", synchronous=True)]
+
+    one = fitted(df.repartition(3), 20, 1 << 22, chained, spread)
+    many = fitted(df.repartition(5), 20, 300, chained, spread)
+    assert jobs == [1, 1, 4, 4]
+    for a, b in zip(one, many, strict=True):
+        np.testing.assert_array_equal(a, b)  # not even the order of a batch's rows depends on the partitions
+    large = [fitted(df, 120, cells, *ways) for cells, ways in ((1 << 22, (chained, spread)), (300, (spread, chained)))]
+    for a, b in zip(*large, strict=True):
+        np.testing.assert_allclose(a, b, atol=1e-9)
+    same = df.withColumn("id", df.id * 0)  # one key, so one batch has all rows
+    with monkeypatch.context():
+        fitted(same, 20, 300, spread, chained) if net is NETS[1] else None
+
+
+def test_synchronous_odd_tables_leave_no_files(spark):
+    import glob
+
+    from churnlab.sources.session import ensure_checkpoint_dir
+    x, y = data(40)
+    df, cols = table(spark, x, y)
+    model, = mlp_norm.fit(df.limit(0), cols, "y", "id", NETS[0], [Spec(0.1)], 2, synchronous=True)
+    np.testing.assert_allclose(flat(model), flat(mlp_norm.init_model(NETS[0], 1)))
+    seen = []
+    models = mlp_norm.fit(df, cols, "y", "id", NETS[1], [Spec(0.1), Spec(0.1)], 3, 16, "sgd", synchronous=True,
+                          on_epoch=lambda e, models: seen.append(e) or ([0] if e == 1 else None))
+    assert seen == [1, 2, 3] and not np.allclose(flat(models[0]), flat(models[1]))
+    with pytest.raises(Exception, match="nulls"):
+        mlp_norm.fit(df.selectExpr("id", "nullif(y, 0) AS y", *cols), cols, "y", "id", NETS[1], [Spec(0.1)], 1, synchronous=True)
+    assert not glob.glob(f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/rows-*")
