@@ -205,7 +205,7 @@ def gbt_fit_best(spark: SparkSession, sf: str, folds: int = 5, **options) -> Dat
     feats = model_features(data)
     setting = replace(grid_boost.grid(**options)[best["grid_index"]], rounds=rounds)
     train = data.where(F.col("split") == "train").persist()
-    grown, = grid_boost.grow(train, feats, "churn_100", [grid_boost.Member(setting)], "user_id")
+    grown, = grid_boost.grow(train, feats, "churn_100", [grid_boost.Member(setting)], "user_id", whole=True)
     train.unpersist()
     scored = boost.score_ensemble(data.where(F.col("split") == "test"), grown.ensemble, "user_id", keep=["churn_100"]).persist()
     rep = metrics.classification_report(scored, "score", "churn_100", 0.5)

@@ -230,3 +230,13 @@ def test_whole_members_count_alike_in_every_way(monkeypatch):
     assert len(found[0][0]) == 7 and all(f == found[0] for f in found)
     plain = gb._auc(np.array([0.1, 0.3, 0.3, 0.2, -0.5]), np.array([0, 1, 0, 1, 0]))
     assert plain == 4.5 / 6 and gb._auc(np.empty(0), np.empty(0, int)) is None and gb._auc(np.ones(3), np.ones(3, int)) is None
+
+
+def test_the_best_setting_is_refitted_without_a_job_for_a_level(table, monkeypatch):
+    from churnlab.plans import flows
+    data = table.selectExpr("id AS user_id", "y AS churn_100", "1 - y AS re1", "IF(id % 4 = 0, 'test', 'train') AS split", *FEATURES)
+    monkeypatch.setattr(flows, "split_prepared", lambda *_: data)
+    monkeypatch.setattr(gb, "_pass", lambda *_: pytest.fail("a job for a level"))
+    r = flows.gbt_fit_best(table.sparkSession, "own rows", step_sizes=(0.3,), max_depths=(2, 5), folds=3, rounds=4).first()
+    assert r.step_size == 0.3 and r.max_depth == 5 and 1 <= r.rounds <= 4
+    assert r.cv_auc > 0.7 and r.auc > 0.6 and r.tp + r.fp + r.tn + r.fn == 150
